@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import packing, pii
-from barloom.llm.common import table
+from barloom.llm import langid, neardup, packing, pii
+from barloom.llm.common import crc_fold, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model, [F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out")])
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(table(spark, sf_dir, "documents"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +28,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_best_fit_packing, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op6_minhash_near_dedup, op8_best_fit_packing, op9_pii)}
 ORACLES: dict[str, str] = {}
