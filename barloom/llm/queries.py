@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import langid, neardup, packing, pii
+from barloom.llm import langid, neardup, packing, pii, quality
 from barloom.llm.common import crc_fold, table
 
 
@@ -28,5 +28,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_minhash_near_dedup, op8_best_fit_packing, op9_pii)}
+def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(crc_fold(F.col("doc_id"), 5) != 0)
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op6_minhash_near_dedup, op8_best_fit_packing, op9_pii, op10_line_crf_quality)}
 ORACLES: dict[str, str] = {}
