@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, langid, neardup, packing, pii, quality
+from barloom.llm import chat, decontaminate, langid, neardup, packing, pii, quality
 from barloom.llm.common import crc_fold, table
 
 
@@ -29,6 +29,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op6_minhash_near_dedup, op8_best_fit_packing, op9_pii, op10_line_crf_quality)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op4_spaced_seed_decontamination, op6_minhash_near_dedup, op8_best_fit_packing, op9_pii, op10_line_crf_quality)}
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": r"""
         WITH rows AS (
@@ -66,4 +70,27 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
             CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id""",
+    "op4_spaced_seed_decontamination": r"""
+        WITH item AS (
+            SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
+        ), doc AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+        ), item_word AS (
+            SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS j FROM item
+        ), doc_word AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM doc
+        ), met AS (
+            SELECT doc_id, item_id, n, i - j AS start, j FROM doc_word JOIN item_word USING (word)
+        ), line AS (
+            SELECT doc_id, item_id, start FROM met GROUP BY ALL HAVING count(*) >= least(10, any_value(n) - 3)
+        ), forward AS (
+            SELECT doc_id, item_id, n, start, count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY j RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS matches
+            FROM met SEMI JOIN line USING (doc_id, item_id, start)
+        ), best AS (
+            SELECT doc_id, item_id, n, start, max(matches) AS matches FROM forward GROUP BY ALL
+        )
+        SELECT doc_id, item_id, arg_max(start, matches * 1000000 - start) AS start, max(matches) AS window_matches, any_value(n) AS item_tokens
+        FROM best
+        WHERE matches >= least(n, 13) - CASE WHEN n >= 13 THEN 3 WHEN n >= 10 THEN 2 WHEN n >= 7 THEN 1 ELSE 0 END
+        GROUP BY doc_id, item_id""",
 }
