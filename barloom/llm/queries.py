@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, langid, neardup, packing, pii, quality
+from barloom.llm import chat, decontaminate, html_text, langid, neardup, packing, pii, quality
 from barloom.llm.common import crc_fold, table
 
 
@@ -33,6 +33,10 @@ def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op4_spaced_seed_decontamination, op6_minhash_near_dedup, op8_best_fit_packing, op9_pii, op10_line_crf_quality)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op4_spaced_seed_decontamination, op5_html_extraction, op6_minhash_near_dedup, op8_best_fit_packing, op9_pii, op10_line_crf_quality)}
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": r"""
         WITH rows AS (
