@@ -9,11 +9,11 @@ which makes the signature a gather and a column minimum.
 
 Documents of equal sets form a class, known by a 128-bit digest of the sorted
 set; classes are what is banded and compared.  In every bucket each class is
-verified against the bucket's smallest class; after the components of those
-links are known, every class of a bucket that is not in its leader's component
-is verified against all others of the bucket outside its own component.  So no
-candidate pair of different components goes unverified, and pairs whose link
-could not change a component are not made.  A pair at the threshold is missed by
+verified against the bucket's smallest class, its leader; after the components
+of those links are known, every class that is not in its leader's component is
+verified against all classes that have the same leader.  That is done by tiles,
+whose members are indexed by shingle, and returns links only.  So no candidate
+pair of different components goes unverified, and no row is made per pair.  A pair at the threshold is missed by
 banding with a probability of about 4 in a million.
 
 Edge cases: null text and text without words have an empty set, are linked with
@@ -149,6 +149,69 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _blocks():
+    """A ``mapInArrow`` function over sorted rows (cell, tile_t, tile_q, query, class, root, text).
+
+    Targets (query = 0) of a tile come first and are indexed by shingle; every query
+    then gets its intersection with all of them from one look-up.  One link per query
+    and component of targets is enough, and is what comes out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, targets, index = None, [], None
+        for batch in batches:
+            cells, ts, qs, query, classes, roots = (batch.column(k).to_pylist() for k in range(6))
+            out = []
+            for k, key in enumerate(zip(cells, ts, qs, strict=True)):
+                if key != tile:
+                    tile, targets, index = key, [], None
+                hashes = shingles(batch.column(6)[k].as_py())
+                if not query[k]:
+                    targets.append((classes[k], roots[k], hashes))
+                    continue
+                if not targets:
+                    continue
+                if index is None:
+                    flat = np.concatenate([t[2] for t in targets])
+                    order = np.argsort(flat, kind="stable")
+                    sizes = np.array([len(t[2]) for t in targets])
+                    index = flat[order], np.repeat(np.arange(len(targets)), sizes)[order], sizes, np.array([t[1] for t in targets])
+                values, owners, sizes, target_roots = index
+                low, high = np.searchsorted(values, hashes, "left"), np.searchsorted(values, hashes, "right")
+                many = high - low
+                at = np.repeat(high - np.cumsum(many), many) + np.arange(many.sum())
+                both = np.bincount(owners[at], minlength=len(targets))
+                hit = np.flatnonzero((100 * both >= PERCENT * (len(hashes) + sizes - both)) & (target_roots != roots[k]))
+                for j in dict((int(target_roots[j]), int(j)) for j in hit).values():
+                    out.append((classes[k], targets[j][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _rest(near: DataFrame, roots: DataFrame, texts: DataFrame, block: int = 400) -> DataFrame:
+    """Links that the leaders did not settle.
+
+    A cell is all classes that share a leader, so it holds every bucket of that
+    leader.  Its classes outside the leader's component are queries against all its
+    other classes; both sides are split into tiles of about ``block`` rows.
+    """
+    to = roots.select(F.col("node"), F.col("root"))
+    placed = near.join(to.withColumnRenamed("node", "a").withColumnRenamed("root", "ar"), "a", "left").join(to.withColumnRenamed("node", "b").withColumnRenamed("root", "br"), "b", "left")
+    placed = placed.select("a", "b", F.coalesce("ar", "a").alias("root"), (F.coalesce("ar", "a") != F.coalesce("br", "b")).alias("apart"))
+    placed = cut(placed)
+    sizes = placed.groupBy("b").agg(F.count("*").alias("n"), F.count_if("apart").alias("q")).where("n > 1 and q > 0")
+    tiles = sizes.select(F.col("b").alias("cell"), F.ceil(F.col("n") / block).cast("int").alias("nt"), F.ceil(F.col("q") / block).cast("int").alias("nq"))
+    both = placed.join(tiles, F.col("b") == F.col("cell"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n: F.array(F.pmod(F.xxhash64("a"), F.col(n)).cast("int"))
+    targets = both.select("cell", F.lit(0).alias("query"), F.col("a").alias("class"), "root", own("nt").alias("t"), every("nq").alias("q"))
+    queries = both.where("apart").select("cell", F.lit(1).alias("query"), F.col("a").alias("class"), "root", every("nt").alias("t"), own("nq").alias("q"))
+    rows = targets.unionByName(queries).withColumn("tile_t", F.explode("t")).withColumn("tile_q", F.explode("q")).join(texts, "class")
+    dealt = rows.select("cell", "tile_t", "tile_q", "query", "class", "root", "text").repartition("cell", "tile_t", "tile_q").sortWithinPartitions("cell", "tile_t", "tile_q", "query")
+    return dealt.mapInArrow(_blocks(), "a long, b long")
+
+
 def group(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``docs``."""
     small_batches(docs.sparkSession)
@@ -163,25 +226,15 @@ def group(docs: DataFrame) -> DataFrame:
     def fits(n: str, m: str):
         return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)  # sets of other sizes cannot reach the threshold
 
-    near = members.where("class <> leader").where(fits("n", "leader_n")).select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct()
+    near = members.where("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b"), fits("n", "leader_n").alias("fits")).distinct()
+    near = cut(near)
     wanted = members.select("class").distinct().join(classes.select("class", "one.doc_id", "one.text_hash"), "class")
     content = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-    texts = cut(wanted.join(content, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("class", "text"))
-    checked = cut(_verified(near, texts))
-    edges = checked.where("linked").select("a", "b")
+    texts = wanted.join(content, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("class", "text")
+    texts = cut(texts)
+    edges = cut(_verified(near.where("fits").select("a", "b"), texts).where("linked").select("a", "b"))
     roots = components(edges)
-
-    # What the leaders did not settle: classes outside their leader's component against the rest of the bucket.
-    def rooted(df: DataFrame, node: str, name: str) -> DataFrame:
-        to = roots.select(F.col("node").alias(node), F.col("root").alias(name))
-        return df.join(to, node, "left").withColumn(name, F.coalesce(name, node))
-
-    placed = rooted(rooted(members, "class", "root"), "leader", "leader_root")
-    apart = placed.where("root <> leader_root").select("bucket", F.col("class").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-    against = placed.where("class <> leader").select("bucket", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
-    rest = apart.join(against, "bucket").where("ar <> br").where(fits("an", "bn")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = rest.join(checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = cut(_verified(rest, texts).where("linked").select("a", "b"))
+    more = cut(_rest(near, roots, texts))
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
     own = classes.select("class", "doc").join(roots, F.col("class") == F.col("node"), "left").select("class", "doc", F.coalesce("root", "class").alias("root"))
