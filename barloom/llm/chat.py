@@ -13,9 +13,9 @@ there and removing one backslash before any character restores the original.
 The loss mask covers the texts of assistant turns, as spans into the output.
 
 Edge cases: null role and null text are empty texts; a message whose parent is
-missing from its tree is a root; messages of one key are ranked by role and text
-and only the first is followed as a parent; parents in a cycle reach no root and
-give no conversation; an empty table gives no rows; extra columns are ignored.
+missing from its tree is a root; turns of one number follow each other by role
+and text (``chain``); a cycle of messages has no leaf and gives no conversation,
+and one that leads into a cycle is refused with an error; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,26 +60,25 @@ def paths(messages: DataFrame) -> DataFrame:
     ancestor at a distance that doubles each round; ``found`` holds what is known of
     every leaf's path and doubles with it.
     """
-    keys = messages.select("tree", "message", "parent")
+    keys = cut(messages.select("tree", "message", "parent"))
     known = keys.select(F.col("tree").alias("t"), F.col("message").alias("m"))
-    linked = keys.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("m")), "left").select("tree", "message", F.col("m").alias("up"))
-    jump = cut(linked.select("tree", "message", "up", F.lit(1).cast("long").alias("far")))
-    parents = linked.select(F.col("tree").alias("t"), F.col("up").alias("u")).where("u is not null").distinct()
-    leaves = linked.select("tree", "message").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("u")), "left_anti")
+    jump = cut(keys.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("m"))).select("tree", "message", F.col("m").alias("up"), F.lit(1).cast("long").alias("far")).distinct())
+    parents = jump.select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
+    leaves = keys.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("u")), "left_anti")
     found = cut(leaves.select("tree", F.col("message").alias("leaf"), "message", F.lit(0).cast("long").alias("back")))
-    while True:
-        # every message found so far is followed by the ancestor `far` steps above it
-        step = jump.select(F.col("tree").alias("t"), F.col("message").alias("m"), "up", "far").where("up is not null")
-        same = F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m"))
-        above = found.join(step, same).select("tree", "leaf", F.col("up").alias("message"), (F.col("back") + F.col("far")).alias("back"))
+    messages_in_all, far = keys.count(), 1
+    while not jump.isEmpty():
+        if far > messages_in_all:
+            raise ValueError("a message is its own ancestor")
+        # every message found so far is followed by the ancestor `far` steps above it, where there is one
+        step = jump.select(F.col("tree").alias("t"), F.col("message").alias("m"), "up", "far")
+        above = found.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m"))).select("tree", "leaf", F.col("up").alias("message"), (F.col("back") + F.col("far")).alias("back"))
         then = cut(found.unionByName(above))
-        next_up = jump.select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("up").alias("up2"))
-        twice = cut(jump.join(next_up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")), "left").select("tree", "message", F.col("up2").alias("up"), (F.col("far") * 2).alias("far")))
+        after = jump.select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("up").alias("up2"))
+        twice = cut(jump.join(after, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m"))).select("tree", "message", F.col("up2").alias("up"), (F.col("far") * 2).alias("far")))
         drop_cut(found)
         drop_cut(jump)
-        found, jump = then, twice
-        if jump.where("up is not null").isEmpty():
-            break
+        found, jump, far = then, twice, 2 * far
     depth = Window.partitionBy("tree", "leaf")
     return found.withColumn("depth", F.max("back").over(depth) - F.col("back")).drop("back")
 
