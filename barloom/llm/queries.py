@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, html_text, langid, neardup, packing, pii, quality
+from barloom.llm import chat, decontaminate, html_text, langid, neardup, neighbours, packing, pii, quality
 from barloom.llm.common import crc_fold, table
 
 
@@ -29,6 +29,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.link(table(spark, sf_dir, "embeddings"))
+
+
 def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -56,7 +60,7 @@ def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op4_spaced_seed_decontamination, op5_html_extraction, op6_minhash_near_dedup, op8_best_fit_packing, op9_pii, op10_line_crf_quality)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_embedding_near_dedup, op4_spaced_seed_decontamination, op5_html_extraction, op6_minhash_near_dedup, op8_best_fit_packing, op9_pii, op10_line_crf_quality)}
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": r"""
         WITH rows AS (
