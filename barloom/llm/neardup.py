@@ -35,14 +35,13 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, small_batches
 from barloom.llm.components import components
+from barloom.llm.hashing import RADIX, mixed, run_hashes, split_words
 
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 64, 6
 UNIVERSE = 1 << 20
 SEED = 20240229
-_RADIX = 0x9E3779B97F4A7C15
-_SPAN = 1 << 16
 
 
 @cache
@@ -53,41 +52,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return first, np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: width - 1]]), width)
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd radix and of its inverse modulo 2**64."""
-    inverse = np.uint64(pow(_RADIX, -1, 1 << 64))
-    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))]) for x in (np.uint64(_RADIX), inverse))
-
-
-@cache
-def _values() -> np.ndarray:
-    return np.random.default_rng(SEED + 1).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    found = []
-    if not words:
-        return np.zeros(0, np.uint64)
-    for a in range(0, max(1, len(words) - SHINGLE + 1), _SPAN):  # spans bound the memory of very long texts
-        plain = np.frombuffer(b" ".join(words[a : a + _SPAN + SHINGLE - 1]), np.uint8)
-        size = 1 << max(12, len(plain).bit_length())
-        up, down = _powers(size)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_values()[plain] * up[: len(plain)])])
-        gaps = np.flatnonzero(plain == 32)
-        starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(plain)]])
-        many = max(1, len(starts) - SHINGLE + 1)
-        first, last = starts[:many], ends[-many:]
-        found.append(_mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
-    return np.unique(np.concatenate(found))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *run_hashes(split_words(text), SHINGLE)]))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -97,9 +64,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     low = np.full(BANDS * ROWS, UNIVERSE, np.int32)
     for a in range(0, len(places), 2048):
         np.minimum(low, runs[places[a : a + 2048]].min(axis=0), out=low)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(_RADIX)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(RADIX)
     for column in low.reshape(BANDS, ROWS).T:
-        keys = _mixed(keys ^ column.astype(np.uint64))
+        keys = mixed(keys ^ column.astype(np.uint64))
     return keys.view(np.int64)
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, html_text, langid, neardup, neighbours, packing, pii, quality
-from barloom.llm.common import crc_fold, table
+from barloom.llm import chat, decontaminate, html_text, langid, lm_score, neardup, neighbours, packing, pii, quality
+from barloom.llm.common import crc_fold, cut, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,13 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"))
 
 
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("l")).distinct()
+    target = cut(docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("l")).select("text"))
+    return lm_score.score(docs, lm_score.fit(target, docs))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -60,7 +67,7 @@ def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_embedding_near_dedup, op4_spaced_seed_decontamination, op5_html_extraction, op6_minhash_near_dedup, op8_best_fit_packing, op9_pii, op10_line_crf_quality)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_embedding_near_dedup, op4_spaced_seed_decontamination, op5_html_extraction, op6_minhash_near_dedup, op7_cross_entropy_difference, op8_best_fit_packing, op9_pii, op10_line_crf_quality)}
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": r"""
         WITH rows AS (
