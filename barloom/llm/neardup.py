@@ -179,8 +179,8 @@ def _rest(near: DataFrame, roots: DataFrame, texts: DataFrame, block: int = 400)
     return dealt.mapInArrow(_blocks(), "a long, b long")
 
 
-def group(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row per row of ``docs``."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, group (null: in none) and component_id, one row per row of ``docs``."""
     small_batches(docs.sparkSession)
     every = cut(signed(docs))
     some = every.where("n_shingles > 0")
@@ -206,7 +206,38 @@ def group(docs: DataFrame) -> DataFrame:
         roots = components(edges.unionByName(more))
     own = classes.select("class", "doc").join(roots, F.col("class") == F.col("node"), "left").select("class", "doc", F.coalesce("root", "class").alias("root"))
     smallest = own.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = own.join(smallest, "root").select(F.col("class").alias("c"), "component_id")
-    out = every.select("doc_id", "n_shingles", "class").join(named, F.col("class") == F.col("c"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = own.join(smallest, "root").select(F.col("class").alias("c"), F.col("root").alias("group"), "component_id")
+    out = every.select("doc_id", "text_hash", "n_shingles", "class").join(named, F.col("class") == F.col("c"), "left")
+    component = F.when(F.col("group").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "group", component.alias("component_id"))
+
+
+def group(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row per row of ``docs``."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return grouped(docs).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that remain: one per group, all columns kept.
+
+    Of a group the row of the smallest id stays (a null id is the largest); should
+    that very id and text be repeated, one of its rows stays.  Documents without
+    words are in no group and stay.
+    """
+    marked = cut(grouped(docs))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
+    found = marked.where("group is not null").groupBy("group").agg(one)
+    leave = marked.where("group is not null").select(F.col("doc_id").alias("i"), F.col("text_hash").alias("x"), F.col("group").alias("g"))
+    first = found.select("group", F.col("one.doc_id").alias("d"), F.col("one.text_hash").alias("h"))
+    is_first = F.col("i").eqNullSafe(F.col("d")) & (F.col("x") == F.col("h"))
+    leave = leave.join(first, F.col("g") == F.col("group"))
+    gone = leave.where(~is_first).select(F.col("i").alias("d"), F.col("x").alias("h")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
+    left = docs.join(gone, same, "left_anti")
+    repeated = leave.where(is_first).groupBy("d", "h").agg(F.count("*").alias("n")).where("n > 1").select("d", "h")
+    if repeated.isEmpty():
+        return left
+    # the same id and text more than once: of those rows, and only those, one each
+    twice = left.join(repeated, same, "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return left.join(repeated, same, "left_anti").unionByName(twice)
