@@ -48,7 +48,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("l")).distinct()
-    target = cut(docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("l")).select("text"))
+    target = cut(docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("l")).select("text"))
     return lm_score.score(docs, lm_score.fit(target, docs))
 
 
