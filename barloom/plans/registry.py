@@ -1,8 +1,11 @@
-"""All queries of the library by name, and the SQL of those that SQL can express."""
+"""All queries of the library by name, and the SQL of those that SQL can express.
+
+The plan modules register into one table as they are imported.
+"""
 
 from __future__ import annotations
 
-from barloom.plans import series
+from barloom.plans import analysis, series  # noqa: F401
 
-QUERIES = dict(series.QUERIES)
-ORACLES = dict(series.ORACLES)
+QUERIES = series.QUERIES
+ORACLES = series.ORACLES
