@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,20 +184,21 @@ def simulate(signals: DataFrame, runs: DataFrame, pip: float | None = None, equi
     now = F.pmod(F.floor(F.col("t") / 60) + F.coalesce("session_offset", F.lit(0)), F.lit(1440))
     inside = F.when(a < b, (now >= a) & (now < b)).otherwise((now >= a) | (now < b))
     rows = rows.withColumn("open_session", F.when(a.isNull() | b.isNull() | (a == b), True).otherwise(inside)).drop("session_start", "session_end", "session_offset")
-    columns = [x.strip().split(" ")[0] for x in TRADE.split(",")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.strip().split(" ") for x in TRADE.split(","))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
             out = []
-            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+            for row in batch.to_pylist():
                 if (row["run_id"], row["symbol"], row["tf"]) != key:
                     key, state = (row["run_id"], row["symbol"], row["tf"]), Simulation(row, row["pip"])
                 out += [{"run_id": key[0], "symbol": key[1], "tf": key[2]} | x for x in state.bar(row) if equity or x["kind"] == "trade"]
-            yield pd.DataFrame(out, columns=columns)
+            yield pa.RecordBatch.from_pylist(out, schema)
 
     keys = ["run_id", *KEY]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "t").mapInPandas(run, TRADE)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "t").mapInArrow(run, TRADE)
 
 
 def trades_of(simulated: DataFrame) -> DataFrame:

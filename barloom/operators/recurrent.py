@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +22,23 @@ def scan(df: DataFrame, kernel: Callable[[], object], inputs: list[str], outputs
     """Add ``outputs`` (name -> type): per row ``kernel().step(*inputs)`` returns their values in order of t."""
     names = list(keys)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{k}` {v}" for k, v in outputs.items())])
+    types = [{"double": pa.float64(), "boolean": pa.bool_()}[v] for v in outputs.values()]
+    at, of = [df.columns.index(k) for k in names], [df.columns.index(k) for k in inputs]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
         for batch in batches:
             rows = []
-            for key, values in zip(batch[names].itertuples(index=False, name=None), batch[inputs].itertuples(index=False, name=None), strict=True):
+            keyed = zip(*(batch.column(k).to_pylist() for k in at), strict=True)
+            for key, values in zip(keyed, zip(*(batch.column(k).to_pylist() for k in of), strict=True), strict=True):
                 if key != now:
                     now, state = key, kernel()
                 rows.append(state.step(*(None if x != x else x for x in values)))
-            found = pd.DataFrame(rows, columns=list(outputs), index=batch.index, dtype=object)
-            yield pd.concat([batch, found], axis=1)
+            found = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found, types)], [*batch.schema.names, *outputs])
 
     dealt = df.repartition(*names).sortWithinPartitions(*names, "t")
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 class Ema:
