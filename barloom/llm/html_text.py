@@ -58,44 +58,48 @@ _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _set_aside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in ASIDE:
-        return True
-    if tag in ("html", "body", "main", "article") or not attrs:
-        named = dict(attrs)
-        return tag == "article" and _speaks(named.get("class")) or "hidden" in named
-    named = dict(attrs)
+def _never(tag: str, named: dict[str, str | None]) -> bool:
+    """Elements that hold no article text by their name or because they are not shown."""
     style = (named.get("style") or "").replace(" ", "").lower()
-    return "hidden" in named or "display:none" in style or named.get("aria-hidden") == "true" or (named.get("role") or "").lower() in ROLES or _speaks(named.get("class")) or _speaks(named.get("id"))
+    return tag in ASIDE or "hidden" in named or "display:none" in style or named.get("aria-hidden") == "true"
 
 
-def _speaks(value: str | None) -> bool:
-    return bool(value) and not WORDS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower()))
+def _named_aside(tag: str, named: dict[str, str | None], inside: bool) -> bool:
+    """Elements whose role, class or id speaks of something beside the article; a header inside it is part of it."""
+    if tag in ("html", "body", "main") or not named:
+        return False
+    if tag != "article" and (named.get("role") or "").lower() in ROLES:
+        return True
+    words = set(_SPLIT.split(_CAMEL.sub("-", f"{named.get('class') or ''} {named.get('id') or ''}").lower()))
+    return not WORDS.isdisjoint(words - {"header"} if inside else words)
 
 
 class _Lines(HTMLParser):
     """Collects lines: text, tags, characters in links, path of open elements."""
 
-    def __init__(self):
+    def __init__(self, by_name: bool = True):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, set aside
+        self.by_name = by_name
+        self.open: list[tuple[str, int, int, int]] = []  # tag, number, what it adds to ``aside`` and to ``never``
         self.lines: list[tuple[str, int, int, tuple[int, ...], str]] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.count = self.links = self.aside = self.inside = 0
+        self.tags = self.linked = self.count = self.links = self.aside = self.never = self.inside = 0
         self.semantic: dict[int, str] = {}
+        self.marks = 0
         self.containers: set[int] = set()
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text and not self.aside:
-            heading = next((t for t, _, _ in self.open if t in HEADINGS), "")
-            self.lines.append((text, max(1, self.tags), self.linked, tuple(n for _, n, _ in self.open), heading))
+            heading = next((t for t, *_ in self.open if t in HEADINGS), "")
+            self.lines.append((text, max(1, self.tags), self.linked, tuple(x[1] for x in self.open), heading))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def drop_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            tag, _, aside = self.open.pop()
+            tag, _, aside, never = self.open.pop()
             self.aside -= aside
+            self.never -= never
             self.links -= tag == "a"
             self.inside -= tag == "article"
 
@@ -115,14 +119,20 @@ class _Lines(HTMLParser):
                 break
             if other in BLOCKS:
                 break
-        aside = _set_aside(tag, attrs) and not (tag == "header" and self.inside)
+        named, main = dict(attrs), tag in ("article", "main")
+        never = int(_never(tag, named) and not (tag == "header" and self.inside))
+        aside = int(never or self.by_name and _named_aside(tag, named, self.inside > 0))
         self.count += 1
-        if tag in ("article", "main") and not aside and not self.aside:
+        self.marks += main
+        if main and not aside and self.aside and not self.never and not self.semantic:
+            aside = -self.aside  # the page's main part, inside a wrapper whose name misleads
+        if main and self.aside + aside == 0:
             self.semantic[self.count] = tag
         if tag in CONTAINERS:
             self.containers.add(self.count)
-        self.open.append((tag, self.count, aside))
+        self.open.append((tag, self.count, aside, never))
         self.aside += aside
+        self.never += never
         self.links += tag == "a"
         self.inside += tag == "article"
 
@@ -158,17 +168,22 @@ def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by one space."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    lines = parser.lines
+    for by_name in (True, False):  # names are ignored where they would leave nothing
+        parser = _Lines(by_name)
+        parser.feed(html)
+        parser.close()
+        parser.end_line()
+        lines = parser.lines
+        if lines or parser.marks:
+            break
     marked: set[int] = set()
     for kind in ("article", "main"):
         marked = {n for n, tag in parser.semantic.items() if tag == kind}
         if within := [x for x in lines if not marked.isdisjoint(x[3])]:
             lines = within
             break
+    else:
+        lines = [] if parser.marks else lines  # what a page marks is empty: so is its article
     if not lines:
         return ""
     ratios = np.array([len(text) / tags for text, tags, *_ in lines], float)

@@ -24,8 +24,16 @@ def test_pages_without_an_article_element():
     assert main_text(f"<main><div>{body}</div></main><p>outside the main part, long enough to matter in any case</p>").startswith("The first")
 
 
+def test_names_that_mislead():
+    assert main_text("<div class='page with-sidebar'><article><div class='entry-header'><h1>T</h1></div><p>Text of it.</p><div class='comment-list'><p>c</p></div></article></div>") == "T Text of it."
+    assert main_text("<div class='menu-page'><p>All there is on this page.</p></div>") == "All there is on this page."
+    assert main_text("<main><p>Body text of the page here.</p></main><section id=comments><article><p>A comment, long enough to look like text.</p></article></section>") == "Body text of the page here."
+    assert main_text("<div hidden><article><p>unseen</p></article></div><p>seen</p>") == "seen"
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<!-- x -->") == main_text("<script>a") == ""
+    assert main_text("<div class=ad>Buy</div><article></article><footer>f</footer>") == main_text("<nav>a</nav><p></p>") == ""
     assert main_text("<article><p>unclosed <b>bold") == "unclosed bold"
     assert main_text("<article><p>x</p></div></span></article></article>") == "x"
     assert len(main_text("<article>" + "<p>word word word</p>" * 20_000 + "</article>")) == 20_000 * 15 - 1
