@@ -85,7 +85,6 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.linked = self.count = self.links = self.aside = self.never = self.inside = 0
         self.semantic: dict[int, str] = {}
-        self.marks = 0
         self.containers: set[int] = set()
 
     def end_line(self) -> None:
@@ -123,7 +122,6 @@ class _Lines(HTMLParser):
         never = int(_never(tag, named) and not (tag == "header" and self.inside))
         aside = int(never or self.by_name and _named_aside(tag, named, self.inside > 0))
         self.count += 1
-        self.marks += main
         if main and not aside and self.aside and not self.never and not self.semantic:
             aside = -self.aside  # the page's main part, inside a wrapper whose name misleads
         if main and self.aside + aside == 0:
@@ -174,7 +172,7 @@ def main_text(html: str | None) -> str:
         parser.close()
         parser.end_line()
         lines = parser.lines
-        if lines or parser.marks:
+        if lines or parser.semantic:
             break
     marked: set[int] = set()
     for kind in ("article", "main"):
@@ -183,7 +181,7 @@ def main_text(html: str | None) -> str:
             lines = within
             break
     else:
-        lines = [] if parser.marks else lines  # what a page marks is empty: so is its article
+        lines = [] if parser.semantic else lines  # what a page marks is empty: so is its article
     if not lines:
         return ""
     ratios = np.array([len(text) / tags for text, tags, *_ in lines], float)
