@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barloom.functions.numeric import clamp, normal_cdf
 from barloom.operators.signals import score
 from barloom.sources.bars import KEY, series
+from barloom.sources.scratch import settled
 
 HORIZONS = (1, 5, 20)
 MODELS = ("signal", "drift", "regime")
@@ -144,11 +145,16 @@ def calibrated(forecast: DataFrame, table: DataFrame) -> DataFrame:
 
 def forecasts(bars: DataFrame) -> DataFrame:
     """Weighted and calibrated forecasts of every bar and horizon (in-sample weights and calibration)."""
-    probability = probabilities(model_stats(score(bars)))
-    mixed = weighted(probability, weights(performance(probability)))
+    mixed = settled(mixed_forecasts(bars))
     return calibrated(mixed, calibration(mixed))
 
 
+def mixed_forecasts(bars: DataFrame) -> DataFrame:
+    """Weighted forecasts of every bar and horizon; the probabilities are computed once for weights and mixing."""
+    probability = settled(probabilities(model_stats(score(bars))))
+    return weighted(probability, weights(performance(probability)))
+
+
 def walk_forward(forecast: DataFrame, newest: int = 300) -> DataFrame:
     """Hits and totals per series and horizon over the ``newest`` bars with a known outcome."""
     known = forecast.where((F.col("i") > LOOKBACK) & F.col("up").isNotNull())

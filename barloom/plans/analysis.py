@@ -184,8 +184,7 @@ query("adaptive_weights", f"{HEAD}{votes(NOFLAT)}, {STATS}, {PROB}, {PERF}, {WEI
 
 
 def _mixed(spark, d):
-    probability = fc.probabilities(_stats(spark, d))
-    return fc.weighted(probability, fc.weights(fc.performance(probability)))
+    return fc.mixed_forecasts(events(spark, d))
 
 
 query("weighted_forecast", f"{FULL} SELECT symbol, t, horizon, {sql.r6('p_up', 'p_up')} FROM mx WHERE i > 80")(lambda spark, d: shown(_mixed(spark, d).where("i > 80"), "p_up", keys=("symbol", "t", "horizon")))
