@@ -4,7 +4,7 @@ Features are all 1-, 2- and 3-grams of the lower-cased text, hashed into
 ``BUCKETS`` columns.  Training counts every n-gram of every training row, per
 task in numpy and summed in Spark; the model is a (languages x BUCKETS) matrix
 of log probabilities, whose size depends on neither corpus nor text lengths, and
-which is broadcast.  Scoring adds the matrix rows of a text's n-grams, for a
+which is broadcast (a column of more than ``MOST_LANGUAGES`` languages is refused).  Scoring adds the matrix rows of a text's n-grams, for a
 batch of texts at once.
 
 Long texts are handled in segments of ``SEGMENT`` characters that overlap by the
@@ -30,6 +30,7 @@ from barloom.llm.common import small_batches
 
 BUCKETS = 1 << 14
 SEGMENT = 1 << 20
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 _SALTS = (np.uint32(0x9E3779B9), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -121,6 +122,8 @@ def fit(docs: DataFrame, smoothing: float = 0.5) -> Model:
             where = np.nonzero(counts)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where), pa.string()), pa.array(where, pa.int32()), pa.array(counts[where])], ["lang", "bucket", "n"])
 
+    if docs.select("lang").distinct().limit(MOST_LANGUAGES + 2).count() > MOST_LANGUAGES + 1:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: is that column a language?")
     rows = docs.where("lang is not null").select("text", "lang").mapInArrow(count, "lang string, bucket int, n long")
     found = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x (BUCKETS + 1) rows at most
     langs = tuple(sorted(set(found.column("lang").to_pylist())))
