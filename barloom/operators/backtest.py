@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from barloom.sources.bars import KEY
 
+MOST_BROADCAST = 50_000
 #: One run: stops in pips; mode is fixedLot, compound or fixedRisk; directions in order of preference.
 RUN = (
     "run_id string, stop_pips double, target_pips double, trailing_pips double, close_on_opposite boolean, directions string, "
@@ -179,7 +180,8 @@ def simulate(signals: DataFrame, runs: DataFrame, pip: float | None = None, equi
     if "run_key" in signals.columns:
         rows = bars.select("run_key", *kept).join(runs, "run_key").drop("run_key")
     else:
-        rows = bars.select(*kept).crossJoin(F.broadcast(runs))
+        few = runs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        rows = bars.select(*kept).crossJoin(F.broadcast(runs) if few else runs)  # a grid is the product of bars and runs by definition
     a, b = (F.when(F.col(n).rlike("^([01][0-9]|2[0-3]):[0-5][0-9]$"), F.substring(n, 1, 2).cast("int") * 60 + F.substring(n, 4, 2).cast("int")) for n in ("session_start", "session_end"))
     now = F.pmod(F.floor(F.col("t") / 60) + F.coalesce("session_offset", F.lit(0)), F.lit(1440))
     inside = F.when(a < b, (now >= a) & (now < b)).otherwise((now >= a) | (now < b))

@@ -85,7 +85,7 @@ def weights(perf: DataFrame) -> DataFrame:
 
 def weighted(probability: DataFrame, weight: DataFrame) -> DataFrame:
     """Adds ``p_up``, the weighted and clamped probability."""
-    joined = probability.join(F.broadcast(weight.drop("fallback")), [*KEY, "horizon"], "left")
+    joined = probability.join(weight.drop("fallback"), [*KEY, "horizon"], "left")
     mix = sum((F.col(f"p_{m}") * F.coalesce(F.col(f"w_{m}"), F.lit(PRIOR[m])) for m in MODELS), F.lit(0.0))
     return joined.withColumn("p_up", clamp(mix, 0.02, 0.98)).drop(*(f"w_{m}" for m in MODELS))
 
@@ -134,7 +134,7 @@ def calibration(forecast: DataFrame) -> DataFrame:
 
 def calibrated(forecast: DataFrame, table: DataFrame) -> DataFrame:
     """Adds ``p_calibrated``: linear between the points, constant beyond them; unchanged without a table."""
-    joined = forecast.join(F.broadcast(table), [*KEY, "horizon"], "left")
+    joined = forecast.join(table, [*KEY, "horizon"], "left")
     p, pts = F.col("p_up"), F.col("points")
     below, above = F.filter(pts, lambda q: q["x"] <= p), F.filter(pts, lambda q: q["x"] >= p)
     left, right = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))

@@ -174,7 +174,7 @@ def levels(bars: DataFrame, lookback: int = 240, strength: int = 2, most: int =
     order = Window.partitionBy(*KEY).orderBy(F.desc("t"))
     recent = ind.latest_atr(bars.withColumn("age", F.row_number().over(order) - 1).where(F.col("age") < lookback))
     now = recent.where("age = 0").select(*KEY, F.col("c").alias("close"), F.col("atr_latest").alias("atr"))
-    points = pivots(recent, strength).where("pivot_high is not null or pivot_low is not null").join(F.broadcast(now), list(KEY))
+    points = pivots(recent, strength).where("pivot_high is not null or pivot_low is not null").join(now, list(KEY))
     low_high = F.array_compact(F.array("pivot_low", "pivot_high"))
     rows = points.select(*KEY, "t", "age", "close", "atr", F.explode(low_high).alias("price"))
     half_life = max(20, lookback // 3)

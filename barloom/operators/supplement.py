@@ -63,10 +63,9 @@ def calendar_for(events: DataFrame, symbol: str) -> DataFrame:
 
 
 def calendar_sides(events: DataFrame, now: int) -> DataFrame:
-    """``side`` upcoming (nearest first) or past (newest first), with ``place`` in that order."""
+    """``side`` upcoming (nearest first) or past (newest first) and the ``distance`` in seconds, sorted by them."""
     side = F.when(F.col("time") > now, "upcoming").otherwise("past")
-    order = Window.partitionBy("side").orderBy(F.abs(F.col("time") - now), "time", "currency", "title")
-    return events.withColumn("side", side).withColumn("place", F.row_number().over(order))
+    return events.withColumn("side", side).withColumn("distance", F.abs(F.col("time") - now)).orderBy(F.desc("side"), "distance", "currency", "title")
 
 
 def default_currency(symbol: Column, known: list[str]) -> Column:

@@ -55,13 +55,13 @@ def _(spark, d):
 @query(
     "calendar_sides",
     """WITH e AS (SELECT event_id, event_type AS currency, epoch_us(ts) // 1000000 AS time FROM events WHERE event_id % 20 = 0), x AS (SELECT *, CASE WHEN time > 1705276800 THEN 'upcoming' ELSE 'past' END AS side FROM e)
-    SELECT event_id, side, row_number() OVER (PARTITION BY side ORDER BY abs(time - 1705276800), time, currency, CAST(event_id AS VARCHAR)) AS place FROM x""",
+    SELECT event_id, side, abs(time - 1705276800) AS distance FROM x""",
 )
 def _(spark, d):
     """Every twentieth event as a calendar."""
     events = spark.read.parquet(f"{d}/events.parquet").where("event_id % 20 = 0")
     rows = events.select("event_id", F.col("event_type").alias("currency"), src.unix_seconds("ts").alias("time"), F.col("event_id").cast("string").alias("title"))
-    return sp.calendar_sides(rows, REGISTERED).select("event_id", "side", F.col("place").cast("long").alias("place"))
+    return sp.calendar_sides(rows, REGISTERED).select("event_id", "side", "distance")
 
 
 @query(

@@ -27,7 +27,7 @@ def test_strategy_problems(spark):
 def test_calendar_and_journal(spark):
     events = spark.createDataFrame([("a", "USD", 5, "high"), ("b", "USD", 9, "low"), ("c", "EUR", 9, "medium"), ("d", "GBP", 1, "high")], "title string, currency string, time long, impact string")
     assert sorted(r.title for r in sp.calendar_for(events, "EURUSD").collect()) == ["a", "c"]
-    assert [(r.title, r.side, r.place) for r in sp.calendar_sides(events, 5).orderBy("side", "place").collect()] == [("a", "past", 1), ("d", "past", 2), ("c", "upcoming", 1), ("b", "upcoming", 2)]
+    assert [(r.title, r.side, r.distance) for r in sp.calendar_sides(events, 5).collect()] == [("c", "upcoming", 4), ("b", "upcoming", 4), ("a", "past", 0), ("d", "past", 4)]
     journal, new = (spark.createDataFrame(rows, "k string, t long, p double") for rows in ([("a", 1, 0.5)], [("a", 9, 0.9), ("b", 2, 0.6), ("c", 3, 0.7)]))
     assert [tuple(r) for r in sp.journal_append(journal, new, ["k"], 2).collect()] == [("c", 3, 0.7), ("b", 2, 0.6)]
 
