@@ -26,9 +26,13 @@ def unix_seconds(ts: str) -> Column:
 
 
 def bars_of_ticks(ticks: DataFrame, tf: str) -> DataFrame:
-    """Bars of ``ticks(symbol, t, seq, price, size)``; first and last by (t, seq)."""
+    """Bars of ``ticks(symbol, t, seq, price, size)``; first and last by (t, seq).
+
+    The order is one decimal of fixed width: a struct in the aggregation buffer would
+    make Spark sort all ticks before it aggregates them.
+    """
     step = SECONDS[tf]
-    when = F.struct("t", "seq")
+    when = F.expr("cast(cast(t as decimal(12,0)) * cast('1e19' as decimal(20,0)) + cast(seq as decimal(19,0)) as decimal(38,0))")
     return (
         ticks.groupBy("symbol", (F.floor(F.col("t") / step) * step).alias("t"))
         .agg(F.min_by("price", when).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", when).alias("c"), F.sum("size").cast("double").alias("v"))
@@ -76,8 +80,7 @@ def normalise(raw: DataFrame) -> DataFrame:
     for k in "ohlc":
         usable = usable & F.col(k).isNotNull() & ~F.isnan(k) & (F.abs(k) < float("inf"))
     rows = rows.where(usable & F.col("t").isNotNull() & (F.col("h") >= F.col("l")) & (F.col("o") > 0) & (F.col("c") > 0))
-    last = F.max_by(F.struct("o", "h", "l", "c", "v"), "seq").alias("x")
-    return rows.groupBy("symbol", "tf", "t").agg(last).select("symbol", "tf", "t", "x.*")
+    return rows.groupBy("symbol", "tf", "t").agg(*(F.max_by(k, "seq").alias(k) for k in "ohlcv"))
 
 
 def normalise_chart(payload: DataFrame, now: int) -> DataFrame:
@@ -94,8 +97,7 @@ def normalise_chart(payload: DataFrame, now: int) -> DataFrame:
     good = (F.col("t") % F.col("step") == 0) & (F.col("t") + F.col("step") <= now) & (F.col("h") >= F.col("l")) & (F.col("o") > 0) & (F.col("c") > 0)
     for k in "ohlc":
         good = good & F.col(k).isNotNull() & ~F.isnan(k)
-    last = F.max_by(F.struct("o", "h", "l", "c"), "seq").alias("x")
-    return rows.where(good).groupBy("symbol", "tf", "t").agg(last).select("symbol", "tf", "t", "x.*", F.lit(0.0).alias("v"))
+    return rows.where(good).groupBy("symbol", "tf", "t").agg(*(F.max_by(k, "seq").alias(k) for k in "ohlc")).withColumn("v", F.lit(0.0))
 
 
 def violations(bars: DataFrame, least: dict[str, int] | None = None) -> DataFrame:
@@ -174,8 +176,7 @@ def cot_reports(raw: DataFrame) -> DataFrame:
     numbers = ("oi", "noncomm_long", "noncomm_short", "comm_long", "comm_short")
     rows = raw.select("currency", "seq", F.expr("try_to_timestamp(report_date, 'yyyy-MM-dd')").alias("at"), *(F.expr(f"try_cast({n} as double)").alias(n) for n in numbers))
     rows = rows.dropna(subset=["at", *numbers]).withColumn("date", F.unix_timestamp("at"))
-    last = F.max_by(F.struct(*numbers), "seq").alias("x")
-    out = rows.groupBy("currency", "date").agg(last).select("currency", "date", "x.*")
+    out = rows.groupBy("currency", "date").agg(*(F.max_by(n, "seq").alias(n) for n in numbers))
     return out.withColumn("noncomm_net", F.col("noncomm_long") - F.col("noncomm_short"))
 
 
