@@ -15,11 +15,12 @@ of the target loss minus the background loss, in nats: lower is closer to the
 target.
 
 Every word and every bigram of both corpora is counted: per task in numpy, then
-summed by Spark.  The vocabulary is all words with a share of at least
-``WORD_SHARE`` of the background's words (so at most 1 / WORD_SHARE of them), the
-bigrams all with a share of at least ``PAIR_SHARE`` (at most 1 / PAIR_SHARE), each
-at least ``LEAST`` times; what is broadcast is bounded by these shares at any
-corpus size, and behaves alike at every size.
+summed by Spark.  The vocabulary is all words, and the bigrams are all bigrams of
+vocabulary words, that the background holds at least ``LEAST`` times, so the model
+grows with the corpus; ``WORD_SHARE`` and ``PAIR_SHARE`` can raise that to a share of
+the background's words and are 0.  The model is a set of Parquet tables that are
+joined with the documents' bigrams: nothing of it is collected or broadcast, and the
+driver receives totals only.  Words are 64-bit hashes, a bigram's key is a mix of two.
 
 Edge cases: null and blank texts hold only the end token and are scored by it; an
 empty target or background leaves uniform probabilities; repeated rows count each
@@ -33,15 +34,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, small_batches
+from barloom.llm.common import cut, drop_cut, small_batches
 from barloom.llm.hashing import run_hashes, split_words
 
-WORD_SHARE, PAIR_SHARE, LEAST = 2e-6, 1e-6, 2
+WORD_SHARE, PAIR_SHARE, LEAST = 0.0, 0.0, 2
 LAMBDA, ALPHA = 0.7, 0.5
 CHUNK = 1 << 21
+#: Stand for words outside the vocabulary, the start of a text and its end.
+UNKNOWN, START, END = 0, 1, 2
+KINDS = ("target", "background")
 
 
 def hashed(text: str | None) -> np.ndarray:
@@ -50,124 +54,180 @@ def hashed(text: str | None) -> np.ndarray:
     return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
-def _counted(texts: DataFrame, of, kind: str) -> DataFrame:
-    """(total, key, target, background) counts of the numbers ``of(text)``, partly summed.
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One 64-bit number per bigram: h xor w turned by one bit."""
+    turned = w.view(np.uint64)
+    return h ^ ((turned << np.uint64(1)) | (turned >> np.uint64(63))).view(np.int64)
+
+
+def text_pairs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(history, token) for every token of a text, the end included."""
+    found = hashed(text)
+    return np.concatenate([[START], found]), np.concatenate([found, [END]])
 
-    Rows with a total count all: ``texts`` or ``tokens``.
-    """
 
-    def out(numbers: list[np.ndarray], n_texts: int) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(numbers), return_counts=True)
-        totals = pa.array([None] * len(keys) + ["texts", "tokens"], pa.string())
-        keys, counts = np.append(keys, [0, 0]), np.append(counts, [n_texts, counts.sum()])
+def _counted(texts: DataFrame, kind: str) -> DataFrame:
+    """(h, w, target, background) counts of all bigrams of the texts, partly summed."""
+
+    def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, w = map(np.concatenate, zip(*pairs))
+        _, first, counts = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
+        counts = counts.astype(np.int32)
         zero = np.zeros_like(counts)
         both = (counts, zero) if kind == "target" else (zero, counts)
-        return pa.RecordBatch.from_arrays([totals, *map(pa.array, (keys, *both))], ["total", "key", "target", "background"])
+        return pa.RecordBatch.from_arrays([*map(pa.array, (h[first], w[first], *both))], ["h", "w", *KINDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, size, n_texts = [], 0, 0
+        pairs, size = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                numbers.append(of(text))
-                size, n_texts = size + len(numbers[-1]), n_texts + 1
+                pairs.append(text_pairs(text))
+                size += len(pairs[-1][0])
                 if size >= CHUNK:
-                    yield out(numbers, n_texts)
-                    numbers, size, n_texts = [], 0, 0
-        if numbers:
-            yield out(numbers, n_texts)
+                    yield out(pairs)
+                    pairs, size = [], 0
+        if pairs:
+            yield out(pairs)
+
+    return texts.select("text").mapInArrow(run, "h long, w long, target int, background int")
+
+
+def _sums(*columns: str) -> list[Column]:
+    return [F.sum(c).alias(c) for c in columns]
+
+
+def _freed(spark) -> None:
+    """Lets Spark remove the shuffle files of the tables that were written and forgotten."""
+    import gc
 
-    return texts.select("text").mapInArrow(run, "total string, key long, target long, background long")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @dataclass(frozen=True)
 class Model:
-    """Words in hash order; per token and history the two models' numbers; kept pairs in code order.
+    """Tables in the shared folder; counts are of the target and of the background.
 
-    Predicted tokens are the words, then unknown, then the end; histories are the
-    words, then unknown, then the start.
+    ``vocabulary`` (key, target, background), ``histories`` (mh, rest_*: weight of p(w)
+    after h, seen_*: count of h), ``pairs`` (mh, mw, target, background): the kept
+    bigrams, ``found``: all bigrams of both corpora, mapped.
     """
 
-    words: np.ndarray
-    token: np.ndarray  # (2, V): p(w) of target and background
-    rest: np.ndarray  # (2, histories): weight of p(w) after h
-    pairs: np.ndarray
-    pair: np.ndarray  # (2, pairs): LAMBDA * c(h, w) / c(h)
-
-    def codes(self, text: str | None) -> np.ndarray:
-        return pair_codes(self.words, text)
+    background: DataFrame
+    vocabulary: DataFrame
+    histories: DataFrame
+    pairs: DataFrame
+    found: DataFrame
+    size: int  # words
+    totals: dict[str, tuple[int, int, int]]  # tokens, unknown tokens, texts
+
+    def table(self, mapped: DataFrame) -> DataFrame:
+        """(key, target, background): loss of every bigram of ``mapped`` under both models."""
+        kept = self.pairs.select("mh", "mw", *(F.col(k).alias(f"kept_{k}") for k in KINDS))
+        rows = mapped.join(kept, ["mh", "mw"], "left").join(self.histories, "mh")
+
+        def loss(k: str) -> Column:
+            tokens, unknown, texts = self.totals[k]
+            n = F.when(F.col("mw") == END, F.lit(texts)).when(F.col("mw") == UNKNOWN, F.lit(unknown)).otherwise(F.col(f"w_{k}"))
+            p = (n + ALPHA) / (tokens + texts + ALPHA * (self.size + 2))
+            share = F.coalesce(F.col(f"kept_{k}"), F.lit(0)) / F.greatest(F.col(f"seen_{k}"), F.lit(1))
+            return (-F.log(LAMBDA * share + F.col(f"rest_{k}") * p)).alias(k)
+
+        return rows.select("key", *map(loss, KINDS))
+
+    @property
+    def words(self) -> np.ndarray:
+        """The vocabulary in hash order, collected: to look into small models only."""
+        return self.vocabulary.select("key").orderBy("key").toArrow().column("key").to_numpy()
 
     def losses(self, codes: np.ndarray) -> np.ndarray:
-        """(2, n): loss of every token under target and background."""
-        h, w = np.divmod(codes, len(self.words) + 2)
-        p = self.rest[:, h] * self.token[:, w]
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
-            p += self.pair[:, at] * (self.pairs[at] == codes)
-        return -np.log(p)
-
-
-def pair_codes(words: np.ndarray, text: str | None) -> np.ndarray:
-    """history * (words + 2) + token for every token of a text, the end included."""
-    found, n = hashed(text), len(words)
-    if n:
-        at = np.minimum(np.searchsorted(words, found), n - 1)
-        ids = np.where(words[at] == found, at, n)
-    else:
-        ids = np.zeros(len(found), np.int64)
-    return np.concatenate([[n + 1], ids]) * (n + 2) + np.concatenate([ids, [n + 1]])
+        """(2, n): losses of bigrams given as history * (words + 2) + token, collected: to look into small models only.
+
+        Predicted tokens are the words, then unknown, then the end; histories are the
+        words, then unknown, then the start.
+        """
+        words = self.words
+        h, w = np.divmod(codes, len(words) + 2)
+        h, w = np.append(words, [UNKNOWN, START])[h], np.append(words, [UNKNOWN, END])[w]
+        keys = pair_keys(h, w)
+        asked = self.background.sparkSession.createDataFrame([tuple(map(int, x)) for x in zip(h, w)], "h long, w long")
+        got = {r["key"]: (r["target"], r["background"]) for r in self.table(_mapped(asked, self.vocabulary)).collect()}
+        return np.array([got[k] for k in keys.tolist()]).T
+
+
+def _mapped(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``pairs`` with mh and mw, the words outside the vocabulary one, and the counts of w."""
+    histories = vocabulary.select(F.col("key").alias("h"), F.lit(True).alias("known"))
+    tokens = vocabulary.select(F.col("key").alias("w"), *(F.col(k).alias(f"w_{k}") for k in KINDS))
+    rows = pairs.join(histories, "h", "left").join(tokens, "w", "left")
+    mh = F.when(F.col("known") | (F.col("h") == START), F.col("h")).otherwise(F.lit(UNKNOWN).cast("long"))
+    mw = F.when(F.col("w_background").isNotNull() | (F.col("w") == END), F.col("w")).otherwise(F.lit(UNKNOWN).cast("long"))
+    key = F.col("h").bitwiseXOR(F.shiftleft("w", 1).bitwiseOR(F.shiftrightunsigned("w", 63)))  # as pair_keys
+    return rows.select(key.alias("key"), mh.alias("mh"), mw.alias("mw"), *(c for c in KINDS if c in pairs.columns), *(f"w_{k}" for k in KINDS))
 
 
 def fit(target: DataFrame, background: DataFrame) -> Model:
-    """Count both corpora; the driver receives at most 1 / WORD_SHARE words and 1 / PAIR_SHARE pairs."""
-    small_batches(background.sparkSession)
-    sums = [F.sum("target").alias("target"), F.sum("background").alias("background")]
-
-    def both(of) -> DataFrame:
-        one, two = (_counted(t, of, kind) for t, kind in ((target, "target"), (background, "background")))
-        return one.unionByName(two).groupBy("total", "key").agg(*sums)
-
-    some = cut(both(hashed).where(f"total is not null or background >= {LEAST}"))
-    totals = {r["total"]: np.array([r["target"], r["background"]]) for r in some.where("total is not null").collect()}
-    texts, tokens = (totals.get(k, np.zeros(2, int)) for k in ("texts", "tokens"))
-    kept = some.where("total is null").where(F.col("background") >= WORD_SHARE * float(tokens[1])).orderBy("key").toArrow()
-    words = kept.column("key").to_numpy()
-    counts = np.zeros((2, len(words) + 2))
-    counts[:, :-2] = [kept.column(k).to_numpy() for k in ("target", "background")]
-    counts[:, -2] = tokens - counts.sum(axis=1)  # unknown words
-    shared = background.sparkSession.sparkContext.broadcast(words)
-    pairs = both(lambda text: pair_codes(shared.value, text)).where("total is null")
-    pairs = pairs.where((F.col("background") >= LEAST) & (F.col("background") >= PAIR_SHARE * float(tokens[1]))).orderBy("key").toArrow()
-    codes, pair = pairs.column("key").to_numpy(), np.array([pairs.column(k).to_numpy() for k in ("target", "background")], float).reshape(2, -1)
-    history = counts.copy()
-    history[:, -1] = texts
-    h = codes // (len(words) + 2)
-    share = pair / np.maximum(history[:, h], 1)
-    rest = np.ones_like(history)
-    for k in (0, 1):
-        rest[k] -= LAMBDA * np.bincount(h, weights=share[k], minlength=history.shape[1])
-    counts[:, -1] = texts
-    token = (counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * counts.shape[1])
-    return Model(words, token, rest, codes, LAMBDA * share)
+    """Count both corpora."""
+    spark = background.sparkSession
+    small_batches(spark)
+    _freed(spark)
+    counted = _counted(target, KINDS[0]).unionByName(_counted(background, KINDS[1]))
+    raw = cut(counted.groupBy("h", "w").agg(*_sums(*KINDS)))
+    del counted
+    _freed(spark)
+    texts = raw.where(F.col("h") == START).agg(*_sums(*KINDS)).first()
+    tokens = raw.where(F.col("w") != END).agg(*_sums(*KINDS)).first()
+    texts, tokens = ({k: r[k] or 0 for k in KINDS} for r in (texts, tokens))
+    least = lambda share: (F.col("background") >= LEAST) & (F.col("background") >= share * float(tokens["background"]))
+    vocabulary = cut(raw.where(F.col("w") != END).groupBy(F.col("w").alias("key")).agg(*_sums(*KINDS)).where(least(WORD_SHARE)))
+    known = vocabulary.agg(F.count("*").alias("n"), *_sums(*KINDS)).first()
+    totals = {k: (tokens[k], tokens[k] - (known[k] or 0), texts[k]) for k in KINDS}
+    found = cut(_mapped(raw, vocabulary))
+    drop_cut(raw)
+    del raw
+    _freed(spark)
+    pairs = cut(found.groupBy("mh", "mw").agg(*_sums(*KINDS)).where(least(PAIR_SHARE)))
+    rest = [(word, *(totals[k][n] for k in KINDS)) for word, n in ((UNKNOWN, 1), (START, 2))]
+    seen = vocabulary.unionByName(spark.createDataFrame(rest, vocabulary.schema)).toDF("mh", *(f"seen_{k}" for k in KINDS))
+    kept = pairs.groupBy("mh").agg(*_sums(*KINDS))
+    weight = [(1 - LAMBDA * F.coalesce(F.col(k), F.lit(0)) / F.greatest(F.col(f"seen_{k}"), F.lit(1))).alias(f"rest_{k}") for k in KINDS]
+    histories = cut(seen.join(kept, "mh", "left").select("mh", *(f"seen_{k}" for k in KINDS), *weight))
+    _freed(spark)
+    return Model(background, vocabulary, histories, pairs, found, known["n"], totals)
 
 
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, key, n): the bigrams of every row; doc_id only at a row's first."""
+    for batch in batches:
+        rows, ids = batch.column(0).to_numpy(), batch.column(1)
+        found = [np.unique(pair_keys(*text_pairs(text)), return_counts=True) for text in batch.column(2).to_pylist()]
+        if not found:
+            continue
+        sizes = np.array([len(keys) for keys, _ in found])
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        at = np.full(sizes.sum(), -1)
+        at[first] = np.arange(len(first))
+        doc_ids = ids.take(pa.array(at, mask=at < 0))
+        keys, counts = (np.concatenate(x) for x in zip(*found))
+        for a in range(0, len(keys), CHUNK):
+            part = slice(a, a + CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, sizes)[part]), doc_ids[part], pa.array(keys[part]), pa.array(counts[part].astype(np.int32))], ["row", "doc_id", "key", "n"])
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Columns of ``SCORED``; losses are means over the document's tokens."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            sizes, means = [], []
-            for text in batch.column(1).to_pylist():
-                codes = model.codes(text)
-                sizes.append(len(codes))
-                means.append(model.losses(codes).mean(axis=1))
-            t, b = np.array(means).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(t), pa.array(b), pa.array(t - b)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED)
+    if docs.sameSemantics(model.background):
+        mapped = model.found
+    else:
+        mapped = _mapped(_counted(docs, KINDS[1]).select("h", "w").distinct(), model.vocabulary)
+    losses = cut(model.table(mapped))
+    _freed(spark)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(_rows, "row long, doc_id long, key long, n int")
+    sums = [F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), *((F.sum(F.col("n") * F.col(k)) / F.sum("n")).alias(f"{k}_loss") for k in KINDS)]
+    scored = rows.join(losses.hint("shuffle_hash"), "key").groupBy("row").agg(*sums)
+    return scored.select("doc_id", "n_tokens", *(f"{k}_loss" for k in KINDS), (F.col("target_loss") - F.col("background_loss")).alias("score"))

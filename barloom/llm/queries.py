@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import chat, decontaminate, html_text, langid, lm_score, neardup, neighbours, packing, pii, quality
-from barloom.llm.common import crc_fold, cut, table
+from barloom.llm.common import crc_fold, cut, drop_cut, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,10 @@ def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("l")).distinct()
     target = cut(docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("l")).select("text"))
-    return lm_score.score(docs, lm_score.fit(target, docs))
+    model = lm_score.fit(target, docs)
+    scored = lm_score.score(docs, model)
+    drop_cut(model.found)
+    return scored
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,16 @@ def test_edges(spark):
     assert lm.score(docs.limit(0), lm.fit(docs, docs)).count() == 0
     nothing = lm.score(docs, lm.fit(docs.limit(0), docs.limit(0))).collect()
     assert all(r.score == 0 for r in nothing)
+
+
+def test_model_grows_with_the_corpus(spark):
+    """Two occurrences are enough in a corpus of any size: no floor that rises with it."""
+    texts = ["common words " * 1_000_000, "odd pair", "odd pair", "other text"]
+    docs = documents(spark, [row(k, t) for k, t in enumerate(texts)])
+    model = lm.fit(docs.where("text = 'odd pair'"), docs)
+    got = [{r.doc_id: r for r in lm.score(docs, model).collect()} for _ in range(2)]
+    p = lambda c: (c + lm.ALPHA) / (2_000_006 + 4 + lm.ALPHA * 6)
+    want = [0.7 * 2 / 4 + (1 - 0.7 * 2 / 4) * p(2), 0.7 + 0.3 * p(2), 0.7 + 0.3 * p(4)]
+    for rows in got:
+        assert len(rows) == 4 and rows[1].n_tokens == 3
+        assert rows[1].background_loss == pytest.approx(sum(-math.log(x) for x in want) / 3)
