@@ -10,10 +10,11 @@ are set aside first.
 The text-to-tag ratios of the remaining lines are smoothed with a Gaussian kernel
 and split by a threshold into content and other lines.  Where a page marks
 articles (or, failing that, a main part), only lines inside them compete, and a
-marked element with content lines is a content region.  Elsewhere the region is
-the deepest container that holds ``COVER`` of the content lines' text, from the
-first to the last of them, with its headings and the page's h1.  Lines that are
-mostly links are left out.
+marked element with content lines is a content region, kept whole.  Elsewhere the
+region is the smallest container that holds all content lines; of it stays what lies
+from the first to the last of them or beside one in the same container, with its
+headings and the page's h1.  There, runs of lines that are mostly links are left out,
+but not a single such line between content lines.
 
 Edge cases: null and empty html give an empty text; a page without content lines
 gives an empty text; unclosed elements end with their container; repeated rows
@@ -35,7 +36,6 @@ from barloom.llm.common import small_batches
 
 SIGMA, RADIUS = 1.0, 3
 THRESHOLD = 0.5
-COVER = 0.8
 LINKS = 0.5
 
 # Element names by what they do to a line.
@@ -187,7 +187,10 @@ def main_text(html: str | None) -> str:
     ratios = np.array([len(text) / tags for text, tags, *_ in lines], float)
     level = smoothed(ratios)
     plain = np.array([linked <= LINKS * len(text) for text, _, linked, *_ in lines])
-    content = (level >= THRESHOLD * level.std()) & plain
+    dense = level >= THRESHOLD * level.std()
+    content = dense & plain
+    if marked and not content.any():
+        content = dense  # an article of links
     if not content.any():
         return ""
     size = np.array([len(text) for text, *_ in lines]) * content
@@ -197,11 +200,15 @@ def main_text(html: str | None) -> str:
             held[element] = held.get(element, 0) + int(n)
     marked &= held.keys()
     if marked:
-        kept = [p and any(held[n] for n in marked.intersection(x[3])) for p, x in zip(plain, lines, strict=True)]
+        kept = [any(held[n] for n in marked.intersection(x[3])) for x in lines]
     else:
-        region = max((n for n, chars in held.items() if n in parser.containers and chars >= COVER * size.sum()), default=0)  # numbered as they open: the last is the deepest
+        region = max((n for n, chars in held.items() if n in parser.containers and chars == size.sum()), default=0)  # numbered as they open: the last is the deepest
         first, last = np.flatnonzero(content)[[0, -1]]
-        kept = [p and (x[4] or first <= k <= last) and (not region or region in x[3]) for k, (p, x) in enumerate(zip(plain, lines, strict=True))]
+        own = [next((n for n in reversed(x[3]) if n in parser.containers), 0) for x in lines]
+        beside = {n for n, c in zip(own, content, strict=True) if c}
+        framed = np.concatenate([[True], plain, [True]])
+        text = plain | (framed[:-2] & framed[2:] & (np.arange(len(lines)) > first) & (np.arange(len(lines)) < last))
+        kept = [t and (x[4] or first <= k <= last or o in beside) and (not region or region in x[3]) for k, (t, o, x) in enumerate(zip(text, own, lines, strict=True))]
         if not any(k and x[4] == "h1" for k, x in zip(kept, lines, strict=True)):
             kept = [k or x[4] == "h1" for k, x in zip(kept, lines, strict=True)]
     return " ".join(x[0] for k, x in zip(kept, lines, strict=True) if k)

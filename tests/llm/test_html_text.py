@@ -31,6 +31,22 @@ def test_names_that_mislead():
     assert main_text("<div hidden><article><p>unseen</p></article></div><p>seen</p>") == "seen"
 
 
+def test_linked_blocks_of_an_article_stay():
+    linked = "<h1><a href=x>Title</a></h1><p>A long paragraph of text that says what there is to say here.</p><p>See <a href=y>the full report of the year</a></p><ul><li><a href=z>Reference one</a><li><a href=w>Reference two</a></ul>"
+    whole = "Title A long paragraph of text that says what there is to say here. See the full report of the year Reference one Reference two"
+    assert main_text(f"<article>{linked}</article>") == main_text(f"<main>{linked}</main>") == whole
+    assert main_text("<article><h1><a href=x>Only a linked title</a></h1></article>") == "Only a linked title"
+
+
+def test_last_section_and_short_lines_of_an_unmarked_page():
+    long = "<p>A long paragraph of text that says what there is to say here, and more.</p>"
+    plain = "A long paragraph of text that says what there is to say here, and more."
+    got = main_text(f"<body><div id=text><div><p>By me.</p>{long * 9}<p>See <a href=x>the full report of the year</a></p>{long}</div><div>{long}<p>End.</p></div></div><div><p>x</p></div></body>")
+    assert got == " ".join(["By me.", *[plain] * 9, "See the full report of the year", plain, plain, "End."])
+    links = "<li><a href=x>One of the links</a></li>" * 3
+    assert main_text(f"<div>{long}<ul>{links}</ul>{long}</div>") == f"{plain} {plain}"
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<!-- x -->") == main_text("<script>a") == ""
     assert main_text("<div class=ad>Buy</div><article></article><footer>f</footer>") == main_text("<nav>a</nav><p></p>") == ""
