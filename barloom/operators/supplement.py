@@ -98,9 +98,14 @@ def pip_values(bars: DataFrame, usdjpy: DataFrame | None) -> DataFrame:
         return bars.withColumn("pip_value", F.when(quoted, 1000.0).otherwise(10 * DEFAULT_RATE))
     tagged = bars.withColumn("__one", F.lit(1))
     rates = usdjpy.select(F.lit(1).alias("__one"), F.col("t").alias("rate_t"), F.col("c").alias("rate"))
-    # four-day blocks are the join key, so bars of a block meet the rates of three blocks only; farther rates count as missing
-    day = lambda x: F.floor(x / 345600)
-    near = nearest(tagged.withColumn("__day", day(F.col("t"))), rates.withColumn("__day", F.explode(F.array(*(day(F.col("rate_t")) + k for k in (-1, 0, 1))))), ["__one", "__day"], "t", "rate_t", "rate")
+    # four-day blocks are the join key; every block also gets the last rate before it and the first after it, however far
+    tagged, rates = (x.withColumn("__day", F.floor(F.col(c) / 345600)) for x, c in ((tagged, "t"), (rates, "rate_t")))
+    ends = rates.groupBy("__one", "__day").agg(F.min(F.struct("rate_t", "rate")).alias("__first"), F.max(F.struct("rate_t", "rate")).alias("__last"))
+    blocks = tagged.select("__one", "__day").distinct().join(ends, ["__one", "__day"], "full")
+    w = Window.partitionBy("__one").orderBy("__day")  # a row per block of four days
+    before, after = F.last("__last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first("__first", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    carried = blocks.select("__one", "__day", F.array_compact(F.array(before, after)).alias("__rates")).select("__one", "__day", F.explode("__rates").alias("__rate"))
+    near = nearest(tagged, rates.unionByName(carried.select("__one", "__day", "__rate.rate_t", "__rate.rate")), ["__one", "__day"], "t", "rate_t", "rate")
     rate = F.coalesce(F.when(F.col("rate_nearest") > 0, F.col("rate_nearest")), F.lit(DEFAULT_RATE))
     return near.withColumn("pip_value", F.when(quoted, 1000.0).otherwise(10 * rate)).drop("__one", "__day", "rate_nearest")
 

@@ -43,3 +43,15 @@ def test_levels_and_rates(spark):
     assert sorted((r.direction, r.price) for r in sp.nearest_levels(levels).collect()) == [("resistance", 5.0), ("support", 2.0)]
     bars = spark.createDataFrame([("EURUSD", "h1", 7200), ("EURJPY", "h1", 7200)], "symbol string, tf string, t long")
     assert {r.symbol: r.pip_value for r in sp.pip_values(bars, None).collect()} == {"EURUSD": 1500.0, "EURJPY": 1000.0}
+
+
+def test_nearest_rate_at_any_distance(spark):
+    day = 86400
+    times = [0, 30 * day, 34 * day, 60 * day, 71 * day, 90 * day, 400 * day]
+    rates = {40 * day: 100.0, 44 * day + 7: 110.0, 80 * day: 120.0, 81 * day: -1.0}
+    bars = spark.createDataFrame([("EURUSD", "h1", t) for t in times], "symbol string, tf string, t long")
+    usdjpy = spark.createDataFrame(list(rates.items()), "t long, c double")
+    got = {r.t: r.pip_value for r in sp.pip_values(bars, usdjpy).collect()}
+    nearest = {t: rates[min(rates, key=lambda at: (abs(at - t), at))] for t in times}
+    assert got == {t: 10 * (rate if rate > 0 else 150.0) for t, rate in nearest.items()}
+    assert {r.pip_value for r in sp.pip_values(bars, usdjpy.limit(0)).collect()} == {1500.0}
