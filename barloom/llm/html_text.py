@@ -5,7 +5,9 @@ line is what a reader sees as one block.  Every line has its text, the number of
 tags met in it and the number of characters inside links.  Lines inside elements
 that never hold an article (menus, headers, footers, sidebars, forms, scripts,
 and elements whose class, id or role says advert, notice, comments and the like)
-are set aside first.
+are set aside first.  Inside an article a class or id does so only if all its words
+name such a section or plain structure (``share-buttons``, ``related-posts``): one
+that also names a subject (``share-price``, ``related-work``) is article text.
 
 The text-to-tag ratios of the remaining lines are smoothed with a Gaussian kernel
 and split by a threshold into content and other lines.  Where a page marks
@@ -16,6 +18,9 @@ from the first to the last of them or beside one in the same container, with its
 headings and the page's h1.  There, runs of lines that are mostly links are left out,
 but not a single such line between content lines.
 
+Malformed declarations (``<![foo``, ``<!x``) are bogus comments that end at the next
+``>`` or with the page; nothing that a page holds stops a task.
+
 Edge cases: null and empty html give an empty text; a page without content lines
 gives an empty text; unclosed elements end with their container; repeated rows
 are extracted once each; null ids and urls are kept; extra columns are ignored.
@@ -51,6 +56,11 @@ WORDS = frozenset(
     "disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion "
     "related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toc toolbar topbar widget".split()
 )
+PLAIN = frozenset(
+    "area article bar block body bottom box button buttons card class cell col column container content count entry expand fixed form group head heading holder icon icons inner item "
+    "items label left line link links list main media message middle mobile module outer page panel popular post posts reader readers right row section single site slot small sticky "
+    "story text title top unit user view wrap wrapper zone".split()
+)
 CONTAINERS = frozenset("html body div section center table tbody tr td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -70,8 +80,11 @@ def _named_aside(tag: str, named: dict[str, str | None], inside: bool) -> bool:
         return False
     if tag != "article" and (named.get("role") or "").lower() in ROLES:
         return True
-    words = set(_SPLIT.split(_CAMEL.sub("-", f"{named.get('class') or ''} {named.get('id') or ''}").lower()))
-    return not WORDS.isdisjoint(words - {"header"} if inside else words)
+    for name in f"{named.get('class') or ''} {named.get('id') or ''}".split():
+        words = set(_SPLIT.split(_CAMEL.sub("-", name).lower())) - ({"header"} if inside else set())
+        if not WORDS.isdisjoint(words) and (not inside or all(len(w) < 3 or w in WORDS or w in PLAIN or w == "header" for w in words)):
+            return True
+    return False
 
 
 class _Lines(HTMLParser):
@@ -87,6 +100,19 @@ class _Lines(HTMLParser):
         self.semantic: dict[int, str] = {}
         self.containers: set[int] = set()
 
+    def parse_html_declaration(self, i):
+        """A declaration ends at the next ``>``; ``<![CDATA[`` and the like at their own mark if it is there."""
+        raw = self.rawdata
+        if raw.startswith("<!--", i):
+            return self.parse_comment(i)
+        end = raw.find("]]>", i) if raw[i : i + 9].upper() == "<![CDATA[" else -1
+        if end >= 0:
+            return end + 3
+        if raw[i : i + 9].lower() == "<!doctype" and (subset := re.compile(r"[^>\[]*\[[^\]]*\]\s*>").match(raw, i)):
+            return subset.end()  # a document type with its internal subset
+        end = raw.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text and not self.aside:
@@ -169,6 +195,8 @@ def main_text(html: str | None) -> str:
     for by_name in (True, False):  # names are ignored where they would leave nothing
         parser = _Lines(by_name)
         parser.feed(html)
+        if parser.rawdata.startswith("<!"):  # a comment or declaration that never ends
+            parser.rawdata = ""
         parser.close()
         parser.end_line()
         lines = parser.lines
