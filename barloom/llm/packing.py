@@ -44,26 +44,29 @@ def encoder(vocabulary: str = VOCABULARY):
     """text -> uint32 ids; the same vocabulary and ids as ``<vocabulary>.json``.
 
     The rank file of the vocabulary is read by the faster library; a text that it
-    refuses goes through the other one.
+    refuses goes through the other one.  A string of an added token (``<|endoftext|>``)
+    is that token, as the JSON file has it.
     """
     import base64
+    import json
 
     import tiktoken
 
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     slow = []
 
     def encode(text: str) -> np.ndarray:
         try:
-            return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            return fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
         except ValueError:
             if not slow:
                 from tokenizers import Tokenizer
 
                 slow.append(Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
-                slow[0].encode_special_tokens = True
             return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
 
     return encode
@@ -96,21 +99,27 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str
 
 
 class _Supply:
-    """How many pieces of each length are left, with sums of two lengths indexed."""
+    """How many pieces of each length are left, with sums of two and of three lengths indexed."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
         self.pairs: np.ndarray | None = None
+        self.triples: np.ndarray | None = None
 
     def pair_sums(self) -> np.ndarray:
         """pairs[s] > 0: two available lengths have the sum s."""
         if self.pairs is None:
-            there = (self.left > 0).astype(np.float32)
-            self.pairs = np.rint(np.fft.irfft(np.fft.rfft(there, 2 * len(there)) ** 2))
+            there = np.fft.rfft((self.left > 0).astype(float), 4 * len(self.left))
+            self.pairs, self.triples = (np.rint(np.fft.irfft(there**k)) for k in (2, 3))
         return self.pairs
 
+    def triple_sums(self) -> np.ndarray:
+        """triples[s] > 0: three available lengths have the sum s."""
+        self.pair_sums()
+        return self.triples
+
     def take(self, pattern: Counter) -> int:
         """Use ``pattern`` as often as supplies last; how often that is."""
         times = min(int(self.left[k]) // n for k, n in pattern.items())
@@ -141,6 +150,8 @@ def _exact(supply: _Supply, used: Counter, gap: int, most: int) -> tuple[int, ..
     sums = supply.pair_sums()
     if sums[gap] > 0 and (found := _pair(supply, used, gap, most)):
         return found
+    if supply.triple_sums()[gap] == 0:
+        return ()
     thirds = np.arange(min(most, gap - 2), 0, -1)
     for a in thirds[(supply.left[thirds] > 0) & (sums[gap - thirds] > 0)]:
         more = used + Counter([int(a)])

@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -13,9 +14,7 @@ from tests.llm.cases import documents, edge_rows, row
 
 
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(rows, packed, capacity):
@@ -54,8 +53,10 @@ def test_edges(spark):
     assert packing.pack(documents(spark, [])).collect() == []
 
 
-def test_special_strings_are_text(spark):
-    rows = [row(1, "a<|endoftext|>b")]
+def test_special_strings_are_tokens(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext|", "<|ENDOFTEXT|> <|im_start|>", " <|endoftext|>\n" * 3000]
+    assert packing.encoder()(texts[0]).tolist() == [64, 220, 50256, 275]
+    rows = [row(k, t) for k, t in enumerate(texts)]
     check(rows, packing.pack(documents(spark, rows)).collect(), 2048)
 
 
@@ -65,6 +66,16 @@ def test_cut_points():
     assert packing.cut_points(3, 4) == [0]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="<|endoftext>aB1 \n\u0301é漢", max_size=60))
+def test_ids_equal_the_unmodified_tokenizer(text):
+    for t in (text, text + "<|endoftext|>" + text):
+        assert _fast()(t).tolist() == _slow().encode(t, add_special_tokens=False).ids
+
+
+_fast, _slow = cache(packing.encoder), cache(tokenizer)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 32), max_size=80))
 def test_plan_uses_every_piece_once(lengths):
