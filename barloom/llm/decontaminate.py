@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame operations only.
 
 Tokens are maximal runs of letters and digits of the lower-cased text.  Two fixed
-masks pick four of four or five neighbouring tokens; the hash of the picked tokens
+masks pick four of five or six neighbouring tokens; the hash of the picked tokens
 ignores the others, so a substitution at an ignored position keeps the hit.  Test
 and training hashes are joined, and every hit names a diagonal: where the item
 would start in the document.  Along it, tokens are compared one by one: the pair
@@ -12,8 +12,10 @@ all positions of three mismatches in a test), so seeding loses no overlap.
 Items shorter than the window must match in one piece with fewer mismatches
 (``allowed``); items of fewer tokens than a mask are matched whole.
 
-Benchmark hashes and tokens are broadcast only up to ``MAX_BROADCAST`` rows;
-beyond that the same join is shuffled, and skewed keys are split by Spark.
+Benchmark hashes and tokens are broadcast only up to ``BROADCAST_BYTES`` each.
+Beyond that the same joins are shuffled: the seed join carries a document's key, a
+position and a hash, and only documents with hits are read again along their
+diagonals; skewed keys are split by Spark.
 
 Edge cases: null texts and texts without tokens overlap with nothing; repeated
 items of one id are compared each and the best kept; repeated documents give one
@@ -26,9 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASKS = ((0, 1, 2, 3), (0, 1, 2, 4))
+MASKS = ((0, 1, 2, 4), (0, 1, 4, 5))
 WINDOW, SUBSTITUTIONS = 13, 3
-MAX_BROADCAST = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -44,14 +46,15 @@ def _token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda x: F.xxhash64(x))
 
 
-def _seeds(array: str, at: str, masks: tuple[tuple[int, ...], ...]) -> Column:
+def _seeds(array: str, at: Column, masks: tuple[tuple[int, ...], ...]) -> Column:
     """Array of one hash per mask for the window that starts at ``at``; null where it ends too late."""
-    picked = [F.when(F.col(at) + mask[-1] < F.size(array), F.xxhash64(F.lit(k), *(F.get(array, F.col(at) + o) for o in mask))) for k, mask in enumerate(masks)]
+    picked = [F.when(at + mask[-1] < F.size(array), F.xxhash64(F.lit(k), *(F.get(array, at + o) for o in mask))) for k, mask in enumerate(masks)]
     return F.array(*picked)
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST else df
+def _fits(df: DataFrame, size: Column) -> bool:
+    """Whether the rows, of ``size`` bytes each, may be broadcast."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -62,24 +65,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     column ``text_hash`` tells documents of one id apart.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _token_hashes(F.col("text")).alias("item")).where("size(item) > 0")
-    shortest = len(MASKS[0])
+    shortest = min(mask[-1] for mask in MASKS) + 1
     short = [r[0] for r in items.where(F.size("item") < shortest).select(F.size("item")).distinct().collect()]  # fewer values than a mask has tokens
     masks = (*MASKS, *(tuple(range(n)) for n in sorted(short)))
     items = items.withColumn("item_key", F.xxhash64("item_id", "item"))
     placed = items.select("item_id", "item_key", F.size("item").alias("size"), "item", F.posexplode("item").alias("at", "first"))
-    hashes = placed.select("item_key", "size", "at", F.posexplode(_seeds("item", "at", masks)).alias("mask", "seed")).where("seed is not null")
+    hashes = placed.select("item_key", "size", "at", F.posexplode(_seeds("item", F.col("at"), masks)).alias("mask", "seed")).where("seed is not null")
     own = F.array(*(F.lit(0 if k < len(MASKS) else mask[-1] + 1) for k, mask in enumerate(masks)))
     hashes = hashes.where((F.get(own, F.col("mask")) == 0) | (F.get(own, F.col("mask")) == F.col("size"))).select("seed", "item_key", "size", "at").distinct()
-    hashes = _bounded(hashes, hashes.count())
+    small = _fits(hashes, F.lit(64))
     known = items.select("item_key", "item_id", "item").dropDuplicates(["item_key"])
-    known = _bounded(known, known.count())
+    known = F.broadcast(known) if _fits(known, 64 + 8 * F.size("item")) else known
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), _token_hashes(F.col("text")).alias("doc"))
-    windows = read.select("doc_id", "text_hash", "doc", F.posexplode("doc").alias("i", "first")).select("doc_id", "text_hash", "doc", "i", F.explode(_seeds("doc", "i", masks)).alias("seed"))
-    hits = windows.where("seed is not null").join(hashes, "seed").withColumn("start", F.col("i") - F.col("at"))
     cut_off = F.greatest(-F.col("start"), F.lit(0))
     aligned = F.slice("doc", F.greatest("start", F.lit(0)) + 1, F.col("size") - cut_off)
-    lines = hits.select("doc_id", "text_hash", "item_key", "start", aligned.alias("aligned")).groupBy("doc_id", "text_hash", "item_key", "start").agg(F.first("aligned").alias("aligned"))
+    line = ["doc_id", "text_hash", "item_key", "start", "size"]
+    placed = read.select("doc_id", "text_hash", "doc", F.posexplode("doc").alias("i", "first"))
+    windows = placed.select("doc_id", "text_hash", "doc", "i", F.explode(_seeds("doc", F.col("i"), masks)).alias("seed")).where("seed is not null")
+    if small:
+        hits = windows.join(F.broadcast(hashes), "seed").withColumn("start", F.col("i") - F.col("at"))
+        lines = hits.select(*line, aligned.alias("aligned")).groupBy(line).agg(F.first("aligned").alias("aligned"))
+    else:
+        hits = windows.select("doc_id", "text_hash", "i", "seed").join(hashes, "seed").select("doc_id", "text_hash", "item_key", (F.col("i") - F.col("at")).alias("start"), "size").distinct()
+        whole = read.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "doc").dropDuplicates(["d", "h"])
+        lines = hits.join(whole, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select(*line, aligned.alias("aligned"))
 
     compared = lines.join(known, "item_key").withColumn("cut_off", F.greatest(-F.col("start"), F.lit(0)))
     equal = F.transform("item", lambda x, k: F.when(F.get("aligned", k - F.col("cut_off")).eqNullSafe(x) & (k >= F.col("cut_off")), 1).otherwise(0))

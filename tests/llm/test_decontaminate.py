@@ -45,7 +45,8 @@ def rows_of(df):
 
 
 def test_masks_find_every_allowed_window():
-    for size in range(4, 14):
+    assert all(mask != tuple(range(mask[-1] + 1)) for mask in d.MASKS)  # every mask skips a position
+    for size in range(min(mask[-1] for mask in d.MASKS) + 1, 14):
         w, least = need(size)
         for bad in combinations(range(w), w - least):
             assert any(all(s + o not in bad for o in mask) for mask in d.MASKS for s in range(w - mask[-1])), (size, bad)
@@ -70,10 +71,13 @@ def test_equals_brute_force(spark):
 
 
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
-    docs, items = documents(spark, [row(1, "p q r s t u v w"), row(2, "q r s t")]), spark_items(spark, [(1, "p q r s t u v w")])
+    texts = ["p q r s t u v w", "q r s t", "x p q r s zz u v w p q r s t u v w", "a b c d", None, "p q r s t u v w"]
+    docs = documents(spark, [row(k if k < 5 else None, t) for k, t in enumerate(texts)] + [row(0, texts[0])])
+    items = spark_items(spark, [(1, "p q r s t u v w"), (2, "a b c d"), (3, "b")])
     want = rows_of(d.overlaps(docs, items))
-    monkeypatch.setattr(d, "MAX_BROADCAST", 0)
-    assert rows_of(d.overlaps(docs, items)) == want and len(want) == 1
+    monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
+    shuffled = d.overlaps(docs, items)
+    assert rows_of(shuffled) == want and {(r[0], r[1]) for r in want} == {(0, 1), (2, 1), (3, 2), (3, 3), (None, 1)}
 
 
 @settings(max_examples=8, deadline=None)
