@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[tuple[SparkSession, str]] = []
+#: A key with more than this part of all rows is joined by broadcast; so few keys can have as many.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +29,17 @@ def small_batches(spark: SparkSession, rows: int = 256, megabytes: int = 16) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one if everything runs in this one process;
+    a cluster, whose machines would not see it, is refused.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     kept = getattr(sc, "_barloom_folder", None)
     if kept is None:
         kept = sc._barloom_folder = "file://" + tempfile.mkdtemp(prefix="barloom-")
@@ -47,7 +56,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["cut_path"] = path
+    return table
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -58,11 +69,10 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def drop_cut(df: DataFrame) -> None:
     """Remove the files of a finished ``cut`` table."""
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        found = next((x for x in _written if x[1].split(":", 1)[-1].lstrip("/") == root.split(":", 1)[-1].lstrip("/")), None)
-        if found:
-            _written.remove(found)
-            _remove(*found)
+    found = next((x for x in _written if x[1] == df.__dict__.get("cut_path")), None)
+    if found:
+        _written.remove(found)
+        _remove(*found)
 
 
 @atexit.register
@@ -77,3 +87,15 @@ def _clean() -> None:
 def crc_fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text modulo ``folds``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def hot_join(rows: DataFrame, lookup: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, which has unique keys and in ``n`` the number of rows of each.
+
+    Keys with more than ``total / HOT`` rows, fewer than HOT of them at any size, are
+    broadcast, so their rows stay where they are; the others are shuffled.
+    """
+    some = lookup.where((F.col("n") > 0) & F.col("n").isNotNull())
+    hot, cold = some.where(F.col("n") * HOT > total).drop("n"), some.where(F.col("n") * HOT <= total).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))

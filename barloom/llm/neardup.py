@@ -8,7 +8,7 @@ coordinates.  A gathered run of the second permutation is one slice of memory,
 which makes the signature a gather and a column minimum.
 
 Documents of equal sets form a class, known by a 128-bit digest of the sorted
-set; classes are what is banded and compared.  In every bucket each class is
+set and named by the number of one of its rows; classes are what is banded and compared.  In every bucket each class is
 verified against the bucket's smallest class, its leader; after the components
 of those links are known, every class that is not in its leader's component is
 verified against all classes that have the same leader.  That is done by tiles,
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, small_batches
+from barloom.llm.common import cut, hot_join, small_batches
 from barloom.llm.components import components
 from barloom.llm.hashing import RADIX, mixed, run_hashes, split_words
 
@@ -76,25 +76,26 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-SIGNED = "doc_id long, text_hash long, n_shingles long, class long, bands array<long>"
+SIGNED = "doc_id long, text_hash long, row long, n_shingles long, high long, low long, bands array<long>"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """One row per document: size and class of its set, and its buckets (null for an empty set)."""
+    """One row per document: its number, the size and digest of its set, and its buckets (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes, bands = [], [], []
-            for text in batch.column(2):
+            sizes, digests, bands = [], [], []
+            for text in batch.column(3):
                 hashes = shingles(text.as_py())
                 sizes.append(len(hashes))
                 some = len(hashes) > 0
-                classes.append(int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True) if some else None)
+                digests.append(np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), "<i8").tolist() if some else [None, None])
                 bands.append(signature(hashes) if some else None)
-            columns = [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "class", "bands"])
+            columns = [*batch.columns[:3], pa.array(sizes, pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "row", "n_shingles", "high", "low", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNED)
+    given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), "text")
+    return given.mapInArrow(run, SIGNED)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -179,13 +180,22 @@ def _rest(near: DataFrame, roots: DataFrame, texts: DataFrame, block: int = 400)
     return dealt.mapInArrow(_blocks(), "a long, b long")
 
 
+def _key(doc_id: str, text_hash: str) -> list:
+    """Columns that name a document's id and text, none of them null."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("d"), F.col(doc_id).isNull().alias("none"), F.col(text_hash).alias("h")]
+
+
 def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, group (null: in none) and component_id, one row per row of ``docs``."""
+    """doc_id, text_hash, n_shingles, component_id and first, one row per row of ``docs``.
+
+    ``first`` holds for the rows of the one id and text that stands for the group
+    (the smallest id, null being the largest) and is null without words.
+    """
     small_batches(docs.sparkSession)
     every = cut(signed(docs))
     some = every.where("n_shingles > 0")
-    classes = some.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"), F.first("bands").alias("any_bands"))
-    classes = classes.select("class", "n", "one", "doc", F.coalesce("bands", "any_bands").alias("bands"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
+    classes = some.groupBy("high", "low").agg(F.min("row").alias("class"), F.min("n_shingles").alias("n"), one, F.count("*").alias("rows"), F.first("bands").alias("bands"))
     rows = classes.select("class", "n", F.explode("bands").alias("bucket"))
     leaders = rows.groupBy("bucket").agg(F.min("class").alias("leader"), F.max("class").alias("last"), F.min_by("n", "class").alias("leader_n")).where("leader < last").drop("last")
     members = cut(rows.join(leaders, "bucket"))  # only buckets of two classes or more
@@ -195,21 +205,24 @@ def grouped(docs: DataFrame) -> DataFrame:
 
     near = members.where("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b"), fits("n", "leader_n").alias("fits")).distinct()
     near = cut(near)
-    wanted = members.select("class").distinct().join(classes.select("class", "one.doc_id", "one.text_hash"), "class")
-    content = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-    texts = wanted.join(content, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash"))).select("class", "text")
-    texts = cut(texts)
+    wanted = members.select("class").distinct().join(classes.select("class", *_key("one.doc_id", "one.text_hash")), "class")
+    content = docs.withColumn("__h", F.xxhash64("text")).select(*_key("doc_id", "__h"), "text").groupBy("d", "none", "h").agg(F.first("text").alias("text"))
+    texts = cut(wanted.join(content, ["d", "none", "h"]).select("class", "text"))
     edges = cut(_verified(near.where("fits").select("a", "b"), texts).where("linked").select("a", "b"))
     roots = components(edges)
     more = cut(_rest(near, roots, texts))
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
-    own = classes.select("class", "doc").join(roots, F.col("class") == F.col("node"), "left").select("class", "doc", F.coalesce("root", "class").alias("root"))
-    smallest = own.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = own.join(smallest, "root").select(F.col("class").alias("c"), F.col("root").alias("group"), "component_id")
-    out = every.select("doc_id", "text_hash", "n_shingles", "class").join(named, F.col("class") == F.col("c"), "left")
-    component = F.when(F.col("group").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", "group", component.alias("component_id"))
+    own = classes.select("class", "high", "low", "one", "rows").join(roots, F.col("class") == F.col("node"), "left")
+    own = cut(own.select("high", "low", "one", "rows", F.coalesce("root", "class").alias("root")))
+    total = own.agg(F.sum("rows")).first()[0] or 0
+    smallest = own.groupBy("root").agg(F.min("one").alias("first"), F.count("*").alias("n"))
+    named = hot_join(own, smallest, ["root"], total).select("high", "low", "first", F.col("rows").alias("n"))
+    placed = hot_join(some.drop("bands"), named, ["high", "low"], total)
+    is_first = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("text_hash") == F.col("first.text_hash"))
+    found = placed.select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), is_first.alias("first"))
+    empty = every.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("boolean").alias("first"))
+    return found.unionByName(empty)
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -225,17 +238,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     that very id and text be repeated, one of its rows stays.  Documents without
     words are in no group and stay.
     """
-    marked = cut(grouped(docs))
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one")
-    found = marked.where("group is not null").groupBy("group").agg(one)
-    leave = marked.where("group is not null").select(F.col("doc_id").alias("i"), F.col("text_hash").alias("x"), F.col("group").alias("g"))
-    first = found.select("group", F.col("one.doc_id").alias("d"), F.col("one.text_hash").alias("h"))
-    is_first = F.col("i").eqNullSafe(F.col("d")) & (F.col("x") == F.col("h"))
-    leave = leave.join(first, F.col("g") == F.col("group"))
-    gone = leave.where(~is_first).select(F.col("i").alias("d"), F.col("x").alias("h")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
+    marked = cut(grouped(docs).where("first is not null").select("doc_id", "text_hash", "first"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.when(~F.col("none"), F.col("d"))) & (F.xxhash64("text") == F.col("h"))
+    gone = marked.where("not first").select(*_key("doc_id", "text_hash")).distinct()
     left = docs.join(gone, same, "left_anti")
-    repeated = leave.where(is_first).groupBy("d", "h").agg(F.count("*").alias("n")).where("n > 1").select("d", "h")
+    repeated = marked.where("first").groupBy(*_key("doc_id", "text_hash")).count().where("count > 1").drop("count")
     if repeated.isEmpty():
         return left
     # the same id and text more than once: of those rows, and only those, one each

@@ -91,6 +91,17 @@ def test_keep_one(spark):
     assert neardup.keep_one(documents(spark, [])).count() == 0 and neardup.group(documents(spark, [])).count() == 0
 
 
+def test_many_repeated_rows(spark):
+    """Thousands of rows of one id and text, in two near groups, are one class each and no pair per row."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join([*base, "end"])]
+    rows = [row(1 + k % 2, texts[k % 2]) for k in range(10_000)] + [row(None, texts[0])] * 50 + [row(9, "")] * 2000
+    got = neardup.group(documents(spark, rows)).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(1, 1, True, 5000), (2, 1, False, 5000), (None, 1, True, 50), (9, 9, True, 2000)}
+    kept = neardup.keep_one(documents(spark, rows)).groupBy("doc_id").count().collect()
+    assert {tuple(r) for r in kept} == {(1, 1), (9, 2000)}
+
+
 def test_shingles_of_spans(monkeypatch):
     text = " ".join(f"a{k % 50}" for k in range(700))
     whole = neardup.shingles(text)
