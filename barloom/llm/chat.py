@@ -15,7 +15,8 @@ The loss mask covers the texts of assistant turns, as spans into the output.
 Edge cases: null role and null text are empty texts; a message whose parent is
 missing from its tree is a root; turns of one number follow each other by role
 and text (``chain``); a cycle of messages has no leaf and gives no conversation,
-and one that leads into a cycle is refused with an error; an empty table gives no rows; extra columns are ignored.
+nor does a path that comes from a cycle (the other paths of its tree are written);
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,10 +67,12 @@ def paths(messages: DataFrame) -> DataFrame:
     parents = jump.select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
     leaves = keys.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("u")), "left_anti")
     found = cut(leaves.select("tree", F.col("message").alias("leaf"), "message", F.lit(0).cast("long").alias("back")))
-    messages_in_all, far = keys.count(), 1
+    largest, far = keys.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 1
     while not jump.isEmpty():
-        if far > messages_in_all:
-            raise ValueError("a message is its own ancestor")
+        if far > largest:  # so far above lies no ancestor unless on a cycle
+            endless = jump.select(F.col("tree").alias("t"), F.col("message").alias("m")).distinct()
+            found = found.join(endless, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("m")), "left_anti")
+            break
         # every message found so far is followed by the ancestor `far` steps above it, where there is one
         step = jump.select(F.col("tree").alias("t"), F.col("message").alias("m"), "up", "far")
         above = found.join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m"))).select("tree", "leaf", F.col("up").alias("message"), (F.col("back") + F.col("far")).alias("back"))
@@ -112,7 +115,7 @@ def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """What a reader of the output finds: ``roles``, ``texts`` and ``losses`` (null where not under the mask)."""
     pieces = F.filter(F.split("formatted", r"(?=<\|im_start\|>)"), lambda x: x != "")
-    head = r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*)<\|im_end\|>\n$"
+    head = r"(?s)^<\|im_start\|>([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n(.*)<\|im_end\|>\n$"
     return formatted.withColumn("pieces", pieces).select(
         "*",
         F.transform("pieces", lambda x: unescaped(F.regexp_extract(x, head, 1))).alias("roles"),

@@ -65,8 +65,17 @@ def test_paths_format_and_mask(spark):
 
 def test_cycles_and_empty(spark):
     assert chat.format_trees(spark.createDataFrame([], SCHEMA)).count() == 0
-    with pytest.raises(ValueError):
-        chat.format_trees(spark.createDataFrame([(1, 1, 2, "user", "a", 0.0, "", ""), (1, 2, 1, "user", "b", 0.0, "", ""), (1, 3, 1, "user", "c", 0.0, "", "")], SCHEMA)).count()
+    cycle = [(1, 1, 2, "user", "a", 0.0, "", ""), (1, 2, 1, "user", "b", 0.0, "", ""), (1, 3, 1, "user", "c", 0.0, "", ""), (1, 6, 6, "user", "own", 0.0, "", "")]
+    sound = [(1, 4, None, "user", "d", 0.0, "", ""), (1, 5, 4, "assistant", "e", 0.0, "", ""), (2, 1, None, "user", "f", 0.0, "", "")]
+    got = chat.format_trees(spark.createDataFrame(cycle + sound, SCHEMA)).collect()
+    assert {(r.tree, r.leaf, r.n_turns) for r in got} == {(1, 5, 2), (2, 1, 1)}
+
+
+def test_very_long_roles_and_texts(spark):
+    turns = [("r" * 1_000_000, "t"), ("\\\n<|" * 200_000, "\n\\" * 300_000), ("assistant", "<|im_end|>" * 100_000)]
+    rows = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    (got,) = chat.read_back(chat.format_trees(chat.chain(rows))).collect()
+    assert list(zip(got.roles, got.texts)) == turns and got.losses[2] == turns[2][1]
 
 
 @settings(max_examples=10, deadline=None)
