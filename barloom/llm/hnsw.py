@@ -26,6 +26,7 @@ class Graph:
         self.level = levels_of(n, seed)
         self.links = [np.full((n, BASE if k == 0 else UPPER), -1, np.int32) for k in range(int(self.level.max(initial=0)) + 1)]
         self.beam = BUILD_BEAM
+        self.exact = False
         self.into = np.zeros(0, np.int32)
         order = np.arange(n)
         for a in range(0, n, BATCH):
@@ -89,6 +90,8 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         q = np.ascontiguousarray(q, np.float32)
+        if self.exact:
+            return np.broadcast_to(np.arange(len(self.x), dtype=np.int32), (len(q), len(self.x))), q @ self.x.T
         level, tops = self._top(self.into)
         start = self._best(np.broadcast_to(tops, (len(q), len(tops))), q @ self.x[tops].T, WIDTH)
         for k in range(level, 0, -1):
@@ -190,22 +193,25 @@ class Graph:
         return float((ids == np.concatenate([at, at])[:, None]).any(axis=1).mean())
 
     def widen(self, cosine: float, recall: float) -> None:
-        """Double the beam until the audit passes or the beam holds every node."""
-        while self.audit(cosine) < recall and self.beam < len(self.x):
-            self.beam *= 2
+        """Double the beam until the audit passes; if none passes, every search looks at all nodes."""
+        while self.audit(cosine) < recall:
+            if self.beam >= len(self.x):
+                self.exact = True
+                break
+            self.beam = min(2 * self.beam, max(1, len(self.x)))
 
     # -- bytes ------------------------------------------------------------
 
     def dump(self, **more: np.ndarray) -> bytes:
         out = io.BytesIO()
-        np.savez(out, x=self.x, level=self.level, beam=self.beam, **{f"links{k}": v for k, v in enumerate(self.links)}, **more)
+        np.savez(out, x=self.x, level=self.level, beam=self.beam, exact=self.exact, **{f"links{k}": v for k, v in enumerate(self.links)}, **more)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> tuple[Graph, dict[str, np.ndarray]]:
         got = np.load(io.BytesIO(data))
         graph = cls.__new__(cls)
-        graph.x, graph.level, graph.beam = got["x"], got["level"], int(got["beam"])
+        graph.x, graph.level, graph.beam, graph.exact = got["x"], got["level"], int(got["beam"]), bool(got["exact"])
         graph.links = [got[f"links{k}"] for k in range(sum(name.startswith("links") for name in got.files))]
         graph.into = np.arange(len(graph.x), dtype=np.int32)
-        return graph, {k: got[k] for k in got.files if k not in ("x", "level", "beam") and not k.startswith("links")}
+        return graph, {k: got[k] for k in got.files if k not in ("x", "level", "beam", "exact") and not k.startswith("links")}

@@ -1,8 +1,10 @@
 """Embedding near-duplicates: one navigable graph per shard, every shard queried.
 
-Vectors of equal bytes form a class.  Classes are dealt to shards by hash; one
+Vectors of equal bytes form a class, known by a 128-bit digest and named by the number
+of one of its rows.  Double components are scaled by the power of two that brings the
+largest to about 1, which changes no cosine, so squares neither overflow nor vanish.  Classes are dealt to shards by hash; one
 task builds one shard's graph (``hnsw``), audits its recall on planted neighbours
-turned away to the threshold cosine, and widens the beam until the audit passes.
+turned away to the threshold cosine, and widens the beam until the audit passes; where no beam passes, the shard is scanned exactly.
 Every class then queries every shard, in blocks: a task holds one graph and one
 block of queries.  A query with more than half a beam of links is asked again
 with a beam four times as wide, until the links fit.  Candidates near the
@@ -10,8 +12,9 @@ threshold are verified with their cosine in double precision.  A task returns a
 count per query and the edges of its own union-find forest, never a row per pair;
 components unite those forests.
 
-Shards number at least ``SHARDS`` and hold at most about ``SHARD_ROWS`` vectors,
-query blocks at most about ``BLOCK_ROWS``, so memory per task is bounded.  A link
+Shards number at least ``SHARDS`` and hold at most about ``SHARD_ROWS`` vectors or
+``SHARD_BYTES`` of them, query blocks at most about ``BLOCK_ROWS`` or ``BLOCK_BYTES``,
+whichever is less, so memory per task is bounded at any dimension.  A link
 is counted at the query that found it.
 
 Edge cases: null vectors, null or non-finite components and zero vectors are
@@ -31,18 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import cut, small_batches
+from barloom.llm.common import cut, hot_join, small_batches
 from barloom.llm.components import components
 from barloom.llm.hnsw import Graph
 
 COSINE, RECALL = 0.95, 0.995
 SHARDS, SHARD_ROWS, BLOCK_ROWS = 6, 65_536, 131_072
+#: A vector counts with 12 bytes a component: it is held in double and in single precision.
+SHARD_BYTES, BLOCK_BYTES = 128 << 20, 128 << 20
 SLACK = 1e-4
 PART = 1 << 22
 
 
 def _packed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, class, dim, vec): raw bytes of usable vectors, null class for the others."""
+    """(vec_id, row, digest, dim, vec): bytes of usable vectors; null digest, dim and vec for the others."""
     single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
     kind = "<f4" if single else "<f8"
 
@@ -54,13 +59,16 @@ def _packed(vectors: DataFrame) -> DataFrame:
                 if values is None or values.null_count or not len(values):
                     out.append(None)
                     continue
-                x = values.to_numpy(zero_copy_only=False).astype(kind) + 0.0  # -0 becomes 0
-                length = np.linalg.norm(x.astype(float))
-                out.append(x.tobytes() if np.isfinite(length) and length > 0 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
+                x = values.to_numpy(zero_copy_only=False).astype(kind)
+                top = np.abs(x).max()
+                usable = np.isfinite(top) and top > 0
+                if usable and not single:
+                    x = np.ldexp(x, -np.frexp(top)[1])
+                out.append((x + 0.0).tobytes() if usable else None)  # -0 becomes 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["vec_id", "row", "vec"])
 
-    given = vectors.select(F.col("vec_id").cast("long"), F.col("embedding")).mapInArrow(run, "vec_id long, vec binary")
-    return given.select("vec_id", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")).alias("class"), (F.length("vec") / int(kind[-1])).cast("int").alias("dim"), "vec")
+    given = vectors.select(F.col("vec_id").cast("long"), F.col("embedding"), F.monotonically_increasing_id().alias("row")).mapInArrow(run, "vec_id long, row long, vec binary")
+    return given.select("vec_id", "row", F.md5("vec").alias("digest"), (F.length("vec") / int(kind[-1])).cast("int").alias("dim"), "vec")
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -156,9 +164,10 @@ def link(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding)``."""
     small_batches(vectors.sparkSession, rows=4096)
     every = cut(_packed(vectors))
-    classes = cut(every.where("class is not null").groupBy("class", "dim").agg(F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("vec_id").alias("low")))
-    total = classes.count()
-    shards, blocks = max(SHARDS, -(-total // SHARD_ROWS)), max(2, -(-total // BLOCK_ROWS))
+    classes = cut(every.where("vec is not null").groupBy("digest", "dim").agg(F.min("row").alias("class"), F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("vec_id").alias("low")))
+    total, dim = classes.agg(F.count("*"), F.max("dim")).first()
+    within = lambda rows, size: max(1, min(rows, size // (12 * (dim or 1))))
+    shards, blocks = max(SHARDS, -(-total // within(SHARD_ROWS, SHARD_BYTES))), max(2, -(-total // within(BLOCK_ROWS, BLOCK_BYTES)))
     number = lambda name, n: F.pmod(F.xxhash64("class", F.lit(name)), F.lit(n)).cast("int")
     dealt = classes.withColumn("shard", number("shard", shards))
     graphs = cut(dealt.groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, part int, data binary"))
@@ -169,10 +178,12 @@ def link(vectors: DataFrame) -> DataFrame:
     found = cut(queries.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(_search, LINKS))
     links = found.where("n is not null").groupBy("class").agg(F.sum("n").alias("links"))
     roots = components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
-    own = classes.select("class", "low", "n").join(links, "class", "left").join(roots, F.col("class") == F.col("node"), "left")
-    own = own.select("class", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
-    least = own.groupBy("root").agg(F.min("low").alias("component"))
-    named = own.join(least, "root").select(F.col("class").alias("c"), "n_links", "component")
-    out = every.select("vec_id", "class").join(named, F.col("class") == F.col("c"), "left")
-    component = F.when(F.col("class").isNotNull(), F.col("component")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    own = classes.select("class", "digest", "dim", "low", F.col("n").alias("rows")).join(links, "class", "left").join(roots, F.col("class") == F.col("node"), "left")
+    own = cut(own.select("digest", "dim", "low", "rows", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("root", "class").alias("root")))
+    rows = own.agg(F.sum("rows")).first()[0] or 0
+    least = own.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    named = hot_join(own, least, ["root"], rows).select("digest", "dim", "n_links", "component_id", F.col("rows").alias("n"))
+    found = hot_join(every.where("vec is not null").select("vec_id", "digest", "dim"), named, ["digest", "dim"], rows)
+    alone = every.where("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = found.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

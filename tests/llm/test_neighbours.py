@@ -68,3 +68,27 @@ def test_tiny_graphs():
         graph = Graph(np.eye(4, dtype=np.float32)[:n])
         ids, sims = graph.search(np.eye(4, dtype=np.float32)[:n], 64)
         assert all(k in row for k, row in enumerate(ids.tolist()))
+
+
+def test_very_large_and_very_small_doubles(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [1e300, -1e300]), (6, [5e-324, -5e-324]), (7, [1e308, 0.0]), (8, [1.0, 1e-300]), (9, [-0.0, 0.0])]
+    got = neighbours.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 1, 5), (6, 1, 5), (7, 1, 7), (8, 1, 7), (9, 0, 9)}
+
+
+def test_shards_bounded_in_bytes_and_exact_scan_where_no_audit_passes(spark, monkeypatch):
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(made())]
+    monkeypatch.setattr(neighbours, "SHARD_BYTES", 12 * 16 * 40)
+    monkeypatch.setattr(neighbours, "RECALL", 1.1)
+    got = neighbours.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))
+
+
+def test_graph_that_fails_its_audit_is_scanned():
+    x = np.eye(8, dtype=np.float32)
+    graph = Graph(x)
+    graph.links[0][:] = -1  # nobody is reachable but the entry points
+    graph.into = graph.into[:1]
+    graph.widen(0.95, 0.995)
+    again, _ = Graph.load(graph.dump())
+    assert graph.exact and again.exact and (again.search(x, 4)[1].argmax(axis=1) == np.arange(8)).all()
