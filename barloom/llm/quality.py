@@ -6,9 +6,10 @@ Labels exist per document only, so in training every line carries its document's
 label.  The document score is the mean marginal probability of "good" from the
 forward-backward pass, weighted by line length.
 
-Training uses at most ``TRAIN_ROWS`` labelled rows (those of smallest id hash)
-and at most ``TRAIN_LINES`` lines of each, a bounded sample; scoring reads whole
-texts.  Forward and backward steps run over all documents of a batch at once.
+Training uses a bounded sample: at most ``TRAIN_ROWS`` labelled rows (those of
+smallest id hash; of rows of one id, the text of smallest hash).  Their texts are read
+whole; of one with more than ``TRAIN_LINES`` lines, features of ``STRETCHES`` runs of
+lines, spread over all of it, are kept.  Scoring reads whole texts.  Forward and backward steps run over all documents of a batch at once.
 
 Edge cases: null and empty texts are one empty line and get its score; without
 training rows every score is 0.5; repeated rows are scored once each; a null id
@@ -17,6 +18,7 @@ is kept; extra columns are ignored by ``score`` and kept by ``keep_good``.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 from barloom.llm.common import small_batches
 
 TRAIN_ROWS = 4000
-TRAIN_LINES = 64
+TRAIN_LINES, STRETCHES = 512, 16
 THRESHOLD = 0.3
 NEIGHBOUR = ("symbols", "upper", "repeats", "same_words")
 OWN = ("length", "symbols", "punctuation", "exclaims", "upper", "digits", "repeats", "same_words", "word_length", "ends", "seen")
 STRETCHED, STRETCH = ("symbols", "exclaims", "upper", "digits", "repeats"), 6
 WIDTH = 1 + len(OWN) + 2 * len(NEIGHBOUR)
 
+#: Scripts other than Latin begin at _LATIN; from _MARKS on the table holds marks and symbols.
+_LATIN, _MARKS = 0x300, 0x2000
 _ORDINARY = ".,;:'\"()-?’¿¡"
 
 
@@ -51,11 +55,29 @@ def _classes() -> np.ndarray:
 _TABLE = _classes()
 
 
+def _kind(c: str) -> int:
+    """The class of a character of any script."""
+    group = unicodedata.category(c)
+    if group[0] in "LM":
+        return int(group == "Lu")
+    return {"N": 2, "Z": 6, "P": 4 if c == "！" else 3}.get(group[0], 5)
+
+
+def kinds_of(codes: np.ndarray) -> np.ndarray:
+    """Class of every code point; those beyond the Latin table are looked up once each."""
+    kinds = _TABLE[np.minimum(codes, len(_TABLE) - 1)]
+    far = (codes >= _LATIN) & ((codes < _MARKS) | (codes >= len(_TABLE)))
+    if far.any():
+        seen, at = np.unique(codes[far], return_inverse=True)
+        kinds[far] = np.array([_kind(chr(c)) for c in seen], np.int8)[at]
+    return kinds
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(lines x WIDTH) features and the length of each line in code points."""
     lines = (text or "").split("\n")
     joined = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = _TABLE[np.minimum(joined, len(_TABLE) - 1)]
+    kinds = kinds_of(joined)
     ends = np.cumsum([len(x) + 1 for x in lines])
     starts = np.concatenate([[0], ends[:-1]])
     sizes = ends - starts - 1
@@ -146,19 +168,28 @@ def train(rows: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0
     return theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
 
 
+def stretches(f: np.ndarray) -> list[np.ndarray]:
+    """The lines of a text, or runs of its lines spread evenly over it."""
+    if len(f) <= TRAIN_LINES:
+        return [f]
+    size = TRAIN_LINES // STRETCHES
+    return [f[a : a + size] for a in np.linspace(0, len(f) - size, STRETCHES).astype(int)]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Train on ``labels(doc_id, quality)``; at most TRAIN_ROWS rows, TRAIN_LINES lines each, reach the driver."""
+    """Train on ``labels(doc_id, quality)``; of at most TRAIN_ROWS rows, TRAIN_LINES lines each reach the driver."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t)[0][:TRAIN_LINES] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f.ravel() for f in found], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["f", "quality", "doc_id"])
+            found = [(k, s.ravel()) for k, t in enumerate(batch.column(0).to_pylist()) for s in stretches(features(t)[0])]
+            at = pa.array([k for k, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([f for _, f in found], pa.list_(pa.float64())), batch.column(1).take(at), batch.column(2).take(at)], ["f", "quality", "doc_id"])
 
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("l"), F.col("quality").cast("int").alias("quality"))
-    sample = known.orderBy(F.xxhash64("l"), "l", "quality").limit(TRAIN_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l")).select("text", "quality", F.col("doc_id").cast("long").alias("doc_id"))
-    taken = rows.mapInArrow(run, "f array<double>, quality int, doc_id long").limit(2 * TRAIN_ROWS).toArrow().to_pylist()
+    sample = known.distinct().orderBy(F.xxhash64("l"), "l", "quality").limit(TRAIN_ROWS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l")).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "quality").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    taken = rows.select("text", "quality", "doc_id").mapInArrow(run, "f array<double>, quality int, doc_id long").toArrow().to_pylist()
     taken.sort(key=lambda r: (r["doc_id"], r["quality"], r["f"]))
     return train([(np.array(r["f"]).reshape(-1, WIDTH), r["quality"]) for r in taken])
 

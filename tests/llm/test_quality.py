@@ -54,3 +54,58 @@ def test_edges(spark):
     assert {r.score for r in quality.score(docs, untrained).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).count() == 0
     assert quality.fit(documents(spark, [row(1, "a")]).limit(0), labels)[0].any() == False  # noqa: E712
+
+
+def test_letters_of_other_scripts():
+    at = {name: 1 + k for k, name in enumerate(quality.OWN)}
+    for text in ("这是一个普通的句子。", "これは普通の文です。", "यह एक साधारण वाक्य है।", "هذه جملة عادية،", "이것은 평범한 문장입니다.", "𐐨𐐩 𠀀𠀁"):
+        f, _ = quality.features(text)
+        assert f[0, at["symbols"]] == 0 and f[0, at["exclaims"]] == 0, text
+    assert quality.features("😀😀 ★★ ＋＋")[0][0, at["symbols"]] == 1
+    assert quality.features("٣٤٥ ３４")[0][0, at["digits"]] == 1 and quality.features("好！")[0][0, at["exclaims"]] == 1
+
+
+def test_training_reads_all_of_a_long_text(monkeypatch):
+    f = np.arange(5000.0)[:, None]
+    runs = quality.stretches(f)
+    assert sum(map(len, runs)) == quality.TRAIN_LINES and runs[0][0] == 0 and runs[-1][-1] == 4999
+    assert len(quality.stretches(f[:512])) == 1
+
+
+def brute_score(text, weights, pairs):
+    """The marginals of one text line by line with plain sums of products."""
+    f, sizes = quality.features(text)
+    unary = [(1.0, float(np.exp(x @ weights))) for x in f]
+    step = np.exp(pairs)
+    ahead, back = [unary[0]], [(1.0, 1.0)]
+    norm = lambda v: tuple(x / sum(v) for x in v)
+    for u in unary[1:]:
+        last = ahead[-1]
+        ahead.append(norm([u[y] * sum(last[z] * step[z, y] for z in (0, 1)) for y in (0, 1)]))
+    for u in unary[:0:-1]:
+        after = back[0]
+        back.insert(0, norm([sum(step[y, z] * u[z] * after[z] for z in (0, 1)) for y in (0, 1)]))
+    good = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, back)]
+    return sum(g * (n + 1e-3) for g, n in zip(good, sizes)) / sum(n + 1e-3 for n in sizes)
+
+
+def test_whole_query_against_plain_training_and_scoring(spark, sf_dir):
+    """The query's scores are those of a model fitted on the driver to the rows it may learn from."""
+    import zlib
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    learned = sorted((i, labels[i], t) for i, t in docs if i in labels and fold(i))
+    weights, pairs = quality.train([(s, y) for _, y, t in learned for s in quality.stretches(quality.features(t)[0])])
+    got = {r.doc_id: r for r in queries.QUERIES["op10_line_crf_quality"](spark, sf_dir).collect()}
+    for i, text in docs:
+        assert abs(got[i].score - brute_score(text, weights, pairs)) < 1e-6 and got[i].held_out == (fold(i) == 0)
+        assert got[i].predicted == int(got[i].score >= 0.3)
+
+
+def test_repeated_ids_teach_once_and_always_the_same(spark):
+    docs = documents(spark, [row(1, f"text number {k}") for k in range(300)] + [row(2, "$$$ !!!")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+    one, two = quality.fit(docs, labels), quality.fit(docs.repartition(7), labels)
+    assert np.allclose(one[0], two[0]) and np.allclose(one[1], two[1])
