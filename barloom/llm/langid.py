@@ -5,7 +5,7 @@ Features are all 1-, 2- and 3-grams of the lower-cased text, hashed into
 task in numpy and summed in Spark; the model is a (languages x BUCKETS) matrix
 of log probabilities, whose size depends on neither corpus nor text lengths, and
 which is broadcast (a column of more than ``MOST_LANGUAGES`` languages is refused).  Scoring adds the matrix rows of a text's n-grams, for a
-batch of texts at once.
+batch of texts at once, at most about ``CELLS`` of its numbers at a time.
 
 Long texts are handled in segments of ``SEGMENT`` characters that overlap by the
 two characters an n-gram looks back, so whole texts are used in bounded memory.
@@ -31,22 +31,25 @@ from barloom.llm.common import small_batches
 BUCKETS = 1 << 14
 SEGMENT = 1 << 20
 MOST_LANGUAGES = 1000
+#: Log probabilities gathered at once, characters x languages.
+CELLS = 1 << 23
 UNKNOWN = "und"
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 _SALTS = (np.uint32(0x9E3779B9), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
-def _segments(texts: list[str | None]) -> Iterator[tuple[list[int], list[str], list[str]]]:
-    """Groups of (row, two characters before, segment), each group of about SEGMENT characters."""
+def _segments(texts: list[str | None], most: int | None = None) -> Iterator[tuple[list[int], list[str], list[str]]]:
+    """Groups of (row, two characters before, segment), each group of about ``most`` characters."""
+    most = most or SEGMENT
     rows, before, parts, size = [], [], [], 0
     for row, text in enumerate(texts):
         text = (text or "").lower()
-        for a in range(0, len(text), SEGMENT):
+        for a in range(0, len(text), most):
             rows.append(row)
             before.append("  " if a == 0 else text[a - 2 : a])
-            parts.append(text[a : a + SEGMENT])
+            parts.append(text[a : a + most])
             size += len(parts[-1])
-            if size >= SEGMENT:
+            if size >= most:
                 yield rows, before, parts
                 rows, before, parts, size = [], [], [], 0
     if rows:
@@ -84,7 +87,8 @@ class Model:
     def totals(self, texts: list[str | None]) -> np.ndarray:
         """Log joint probability of each text and language."""
         out = np.tile(self.log_prior, (len(texts), 1))
-        for rows, before, parts in _segments(texts):
+        most = max(1, min(SEGMENT, CELLS // max(1, len(self.langs))))
+        for rows, before, parts in _segments(texts, most):
             starts, buckets = _hashed(before, parts)
             at = np.empty(2 * len(parts), np.int64)
             at[0::2], at[1::2] = starts[:-1], starts[:-1] + 2
