@@ -1,30 +1,33 @@
 """Cross-entropy difference of two matched bigram models.
 
-The target and the background model share one vocabulary, one set of bigrams and
-one formula:
+The target and the background model share one vocabulary (every word of both
+corpora), one set of bigrams (every bigram of both) and one formula:
 
-    p(w | h) = LAMBDA * c(h, w) / c(h) + (1 - LAMBDA * kept(h) / c(h)) * p(w)
+    p(w | h) = LAMBDA * c(h, w) / c(h) + (1 - LAMBDA) * p(w)      where c(h) > 0
+    p(w | h) = p(w)                                               elsewhere
     p(w)     = (c(w) + ALPHA) / (N + ALPHA * V)
 
-with counts of the model's own corpus, kept(h) the counts of h's kept bigrams,
-and the second factor 1 where h was never seen, so both are distributions over
-the V predicted tokens.  Tokens are lower-cased words between white space; a text
-starts after a start mark and ends with an end token; words outside the
-vocabulary are one unknown token.  A document's score is the mean over its tokens
-of the target loss minus the background loss, in nats: lower is closer to the
-target.
-
-Every word and every bigram of both corpora is counted: per task in numpy, then
-summed by Spark.  The vocabulary is all words, and the bigrams are all bigrams of
-vocabulary words, that the background holds at least ``LEAST`` times, so the model
-grows with the corpus; ``WORD_SHARE`` and ``PAIR_SHARE`` can raise that to a share of
-the background's words and are 0.  The model is a set of Parquet tables that are
-joined with the documents' bigrams: nothing of it is collected or broadcast, and the
-driver receives totals only.  Words are 64-bit hashes, a bigram's key is a mix of two.
+with counts of the model's own corpus, so both are distributions over the V
+predicted tokens: the words, an unknown word and the end.  Tokens are lower-cased
+words between white space; a text starts after a start mark and ends with an end
+token.  A document that a corpus holds is scored by that corpus without it: its
+own counts are taken off c(h, w), c(h), c(w) and N.  So no document is scored by
+what it taught, and words that occur once teach nothing about their document.  A
+document's score is the mean over its tokens of the target loss minus the
+background loss, in nats: lower is closer to the target.
+
+Every word and every bigram of both corpora is counted, per task in numpy, then
+summed by Spark; there is no floor and no share, so the model grows with the
+corpus.  It is a set of Parquet tables: bigrams (h, w, counts), words (counts),
+and one table that holds for every bigram the counts of h, w and the pair, which
+the documents' bigrams are joined with.  Nothing of it is collected or broadcast;
+the driver receives totals only.  Words are 64-bit hashes, a bigram's key is a mix
+of two.
 
 Edge cases: null and blank texts hold only the end token and are scored by it; an
 empty target or background leaves uniform probabilities; repeated rows count each
-time; null ids are kept; extra columns are ignored.
+time, and each is scored without itself only; null ids are kept; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,11 +43,10 @@ from pyspark.sql import functions as F
 from barloom.llm.common import cut, drop_cut, small_batches
 from barloom.llm.hashing import run_hashes, split_words
 
-WORD_SHARE, PAIR_SHARE, LEAST = 0.0, 0.0, 2
 LAMBDA, ALPHA = 0.7, 0.5
-CHUNK = 1 << 21
-#: Stand for words outside the vocabulary, the start of a text and its end.
-UNKNOWN, START, END = 0, 1, 2
+CHUNK = 1 << 22
+#: Stand for the start of a text and its end; the end follows every text once.
+START, END = 1, 2
 KINDS = ("target", "background")
 
 
@@ -67,12 +69,11 @@ def text_pairs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(texts: DataFrame, kind: str) -> DataFrame:
-    """(h, w, target, background) counts of all bigrams of the texts, partly summed."""
+    """(h, w, target, background) counts of all bigrams of the texts, summed per CHUNK tokens of a task."""
 
     def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         h, w = map(np.concatenate, zip(*pairs))
         _, first, counts = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
-        counts = counts.astype(np.int32)
         zero = np.zeros_like(counts)
         both = (counts, zero) if kind == "target" else (zero, counts)
         return pa.RecordBatch.from_arrays([*map(pa.array, (h[first], w[first], *both))], ["h", "w", *KINDS])
@@ -89,7 +90,7 @@ def _counted(texts: DataFrame, kind: str) -> DataFrame:
         if pairs:
             yield out(pairs)
 
-    return texts.select("text").mapInArrow(run, "h long, w long, target int, background int")
+    return texts.select("text").mapInArrow(run, "h long, w long, target long, background long")
 
 
 def _sums(*columns: str) -> list[Column]:
@@ -108,126 +109,114 @@ def _freed(spark) -> None:
 class Model:
     """Tables in the shared folder; counts are of the target and of the background.
 
-    ``vocabulary`` (key, target, background), ``histories`` (mh, rest_*: weight of p(w)
-    after h, seen_*: count of h), ``pairs`` (mh, mw, target, background): the kept
-    bigrams, ``found``: all bigrams of both corpora, mapped.
+    ``pairs`` (h, w, target, background) holds every bigram, ``words`` (word, as_h_*,
+    as_w_*) every word as history and as token.
     """
 
-    background: DataFrame
-    vocabulary: DataFrame
-    histories: DataFrame
     pairs: DataFrame
-    found: DataFrame
-    size: int  # words
-    totals: dict[str, tuple[int, int, int]]  # tokens, unknown tokens, texts
-
-    def table(self, mapped: DataFrame) -> DataFrame:
-        """(key, target, background): loss of every bigram of ``mapped`` under both models."""
-        kept = self.pairs.select("mh", "mw", *(F.col(k).alias(f"kept_{k}") for k in KINDS))
-        rows = mapped.join(kept, ["mh", "mw"], "left").join(self.histories, "mh")
-
-        def loss(k: str) -> Column:
-            tokens, unknown, texts = self.totals[k]
-            n = F.when(F.col("mw") == END, F.lit(texts)).when(F.col("mw") == UNKNOWN, F.lit(unknown)).otherwise(F.col(f"w_{k}"))
-            p = (n + ALPHA) / (tokens + texts + ALPHA * (self.size + 2))
-            share = F.coalesce(F.col(f"kept_{k}"), F.lit(0)) / F.greatest(F.col(f"seen_{k}"), F.lit(1))
-            return (-F.log(LAMBDA * share + F.col(f"rest_{k}") * p)).alias(k)
-
-        return rows.select("key", *map(loss, KINDS))
-
-    @property
-    def words(self) -> np.ndarray:
-        """The vocabulary in hash order, collected: to look into small models only."""
-        return self.vocabulary.select("key").orderBy("key").toArrow().column("key").to_numpy()
-
-    def losses(self, codes: np.ndarray) -> np.ndarray:
-        """(2, n): losses of bigrams given as history * (words + 2) + token, collected: to look into small models only.
-
-        Predicted tokens are the words, then unknown, then the end; histories are the
-        words, then unknown, then the start.
-        """
-        words = self.words
-        h, w = np.divmod(codes, len(words) + 2)
-        h, w = np.append(words, [UNKNOWN, START])[h], np.append(words, [UNKNOWN, END])[w]
-        keys = pair_keys(h, w)
-        asked = self.background.sparkSession.createDataFrame([tuple(map(int, x)) for x in zip(h, w)], "h long, w long")
-        got = {r["key"]: (r["target"], r["background"]) for r in self.table(_mapped(asked, self.vocabulary)).collect()}
-        return np.array([got[k] for k in keys.tolist()]).T
-
-
-def _mapped(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``pairs`` with mh and mw, the words outside the vocabulary one, and the counts of w."""
-    histories = vocabulary.select(F.col("key").alias("h"), F.lit(True).alias("known"))
-    tokens = vocabulary.select(F.col("key").alias("w"), *(F.col(k).alias(f"w_{k}") for k in KINDS))
-    rows = pairs.join(histories, "h", "left").join(tokens, "w", "left")
-    mh = F.when(F.col("known") | (F.col("h") == START), F.col("h")).otherwise(F.lit(UNKNOWN).cast("long"))
-    mw = F.when(F.col("w_background").isNotNull() | (F.col("w") == END), F.col("w")).otherwise(F.lit(UNKNOWN).cast("long"))
-    key = F.col("h").bitwiseXOR(F.shiftleft("w", 1).bitwiseOR(F.shiftrightunsigned("w", 63)))  # as pair_keys
-    return rows.select(key.alias("key"), mh.alias("mh"), mw.alias("mw"), *(c for c in KINDS if c in pairs.columns), *(f"w_{k}" for k in KINDS))
+    words: DataFrame
+    size: int  # predicted tokens
+    tokens: dict[str, int]
+
+    def table(self, pairs: DataFrame) -> DataFrame:
+        """(key and the counts of the pair, of h and of w in both corpora) of every bigram of ``pairs``."""
+        histories = self.words.select(F.col("word").alias("h"), *(F.col(f"as_h_{k}").alias(f"h_{k}") for k in KINDS))
+        tokens = self.words.select(F.col("word").alias("w"), *(F.col(f"as_w_{k}").alias(f"w_{k}") for k in KINDS))
+        key = F.col("h").bitwiseXOR(F.shiftleft("w", 1).bitwiseOR(F.shiftrightunsigned("w", 63))).alias("key")  # as pair_keys
+        met = pairs.join(histories, "h", "left").select(key, "w", *KINDS, *(f"h_{k}" for k in KINDS)).join(tokens, "w", "left")
+        return met.select("key", *(F.coalesce(c, F.lit(0)).alias(c) for k in KINDS for c in (k, f"h_{k}", f"w_{k}")))
+
+    def drop(self) -> None:
+        """Remove the model's files."""
+        drop_cut(self.pairs)
+        drop_cut(self.words)
 
 
 def fit(target: DataFrame, background: DataFrame) -> Model:
     """Count both corpora."""
     spark = background.sparkSession
     small_batches(spark)
-    _freed(spark)
     counted = _counted(target, KINDS[0]).unionByName(_counted(background, KINDS[1]))
-    raw = cut(counted.groupBy("h", "w").agg(*_sums(*KINDS)))
+    pairs = cut(counted.groupBy("h", "w").agg(*_sums(*KINDS)))
     del counted
     _freed(spark)
-    texts = raw.where(F.col("h") == START).agg(*_sums(*KINDS)).first()
-    tokens = raw.where(F.col("w") != END).agg(*_sums(*KINDS)).first()
-    texts, tokens = ({k: r[k] or 0 for k in KINDS} for r in (texts, tokens))
-    least = lambda share: (F.col("background") >= LEAST) & (F.col("background") >= share * float(tokens["background"]))
-    vocabulary = cut(raw.where(F.col("w") != END).groupBy(F.col("w").alias("key")).agg(*_sums(*KINDS)).where(least(WORD_SHARE)))
-    known = vocabulary.agg(F.count("*").alias("n"), *_sums(*KINDS)).first()
-    totals = {k: (tokens[k], tokens[k] - (known[k] or 0), texts[k]) for k in KINDS}
-    found = cut(_mapped(raw, vocabulary))
-    drop_cut(raw)
-    del raw
+    zero = [F.lit(0).cast("long").alias(f"as_{x}_{k}") for x in "hw" for k in KINDS]
+    as_h = pairs.groupBy(F.col("h").alias("word")).agg(*(F.sum(k).alias(f"as_h_{k}") for k in KINDS)).select("word", *(f"as_h_{k}" for k in KINDS), *zero[2:])
+    as_w = pairs.groupBy(F.col("w").alias("word")).agg(*(F.sum(k).alias(f"as_w_{k}") for k in KINDS)).select("word", *zero[:2], *(f"as_w_{k}" for k in KINDS))
+    names = [f"as_{x}_{k}" for x in "hw" for k in KINDS]
+    words = cut(as_h.unionByName(as_w).groupBy("word").agg(*_sums(*names)))
     _freed(spark)
-    pairs = cut(found.groupBy("mh", "mw").agg(*_sums(*KINDS)).where(least(PAIR_SHARE)))
-    rest = [(word, *(totals[k][n] for k in KINDS)) for word, n in ((UNKNOWN, 1), (START, 2))]
-    seen = vocabulary.unionByName(spark.createDataFrame(rest, vocabulary.schema)).toDF("mh", *(f"seen_{k}" for k in KINDS))
-    kept = pairs.groupBy("mh").agg(*_sums(*KINDS))
-    weight = [(1 - LAMBDA * F.coalesce(F.col(k), F.lit(0)) / F.greatest(F.col(f"seen_{k}"), F.lit(1))).alias(f"rest_{k}") for k in KINDS]
-    histories = cut(seen.join(kept, "mh", "left").select("mh", *(f"seen_{k}" for k in KINDS), *weight))
-    _freed(spark)
-    return Model(background, vocabulary, histories, pairs, found, known["n"], totals)
+    found = words.agg(F.count_if(~F.col("word").isin(START, END)).alias("n"), *_sums(*(f"as_w_{k}" for k in KINDS))).first()
+    return Model(pairs, words, found["n"] + 2, {k: found[f"as_w_{k}"] or 0 for k in KINDS})
 
 
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, key, n): the bigrams of every row; doc_id only at a row's first."""
+    """(row, doc_id, key, n, own_h, own_w, size): a row's bigrams with the row's own counts of both words and of all."""
+    names = ["row", "doc_id", "key", "n", "own_h", "own_w", "size"]
     for batch in batches:
         rows, ids = batch.column(0).to_numpy(), batch.column(1)
-        found = [np.unique(pair_keys(*text_pairs(text)), return_counts=True) for text in batch.column(2).to_pylist()]
+        found = []
+        for text in batch.column(2).to_pylist():
+            h, w = text_pairs(text)
+            keys, first, n = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
+            many = []
+            for x in (h, w):
+                _, at, counts = np.unique(x, return_inverse=True, return_counts=True)
+                many.append(counts[at[first]])
+            found.append((keys, n, *many, np.full(len(keys), len(h))))
         if not found:
             continue
-        sizes = np.array([len(keys) for keys, _ in found])
+        sizes = np.array([len(f[0]) for f in found])
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         at = np.full(sizes.sum(), -1)
         at[first] = np.arange(len(first))
-        doc_ids = ids.take(pa.array(at, mask=at < 0))
-        keys, counts = (np.concatenate(x) for x in zip(*found))
+        doc_ids = ids.take(pa.array(at, mask=at < 0))  # only at a row's first bigram
+        keys, *counts = (np.concatenate(x) for x in zip(*found))
+        owner = np.repeat(rows, sizes)
         for a in range(0, len(keys), CHUNK):
             part = slice(a, a + CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, sizes)[part]), doc_ids[part], pa.array(keys[part]), pa.array(counts[part].astype(np.int32))], ["row", "doc_id", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner[part]), doc_ids[part], pa.array(keys[part]), *(pa.array(c[part].astype(np.int32)) for c in counts)], names)
+
 
+def score(docs: DataFrame, model: Model, counted: bool = False, in_target: DataFrame | None = None) -> DataFrame:
+    """Columns of ``SCORED``; losses are means over the document's tokens.
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Columns of ``SCORED``; losses are means over the document's tokens."""
+    ``counted``: the model's background is ``docs``, so every row is scored without
+    itself.  ``in_target`` (doc_id): the ids of rows that the target holds too; of them
+    the target loss is that of the target without them.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    if docs.sameSemantics(model.background):
-        mapped = model.found
-    else:
-        mapped = _mapped(_counted(docs, KINDS[1]).select("h", "w").distinct(), model.vocabulary)
-    losses = cut(model.table(mapped))
+    pairs = model.pairs
+    if not counted:
+        zero = F.lit(0).cast("long")
+        pairs = _counted(docs, KINDS[1]).select("h", "w", zero.alias("target"), zero.alias("background")).unionByName(pairs).groupBy("h", "w").agg(*_sums(*KINDS))
+    table = cut(model.table(pairs))
+    del pairs
     _freed(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(_rows, "row long, doc_id long, key long, n int")
-    sums = [F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), *((F.sum(F.col("n") * F.col(k)) / F.sum("n")).alias(f"{k}_loss") for k in KINDS)]
-    scored = rows.join(losses.hint("shuffle_hash"), "key").groupBy("row").agg(*sums)
-    return scored.select("doc_id", "n_tokens", *(f"{k}_loss" for k in KINDS), (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    rows = given.mapInArrow(_rows, "row long, doc_id long, key long, n int, own_h int, own_w int, size int")
+
+    def loss(k: str, without: bool) -> Column:
+        less = lambda name, own: F.col(name) - F.col(own) if without else F.col(name)
+        # sums of all rows of a key cannot be less than a row's own; a row that the corpus does not hold is not taken off
+        total = F.lit(model.tokens[k]) - F.col("size") if without else F.lit(model.tokens[k])
+        p = (less(f"w_{k}", "own_w") + ALPHA) / (total + ALPHA * model.size)
+        seen = less(f"h_{k}", "own_h")
+        return -F.log(F.when(seen > 0, LAMBDA * less(k, "n") / seen + (1 - LAMBDA) * p).otherwise(p))
+
+    wanted = {"background_loss": loss(KINDS[1], counted), "target_loss": loss(KINDS[0], False)}
+    if in_target is not None:
+        held = F.col("target") >= F.col("n")  # a row outside the target may have no counts to take off
+        wanted["without_loss"] = F.when(held, loss(KINDS[0], True)).otherwise(0.0)
+    sums = [F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), *((F.sum(F.col("n") * c) / F.sum("n")).alias(name) for name, c in wanted.items())]
+    scored = rows.join(table.hint("shuffle_hash"), "key").groupBy("row").agg(*sums)
+    target = F.col("target_loss")
+    if in_target is not None:
+        ids = in_target.select(F.col("doc_id").cast("long").alias("l")).where("l is not null").distinct()
+        scored = scored.join(ids, F.col("doc_id") == F.col("l"), "left")
+        target = F.when(F.col("l").isNotNull(), F.col("without_loss")).otherwise(target)
+    return scored.select("doc_id", "n_tokens", target.alias("target_loss"), "background_loss", (target - F.col("background_loss")).alias("score"))

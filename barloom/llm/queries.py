@@ -47,12 +47,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("l")).distinct()
-    target = cut(docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("l")).select("text"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    target = cut(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id").select("text"))
     model = lm_score.fit(target, docs)
-    scored = lm_score.score(docs, model)
-    drop_cut(model.found)
-    return scored
+    drop_cut(target)
+    return lm_score.score(docs, model, counted=True, in_target=good)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
