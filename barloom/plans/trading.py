@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from barloom.operators import backtest as bt
 from barloom.operators import conditions, grid, ledger, scanner
 from barloom.plans import sql
-from barloom.plans.series import query, shown
+from barloom.plans import sql_trades as st
+from barloom.plans.series import RSI14, query, shown
 from barloom.sources import bars as src
 from barloom.sources import scratch
 from barloom.streaming import bars as stream
@@ -17,31 +18,39 @@ PIP = 1.0  # the tapes move in whole units
 RULES = {
     "ma": [{"type": "maCross", "fast": 5, "slow": 20}],
     "donchian": [{"type": "donchianBreak", "period": 20}],
+    "band": [{"type": "bollinger"}],
     "rsi": [{"type": "rsi", "comparison": "crossBelow"}, {"type": "bollinger"}],
 }
 
 
-def _simulated(spark, d, rules: str = "donchian", **more) -> DataFrame:
-    runs = grid.runs(spark, [grid.run("base", 15, 30, **more), grid.run("trail", 15, 60, 10, close_on_opposite=True), grid.run("risk", 15, 30, mode="fixedRisk"), grid.run("night", 15, 30, None, "22:00", "06:00", mode="compound")])
-    return bt.simulate(conditions.signals(src.event_bars(spark, d), RULES[rules]), runs, PIP)
+RUNS = [grid.run("base", 15, 30), grid.run("trail", 15, 60, 10, close_on_opposite=True), grid.run("risk", 15, 30, mode="fixedRisk"), grid.run("night", 15, 30, None, "22:00", "06:00", mode="compound")]
 
 
-@query("backtest_trades")
+def _simulated(spark, d, rules: str = "donchian") -> DataFrame:
+    return bt.simulate(conditions.signals(src.event_bars(spark, d), RULES[rules]), grid.runs(spark, RUNS), PIP)
+
+
+_SIM = f"WITH RECURSIVE {sql.bars()}, {st.donchian('bars')}, {st.runs(RUNS)}, {st.simulated('sg')}"
+_COMBINED = f"""WITH RECURSIVE {sql.bars()}, {sql.numbered()}, {RSI14}, y AS (SELECT *, {sql.frame('avg', 'c', 20)} AS mid, {sql.frame('stddev_pop', 'c', 20)} AS sd FROM x),
+    sg AS (SELECT symbol, t, o, h, l, c, coalesce({sql.lag('rsi')} > 30 AND rsi <= 30 AND l <= mid - 2 * sd, false) AS long, coalesce({sql.lag('rsi')} < 70 AND rsi >= 70 AND h >= mid + 2 * sd, false) AS short FROM y), {st.runs(RUNS)}, {st.simulated('sg')}"""
+
+
+@query("backtest_trades", f"{_SIM} SELECT * FROM trades")
 def _(spark, d):
     return bt.trades_of(_simulated(spark, d)).drop("tf")
 
 
-@query("backtest_equity")
+@query("backtest_equity", f"{_SIM} SELECT run_id, symbol, t, {', '.join(sql.r6(a, b) for a, b in (('eq_pips', 'equity_pips'), ('dd_pips', 'drawdown_pips'), ('eq_yen', 'equity_yen'), ('dd_yen', 'drawdown_yen'), ('dd_pct', 'drawdown_pct')))} FROM sim")
 def _(spark, d):
     return shown(bt.equity_of(_simulated(spark, d)), "equity_pips", "drawdown_pips", "equity_yen", "drawdown_yen", "drawdown_pct", keys=("run_id", "symbol", "t"))
 
 
-@query("backtest_metrics")
+@query("backtest_metrics", f"{_SIM}, {st.METRICS} SELECT * FROM m")
 def _(spark, d):
     return bt.metrics(_simulated(spark, d)).drop("tf")
 
 
-@query("backtest_combined_rules")
+@query("backtest_combined_rules", f"{_COMBINED}, {st.METRICS} SELECT * FROM m")
 def _(spark, d):
     return bt.metrics(_simulated(spark, d, "rsi")).drop("tf")
 
@@ -77,27 +86,40 @@ def _(spark, d):
 # -- search ---------------------------------------------------------------------------------
 
 
+GRID = grid.combinations(grid.values(10, 20, 5), grid.values(20, 40, 10), [None, 8.0])
+_SEARCH = f"WITH RECURSIVE {sql.bars()}, {st.donchian('bars')}, {st.runs(GRID)}, {st.simulated('sg')}, {st.METRICS}"
+# segments are part of the series key, so nothing looks across them
+_SEGMENTS = f"""WITH RECURSIVE {sql.bars()}, hs AS (SELECT * REPLACE (symbol || '/' || CASE WHEN row_number() {sql.S} <= floor(count(*) OVER (PARTITION BY symbol) * CAST(0.7 AS DOUBLE)) THEN 'opt' ELSE 'val' END AS symbol) FROM bars), {st.band('hs')}, {st.runs(GRID)}, {st.simulated('sg')}, {st.METRICS},
+    sm AS (SELECT * REPLACE (split_part(symbol, '/', 1) AS symbol), split_part(symbol, '/', 2) AS segment FROM m), op AS (SELECT * FROM sm WHERE segment = 'opt'), va AS (SELECT * FROM sm WHERE segment = 'val'),
+    ga AS (SELECT run_id, symbol, coalesce(op.net_yen, 0.0) AS opt_net_yen, coalesce(va.net_yen, 0.0) AS val_net_yen, coalesce(op.profit_factor, 0) AS opt_profit_factor, coalesce(op.max_drawdown_yen, 0) AS opt_max_drawdown_yen, coalesce(va.trades, 0) AS val_trades, coalesce(op.max_drawdown_pct, 0) AS od, coalesce(va.max_drawdown_pct, 0) AS vd FROM op FULL JOIN va USING (run_id, symbol)),
+    gb AS (SELECT *, CASE WHEN opt_net_yen > 0 THEN val_net_yen / opt_net_yen WHEN val_net_yen >= opt_net_yen THEN 1.0 ELSE 0.0 END AS ratio FROM ga),
+    gc AS (SELECT *, CASE WHEN opt_net_yen <= 0 THEN false ELSE ratio < 0.35 OR vd > 2 * od + 5 END AS overfit FROM gb),
+    gd AS (SELECT *, list_filter([CASE WHEN opt_net_yen <= 0 THEN 'opt_net' END, CASE WHEN val_net_yen <= 0 THEN 'val_net' END, CASE WHEN val_trades < 10 THEN 'val_trades' END, CASE WHEN overfit THEN 'overfit' END, CASE WHEN ratio < 0.35 THEN 'ratio' END], lambda x: x IS NOT NULL) AS reasons FROM gc),
+    gates AS (SELECT *, len(reasons) = 0 AS eligible FROM gd)"""
+_QUARTERS = f"""WITH RECURSIVE {sql.bars()}, sp AS (SELECT *, min(t) OVER (PARTITION BY symbol) AS a, max(t) OVER (PARTITION BY symbol) AS z FROM bars), hs AS (SELECT symbol || '/' || CAST(CASE WHEN z > a THEN least(3, floor(4.0 * (t - a) / (z - a))) ELSE 0 END AS INT) AS symbol, t, o, h, l, c FROM sp), {st.donchian('hs')}, {st.runs(GRID)}, {st.simulated('sg')}, {st.METRICS}"""
+
+
 def _grid(spark) -> DataFrame:
-    return grid.runs(spark, grid.combinations(grid.values(10, 20, 5), grid.values(20, 40, 10), [None, 8.0]))
+    return grid.runs(spark, GRID)
 
 
-@query("grid_search")
+@query("grid_search", f"{_SEARCH} SELECT run_id, symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY net_yen DESC, max_drawdown_yen, run_id) AS INT) AS rank, trades, net_yen, max_drawdown_yen FROM m")
 def _(spark, d):
     return grid.search(src.event_bars(spark, d), RULES["donchian"], _grid(spark), PIP).select("run_id", "symbol", "rank", "trades", "net_yen", "max_drawdown_yen")
 
 
 def _gates(spark, d) -> DataFrame:
     bars = grid.by_segment(grid.hold_out(src.event_bars(spark, d)), "segment")
-    return grid.gated(bt.metrics(bt.simulate(conditions.signals(bars, RULES["donchian"]), _grid(spark), PIP)))
+    return grid.gated(bt.metrics(bt.simulate(conditions.signals(bars, RULES["band"]), _grid(spark), PIP)))
 
 
-query("holdout_gates")(lambda spark, d: _gates(spark, d).select("run_id", "symbol", "opt_net_yen", "val_net_yen", F.round("ratio", 6).alias("ratio"), "overfit", F.concat_ws(",", "reasons").alias("reasons"), "eligible"))
-query("selected_parameters")(lambda spark, d: grid.selected(_gates(spark, d)).select("run_id", "symbol", "opt_rank", "opt_net_yen", "val_net_yen"))
-query("rejection_summary")(lambda spark, d: grid.rejection_summary(_gates(spark, d)).drop("tf"))
-query("tuning_report")(lambda spark, d: shown(grid.report(_gates(spark, d)), "mean_ratio", "best_ratio", keys=("symbol", "combinations", "eligible")))
+query("holdout_gates", f"{_SEGMENTS} SELECT run_id, symbol, opt_net_yen, val_net_yen, round(ratio, 6) AS ratio, overfit, array_to_string(reasons, ',') AS reasons, eligible FROM gates")(lambda spark, d: _gates(spark, d).select("run_id", "symbol", "opt_net_yen", "val_net_yen", F.round("ratio", 6).alias("ratio"), "overfit", F.concat_ws(",", "reasons").alias("reasons"), "eligible"))
+query("selected_parameters", f"{_SEGMENTS}, rk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY opt_net_yen DESC, opt_max_drawdown_yen, run_id) AS opt_rank FROM gates WHERE opt_profit_factor >= 1) SELECT run_id, symbol, CAST(opt_rank AS INT) AS opt_rank, opt_net_yen, val_net_yen FROM rk WHERE eligible QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY opt_rank) = 1")(lambda spark, d: grid.selected(_gates(spark, d)).select("run_id", "symbol", "opt_rank", "opt_net_yen", "val_net_yen"))
+query("rejection_summary", f"{_SEGMENTS}, u AS (SELECT symbol, unnest(reasons) AS reason FROM gates) SELECT symbol, reason, count(*) AS n FROM u GROUP BY ALL")(lambda spark, d: grid.rejection_summary(_gates(spark, d)).drop("tf"))
+query("tuning_report", f"{_SEGMENTS} SELECT symbol, count(*) AS combinations, count(*) FILTER (eligible) AS eligible, {sql.r6('avg(ratio)', 'mean_ratio')}, {sql.r6('max(ratio)', 'best_ratio')} FROM gates GROUP BY 1")(lambda spark, d: shown(grid.report(_gates(spark, d)), "mean_ratio", "best_ratio", keys=("symbol", "combinations", "eligible")))
 
 
-@query("quarterly_stability")
+@query("quarterly_stability", f"{_QUARTERS} SELECT run_id, split_part(symbol, '/', 1) AS symbol, count(*) FILTER (net_yen > 0) AS positive_quarters, count(*) FILTER (net_yen > 0) >= 3 AS stable FROM m GROUP BY 1, 2")
 def _(spark, d):
     bars = grid.by_segment(grid.quarters(src.event_bars(spark, d)), "quarter")
     return grid.stable(bt.metrics(bt.simulate(conditions.signals(bars, RULES["donchian"]), _grid(spark), PIP))).drop("tf")
