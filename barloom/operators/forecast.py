@@ -25,23 +25,29 @@ BINS, SMOOTHING = 10, 2
 def model_stats(scored: DataFrame) -> DataFrame:
     """Adds volatility, drift, autocorrelation, regime return and signal bias of every bar (last ``LOOKBACK`` returns).
 
-    Returns between prices that are not positive are null and skipped by the frames.
+    Steps from or to a price that is not positive have no return: they are left out and
+    the look-back reaches that much further back.  ``__j`` counts returns, and frames
+    over its range hold exactly the last ones, also at bars without a return.
     """
     w = series()
-    r = scored.withColumn("i", F.row_number().over(w)).withColumn("ret", F.when((F.col("c") > 0) & (F.lag("c").over(w) > 0), F.ln(F.when(F.col("c") > 0, F.col("c")) / F.when(F.lag("c").over(w) > 0, F.lag("c").over(w)))))
-    r = r.withColumn("__before", F.lag("ret").over(w))
-    frame, pairs = w.rowsBetween(-(LOOKBACK - 1), 0), w.rowsBetween(-(LOOKBACK - 2), 0)
+    before = F.lag("c").over(w)
+    ret = F.when((F.col("c") > 0) & (before > 0), F.ln(F.when(F.col("c") > 0, F.col("c")) / F.when(before > 0, before)))
+    r = scored.withColumn("i", F.row_number().over(w)).withColumn("ret", ret)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("__j", F.count("ret").over(w)).withColumn("__before", F.last("ret", True).over(earlier)).withColumn("__last", F.last("ret", True).over(w))
+    by = Window.partitionBy(*KEY).orderBy("__j")
+    frame, pairs = by.rangeBetween(-(LOOKBACK - 1), 0), by.rangeBetween(-(LOOKBACK - 2), 0)
     r = r.withColumn("__n", F.count("ret").over(frame)).withColumn("__mean", F.avg("ret").over(frame)).withColumn("__sd", F.coalesce(F.stddev_pop("ret").over(frame), F.lit(0.0)))
-    x = F.when(F.col("ret").isNotNull(), F.col("i").cast("double"))
+    x = F.when(F.col("ret").isNotNull(), F.col("__j").cast("double"))
     r = r.withColumn("__x", x).withColumn("__mx", F.avg("__x").over(frame)).withColumn("__cov", F.covar_pop("ret", "__x").over(frame)).withColumn("__vx", F.var_pop("__x").over(frame))
     slope = F.when(F.col("__vx") > 0, F.try_divide(F.col("__cov"), F.col("__vx"))).otherwise(0.0)
-    drift = F.when(F.col("__n") < 3, F.coalesce("__mean", F.lit(0.0))).otherwise(F.col("__mean") + slope * (F.col("i") + 1 - F.col("__mx")))
-    both = F.when(F.col("ret").isNotNull() & F.col("__before").isNotNull(), F.struct("ret", "__before"))
-    r = r.withColumn("__a", F.when(both.isNotNull(), F.col("ret"))).withColumn("__b", F.when(both.isNotNull(), F.col("__before")))
+    drift = F.when(F.col("__n") < 3, F.coalesce("__mean", F.lit(0.0))).otherwise(F.col("__mean") + slope * (F.col("__j") + 1 - F.col("__mx")))
+    both = F.col("ret").isNotNull() & F.col("__before").isNotNull()
+    r = r.withColumn("__a", F.when(both, F.col("ret"))).withColumn("__b", F.when(both, F.col("__before")))
     r = r.withColumn("__cab", F.covar_pop("__a", "__b").over(pairs)).withColumn("__va", F.var_pop("__a").over(pairs)).withColumn("__vb", F.var_pop("__b").over(pairs))
     rho = F.when((F.col("__n") > 2) & (F.col("__va") * F.col("__vb") > 0), clamp(F.try_divide(F.col("__cab"), F.sqrt(F.col("__va") * F.col("__vb"))), -1, 1)).otherwise(0.0)
     r = r.withColumn("volatility", F.greatest(F.col("__sd"), F.abs(F.coalesce("__mean", F.lit(0.0))), F.lit(1e-6))).withColumn("drift_move", drift).withColumn("autocorrelation", rho)
-    r = r.withColumn("regime_move", F.coalesce("ret", F.lit(0.0)) * F.col("autocorrelation")).withColumn("bias", clamp(F.col("score") / 8, -1, 1))
+    r = r.withColumn("regime_move", F.coalesce("__last", F.lit(0.0)) * F.col("autocorrelation")).withColumn("bias", clamp(F.col("score") / 8, -1, 1))
     return r.drop(*(c for c in r.columns if c.startswith("__")))
 
 
@@ -83,6 +89,11 @@ def weights(perf: DataFrame) -> DataFrame:
     return wide.select(*KEY, "horizon", few.alias("fallback"), *(F.when(few, PRIOR[m]).otherwise(parts[m] / total).alias(f"w_{m}") for m in MODELS))
 
 
+def prior_weighted(probability: DataFrame) -> DataFrame:
+    """Adds ``p_up`` under the prior weights: the forecast without any table of statistics."""
+    return probability.withColumn("p_up", clamp(sum((F.col(f"p_{m}") * PRIOR[m] for m in MODELS), F.lit(0.0)), 0.02, 0.98))
+
+
 def weighted(probability: DataFrame, weight: DataFrame) -> DataFrame:
     """Adds ``p_up``, the weighted and clamped probability."""
     joined = probability.join(weight.drop("fallback"), [*KEY, "horizon"], "left")
@@ -155,23 +166,42 @@ def mixed_forecasts(bars: DataFrame) -> DataFrame:
     return weighted(probability, weights(performance(probability)))
 
 
-def walk_forward(forecast: DataFrame, newest: int = 300) -> DataFrame:
-    """Hits and totals per series and horizon over the ``newest`` bars with a known outcome."""
-    known = forecast.where((F.col("i") > LOOKBACK) & F.col("up").isNotNull())
-    order = Window.partitionBy(*KEY, "horizon").orderBy(F.desc("t"))
-    recent = known.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= newest)
-    out = recent.groupBy(*KEY, "horizon").agg(F.count_if((F.col("p_up") >= 0.5) == F.col("up")).alias("hits"), F.count("*").alias("total"))
+def walk_forward(forecast: DataFrame, cutoffs: int = 300, p: str = "p_up") -> DataFrame:
+    """Hits and totals per series and horizon over the last ``cutoffs`` bars before the newest whose outcome is known.
+
+    ``forecast`` has every bar of a series.  A horizon of h has at most ``cutoffs`` - h + 1
+    outcomes, as the bars behind the last cutoffs are few.
+    """
+    newest = forecast.groupBy(*KEY).agg(F.max("i").alias("__newest"))
+    known = forecast.join(newest, list(KEY)).where((F.col("i") > LOOKBACK) & F.col("up").isNotNull() & (F.col("i") >= F.col("__newest") - cutoffs))
+    out = known.groupBy(*KEY, "horizon").agg(F.count_if((F.col(p) >= 0.5) == F.col("up")).alias("hits"), F.count("*").alias("total"))
     return out.withColumn("accuracy", F.col("hits") / F.col("total"))
 
 
+def accuracy_of_weights(perf: DataFrame, weight: DataFrame) -> DataFrame:
+    """(series, horizon, accuracy): the models' decayed accuracies (plain ones where none), mixed by their weights."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"w_{m}").alias("w")) for m in MODELS))).alias("x")
+    rows = weight.select(*KEY, "horizon", each).select(*KEY, "horizon", "x.*").join(perf, [*KEY, "horizon", "model"])
+    used = rows.withColumn("a", F.coalesce("ewma_accuracy", "accuracy")).where("a is not null and w > 0")
+    return used.groupBy(*KEY, "horizon").agg(clamp(F.sum(F.col("a") * F.col("w")) / F.sum("w"), 0, 1).alias("accuracy"))
+
+
 def expected_prices(stats: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """Expected price and bands of 1 and 2 ATR times the root of the horizon, per bar and horizon."""
+    """Expected price, and bands of 1 and 2 ATR times the root of the horizon around it, not under 0; per bar and horizon.
+
+    The expected move mixes what the signal says of direction, in units of volatility,
+    with the drift and the regime.
+    """
+    least = F.greatest(F.abs("c") * 0.001, F.lit(0.00001))
+    range_ = F.when(F.col("atr_latest") > 0, F.col("atr_latest")).otherwise(least)
     items = []
     for h in horizons:
-        move = 0.25 * F.col("bias") * F.col("volatility") * h**0.5 + 0.45 * F.col("drift_move") * h + 0.3 * F.col("regime_move") * min(h, 5)
-        width = F.coalesce("atr_latest", F.col("c") * 0.001) * h**0.5
-        items.append(F.struct(F.lit(h).alias("horizon"), (F.col("c") * F.exp(move)).alias("expected"), (F.col("c") - width).alias("low"), (F.col("c") + width).alias("high"), (F.col("c") - 2 * width).alias("low2"), (F.col("c") + 2 * width).alias("high2")))
-    return stats.select(*KEY, "t", F.explode(F.array(*items)).alias("x")).select(*KEY, "t", "x.*")
+        p_signal = clamp(0.5 + F.col("bias") * 0.24 / h**0.5, 0.05, 0.95)
+        move = 0.25 * (p_signal - 0.5) * 2 * F.col("volatility") * h**0.5 + 0.45 * F.col("drift_move") * h + 0.3 * F.col("regime_move") * min(h, 5)
+        items.append(F.struct(F.lit(h).alias("horizon"), (F.col("c") * F.exp(move)).alias("expected"), (range_ * h**0.5).alias("width")))
+    rows = stats.select(*KEY, "t", F.explode(F.array(*items)).alias("x")).select(*KEY, "t", "x.*")
+    band = lambda k: [F.greatest(F.lit(0.0), F.col("expected") - k * F.col("width")), F.col("expected") + k * F.col("width")]
+    return rows.select(*KEY, "t", "horizon", "expected", *(c.alias(n) for c, n in zip(band(1) + band(2), ("low", "high", "low2", "high2"), strict=True)))
 
 
 def reconcile_journal(journal: DataFrame, bars: DataFrame) -> DataFrame:

@@ -8,9 +8,22 @@ from pyspark.sql import functions as F
 DAY = 86400
 
 
-def fingerprint(definition: Column) -> Column:
-    """SHA-256 of a rule definition as JSON; struct fields in a fixed order make it canonical."""
-    return F.sha2(F.to_json(definition), 256)
+def canonical(value: object) -> object:
+    """A rule definition with the keys of all its objects in order, so that equal definitions are written alike."""
+    if isinstance(value, dict):
+        return {k: canonical(value[k]) for k in sorted(value)}
+    return [canonical(x) for x in value] if isinstance(value, (list, tuple)) else value
+
+
+def fingerprint(rows: DataFrame, fields: list[str], rules: str = "rules") -> Column:
+    """SHA-256 of the canonical JSON of ``fields`` of a row; ``rules`` holds JSON text that is already canonical."""
+    parts = []
+    for f in sorted([*fields, rules]):
+        value = F.col(f) if f == rules else F.get_json_object(F.to_json(F.struct(F.col(f).alias("x"))), "$.x")
+        if f != rules and rows.schema[f].dataType.typeName() == "string":
+            value = F.regexp_extract(F.to_json(F.struct(F.col(f).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+        parts.append(F.concat(F.lit(f'"{f}":'), F.coalesce(value, F.lit("null"))))
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
 
 
 def confirmed_days(trades: DataFrame, bars: DataFrame) -> DataFrame:

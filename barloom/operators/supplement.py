@@ -11,9 +11,10 @@ from barloom.operators.asof import nearest
 from barloom.sources.bars import KEY, SECONDS, series
 
 # Spreads in pips, days of look-back for reference windows, default rate.
-SPREADS = {"USDJPY": 0.2, "EURUSD": 0.3, "GBPUSD": 0.6, "EURJPY": 0.5, "GBPJPY": 0.9, "AUDJPY": 0.6}
+SPREADS = {"USDJPY": 0.9, "EURUSD": 0.7, "GBPJPY": 1.6, "EURJPY": 1.1, "AUDJPY": 1.2, "GBPUSD": 1.0}
 REFERENCE_DAYS, REFERENCE_YEARS = 737, 2
 DEFAULT_RATE = 150.0
+MAGIC_BASE = 1_783_100_000
 RANK = {tf: k for k, tf in enumerate(SECONDS)}
 
 
@@ -152,13 +153,23 @@ def seven_points(base: float) -> list[float]:
     return [round(base * (0.5 + k / 3), 1) for k in range(7)]
 
 
+def magic_number(symbol_no: Column, kind_no: Column, tf_no: Column) -> Column:
+    """A number of its own for every candidate: blocks of ten rules, in them symbols, rules and timeframes by decimal places.
+
+    Null for indexes that would collide (1000 symbols or more, 10 timeframes or more) or are negative.
+    """
+    valid = (symbol_no >= 0) & (symbol_no < 1000) & (kind_no >= 0) & (tf_no >= 0) & (tf_no < 10)
+    number = F.lit(MAGIC_BASE) + F.floor(kind_no / 10) * 100_000 + symbol_no * 100 + kind_no % 10 * 10 + tf_no
+    return F.when(valid, number.cast("long"))
+
+
 def candidates(spark: SparkSession, symbols: list[str], kinds: list[str] | None = None, timeframes: list[str] = ("h1", "h4")) -> DataFrame:
     """(symbol, kind, tf, magic): the cross product of symbols, entry rules and timeframes, with a number of its own each."""
     kinds = list(conditions.DEFAULTS) if kinds is None else kinds
     rows = spark.range(1)
     for name, values in (("symbol", symbols), ("kind", kinds), ("tf", timeframes)):
         rows = rows.select("*", F.posexplode(F.array(*map(F.lit, values))).alias(f"{name}_no", name))
-    return rows.select("symbol", "kind", "tf", (F.lit(100000) + F.col("kind_no") * 1000 + F.col("symbol_no") * 10 + F.col("tf_no")).alias("magic"))
+    return rows.select("symbol", "kind", "tf", magic_number(F.col("symbol_no"), F.col("kind_no"), F.col("tf_no")).alias("magic"))
 
 
 def strategy_problems(strategies: DataFrame) -> DataFrame:

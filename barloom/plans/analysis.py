@@ -75,11 +75,16 @@ def _(spark, d):
     return last.select("symbol", "t", F.col("score").cast("long").alias("score"), sg.direction(F.col("score")).alias("direction"))
 
 
-@query("mtf_alignment")
+_WIDE = f"WITH RECURSIVE {sql.bars(14400)}, {sql.numbered()}, {votes(NOFLAT)}"
+_LAST = "SELECT symbol, CAST(score AS BIGINT) AS score FROM z QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t DESC) = 1"
+
+
+@query("mtf_alignment", f"""SELECT symbol, m.score AS main_score, o.score AS other_score, CASE WHEN m.score = 0 OR o.score = 0 THEN 'neutral' WHEN sign(m.score) = sign(o.score) THEN 'aligned' ELSE 'diverged' END AS status
+    FROM ({HEAD}{votes(NOFLAT)} {_LAST}) m JOIN ({_WIDE} {_LAST}) o USING (symbol)""")
 def _(spark, d):
     """Newest score of hourly bars against that of four-hour bars."""
     main, other = (src.tail(sg.score(events(spark, d, tf)), 1) for tf in ("h1", "h4"))
-    both = main.select("symbol", F.col("score").alias("main_score")).join(other.select("symbol", F.col("score").alias("other_score")), "symbol")
+    both = main.select("symbol", F.col("score").cast("long").alias("main_score")).join(other.select("symbol", F.col("score").cast("long").alias("other_score")), "symbol")
     return both.withColumn("status", sg.alignment(F.col("main_score"), F.col("other_score")))
 
 
@@ -123,7 +128,17 @@ query(
         FROM z WHERE p4 IS NOT NULL AND over >= tol AND abs(p0 - p4) <= tol * 1.8 AND abs(p1 - p3) <= tol * 2.5""",
 )(lambda spark, d: sg.chart_patterns(events(spark, d)).drop("tf"))
 
-query("support_resistance_levels")(lambda spark, d: shown(sg.levels(events(spark, d)), "price", "strength", "distance", keys=("symbol", "direction", "touches", "last_touch")))
+LEVELS = f"""rc AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) - 1 AS age FROM {{source}} QUALIFY age < 240), {PIVOTS.format('rc')}, rt AS (SELECT *, {TR} FROM rc),
+    lat AS (SELECT symbol, c AS close, avg(tr) {sql.over(14)} AS atr FROM rt QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t DESC) = 1),
+    lp AS (SELECT symbol, t, age, unnest([pivot_low, pivot_high]) AS price FROM piv), lq AS (SELECT lp.*, close, greatest(greatest(abs(close) * 0.0004, 1e-5), least(greatest(abs(close) * 0.02, 5e-5), coalesce(atr, greatest(abs(close) * 0.0015, 1e-5)) * 0.65)) AS tol,
+        pow(0.5, age / 80.0) AS wt, row_number() OVER (PARTITION BY symbol ORDER BY price, t) AS k FROM lp JOIN lat USING (symbol) WHERE price IS NOT NULL),
+    cl AS (SELECT symbol, k, [{{{{'s': price * wt, 'w': wt, 'n': 1, 'last': t}}}}] AS g FROM lq WHERE k = 1
+        UNION ALL SELECT symbol, k, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(g, {{{{'s': price * wt, 'w': wt, 'n': 1, 'last': t}}}}) ELSE list_transform(g, lambda x, j: CASE WHEN j = hit THEN {{{{'s': x.s + price * wt, 'w': x.w + wt, 'n': x.n + 1, 'last': greatest(x.last, t)}}}} ELSE x END) END
+        FROM (SELECT q.*, cl.g, list_position(list_transform(cl.g, lambda x: abs(q.price - x.s / x.w) <= q.tol), true) AS hit FROM cl JOIN lq q ON q.symbol = cl.symbol AND q.k = cl.k + 1)),
+    lu AS (SELECT symbol, unnest(g) AS x FROM cl QUALIFY k = max(k) OVER (PARTITION BY symbol)), lv AS (SELECT symbol, x.s / x.w AS price, x.n AS touches, x.n * x.w AS strength, abs(x.s / x.w - close) AS distance, x.last AS last_touch, close FROM lu JOIN lat USING (symbol)),
+    levels AS (SELECT *, CASE WHEN price >= close THEN 'resistance' ELSE 'support' END AS direction, row_number() OVER (PARTITION BY symbol ORDER BY strength DESC, distance) AS place FROM lv)"""
+_LV = f"WITH RECURSIVE {sql.bars()}, {LEVELS.format(source='bars')}"
+query("support_resistance_levels", f"{_LV} SELECT symbol, direction, CAST(touches AS INT) AS touches, last_touch, {', '.join(sql.r6(x, x) for x in ('price', 'strength', 'distance'))} FROM levels WHERE place <= 8")(lambda spark, d: shown(sg.levels(events(spark, d)), "price", "strength", "distance", keys=("symbol", "direction", "touches", "last_touch")))
 query(
     "fibonacci_levels",
     f"WITH {sql.bars()}, x AS (SELECT symbol, max(h) AS h, min(l) AS l FROM bars GROUP BY 1) SELECT symbol, ratio, round(h - (h - l) * ratio, 9) AS price FROM x, (SELECT unnest([0.0, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0]::DOUBLE[]) AS ratio)",
@@ -145,8 +160,8 @@ def _stats(spark, d):
     return fc.model_stats(sg.score(events(spark, d)))
 
 
-query("model_stats", f"{HEAD}{votes(NOFLAT)}, {STATS} SELECT symbol, t, {', '.join(sql.r6(x, x) for x in ('volatility', 'drift_move', 'autocorrelation', 'regime_move', 'bias'))} FROM st WHERE i > 80")(
-    lambda spark, d: shown(_stats(spark, d).where("i > 80"), "volatility", "drift_move", "autocorrelation", "regime_move", "bias")
+query("model_stats", f"{HEAD}{votes(NOFLAT)}, {STATS} SELECT symbol, t, {', '.join(sql.r6(x, x) for x in ('volatility', 'drift_move', 'autocorrelation', 'regime_move', 'bias'))} FROM st")(
+    lambda spark, d: shown(_stats(spark, d), "volatility", "drift_move", "autocorrelation", "regime_move", "bias")
 )
 
 
@@ -172,8 +187,8 @@ WEIGHT = f"""lg AS (SELECT symbol, horizon, min(total) AS n, count(*) AS k, {',
 MIX = "mx AS (SELECT pb.*, greatest(0.02, least(0.98, p_signal * coalesce(w_signal, 0.4) + p_drift * coalesce(w_drift, 0.35) + p_regime * coalesce(w_regime, 0.25))) AS p_up FROM pb LEFT JOIN wt USING (symbol, horizon))"
 FULL = f"{HEAD}{votes(NOFLAT)}, {STATS}, {PROB}, {PERF}, {WEIGHT}, {MIX}"
 
-query("model_probabilities", f"{HEAD}{votes(NOFLAT)}, {STATS}, {PROB} SELECT symbol, t, horizon, {', '.join(sql.r6(x, x) for x in ('p_signal', 'p_drift', 'p_regime'))}, up FROM pb WHERE i > 80")(
-    lambda spark, d: shown(fc.probabilities(_stats(spark, d)).where("i > 80"), "p_signal", "p_drift", "p_regime", keys=("symbol", "t", "horizon", "up"))
+query("model_probabilities", f"{HEAD}{votes(NOFLAT)}, {STATS}, {PROB} SELECT symbol, t, horizon, {', '.join(sql.r6(x, x) for x in ('p_signal', 'p_drift', 'p_regime'))}, up FROM pb")(
+    lambda spark, d: shown(fc.probabilities(_stats(spark, d)), "p_signal", "p_drift", "p_regime", keys=("symbol", "t", "horizon", "up"))
 )
 query("model_performance", f"{HEAD}{votes(NOFLAT)}, {STATS}, {PROB}, {PERF} SELECT symbol, horizon, model, hits, total, {sql.r6('ewma_accuracy', 'ewma_accuracy')} FROM pf")(
     lambda spark, d: shown(fc.performance(fc.probabilities(_stats(spark, d))), "ewma_accuracy", keys=("symbol", "horizon", "model", "hits", "total"))
@@ -187,29 +202,58 @@ def _mixed(spark, d):
     return fc.mixed_forecasts(events(spark, d))
 
 
-query("weighted_forecast", f"{FULL} SELECT symbol, t, horizon, {sql.r6('p_up', 'p_up')} FROM mx WHERE i > 80")(lambda spark, d: shown(_mixed(spark, d).where("i > 80"), "p_up", keys=("symbol", "t", "horizon")))
+query("weighted_forecast", f"{FULL} SELECT symbol, t, horizon, {sql.r6('p_up', 'p_up')} FROM mx")(lambda spark, d: shown(_mixed(spark, d), "p_up", keys=("symbol", "t", "horizon")))
 query(
     "calibration_bins",
     f"""{FULL}, kb AS (SELECT symbol, horizon, CAST(least(9, floor(p_up * 10)) AS INT) AS bin, p_up, up FROM mx WHERE i > 80 AND up IS NOT NULL), ct AS (SELECT symbol, horizon, bin, count(*) AS n, count(*) FILTER (up) AS positives, avg(p_up) AS a FROM kb GROUP BY 1, 2, 3),
     dm AS (SELECT DISTINCT symbol, horizon, bin.bin FROM kb k, (SELECT CAST(unnest(range(10)) AS INT) AS bin) bin)
     SELECT symbol, horizon, bin, coalesce(n, 0) AS n, coalesce(positives, 0) AS positives, {sql.r6('coalesce(a, (bin + 0.5) / 10)', 'avg_pred')}, {sql.r6('CASE WHEN n > 0 THEN (positives + 1) / (n + 2.0) ELSE (bin + 0.5) / 10 END', 'observed')} FROM dm LEFT JOIN ct USING (symbol, horizon, bin)""",
 )(lambda spark, d: shown(fc.calibration_bins(_mixed(spark, d)), "avg_pred", "observed", keys=("symbol", "horizon", "bin", "n", "positives")))
-query("calibration_curve")(lambda spark, d: fc.calibration(_mixed(spark, d)).select("symbol", "horizon", F.posexplode("points").alias("pos", "p")).select("symbol", "horizon", "pos", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y")))
-query("calibrated_forecast")(lambda spark, d: shown(fc.forecasts(events(spark, d)).where("i > 80"), "p_up", "p_calibrated", keys=("symbol", "t", "horizon")))
-query(
-    "walk_forward_accuracy",
-    f"{FULL}, nw AS (SELECT * FROM mx WHERE i > 80 AND up IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, horizon ORDER BY t DESC) <= 300) SELECT symbol, horizon, count(*) FILTER ((p_up >= 0.5) = up) AS hits, count(*) AS total, {sql.r6('count(*) FILTER ((p_up >= 0.5) = up) / CAST(count(*) AS DOUBLE)', 'accuracy')} FROM nw GROUP BY 1, 2",
-)(lambda spark, d: shown(fc.walk_forward(_mixed(spark, d)), "accuracy", keys=("symbol", "horizon", "hits", "total")))
+# the isotonic fit of ten bins is the largest of the smallest weighted means of bins i to j around a bin
+CURVE = """cu AS (SELECT symbol, horizon, bin, coalesce(a, (bin + 0.5) / 10) AS x, CASE WHEN n > 0 THEN (positives + 1) / (n + 2.0) ELSE (bin + 0.5) / 10 END AS v, greatest(CAST(coalesce(n, 0) AS DOUBLE), 0.001) AS w FROM dm LEFT JOIN ct USING (symbol, horizon, bin)),
+    mn AS (SELECT l.symbol, l.horizon, l.bin AS i, r.bin AS j, sum(m.v * m.w) / sum(m.w) AS y FROM cu l JOIN cu r ON r.symbol = l.symbol AND r.horizon = l.horizon AND r.bin >= l.bin JOIN cu m ON m.symbol = l.symbol AND m.horizon = l.horizon AND m.bin BETWEEN l.bin AND r.bin GROUP BY ALL),
+    lw AS (SELECT c.symbol, c.horizon, c.bin, mn.i, min(mn.y) AS y FROM cu c JOIN mn ON mn.symbol = c.symbol AND mn.horizon = c.horizon AND mn.i <= c.bin AND mn.j >= c.bin GROUP BY ALL),
+    iso AS (SELECT lw.symbol, lw.horizon, lw.bin, any_value(cu.x) AS x, greatest(0.01, least(0.99, max(lw.y))) AS y FROM lw JOIN cu USING (symbol, horizon, bin) GROUP BY ALL)"""
+_BINNED = """kb AS (SELECT symbol, horizon, CAST(least(9, floor(p_up * 10)) AS INT) AS bin, p_up, up FROM mx WHERE i > 80 AND up IS NOT NULL), ct AS (SELECT symbol, horizon, bin, count(*) AS n, count(*) FILTER (up) AS positives, avg(p_up) AS a FROM kb GROUP BY 1, 2, 3),
+    dm AS (SELECT DISTINCT symbol, horizon, bin.bin FROM kb k, (SELECT CAST(unnest(range(10)) AS INT) AS bin) bin)"""
+CALIBRATED = f"""{_BINNED}, {CURVE}, pt AS (SELECT symbol, horizon, list({{'x': x, 'y': y}} ORDER BY x, y) AS pts FROM iso GROUP BY 1, 2),
+    ca AS (SELECT mx.*, pts, list_filter(pts, lambda q: q.x <= p_up)[-1] AS lo, list_filter(pts, lambda q: q.x >= p_up)[1] AS hi FROM mx LEFT JOIN pt USING (symbol, horizon)),
+    cal AS (SELECT *, CASE WHEN pts IS NULL THEN p_up WHEN lo IS NULL THEN hi.y WHEN hi IS NULL THEN lo.y ELSE greatest(0.01, least(0.99, lo.y + (hi.y - lo.y) * (p_up - lo.x) / greatest(hi.x - lo.x, 1e-6))) END AS p_calibrated FROM ca)"""
+query("calibration_curve", f"{FULL}, {_BINNED}, {CURVE} SELECT symbol, horizon, CAST(row_number() OVER (PARTITION BY symbol, horizon ORDER BY x, y) - 1 AS INT) AS pos, round(x, 6) AS x, round(y, 6) AS y FROM iso")(lambda spark, d: fc.calibration(_mixed(spark, d)).select("symbol", "horizon", F.posexplode("points").alias("pos", "p")).select("symbol", "horizon", "pos", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y")))
+query("calibrated_forecast", f"{FULL}, {CALIBRATED} SELECT symbol, t, horizon, {sql.r6('p_up', 'p_up')}, {sql.r6('p_calibrated', 'p_calibrated')} FROM cal")(lambda spark, d: shown(fc.forecasts(events(spark, d)), "p_up", "p_calibrated", keys=("symbol", "t", "horizon")))
+_CUT = "WHERE i > 80 AND up IS NOT NULL AND i >= newest - 300"
+_PRIOR = "greatest(0.02, least(0.98, " + " + ".join(f"p_{m} * {p}" for m, p in fc.PRIOR.items()) + "))"
+
+
+def _walked(source: str, p: str) -> str:
+    return f"wf AS (SELECT *, {p} AS pw, max(i) OVER (PARTITION BY symbol) AS newest FROM {source}) SELECT symbol, horizon, count(*) FILTER ((pw >= 0.5) = up) AS hits, count(*) AS total, {sql.r6('count(*) FILTER ((pw >= 0.5) = up) / CAST(count(*) AS DOUBLE)', 'accuracy')} FROM wf {_CUT} GROUP BY 1, 2"
+
+
+query("walk_forward_accuracy", f"{HEAD}{votes(NOFLAT)}, {STATS}, {PROB}, {_walked('pb', _PRIOR)}")(lambda spark, d: shown(fc.walk_forward(fc.prior_weighted(fc.probabilities(_stats(spark, d)))), "accuracy", keys=("symbol", "horizon", "hits", "total")))
+query("walk_forward_with_table", f"{FULL}, {CALIBRATED}, {_walked('cal', 'p_calibrated')}")(lambda spark, d: shown(fc.walk_forward(fc.forecasts(events(spark, d)), p="p_calibrated"), "accuracy", keys=("symbol", "horizon", "hits", "total")))
+ACCURACY = "wl AS (SELECT symbol, horizon, 'signal' AS model, w_signal AS w FROM wt UNION ALL SELECT symbol, horizon, 'drift', w_drift FROM wt UNION ALL SELECT symbol, horizon, 'regime', w_regime FROM wt), wa AS (SELECT symbol, horizon, greatest(0, least(1, sum(ewma_accuracy * w) / sum(w))) AS accuracy FROM wl JOIN pf USING (symbol, horizon, model) WHERE w > 0 GROUP BY 1, 2)"
+query("weighted_accuracy", f"{HEAD}{votes(NOFLAT)}, {STATS}, {PROB}, {PERF}, {WEIGHT}, {ACCURACY} SELECT symbol, horizon, {sql.r6('accuracy', 'accuracy')} FROM wa")(lambda spark, d: _weighted_accuracy(spark, d))
+
+
+def _weighted_accuracy(spark, d):
+    perf = fc.performance(fc.probabilities(_stats(spark, d)))
+    return shown(fc.accuracy_of_weights(perf, fc.weights(perf)), "accuracy", keys=("symbol", "horizon"))
+
+
+EXPECTED = f"""xp AS (SELECT symbol, t, horizon, c * exp(0.25 * (greatest(0.05, least(0.95, 0.5 + bias * 0.24 / sqrt(horizon))) - 0.5) * 2 * volatility * sqrt(horizon) + 0.45 * drift_move * horizon + 0.3 * regime_move * least(horizon, 5)) AS expected,
+        CASE WHEN atr_latest > 0 THEN atr_latest ELSE greatest(abs(c) * 0.001, 0.00001) END * sqrt(horizon) AS wd FROM st, (SELECT unnest([1, 5, 20]) AS horizon) hz),
+    xb AS (SELECT *, greatest(0, expected - wd) AS low, expected + wd AS high, greatest(0, expected - 2 * wd) AS low2, expected + 2 * wd AS high2 FROM xp)"""
+_X = ", ".join(sql.r6(x, x) for x in ("expected", "low", "high", "low2", "high2"))
 
 
-@query("expected_prices")
+@query("expected_prices", f"{HEAD}{votes(NOFLAT)}, {STATS}, {EXPECTED} SELECT symbol, t, horizon, {_X} FROM xb")
 def _(spark, d):
     stats = fc.model_stats(ind.latest_atr(sg.score(events(spark, d))))
-    return shown(fc.expected_prices(stats.where("i > 80")), "expected", "low", "high", "low2", "high2", keys=("symbol", "t", "horizon"))
+    return shown(fc.expected_prices(stats), "expected", "low", "high", "low2", "high2", keys=("symbol", "t", "horizon"))
 
 
-@query("journal_summary")
+@query("journal_summary", f"{FULL} SELECT horizon, count(*) AS entries, count(up) AS resolved, count(*) FILTER ((round(p_up, 6) >= 0.5) = up) AS hits, {sql.r6('count(*) FILTER ((round(p_up, 6) >= 0.5) = up) / CAST(nullif(count(up), 0) AS DOUBLE)', 'accuracy')} FROM mx GROUP BY 1")
 def _(spark, d):
     bars = events(spark, d)
-    journal = _mixed(spark, d).where("i > 80 and i % 10 = 0").select("symbol", "tf", "t", "horizon", "p_up")
+    journal = _mixed(spark, d).select("symbol", "tf", "t", "horizon", F.round("p_up", 6).alias("p_up"))
     return shown(fc.journal_summary(fc.reconcile_journal(journal, bars)), "accuracy", keys=("horizon", "entries", "resolved", "hits"))

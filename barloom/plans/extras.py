@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.operators import conditions
 from barloom.operators import forecast as fc
 from barloom.operators import indicators as ind
 from barloom.operators import signals as sg
 from barloom.operators import supplement as sp
 from barloom.plans import sql
+from barloom.plans.analysis import _LV, EXPECTED, HEAD, NOFLAT, STATS, votes
 from barloom.plans.series import query, shown
 from barloom.plans.trading import TRADES, order_trades
 from barloom.sources import bars as src
@@ -21,9 +23,9 @@ def _(spark, d):
     return sp.registration_split(src.event_bars(spark, d), REGISTERED).groupBy("symbol", "part").agg(F.count("*").alias("n"))
 
 
-@query("reference_window", f"WITH {sql.bars()} SELECT symbol, t, {sql.r6('c', 'c')} FROM bars WHERE t >= {REGISTERED} - 604800 AND t < {REGISTERED}")
+@query("reference_window", f"WITH {sql.bars()} SELECT symbol, t, {sql.r6('c', 'c')} FROM bars WHERE t >= {REGISTERED} - 63676800 AND t < {REGISTERED}")
 def _(spark, d):
-    return shown(sp.reference_window(src.event_bars(spark, d), REGISTERED, 7), "c")
+    return shown(sp.reference_window(src.event_bars(spark, d), REGISTERED), "c")
 
 
 @query("coverage_before_registration", f"WITH {sql.bars()} SELECT symbol, count(*) FILTER (t < {REGISTERED}) AS bars_before, {sql.r6(f'coalesce((max(t) FILTER (t < {REGISTERED}) - min(t) FILTER (t < {REGISTERED})) / 86400.0, 0)', 'days_before')}, {sql.r6('(max(t) - min(t)) / 86400.0', 'span_days')} FROM bars GROUP BY 1")
@@ -46,20 +48,22 @@ def _(spark, d):
     return sp.latest_trades(order_trades(spark, d)).select("run_id", "symbol", "id", F.col("place").cast("long").alias("place"))
 
 
-@query("candidate_matrix", "SELECT CAST(216 AS BIGINT) AS n, CAST(216 AS BIGINT) AS numbers, CAST(6 AS BIGINT) AS symbols, CAST(18 AS BIGINT) AS kinds")
+_LIST = lambda values: "(SELECT unnest(range(" + str(len(values)) + ")) AS no, unnest([" + ", ".join(f"'{v}'" for v in values) + "]) AS x)"
+
+
+@query("candidate_matrix", f"SELECT s.x AS symbol, k.x AS kind, t.x AS tf, 1783100000 + k.no // 10 * 100000 + s.no * 100 + k.no % 10 * 10 + t.no AS magic FROM {_LIST(list(sp.SPREADS))} s, {_LIST(list(conditions.DEFAULTS))} k, {_LIST(['h1', 'h4'])} t")
 def _(spark, d):
-    rows = sp.candidates(spark, list(sp.SPREADS))
-    return rows.agg(F.count("*").alias("n"), F.countDistinct("magic").alias("numbers"), F.countDistinct("symbol").alias("symbols"), F.countDistinct("kind").alias("kinds"))
+    return sp.candidates(spark, list(sp.SPREADS))
 
 
 @query(
     "calendar_sides",
-    """WITH e AS (SELECT event_id, event_type AS currency, epoch_us(ts) // 1000000 AS time FROM events WHERE event_id % 20 = 0), x AS (SELECT *, CASE WHEN time > 1705276800 THEN 'upcoming' ELSE 'past' END AS side FROM e)
+    """WITH e AS (SELECT event_id, event_type AS currency, epoch_us(ts) // 1000000 AS time FROM events), x AS (SELECT *, CASE WHEN time > 1705276800 THEN 'upcoming' ELSE 'past' END AS side FROM e)
     SELECT event_id, side, abs(time - 1705276800) AS distance FROM x""",
 )
 def _(spark, d):
-    """Every twentieth event as a calendar."""
-    events = spark.read.parquet(f"{d}/events.parquet").where("event_id % 20 = 0")
+    """The events as a calendar."""
+    events = spark.read.parquet(f"{d}/events.parquet")
     rows = events.select("event_id", F.col("event_type").alias("currency"), src.unix_seconds("ts").alias("time"), F.col("event_id").cast("string").alias("title"))
     return sp.calendar_sides(rows, REGISTERED).select("event_id", "side", "distance")
 
@@ -75,13 +79,13 @@ def _(spark, d):
     return shown(sp.cot_change(weeks), "noncomm_net", "net_change", keys=("currency", "date"), digits=4)
 
 
-@query("visible_levels")
+@query("visible_levels", f"{_LV} SELECT symbol, CAST(place AS INT) AS place, direction, {sql.r6('price', 'price')} FROM levels WHERE place <= 5")
 def _(spark, d):
     levels = sg.levels(src.event_bars(spark, d))
     return shown(sp.visible_levels(levels), "price", keys=("symbol", "place", "direction"))
 
 
-@query("fan_chart")
+@query("fan_chart", f"{HEAD}{votes(NOFLAT)}, {STATS}, {EXPECTED} SELECT symbol, t + horizon * 3600 AS t, horizon, {', '.join(sql.r6(x, x) for x in ('expected', 'low2', 'high2'))} FROM xb QUALIFY row_number() OVER (PARTITION BY symbol, horizon ORDER BY xb.t DESC) = 1")
 def _(spark, d):
     stats = fc.model_stats(ind.latest_atr(sg.score(src.event_bars(spark, d))))
     return shown(sp.fan(fc.expected_prices(stats), 3600), "expected", "low2", "high2", keys=("symbol", "t", "horizon"))

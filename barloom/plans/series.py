@@ -195,7 +195,8 @@ _recursive("macd", rec.macd, ["macd", "macd_signal", "macd_hist"], MACD)
 _recursive("adx", rec.adx, ["plus_di", "minus_di", "adx"], ADX)
 _recursive("alligator", rec.alligator, ["jaw", "teeth", "lips"], ALLI)
 _recursive("keltner", rec.keltner, ["kelt_upper", "kelt_lower"], KELT)
-query("parabolic_sar")(lambda spark, d: shown(rec.parabolic_sar(src.event_bars(spark, d)).withColumn("sar_long", F.col("sar_long").cast("int")), "sar", "sar_long"))
+_SAR = f"WITH RECURSIVE {sql.bars()}, {sql.numbered()}, {sql.sar()}"
+query("parabolic_sar", f"{_SAR} SELECT symbol, t, {sql.r6('sar', 'sar')}, {sql.r6('CAST(sar_long AS INT)', 'sar_long')} FROM x")(lambda spark, d: shown(rec.parabolic_sar(src.event_bars(spark, d)).withColumn("sar_long", F.col("sar_long").cast("int")), "sar", "sar_long"))
 
 # -- entry conditions ------------------------------------------------------------------
 
@@ -224,7 +225,7 @@ _condition("rvi", RVI, sql.up("rvi", "rvi_signal"), sql.down("rvi", "rvi_signal"
 _condition("stochastic", STO, "stoch_k <= 20", "stoch_k >= 80")
 _condition("stochCross", STF, sql.up("stochf_k", "stochf_d"), sql.down("stochf_k", "stochf_d"))
 _condition("alligator", ALLI, f"{sql.up('lips', 'teeth')} AND teeth > jaw", f"{sql.down('lips', 'teeth')} AND teeth < jaw", True)
-query("cond_parabolicSar")(lambda spark, d: conditions.signals(src.event_bars(spark, d), [{"type": "parabolicSar"}]).select("symbol", "t", "long", "short"))
+query("cond_parabolicSar", f"{_SAR} SELECT symbol, t, coalesce(sar_long AND NOT {sql.lag('sar_long')}, false) AS long, coalesce(NOT sar_long AND {sql.lag('sar_long')}, false) AS short FROM x")(lambda spark, d: conditions.signals(src.event_bars(spark, d), [{"type": "parabolicSar"}]).select("symbol", "t", "long", "short"))
 
 
 @query(
@@ -260,22 +261,22 @@ def _(spark, d):
 
 @query(
     "asof_nearest",
-    f"""WITH {sql.bars()}, {sql.bars(86400, 'day')}, e AS (SELECT symbol, t, c FROM bars WHERE t % 7200 = 0), f AS (SELECT e.*, d.t AS bt, d.c AS bc FROM e ASOF LEFT JOIN day d ON e.symbol = d.symbol AND e.t >= d.t),
+    f"""WITH {sql.bars()}, {sql.bars(86400, 'day')}, e AS (SELECT symbol, t, c FROM bars), f AS (SELECT e.*, d.t AS bt, d.c AS bc FROM e ASOF LEFT JOIN day d ON e.symbol = d.symbol AND e.t >= d.t),
     g AS (SELECT f.*, d.t AS nt, d.c AS ac FROM f ASOF LEFT JOIN day d ON f.symbol = d.symbol AND f.t <= d.t)
     SELECT symbol, t, {sql.r6('CASE WHEN bt IS NOT NULL AND (nt IS NULL OR t - bt <= nt - t) THEN bc ELSE ac END', 'c_nearest')} FROM g""",
 )
 def _(spark, d):
-    left = src.event_bars(spark, d).where("t % 7200 = 0").select("symbol", "t")
+    left = src.event_bars(spark, d).select("symbol", "t")
     days = src.event_bars(spark, d, "d1").select("symbol", F.col("t").alias("day"), "c")
     return shown(asof.nearest(left, days, ["symbol"], "t", "day", "c"), "c_nearest")
 
 
 @query(
     "interval_events",
-    """WITH e AS (SELECT event_id, epoch_us(ts) // 1000000 AS time FROM events WHERE event_type = 'error'), n AS (SELECT min(time) + 86400 AS now FROM e) SELECT event_id, time FROM e, n WHERE time > now AND time <= now + 172800""",
+    """WITH e AS (SELECT event_id, epoch_us(ts) // 1000000 AS time FROM events), n AS (SELECT min(time) + 86400 AS now FROM e) SELECT event_id, time FROM e, n WHERE time > now AND time <= now + 172800""",
 )
 def _(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'error'").select("event_id", src.unix_seconds("ts").alias("time"))
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", src.unix_seconds("ts").alias("time"))
     now = events.agg(F.min("time")).first()[0]
     return asof.within_next(events, (now or 0) + 86400, 172800)
 

@@ -82,3 +82,19 @@ def down(a: str, b: str) -> str:
 
 def r6(x: str, name: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0.0 AS {name}"
+
+
+def sar(step: float = 0.02, most: float = 0.2) -> str:
+    """Recursive table x: b with the parabolic stop and its side, shown once two turns and 100 bars after the first are past."""
+    return f"""pr AS (
+        SELECT symbol, i, false AS lng, CAST(NULL AS DOUBLE) AS stop, CAST(NULL AS DOUBLE) AS ext, CAST({step} AS DOUBLE) AS pace, h AS hi, l AS lo, h AS bh, l AS bl, CAST(NULL AS BIGINT) AS t1, CAST(NULL AS BIGINT) AS t2, CAST(NULL AS DOUBLE) AS shown_stop, CAST(NULL AS BOOLEAN) AS shown_long FROM b WHERE i = 1
+        UNION ALL SELECT symbol, i, lng2, CASE WHEN lng2 THEN least(nxt, l, bl) ELSE greatest(nxt, h, bh) END, ext2, pace2, CASE WHEN turned THEN h ELSE hi1 END, CASE WHEN turned THEN l ELSE lo1 END, h, l, t1n, t2n,
+            CASE WHEN t2n IS NOT NULL AND i >= greatest(t1n + 100, t2n) THEN stop2 END, CASE WHEN t2n IS NOT NULL AND i >= greatest(t1n + 100, t2n) THEN lng2 END
+        FROM (SELECT *, stop2 + pace2 * (ext2 - stop2) AS nxt FROM (SELECT *, turned <> lng AS lng2, CASE WHEN turned THEN CASE WHEN lng THEN hi1 ELSE lo1 END ELSE stop1 END AS stop2,
+                CASE WHEN turned THEN CASE WHEN lng THEN l ELSE h END WHEN lng THEN greatest(h, ext1) ELSE least(l, ext1) END AS ext2,
+                CASE WHEN turned THEN {step} WHEN CASE WHEN lng THEN h > ext1 ELSE l < ext1 END THEN least(pace + {step}, {most}) ELSE pace END AS pace2,
+                CASE WHEN turned THEN coalesce(t1, i) ELSE t1 END AS t1n, CASE WHEN turned AND t1 IS NOT NULL THEN coalesce(t2, i) ELSE t2 END AS t2n
+            FROM (SELECT *, CASE WHEN lng THEN stop1 > l ELSE stop1 < h END AS turned
+                FROM (SELECT p.* EXCLUDE (i), b.i, b.h, b.l, greatest(hi, b.h) AS hi1, least(lo, b.l) AS lo1, CASE WHEN b.i = 2 THEN greatest(hi, b.h) ELSE stop END AS stop1, CASE WHEN b.i = 2 THEN b.l ELSE ext END AS ext1
+                    FROM pr p JOIN b ON b.symbol = p.symbol AND b.i = p.i + 1))))),
+    x AS (SELECT b.*, shown_stop AS sar, shown_long AS sar_long FROM b LEFT JOIN pr USING (symbol, i))"""

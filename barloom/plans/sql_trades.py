@@ -16,9 +16,9 @@ def half_up(x: str, digits: int = 0) -> str:
 def runs(rows: list[dict]) -> str:
     """Table rn of run rows."""
     minutes = lambda x: int(x[:2]) * 60 + int(x[3:]) if x else -1
-    text = lambda r: f"('{r['run_id']}', {r['stop_pips']!r}, {r['target_pips']!r}, {r['trailing_pips'] or 0.0!r}, {str(r['close_on_opposite']).lower()}, {minutes(r['session_start'])}, {minutes(r['session_end'])}, '{r['mode']}', {r['balance']!r}, {r['fixed_lot']!r}, {r['risk_pct']!r}, {r['max_lot']!r}, {r['spread_pips']!r})"
-    kinds = "run_id, CAST(sp AS DOUBLE) AS sp, CAST(tp AS DOUBLE) AS tp, CAST(trail AS DOUBLE) AS trail, opp, sa, sb, mode, CAST(bal AS DOUBLE) AS bal, CAST(fixed AS DOUBLE) AS fixed, CAST(risk AS DOUBLE) AS risk, CAST(maxlot AS DOUBLE) AS maxlot, CAST(spread AS DOUBLE) AS spread"
-    return f"rn AS (SELECT {kinds} FROM (VALUES {', '.join(map(text, rows))}) v(run_id, sp, tp, trail, opp, sa, sb, mode, bal, fixed, risk, maxlot, spread))"
+    text = lambda r: f"('{r['run_id']}', {r['stop_pips']!r}, {r['target_pips']!r}, {r['trailing_pips'] or 0.0!r}, {str(r['close_on_opposite']).lower()}, {minutes(r['session_start'])}, {minutes(r['session_end'])}, '{r['mode']}', {r['balance']!r}, {r['fixed_lot']!r}, {r['risk_pct']!r}, {r['max_lot']!r}, {r['spread_pips']!r}, '{r['directions']}')"
+    kinds = "run_id, CAST(sp AS DOUBLE) AS sp, CAST(tp AS DOUBLE) AS tp, CAST(trail AS DOUBLE) AS trail, opp, sa, sb, mode, CAST(bal AS DOUBLE) AS bal, CAST(fixed AS DOUBLE) AS fixed, CAST(risk AS DOUBLE) AS risk, CAST(maxlot AS DOUBLE) AS maxlot, CAST(spread AS DOUBLE) AS spread, dirs"
+    return f"rn AS (SELECT {kinds} FROM (VALUES {', '.join(map(text, rows))}) v(run_id, sp, tp, trail, opp, sa, sb, mode, bal, fixed, risk, maxlot, spread, dirs))"
 
 
 def _trade(n: str, pos: str, entered: str, entry: str, price: str, gross: str, lot: str, money: str, reason: str) -> str:
@@ -46,7 +46,7 @@ def simulated(signals: str) -> str:
             CAST(0 AS DOUBLE) AS pips, CAST(0 AS DOUBLE) AS money, CAST(0 AS DOUBLE) AS peak_pips, bal AS peak, CAST(0 AS BIGINT) AS n, {none} AS closed, CAST(0 AS DOUBLE) AS eq_pips, CAST(0 AS DOUBLE) AS dd_pips, {half_up('bal')} AS eq_yen, CAST(0 AS DOUBLE) AS dd_yen, CAST(0 AS DOUBLE) AS dd_pct
         FROM rn, sig WHERE i = 1
         UNION ALL
-        SELECT run_id, symbol, i, t, pos5, entry2, stop4, target2, source4, lot2, entered2, CASE WHEN final OR pos5 <> 0 THEN 0 WHEN long THEN 1 WHEN short THEN -1 ELSE 0 END,
+        SELECT run_id, symbol, i, t, pos5, entry2, stop4, target2, source4, lot2, entered2, CASE WHEN final OR pos5 <> 0 THEN 0 WHEN long AND contains(dirs, 'long') THEN 1 WHEN short AND contains(dirs, 'short') THEN -1 ELSE 0 END,
             NOT final AND pos5 <> 0 AND opp AND CASE WHEN pos5 = 1 THEN short ELSE long END, pips5, money5, peak_pips5, peak5, n5, closed5, {half_up('at_pips', 1)}, {half_up('greatest(0.0, peak_pips5 - at_pips)', 1)}, {half_up('at_yen')}, {half_up('greatest(0.0, peak5 - at_yen)')},
             CASE WHEN peak5 <= 0 THEN 0 ELSE greatest(0.0, peak5 - at_yen) / peak5 * 100 END
         FROM (SELECT *, CASE WHEN ends THEN 0 ELSE pos3 END AS pos5, CASE WHEN ends THEN pips4 ELSE mark_pips END AS at_pips, CASE WHEN ends THEN bal + money4 ELSE mark_yen END AS at_yen, pips4 AS pips5, money4 AS money5,
@@ -89,8 +89,7 @@ def donchian(source: str, name: str = "sg") -> str:
     {name} AS (SELECT symbol, t, o, h, l, c, {sql.lag('t')} IS NOT NULL AND coalesce(c > up, false) AS long, {sql.lag('t')} IS NOT NULL AND coalesce(c < dn, false) AS short FROM {name}c)"""
 
 
-def band(source: str, name: str = "sg") -> str:
-    """Signals of bars that touch the band of 20 bars and two deviations, over the table ``source``."""
-    low, high = (f"{sql.frame('avg', 'c', 20)} {sign} 2 * {sql.frame('stddev_pop', 'c', 20)}" for sign in "-+")
-    return f"""{name}c AS (SELECT *, {low} AS lo, {high} AS hi FROM {source}),
-    {name} AS (SELECT symbol, t, o, h, l, c, {sql.lag('t')} IS NOT NULL AND coalesce(l <= lo, false) AS long, {sql.lag('t')} IS NOT NULL AND coalesce(h >= hi, false) AS short FROM {name}c)"""
+def crosses(source: str, name: str = "sg") -> str:
+    """Signals of the mean of 5 closes crossing that of 20, over the table ``source``."""
+    return f"""{name}c AS (SELECT *, {sql.frame('avg', 'c', 5)} AS f, {sql.frame('avg', 'c', 20)} AS s FROM {source}),
+    {name} AS (SELECT symbol, t, o, h, l, c, {sql.lag('t')} IS NOT NULL AND {sql.up('f', 's')} AS long, {sql.lag('t')} IS NOT NULL AND {sql.down('f', 's')} AS short FROM {name}c)"""

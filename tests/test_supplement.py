@@ -8,7 +8,7 @@ def one(spark, expression):
 
 
 def test_reference_tables(spark):
-    assert one(spark, sp.spread_pips(F.lit("USDJPY"))) == 0.2 and one(spark, sp.spread_pips(F.lit("XXXYYY"))) == 0
+    assert one(spark, sp.spread_pips(F.lit("USDJPY"))) == 0.9 and one(spark, sp.spread_pips(F.lit("XXXYYY"))) == 0
     assert one(spark, sp.price_digits(F.lit("EURJPY"))) == 3 and one(spark, sp.to_pips(F.lit("EURUSD"), F.lit(-0.00123))) == 12.3
     assert one(spark, sp.secondary_timeframe(F.lit("h1"))) == "h4" and one(spark, sp.relative_timeframe(F.lit("h1"), F.lit("m15"))) == "lower"
     assert one(spark, sp.default_currency(F.lit("EURUSD"), ["USD"])) == "USD" and one(spark, sp.default_currency(F.lit("EURUSD"), [])) == "JPY"
