@@ -164,6 +164,25 @@ def patterns(bars: DataFrame) -> DataFrame:
 LEVEL = "symbol string, tf string, price double, direction string, touches int, strength double, distance double, last_touch long"
 
 
+def clustered(points: list[tuple[float, int, int]], close: float, atr: float | None, lookback: int) -> list[tuple]:
+    """Clusters (-strength, distance, price, touches, last touch) of swing points (price, age, time), the strongest first."""
+    size = abs(close)
+    wide = atr if atr is not None else max(size * 0.0015, 1e-5)
+    tolerance = max(max(size * 0.0004, 1e-5), min(max(size * 0.02, 5e-5), wide * 0.65))
+    half_life, clusters = max(20, lookback // 3), []
+    for price, age, t in sorted(points, key=lambda x: (x[0], x[2])):
+        weight = 0.5 ** (age / half_life)
+        own = next((x for x in clusters if abs(price - x[0] / x[1]) <= tolerance), None)
+        if own is None:
+            own = [0.0, 0.0, 0, t]
+            clusters.append(own)
+        own[0] += price * weight
+        own[1] += weight
+        own[2] += 1
+        own[3] = max(own[3], t)
+    return sorted((-x[2] * x[1], abs(x[0] / x[1] - close), x[0] / x[1], x[2], x[3]) for x in clusters)
+
+
 def levels(bars: DataFrame, lookback: int = 240, strength: int = 2, most: int = 8) -> DataFrame:
     """Support and resistance clusters of the newest ``lookback`` bars.
 
@@ -177,30 +196,11 @@ def levels(bars: DataFrame, lookback: int = 240, strength: int = 2, most: int =
     points = pivots(recent, strength).where("pivot_high is not null or pivot_low is not null").join(now, list(KEY))
     low_high = F.array_compact(F.array("pivot_low", "pivot_high"))
     rows = points.select(*KEY, "t", "age", "close", "atr", F.explode(low_high).alias("price"))
-    half_life = max(20, lookback // 3)
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["price", "t"])
-        close, atr = frame["close"].iloc[0], frame["atr"].iloc[0]
-        size = max(abs(close), 0.0)
-        wide = atr if atr == atr and atr is not None else max(size * 0.0015, 1e-5)
-        tolerance = max(max(size * 0.0004, 1e-5), min(max(size * 0.02, 5e-5), wide * 0.65))
-        clusters: list[dict] = []
-        for price, t, age in frame[["price", "t", "age"]].itertuples(index=False):
-            weight = 0.5 ** (age / half_life)
-            own = next((x for x in clusters if abs(price - x["sum"] / x["weight"]) <= tolerance), None)
-            if own is None:
-                own = {"sum": 0.0, "weight": 0.0, "touches": 0, "last": t}
-                clusters.append(own)
-            own["sum"] += price * weight
-            own["weight"] += weight
-            own["touches"] += 1
-            own["last"] = max(own["last"], t)
-        out = []
-        for x in clusters:
-            price = x["sum"] / x["weight"]
-            out.append((frame["symbol"].iloc[0], frame["tf"].iloc[0], price, "resistance" if price >= close else "support", x["touches"], x["touches"] * x["weight"], abs(price - close), x["last"]))
-        out.sort(key=lambda r: (-r[5], r[6]))
+        symbol, tf, close, atr = (frame[c].iloc[0] for c in ("symbol", "tf", "close", "atr"))
+        found = clustered(list(zip(frame["price"], frame["age"], frame["t"])), close, None if atr != atr else atr, lookback)
+        out = [(symbol, tf, price, "resistance" if price >= close else "support", touches, -strength, distance, last) for strength, distance, price, touches, last in found]
         return pd.DataFrame(out[: max(1, most)], columns=[c.strip().split(" ")[0] for c in LEVEL.split(",")])
 
     return rows.groupBy(*KEY).applyInPandas(fold, LEVEL)

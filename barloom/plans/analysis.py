@@ -8,7 +8,7 @@ from barloom.operators import forecast as fc
 from barloom.operators import indicators as ind
 from barloom.operators import signals as sg
 from barloom.plans import sql
-from barloom.plans.series import BOLL, MACD, QUERIES as _S, RSI14, query, shown
+from barloom.plans.series import MACD, ORACLES, RSI14, query, shown
 from barloom.sources import bars as src
 
 L = sql.lag

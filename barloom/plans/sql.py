@@ -10,6 +10,13 @@ def bars(seconds: int = 3600, name: str = "bars") -> str:
         FROM events GROUP BY 1, 2)"""
 
 
+def walk(seconds: int = 1800, name: str = "bars") -> str:
+    """Half-hourly bars laid end to end, or coarser bars of them."""
+    return f"""{name} AS (SELECT symbol, (t // {seconds}) * {seconds} AS t, first(o ORDER BY t) AS o, max(h) AS h, min(l) AS l, last(c ORDER BY t) AS c, sum(v) AS v
+        FROM (SELECT symbol, t, no AS o, round(greatest(no, nc) + 0.1 * (h - greatest(o, c)), 2) AS h, round(least(no, nc) - 0.1 * (least(o, c) - l), 2) AS l, nc AS c, v
+            FROM (SELECT *, round(nc - round(c - o, 2), 2) AS no FROM (SELECT *, round(10000 + sum(round(c - o, 2)) OVER (PARTITION BY symbol ORDER BY t), 2) AS nc FROM (WITH {bars(1800, 'raw')} SELECT * FROM raw)))) GROUP BY 1, (t // {seconds}) * {seconds})"""
+
+
 ORDER_BARS = """bars AS (
         SELECT o_orderpriority AS symbol, (epoch_us(o_orderdate) // 1000000 // 86400) * 86400 AS t, first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS o, max(o_totalprice) AS h,
             min(o_totalprice) AS l, last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS c, CAST(count(*) AS DOUBLE) AS v

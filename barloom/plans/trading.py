@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from barloom.operators import backtest as bt
 from barloom.operators import conditions, grid, ledger, scanner
+from barloom.operators import forecast as fc
+from barloom.operators import signals as sg
+from barloom.plans import analysis as an
 from barloom.plans import sql
 from barloom.plans import sql_trades as st
 from barloom.plans.series import RSI14, query, shown
@@ -139,21 +142,108 @@ query(
 # -- recommendations --------------------------------------------------------------------------
 
 
-def _recommended(spark, d) -> DataFrame:
-    return scanner.scan(src.event_bars(spark, d), src.event_bars(spark, d, "h4"), 14400)
+def _style_sql(style: str) -> str:
+    """Table r_<style>: the recommendations of a style; the fragments of single operators, over slices of bars."""
+    s = scanner.STYLES[style]
+    seconds, wide = src.SECONDS[s.main], src.SECONDS[s.wide]
+    sliced = lambda text, source: text.replace(sql.bars(), f"bars AS (SELECT symbol, t, o, h, l, c FROM {source})")
+    env = f"WITH RECURSIVE {sql.walk(wide)}, {sql.numbered()}, {an.votes(an.NOFLAT)} SELECT symbol, i, t + {wide} AS closed, score FROM z"
+    piece = lambda n: f"SELECT d.symbol || '/' || d.t AS symbol, b.t, b.o, b.h, b.l, b.c FROM d1 d JOIN b ON b.symbol = d.symbol AND b.i BETWEEN d.i - {n - 1} AND d.i"
+    swings = f"WITH bars AS (SELECT * FROM s160), {an.PIVOTS.format('bars')} SELECT symbol, t, pivot_high, pivot_low FROM piv WHERE pivot_high IS NOT NULL OR pivot_low IS NOT NULL"
+    levels = sliced(an._LV, "s240") + " SELECT symbol, price FROM levels WHERE place <= 12"
+    full = an.FULL.replace(sql.bars(), sql.walk(seconds))
+    return f"""r_{style} AS ({full}, {an.CALIBRATED}, {an.ACCURACY}, env AS ({env}),
+    d0 AS (SELECT symbol, t, i, c, score, greatest(-1, least(1, score / CAST(greatest(4, most) AS DOUBLE))) AS ratio, s20, atr_latest AS atr FROM z WHERE (t + {seconds}) % 14400 = 0),
+    d1 AS (SELECT d0.*, sign(d0.score) AS sg, CASE WHEN e.score = 0 THEN 'neutral' WHEN sign(e.score) = sign(d0.score) THEN 'aligned' ELSE 'diverged' END AS status FROM d0 ASOF JOIN env e ON e.symbol = d0.symbol AND d0.t >= e.closed WHERE d0.i >= 50 AND e.i >= 2 AND d0.score <> 0 AND atr > 0),
+    d2 AS (SELECT *, symbol || '/' || t AS id, CASE WHEN abs(score) >= 3 AND status <> 'diverged' AND abs(c - s20) <= 1.1 * atr THEN 'market' ELSE 'pullback' END AS entry_type FROM d1),
+    d3 AS (SELECT *, CASE WHEN entry_type = 'market' THEN c WHEN sg > 0 THEN least(c, coalesce(s20, c)) ELSE greatest(c, coalesce(s20, c)) END AS entry FROM d2),
+    s120 AS ({piece(120)}), s160 AS ({piece(160)}), s240 AS ({piece(240)}),
+    ch AS ({sliced(an.ORACLES['chart_patterns'], 's120')}), cp AS ({an.ORACLES['candle_patterns'].replace(sql.bars(), sql.walk(seconds))}), fs AS ({swings}), le AS ({levels}),
+    pa AS (SELECT d.id, b.i, ch.direction, ch.strength FROM d1 JOIN d3 d USING (symbol, t) JOIN ch ON ch.symbol = d.id JOIN b ON b.symbol = d.symbol AND b.t = ch.t WHERE b.i >= d.i - 5
+        UNION ALL SELECT d.id, b.i, cp.direction, cp.strength FROM d3 d JOIN b ON b.symbol = d.symbol AND b.i BETWEEN d.i - 5 AND d.i JOIN cp ON cp.symbol = b.symbol AND cp.t = b.t WHERE cp.direction <> 'neutral'),
+    pb2 AS (SELECT id, direction, arg_max(strength, i * 10 + strength) AS strength FROM pa GROUP BY 1, 2), pc AS (SELECT id, max(strength) FILTER (direction = 'bullish') AS bull, max(strength) FILTER (direction = 'bearish') AS bear FROM pb2 GROUP BY 1),
+    lv2 AS (SELECT d.id, max(price) FILTER (price < entry) AS below, min(price) FILTER (price > entry) AS above FROM d3 d JOIN le ON le.symbol = d.id GROUP BY 1),
+    fb AS (SELECT d.id, arg_max(pivot_low, fs.t) FILTER (pivot_low < entry) AS below, arg_max(pivot_high, fs.t) FILTER (pivot_high > entry) AS above FROM d3 d JOIN fs ON fs.symbol = d.id GROUP BY 1),
+    d4 AS (SELECT d.*, coalesce(lv2.below, fb.below) AS below, coalesce(lv2.above, fb.above) AS above, CASE WHEN sg > 0 THEN bull ELSE bear END AS own, CASE WHEN sg > 0 THEN bear ELSE bull END AS contrary, CASE WHEN sg > 0 THEN cal.p_calibrated ELSE 1 - cal.p_calibrated END AS p, wa.accuracy
+        FROM d3 d LEFT JOIN pc ON pc.id = d.id LEFT JOIN lv2 ON lv2.id = d.id LEFT JOIN fb ON fb.id = d.id LEFT JOIN cal ON cal.symbol = d.symbol AND cal.t = d.t AND cal.horizon = {s.horizon} LEFT JOIN wa ON wa.symbol = d.symbol AND wa.horizon = {s.horizon}),
+    d5 AS (SELECT *, round(greatest(0, least(100, 56.0 * abs(ratio) + CASE status WHEN 'aligned' THEN 22.0 WHEN 'neutral' THEN 6.0 ELSE -18.0 END + CASE WHEN own IS NOT NULL THEN 5.0 * own WHEN contrary IS NOT NULL THEN -8.0 ELSE 0 END
+        + coalesce(16.0 * greatest(-1, least(1, 2 * (p - 0.5))), 0))), 1) AS total FROM d4),
+    d6 AS (SELECT *, coalesce(total >= 58, false) AS a1, coalesce(p >= 0.54, false) AS a2, status = 'aligned' AS a3, coalesce(accuracy >= 0.51, false) AS a4, CASE WHEN sg > 0 THEN below ELSE above END AS guard, CASE WHEN sg > 0 THEN above ELSE below END AS goal FROM d5 WHERE total >= 48),
+    d7 AS (SELECT *, CASE WHEN total >= 70 AND coalesce(p >= 0.57, false) AND coalesce(accuracy >= 0.52, false) AND a3 THEN 'high' WHEN CAST(a1 AS INT) + CAST(a2 AS INT) + CAST(a3 AS INT) + CAST(a4 AS INT) >= 2 AND (a1 OR a2) THEN 'medium' ELSE 'low' END AS tier,
+        greatest(1.5 * atr, coalesce(greatest(sg * (entry - guard), 0) + 0.3 * atr, 0)) AS risk, least(coalesce(greatest(sg * (goal - entry), 0), 3 * atr), 3 * atr) AS gain, greatest(0.25 * atr, 0.00008 * abs(c), 0.00001) AS half, CAST(make_timestamp(CAST(t * 1000000 AS BIGINT)) AS DATE) AS dd FROM d6),
+    d8 AS (SELECT *, CASE WHEN isodow(dd) > 5 THEN isodow(dd) - 5 ELSE 0 END AS back, least(isodow(dd), 5) - 1 AS wd FROM d7)
+    SELECT symbol, '{style}' AS style, t, CASE WHEN sg > 0 THEN 'buy' ELSE 'sell' END AS direction, total, tier, status, entry_type, entry, CASE WHEN entry_type = 'pullback' THEN entry - half END AS zone_low, CASE WHEN entry_type = 'pullback' THEN entry + half END AS zone_high,
+        entry - sg * risk AS stop, entry + sg * gain AS target, round(gain / risk, 2) AS reward, CAST(t + ({s.weekdays} + 2 * ((wd + {s.weekdays}) // 5) - back) * 86400 AS BIGINT) AS deadline FROM d8 WHERE gain > 0 AND gain / risk >= 1.2)"""
+
+
+_REC = f"WITH RECURSIVE {_style_sql('daytrade')}, {_style_sql('swing')}, recs AS (SELECT * FROM r_daytrade UNION ALL SELECT * FROM r_swing)"
+_LATER = f"""{', '.join(sql.walk(src.SECONDS[x.main], f'b_{k}') for k, x in scanner.STYLES.items())}, later AS (SELECT *, 'daytrade' AS style FROM b_daytrade UNION ALL SELECT *, 'swing' FROM b_swing), newest AS (SELECT symbol, style, max(t) AS newest FROM later GROUP BY 1, 2),
+    pr0 AS (SELECT r.*, n.newest, b.t AS bt, b.o, b.h, b.l, b.c, CASE WHEN direction = 'buy' THEN 1.0 ELSE -1.0 END AS sg FROM recs r JOIN newest n USING (symbol, style) JOIN later b ON b.symbol = r.symbol AND b.style = r.style AND b.t > r.t AND b.t <= r.deadline),
+    pr1 AS (SELECT *, min(CASE WHEN entry_type = 'market' OR (l <= zone_high AND h >= zone_low) THEN bt END) OVER (PARTITION BY symbol, style, t) AS fill_t FROM pr0),
+    pr2 AS (SELECT *, max(CASE WHEN bt = fill_t THEN CASE WHEN entry_type = 'market' THEN o ELSE greatest(l, least(h, entry)) END + sg * 0.5 END) OVER (PARTITION BY symbol, style, t) AS price FROM pr1),
+    oc0 AS (SELECT symbol, style, t, direction, tier, stop, target, deadline, newest, sg, any_value(fill_t) AS fill_t, any_value(price) AS price, min(bt) FILTER (bt >= fill_t AND CASE WHEN sg > 0 THEN l <= stop ELSE h >= stop END) AS stop_t,
+        min(bt) FILTER (bt >= fill_t AND (entry_type = 'market' OR bt > fill_t) AND CASE WHEN sg > 0 THEN h >= target ELSE l <= target END) AS target_t, max(bt) AS last_t, arg_max(c, bt) AS last_c FROM pr2 GROUP BY symbol, style, t, direction, tier, stop, target, deadline, newest, sg),
+    oc1 AS (SELECT *, CASE WHEN fill_t IS NULL THEN 'unfilled' WHEN stop_t IS NOT NULL AND (target_t IS NULL OR stop_t <= target_t) THEN 'stop' WHEN target_t IS NOT NULL THEN 'target' ELSE 'deadline' END AS exit_reason FROM oc0),
+    oc2 AS (SELECT *, CASE exit_reason WHEN 'stop' THEN stop WHEN 'target' THEN target ELSE last_c END AS leave, sg * (price - stop) AS risk, CASE exit_reason WHEN 'stop' THEN stop_t WHEN 'target' THEN target_t WHEN 'deadline' THEN last_t END AS exit_t FROM oc1 WHERE exit_reason IN ('stop', 'target') OR newest >= deadline),
+    oc3 AS (SELECT *, CASE WHEN exit_reason <> 'unfilled' THEN coalesce(round(CASE WHEN risk > 0 THEN sg * (leave - price) / risk END, 6), 0) END AS r FROM oc2),
+    outcomes AS (SELECT *, CASE exit_reason WHEN 'unfilled' THEN 'unfilled' WHEN 'stop' THEN 'loss' WHEN 'target' THEN 'win' ELSE CASE WHEN risk <= 0 OR r < 0 THEN 'loss' WHEN r > 0 THEN 'win' ELSE 'draw' END END AS outcome FROM oc3)"""
+_CELLS = """cx AS (SELECT *, 'symbol_style' AS cell, symbol || '/' || style AS name FROM outcomes WHERE exit_reason <> 'unfilled' UNION ALL SELECT *, 'style_tier', style || '/' || tier FROM outcomes WHERE exit_reason <> 'unfilled'),
+    cd AS (SELECT *, pow(0.5, (row_number() OVER (PARTITION BY cell, name ORDER BY fill_t DESC, exit_t DESC, symbol DESC, t DESC) - 1) / 30.0) AS d FROM cx),
+    ce AS (SELECT cell, name, count(*) AS n, count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'loss') AS losses, count(*) FILTER (outcome = 'draw') AS draws, avg(r) AS mean_r, sum(d) AS decayed_n, sum(CASE WHEN outcome = 'win' THEN d ELSE 0 END) / sum(d) AS ewa_win_rate, sum(r * d) / sum(d) AS ewa_mean_r FROM cd GROUP BY 1, 2),
+    cf AS (SELECT cell, name FROM ce UNION SELECT 'style_tier', s || '/' || t FROM (SELECT unnest(['daytrade', 'swing']) AS s), (SELECT unnest(['high', 'medium', 'low']) AS t)),
+    stats AS (SELECT cf.cell, cf.name, coalesce(n, 0) AS n, coalesce(wins, 0) AS wins, coalesce(losses, 0) AS losses, coalesce(draws, 0) AS draws, mean_r, decayed_n, ewa_win_rate, ewa_mean_r, CASE WHEN n > 0 THEN wins / CAST(n AS DOUBLE) END AS win_rate FROM cf LEFT JOIN ce ON ce.cell = cf.cell AND ce.name = cf.name)"""
+_MONTHS = """mo AS (SELECT *, date_trunc('month', make_timestamp(CAST(exit_t * 1000000 AS BIGINT))) AS m FROM outcomes WHERE exit_reason <> 'unfilled'), ms AS (SELECT min(m) AS a, max(m) AS z FROM mo),
+    mp AS (SELECT unnest(generate_series(CAST(greatest(a, z - INTERVAL 11 MONTH) AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM ms WHERE z IS NOT NULL),
+    mg AS (SELECT m, count(*) AS trades, count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'loss') AS losses, count(*) FILTER (outcome = 'draw') AS draws, sum(ln(greatest(1 + 0.01 * r, 1e-9))) AS growth FROM mo WHERE tier IN ('high', 'medium') GROUP BY 1),
+    mb AS (SELECT mp.m, coalesce(trades, 0) AS trades, coalesce(wins, 0) AS wins, coalesce(losses, 0) AS losses, coalesce(draws, 0) AS draws, 1000000 * exp(sum(coalesce(growth, 0)) OVER (ORDER BY mp.m)) AS e FROM mp LEFT JOIN mg ON mg.m = mp.m),
+    months AS (SELECT strftime(m, '%Y-%m') AS month, trades, wins, losses, draws, CAST(floor(e - coalesce(lag(e) OVER (ORDER BY m), 1000000) + 0.5) AS BIGINT) AS pnl, CAST(floor(e + 0.5) AS BIGINT) AS end_balance FROM mb)"""
 
 
-query("recommendations")(lambda spark, d: shown(_recommended(spark, d), "total", "entry", "stop", "target", "reward", keys=("symbol", "t", "direction", "tier", "status", "entry_type")))
-query("best_recommendations")(lambda spark, d: scanner.best(_recommended(spark, d)).select("t", "rank", "symbol", "direction", F.round("total", 1).alias("total")))
+def _recommended(spark, d) -> DataFrame:
+    out = None
+    for name, s in scanner.STYLES.items():
+        bars = src.walk_bars(spark, d, s.main)
+        probability = scratch.settled(fc.probabilities(fc.model_stats(sg.score(bars))))
+        perf = fc.performance(probability)
+        weight = scratch.settled(fc.weights(perf))
+        mixed = scratch.settled(fc.weighted(probability, weight))
+        table = fc.calibrated(mixed, fc.calibration(mixed))
+        found = scanner.scan(bars, src.walk_bars(spark, d, s.wide), name, table, fc.accuracy_of_weights(perf, weight), decisions=bars.where((F.col("t") + src.SECONDS[s.main]) % 14400 == 0))  # the last bar of every four hours
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_RC = ", ".join(sql.r6(x, x) for x in ("total", "entry", "zone_low", "zone_high", "stop", "target", "reward"))
+query("recommendations", f"{_REC} SELECT symbol, style, t, direction, tier, status, entry_type, deadline, {_RC} FROM recs")(
+    lambda spark, d: shown(_recommended(spark, d), "total", "entry", "zone_low", "zone_high", "stop", "target", "reward", keys=("symbol", "style", "t", "direction", "tier", "status", "entry_type", "deadline"))
+)
+query("best_recommendations", f"{_REC} SELECT t, CAST(row_number() OVER (PARTITION BY t ORDER BY total DESC, symbol, style) AS INT) AS rank, symbol, direction, {sql.r6('total', 'total')} FROM recs QUALIFY rank <= 3")(
+    lambda spark, d: shown(scanner.best(_recommended(spark, d)), "total", keys=("t", "rank", "symbol", "direction"))
+)
 
 
 def _outcomes(spark, d) -> DataFrame:
-    return scanner.outcomes(_recommended(spark, d), src.event_bars(spark, d), 86400, 0.5)
+    recommended = scratch.settled(_recommended(spark, d))
+    bars = None
+    for name, s in scanner.STYLES.items():
+        own = scanner.outcomes(recommended.where(F.col("style") == name), src.walk_bars(spark, d, s.main), 0.5)
+        bars = own if bars is None else bars.unionByName(own)
+    return bars
 
 
-query("recommendation_outcomes")(lambda spark, d: shown(_outcomes(spark, d), "price", "r", keys=("symbol", "t", "direction", "tier", "outcome", "fill_t", "exit_t")))
-query("scanner_statistics")(lambda spark, d: shown(scanner.statistics(_outcomes(spark, d)), "mean_r", "win_rate", "ewa_win_rate", keys=("cell", "name", "n", "wins")))
-query("scanner_monthly")(lambda spark, d: shown(scanner.monthly(_outcomes(spark, d)), "start_balance", "end_balance", "net", keys=("month", "trades", "wins")))
+query("recommendation_outcomes", f"{_REC}, {_LATER} SELECT symbol, style, t, direction, tier, outcome, exit_reason, fill_t, exit_t, {sql.r6('price', 'price')}, {sql.r6('r', 'r')} FROM outcomes")(
+    lambda spark, d: shown(_outcomes(spark, d), "price", "r", keys=("symbol", "style", "t", "direction", "tier", "outcome", "exit_reason", "fill_t", "exit_t"))
+)
+_SC = ("mean_r", "decayed_n", "ewa_win_rate", "ewa_mean_r", "win_rate")
+query("scanner_statistics", f"{_REC}, {_LATER}, {_CELLS} SELECT cell, name, n, wins, losses, draws, {', '.join(sql.r6(x, x) for x in _SC)} FROM stats")(
+    lambda spark, d: shown(scanner.statistics(_outcomes(spark, d)), *_SC, keys=("cell", "name", "n", "wins", "losses", "draws"))
+)
+query("scanner_monthly", f"{_REC}, {_LATER}, {_MONTHS} SELECT * FROM months")(lambda spark, d: scanner.monthly(_outcomes(spark, d)))
+query(
+    "scanner_monthly_summary",
+    f"""{_REC}, {_LATER}, {_MONTHS} SELECT min(month) AS first_month, max(month) AS last_month, count(*) FILTER (trades > 0) AS active_months, CASE WHEN count(*) FILTER (trades > 0) > 0 THEN round(count(*) FILTER (trades > 0 AND pnl > 0) / CAST(count(*) FILTER (trades > 0) AS DOUBLE), 4) END AS plus_share,
+    max(pnl) FILTER (trades > 0) AS best_pnl, min(pnl) FILTER (trades > 0) AS worst_pnl, CAST(CASE WHEN count(*) FILTER (trades > 0) > 0 THEN floor(sum(pnl) / count(*) FILTER (trades > 0) + 0.5) ELSE 0 END AS BIGINT) AS mean_pnl, CAST(sum(pnl) AS BIGINT) AS total_pnl FROM months""",
+)(lambda spark, d: scanner.monthly_summary(scanner.monthly(_outcomes(spark, d))))
 query("last_bars_of_days", f"WITH {sql.bars()}, x AS (SELECT symbol, t, c FROM bars QUALIFY row_number() OVER (PARTITION BY symbol, t // 86400 ORDER BY t DESC) = 1) SELECT symbol, t, {sql.r6('c', 'c')} FROM x QUALIFY (row_number() {sql.S} - 1) % 3 = 0")(
     lambda spark, d: shown(scanner.last_bars_of_days(src.event_bars(spark, d), 3), "c")
 )

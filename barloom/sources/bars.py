@@ -46,6 +46,19 @@ def event_bars(spark: SparkSession, sf_dir: str, tf: str = "h1") -> DataFrame:
     return bars_of_ticks(events.select(F.col("event_type").alias("symbol"), unix_seconds("ts").alias("t"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1).alias("size")), tf)
 
 
+def walk_bars(spark: SparkSession, sf_dir: str, tf: str = "m30") -> DataFrame:
+    """A tape with trends: half-hourly bars of ``events`` laid end to end, every bar opening at the close before it; coarser ones are made of them.
+
+    Prices are rounded to cents, so their running sum has no order.
+    """
+    bars = event_bars(spark, sf_dir, "m30")
+    step = F.round(F.col("c") - F.col("o"), 2)
+    upper, lower = 0.1 * (F.col("h") - F.greatest("o", "c")), 0.1 * (F.least("o", "c") - F.col("l"))
+    laid = bars.withColumn("nc", F.round(10_000 + F.sum(step).over(series()), 2)).withColumn("no", F.round(F.col("nc") - step, 2))
+    out = laid.select(*KEY, "t", F.col("no").alias("o"), F.round(F.greatest("no", "nc") + upper, 2).alias("h"), F.round(F.least("no", "nc") - lower, 2).alias("l"), F.col("nc").alias("c"), "v")
+    return out if tf == "m30" else resample(out, tf)
+
+
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily tape of ``orders``: one symbol per priority, price = total price."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")

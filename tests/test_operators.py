@@ -234,13 +234,11 @@ def test_outcomes_equal_loops(spark):
     for k in range(0, 115, 3):
         side, kind, entry = rng.choice(["buy", "sell"]), rng.choice(["market", "pullback"]), bars[k][6]
         sign = 1 if side == "buy" else -1
-        recs.append(("A", "h1", k * 3600, side, 60.0, "medium", kind, entry - sign * 0.5, entry - sign * 0.5 - 0.3, entry - sign * 0.5 + 0.3, entry - sign * 2.0, entry + sign * 2.5))
-    df = spark.createDataFrame(recs, "symbol string, tf string, t long, direction string, total double, tier string, entry_type string, entry double, zone_low double, zone_high double, stop double, target double")
+        recs.append(("A", "h1", "swing", k * 3600, k * 3600 + 12 * 3600, side, 60.0, "medium", kind, entry - sign * 0.5, entry - sign * 0.5 - 0.3, entry - sign * 0.5 + 0.3, entry - sign * 2.0, entry + sign * 2.5))
+    df = spark.createDataFrame(recs, "symbol string, tf string, style string, t long, deadline long, direction string, total double, tier string, entry_type string, entry double, zone_low double, zone_high double, stop double, target double")
     span, spread = 12 * 3600, 0.1
     want = {}
-    for _, _, t, side, _, _, kind, entry, lo, hi, stop, target in recs:
-        if bars[-1][2] < t + span:
-            continue
+    for _, _, _, t, _, side, _, _, kind, entry, lo, hi, stop, target in recs:
         s, later, fill, end = (1 if side == "buy" else -1), [b for b in bars if t < b[2] <= t + span], None, None
         for b in later:
             if fill is None:
@@ -254,11 +252,63 @@ def test_outcomes_equal_loops(spark):
             if (kind == "market" or b[2] > fill[0]) and ((b[4] >= target) if s > 0 else (b[5] <= target)):
                 end = ("target", target)
                 break
+        if end is None and bars[-1][2] < t + span or not later:
+            continue
         name, price = ("unfilled", None) if fill is None else end or ("deadline", later[-1][6])
         risk = None if fill is None else s * (fill[1] - stop)
-        want[t] = (name, None if fill is None or risk <= 0 else round(s * (price - fill[1]) / risk, 9))
-    got = {r.t: (r.outcome, None if r.r is None else round(r.r, 9)) for r in scanner.outcomes(df, spark.createDataFrame(bars, src.SCHEMA), span, spread).collect()}
-    assert got == want and len({x[0] for x in want.values()}) >= 3
+        want[t] = (name, None if fill is None else 0.0 if risk <= 0 else round(s * (price - fill[1]) / risk, 6))
+    rows = scanner.outcomes(df, spark.createDataFrame(bars, src.SCHEMA), spread).collect()
+    assert {r.t: (r.exit_reason, r.r) for r in rows} == want and len({x[0] for x in want.values()}) >= 3
+    names = {"unfilled": "unfilled", "stop": "loss", "target": "win"}
+    assert all(r.outcome == names.get(r.exit_reason, "loss" if r.r < 0 else "win" if r.r > 0 else "draw") for r in rows)
+
+
+def test_expectation_and_downgrade(spark):
+    rows = [(75.0, 0.6, 0.53, True), (75.0, 0.6, 0.51, True), (75.0, None, None, True), (60.0, None, None, False), (50.0, 0.55, None, True), (50.0, None, 0.9, True), (90.0, 0.5, None, False)]
+    df = spark.createDataFrame(rows, "total double, p double, a double, aligned boolean")
+    got = [r[0] for r in df.select(scanner.expectation(F.col("total"), F.col("p"), F.col("a"), F.col("aligned"))).collect()]
+    assert got == ["high", "medium", "medium", "low", "medium", "low", "low"]
+    poor = spark.createDataFrame([("high", 10, 0.44), ("medium", 10, 0.44), ("low", 10, 0.0), ("high", 9, 0.0), ("high", 10, 0.45), ("high", None, None)], "tier string, n int, e double")
+    assert [r[0] for r in poor.select(scanner.downgraded(F.col("tier"), F.col("n"), F.col("e"))).collect()] == ["medium", "low", "low", "high", "high", "high"]
+
+
+def test_monthly_simulation_equals_a_loop(spark):
+    rng = random.Random(5)
+    rows = [(f"2023-{m:02d}-{d:02d}", rng.choice(["high", "medium", "low"]), round(rng.gauss(0.1, 1), 6)) for m in (1, 2, 4, 7, 12) for d in range(1, 20, 4)]
+    data = [("win" if r > 0 else "loss", "deadline", tier, r, 1 + int(datetime.fromisoformat(day + "T12:00:00+00:00").timestamp())) for day, tier, r in rows]
+    df = spark.createDataFrame(data, "outcome string, exit_reason string, tier string, r double, exit_t long")
+    for mode, tiers, months in (("medium", ("high", "medium"), 12), ("high", ("high",), 6)):
+        got = {r.month: r for r in scanner.monthly(df, mode, months).collect()}
+        names, balance = [f"2023-{m:02d}" for m in range(13 - months, 13)], 1_000_000.0
+        assert sorted(got) == names
+        for name in names:
+            start = balance
+            for day, tier, r in rows:
+                if day.startswith(name) and tier in tiers:
+                    balance += balance * 0.01 * r
+            assert abs(got[name].pnl - (balance - start)) <= 1 and abs(got[name].end_balance - balance) <= 1
+    (one,) = scanner.monthly_summary(scanner.monthly(df)).collect()
+    assert one.first_month == "2023-01" and one.active_months == 5 and one.best_pnl >= one.worst_pnl
+
+
+def test_returns_reach_beyond_gaps(spark):
+    """A price that is not positive has no return; the look-back holds the last returns there are."""
+    closes = [100 + 7 * math.sin(k) + k % 5 for k in range(130)]
+    for k in (40, 41, 90, 129):
+        closes[k] = 0.0 if k % 2 else -1.0
+    bars = tape(spark, closes).withColumn("score", F.lit(2))
+    got = {r.t: r for r in fc.model_stats(bars).collect()}
+    times = sorted(got)
+    for n in (2, 5, 60, 100, 129, 130):
+        returns = [math.log(b / a) for a, b in zip(closes[: n - 1], closes[1:n]) if a > 0 and b > 0][-80:]
+        mean, m = sum(returns) / len(returns), len(returns)
+        sd = math.sqrt(sum((x - mean) ** 2 for x in returns) / m)
+        mx = (m - 1) / 2
+        var = sum((k - mx) ** 2 for k in range(m))
+        slope = sum((k - mx) * (x - mean) for k, x in enumerate(returns)) / var if var else 0
+        r = got[times[n - 1]]
+        assert abs(r.volatility - max(sd, abs(mean), 1e-6)) < 1e-9
+        assert abs(r.drift_move - (mean if m < 3 else mean + slope * (m - mx))) < 1e-9
 
 
 def test_append_only_and_sources(spark):
