@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.operators import conditions
 from barloom.operators import forecast as fc
 from barloom.operators import indicators as ind
+from barloom.operators import ledger
 from barloom.operators import signals as sg
 from barloom.operators import supplement as sp
 from barloom.plans import sql
@@ -96,3 +97,128 @@ def _(spark, d):
     """Pip values with the tape of one symbol as the rate."""
     bars = src.event_bars(spark, d)
     return shown(sp.pip_values(bars, bars.where("symbol = 'view'")), "pip_value")
+
+
+# -- feeds, reports, look-ups and ledgers made of the test tables --------------------------------------
+
+_SEC = "epoch_us(ts) // 1000000"
+
+
+def _events(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").withColumn("at", src.unix_seconds("ts"))
+
+
+_COT = f"""rw AS (SELECT event_type AS currency, event_id AS seq, CAST(ts AS DATE) AS day, value AS oi, CAST(user_id AS DOUBLE) AS nl, CAST(event_id % 97 AS DOUBLE) AS ns FROM events WHERE event_id % 50 <> 0 AND event_id % 49 <> 0),
+    rp AS (SELECT currency, day, arg_max(oi, seq) AS oi, arg_max(nl, seq) - arg_max(ns, seq) AS noncomm_net FROM rw GROUP BY 1, 2)"""
+
+
+def _reports(spark, d):
+    e, text = _events(spark, d), lambda x: x.cast("string")
+    raw = e.select(
+        F.col("event_type").alias("currency"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 50 == 0, "no date").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("report_date"),
+        F.when(F.col("event_id") % 49 == 0, "none").otherwise(text(F.col("value"))).alias("oi"), text(F.col("user_id")).alias("noncomm_long"), text(F.col("event_id") % 97).alias("noncomm_short"), F.lit("1").alias("comm_long"), F.lit("2").alias("comm_short"),
+    )
+    return src.cot_reports(raw)
+
+
+@query("cot_reports", f"WITH {_COT} SELECT currency, CAST(day AS VARCHAR) AS day, {sql.r6('oi', 'oi')}, {sql.r6('noncomm_net', 'noncomm_net')} FROM rp")
+def _(spark, d):
+    """Text rows with bad dates and numbers among them; the last row of a date counts."""
+    return shown(_reports(spark, d).withColumn("day", F.to_date(F.from_unixtime("date")).cast("string")), "oi", "noncomm_net", keys=("currency", "day"))
+
+
+@query("cot_newest_reports", f"WITH {_COT} SELECT currency, CAST(day AS VARCHAR) AS day, {sql.r6('noncomm_net', 'noncomm_net')}, CASE WHEN noncomm_net = 0 THEN 'neutral' WHEN noncomm_net > 0 THEN 'supports_pair' ELSE 'weighs_on_pair' END AS context FROM rp QUALIFY row_number() OVER (PARTITION BY currency ORDER BY day DESC) <= 20")
+def _(spark, d):
+    newest = src.newest_reports(_reports(spark, d), 20).withColumn("day", F.to_date(F.from_unixtime("date")).cast("string"))
+    return shown(newest, "noncomm_net", keys=("currency", "day")).withColumn("context", sp.cot_context(F.col("noncomm_net"), F.lit(True)))
+
+
+@query("calendar_feeds", f"""WITH f AS (SELECT 'event ' || event_id % 40 AS title, upper(event_type) AS currency, {_SEC} // 3600 * 3600 AS time, CASE user_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS impact, event_id AS seq FROM events)
+    SELECT currency, time, title, arg_max(impact, seq) AS impact FROM f GROUP BY 1, 2, 3""")
+def _(spark, d):
+    """Two feeds, untidy in case and spaces, with unknown impacts."""
+    impact = F.element_at(F.array(F.lit(" High"), F.lit("medium"), F.lit("LOW "), F.lit("holiday")), (F.col("user_id") % 4 + 1).cast("int"))
+    feed = _events(spark, d).select(F.concat(F.lit(" event "), (F.col("event_id") % 40).cast("string"), F.lit(" ")).alias("title"), F.col("event_type").alias("currency"), (F.floor(F.col("at") / 3600) * 3600).cast("long").alias("time"), impact.alias("impact"), F.col("event_id").alias("seq"))
+    return src.calendar(feed.where("seq % 2 = 0"), feed.where("seq % 2 = 1"))
+
+
+@query("chart_feed", f"WITH {sql.bars()} SELECT symbol, t, {', '.join(sql.r6(x, x) for x in 'ohlc')}, 0.0 AS v FROM bars WHERE t + 3600 <= {REGISTERED} AND t % 10800 <> 0")
+def _(spark, d):
+    """Bars as a chart service sends them, in parallel arrays with gaps and with bars still forming."""
+    bars = src.event_bars(spark, d)
+    row = F.struct("t", "o", "h", "l", F.when(F.col("t") % 10800 != 0, F.col("c")).alias("c"))
+    payload = bars.groupBy("symbol", "tf").agg(F.array_sort(F.collect_list(row)).alias("x"))
+    names = {"t": "timestamps", "o": "open", "h": "high", "l": "low", "c": "close"}
+    return shown(src.normalise_chart(payload.select("symbol", "tf", *(F.col(f"x.{k}").alias(v) for k, v in names.items())), REGISTERED), *"ohlcv")
+
+
+@query("source_health", f"""WITH l AS (SELECT event_type AS tf, user_id % 10 AS series, max(CASE WHEN event_id % 3 <> 0 THEN {_SEC} END) AS late FROM events GROUP BY 1, 2), n AS (SELECT tf, count(late) AS n_series, max(late) AS now FROM l GROUP BY 1), p AS (SELECT * FROM (VALUES ('click', 1), ('gone', 1705276800)) v(tf, last_success))
+    SELECT coalesce(n.tf, p.tf) AS tf, coalesce(n_series, 0) AS n_series, greatest(now, last_success) AS last_success, CASE WHEN greatest(now, last_success) IS NULL OR (1706745600 - greatest(now, last_success)) / 3600.0 > 120 THEN 'fail' WHEN coalesce(n_series, 0) = 0 OR (1706745600 - greatest(now, last_success)) / 3600.0 > 6 THEN 'warn' ELSE 'ok' END AS verdict FROM n FULL JOIN p ON p.tf = n.tf""")
+def _(spark, d):
+    latest = _events(spark, d).groupBy(F.col("event_type").alias("tf"), (F.col("user_id") % 10).alias("series")).agg(F.max(F.when(F.col("event_id") % 3 != 0, F.col("at"))).alias("success_at"))
+    before = spark.createDataFrame([("click", 1), ("gone", REGISTERED)], "tf string, last_success long")
+    health = src.source_health(latest, before).withColumn("primary_ok", F.col("n_series") > 0)
+    return ledger.health(health, 1706745600).drop("primary_ok")
+
+
+@query("fallback_sources", "SELECT event_type AS source, event_type <> 'view' AS fallback, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return _events(spark, d).select(F.col("event_type").alias("source"), src.from_fallback(F.concat(F.upper("event_type"), F.lit(" ")), "view").alias("fallback")).groupBy("source", "fallback").agg(F.count("*").alias("n"))
+
+
+@query("journal_append", f"WITH x AS (SELECT event_id AS k, {_SEC} AS t, CASE WHEN event_id % 3 = 0 THEN 'old' ELSE 'new' END AS origin FROM events WHERE event_id % 3 = 0 OR event_id % 2 = 0) SELECT * FROM x ORDER BY t DESC, k LIMIT 1000")
+def _(spark, d):
+    """A journal that meets entries it partly knows; its cap of 1000 rows is a feature of it."""
+    e = _events(spark, d).select(F.col("event_id").alias("k"), F.col("at").alias("t"))
+    return sp.journal_append(e.where("k % 3 = 0").withColumn("origin", F.lit("old")), e.where("k % 2 = 0").withColumn("origin", F.lit("new")), ["k"])
+
+
+def _entries(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.select(F.col("o_custkey").cast("long").alias("strategy_id"), src.unix_seconds("o_orderdate").alias("registered_at"), F.col("o_orderkey").alias("retired_at"), F.col("o_orderstatus").alias("state"))
+
+
+_ENTRIES = "en AS (SELECT CAST(o_custkey AS BIGINT) AS strategy_id, epoch_us(o_orderdate) // 1000000 AS registered_at, o_orderkey AS retired_at, o_orderstatus AS state FROM orders)"
+
+
+@query("latest_ledger_entries", f"WITH {_ENTRIES} SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY strategy_id ORDER BY registered_at DESC, retired_at DESC) = 1")
+def _(spark, d):
+    return ledger.latest_entry(_entries(spark, d))
+
+
+@query("retired_conflicts", f"WITH {_ENTRIES} SELECT strategy_id, registered_at, retired_at FROM en WHERE state = 'O' AND (strategy_id, registered_at // 2592000) IN (SELECT (strategy_id, registered_at // 2592000) FROM en WHERE state = 'F')")
+def _(spark, d):
+    """Open entries of a customer and month that also has finished ones."""
+    entries = _entries(spark, d).withColumn("generation", F.floor(F.col("registered_at") / 2592000))
+    return ledger.conflicts(entries.where("state = 'O'"), entries.where("state = 'F'"), ["strategy_id", "generation"]).select("strategy_id", "registered_at", "retired_at")
+
+
+@query("retired_profit_factors", f"WITH {TRADES} SELECT run_id, symbol, {sql.r6('CASE WHEN count(*) = 0 OR (coalesce(sum(net_yen) FILTER (net_yen < 0), 0) = 0 AND coalesce(sum(net_yen) FILTER (net_yen > 0), 0) > 0) THEN NULL ELSE sum(net_yen) FILTER (net_yen > 0) / abs(sum(net_yen) FILTER (net_yen < 0)) END', 'profit_factor')} FROM tr GROUP BY 1, 2")
+def _(spark, d):
+    net = F.col("net_yen")
+    sums = order_trades(spark, d).groupBy("run_id", "symbol").agg(F.sum(F.when(net > 0, net).otherwise(0.0)).alias("g"), F.sum(F.when(net < 0, net).otherwise(0.0)).alias("l"), F.count("*").alias("n"))
+    return shown(sums.withColumn("profit_factor", sp.retired_profit_factor(F.col("g"), F.col("l"), F.col("n"))), "profit_factor", keys=("run_id", "symbol"))
+
+
+_BAD = [("id", "sid = ''"), ("timeframe", "tf NOT IN ('m15', 'm30', 'h1', 'h4', 'd1')"), ("rule", "kind <> 'rsi'"), ("stop", "stop <= 0"), ("target", "k % 13 = 0"), ("trailing", "k % 17 = 0"), ("session", "k % 19 = 0"), ("mode", "k % 23 = 0")]
+
+
+@query("strategy_problems", f"""WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 29 = 0 THEN '' ELSE 's' || o_orderkey // 3 END AS sid, CASE WHEN o_orderkey % 7 = 0 THEN 'w1' ELSE 'h1' END AS tf, CASE WHEN o_orderkey % 11 = 0 THEN 'odd' ELSE 'rsi' END AS kind, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE 10.0 END AS stop FROM orders)
+    {' UNION ALL '.join(f"SELECT sid AS strategy_id, '{n}' AS problem FROM s WHERE {x}" for n, x in _BAD)} UNION ALL SELECT sid, 'repeated' FROM s GROUP BY sid HAVING count(*) > 1""")
+def _(spark, d):
+    k, when = F.col("o_orderkey"), lambda n, a, b: F.when(F.col("o_orderkey") % n == 0, a).otherwise(b)
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(
+        when(29, F.lit(""), F.concat(F.lit("s"), F.floor(k / 3).cast("string"))).alias("strategy_id"), when(7, F.lit("w1"), F.lit("h1")).alias("tf"), when(11, F.lit("odd"), F.lit("rsi")).alias("kind"), when(5, F.lit(0.0), F.lit(10.0)).alias("stop_pips"),
+        when(13, F.lit(None), F.lit(20.0)).alias("target_pips"), when(17, F.lit(-1.0), F.lit(None)).alias("trailing_pips"), when(19, F.lit("24:00"), F.lit("08:00")).alias("session_start"), F.lit(None).cast("string").alias("session_end"), when(23, F.lit("x"), F.lit("fixedLot")).alias("mode"),
+    )
+    return sp.strategy_problems(rows)
+
+
+_QUOTES = [k[3:] for k in sp.SPREADS]
+_TABLE = ", ".join(f"('{k}', {v}, {3 if k.endswith('JPY') else 5}, {12.3 if k.endswith('JPY') else 1230.0}, '{k[:3] if k[:3] in _QUOTES else k[3:]}')" for k, v in sp.SPREADS.items())
+
+
+@query("reference_tables", f"SELECT * FROM (VALUES {_TABLE}) v(symbol, spread, digits, pips, currency)")
+def _(spark, d):
+    rows = spark.createDataFrame([(s,) for s in sp.SPREADS], "symbol string")
+    return rows.select("symbol", sp.spread_pips(F.col("symbol")).alias("spread"), sp.price_digits(F.col("symbol")).alias("digits"), sp.to_pips(F.col("symbol"), F.lit(0.123)).alias("pips"), sp.default_currency(F.col("symbol"), _QUOTES).alias("currency"))

@@ -178,8 +178,8 @@ def widest_coverage(bars: DataFrame, before: int) -> DataFrame:
 
 
 def source_health(latest: DataFrame, previous: DataFrame) -> DataFrame:
-    """(tf, n_series, last_success): newest success per timeframe, carried forward from ``previous(tf, last_success)``."""
-    now = latest.groupBy("tf").agg(F.count("*").alias("n_series"), F.max("success_at").alias("now"))
+    """(tf, n_series, last_success): newest success per timeframe, carried forward from ``previous(tf, last_success)``; rows without a time are failed series."""
+    now = latest.groupBy("tf").agg(F.count("success_at").alias("n_series"), F.max("success_at").alias("now"))
     both = now.join(previous.select("tf", F.col("last_success").alias("then")), "tf", "full_outer")
     return both.select("tf", F.coalesce("n_series", F.lit(0)).alias("n_series"), F.greatest("now", "then").alias("last_success"))
 
@@ -193,6 +193,17 @@ def cot_reports(raw: DataFrame) -> DataFrame:
     return out.withColumn("noncomm_net", F.col("noncomm_long") - F.col("noncomm_short"))
 
 
+def newest_reports(reports: DataFrame, n: int = 104) -> DataFrame:
+    """The newest ``n`` reports of every currency: two years of weeks."""
+    order = Window.partitionBy("currency").orderBy(F.desc("date"))
+    return reports.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
+
+
+def from_fallback(source: Column, primary: str) -> Column:
+    """Whether a series came from another source than the primary one; unknown sources do not count."""
+    return F.coalesce((F.trim(source) != "") & (F.lower(F.trim(source)) != primary), F.lit(False))
+
+
 def calendar(*feeds: DataFrame) -> DataFrame:
     """Events of several feeds (title, currency, time, impact): trimmed, upper-cased, impact mapped, the last of a key kept."""
     union = feeds[0]

@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime
 
 import pytest
 from hypothesis import given, settings
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import numeric
 from barloom.operators import asof, backtest, conditions, forecast, grid, ledger, recurrent, scanner, signals
+from barloom.operators import forecast as fc
 from barloom.sources import bars as src
 
 
@@ -260,7 +262,7 @@ def test_outcomes_equal_loops(spark):
     rows = scanner.outcomes(df, spark.createDataFrame(bars, src.SCHEMA), spread).collect()
     assert {r.t: (r.exit_reason, r.r) for r in rows} == want and len({x[0] for x in want.values()}) >= 3
     names = {"unfilled": "unfilled", "stop": "loss", "target": "win"}
-    assert all(r.outcome == names.get(r.exit_reason, "loss" if r.r < 0 else "win" if r.r > 0 else "draw") for r in rows)
+    assert all(r.outcome == (names.get(r.exit_reason) or ("loss" if r.r < 0 else "win" if r.r > 0 else "draw")) for r in rows)
 
 
 def test_expectation_and_downgrade(spark):
