@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
+
 
 def folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; under a temporary folder only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barloom-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path under ``spark.checkpoint.dir``, removed when the driver process ends.
+
+    Where that is unset, a temporary folder if everything runs in this one process; a
+    cluster, whose machines would not see it, is refused.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="barloom-")
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may already be gone when the interpreter ends
+            return
 
 
 def settled(df: DataFrame) -> DataFrame:
