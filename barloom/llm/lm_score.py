@@ -16,13 +16,20 @@ what it taught, and words that occur once teach nothing about their document.  A
 document's score is the mean over its tokens of the target loss minus the
 background loss, in nats: lower is closer to the target.
 
-Every word and every bigram of both corpora is counted, per task in numpy, then
-summed by Spark; there is no floor and no share, so the model grows with the
-corpus.  It is a set of Parquet tables: bigrams (h, w, counts), words (counts),
-and one table that holds for every bigram the counts of h, w and the pair, which
-the documents' bigrams are joined with.  Nothing of it is collected or broadcast;
-the driver receives totals only.  Words are 64-bit hashes, a bigram's key is a mix
-of two.
+Every word and every bigram of both corpora is counted; there is no floor and no
+share, so the model grows with the corpus.  Texts are dealt into chunks of CHUNK
+bytes.  A chunk counts its words and bigrams in numpy and sends each once, as a
+64-bit key; Spark sums a key over all chunks and returns the sums to the chunks
+that asked, which score their texts.  A key that only one chunk holds needs no
+answer: the chunk's own counts are the corpus's.  So a key has one row per chunk
+however often it occurs, a chunk's answers are no more than its own tokens, and
+nothing of the model is collected or broadcast; the driver receives totals only.
+Words are 64-bit hashes, a bigram's key is a mix of two.  A word is followed by a
+token wherever it stands, so c(h) is the word's own count, and that of the start
+mark is the end's.
+
+``score_corpus`` scores a corpus by itself in one such exchange; ``fit`` keeps the
+sums of two corpora as a table, with which ``score`` scores any documents.
 
 Edge cases: null and blank texts hold only the end token and are scored by it; an
 empty target or background leaves uniform probabilities; repeated rows count each
@@ -32,22 +39,26 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, drop_cut, small_batches
 from barloom.llm.hashing import run_hashes, split_words
 
 LAMBDA, ALPHA = 0.7, 0.5
-CHUNK = 1 << 22
+#: Bytes of text that are counted and scored together, and rows of one batch sent to Spark.
+CHUNK, BATCH = 1 << 24, 1 << 18
 #: Stand for the start of a text and its end; the end follows every text once.
 START, END = 1, 2
 KINDS = ("target", "background")
+SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
 def hashed(text: str | None) -> np.ndarray:
@@ -62,39 +73,73 @@ def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return h ^ ((turned << np.uint64(1)) | (turned >> np.uint64(63))).view(np.int64)
 
 
-def text_pairs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(history, token) for every token of a text, the end included."""
-    found = hashed(text)
-    return np.concatenate([[START], found]), np.concatenate([found, [END]])
+@dataclass(frozen=True)
+class Tokens:
+    """All tokens of some texts, one after the other."""
+
+    token: np.ndarray
+    pair: np.ndarray
+    owner: np.ndarray  # position of the token's text
+    first: np.ndarray  # position of each text's first token
+    size: np.ndarray  # tokens of each text
+
 
+def tokens_of(texts: list[str | None]) -> Tokens:
+    found = [np.append(hashed(t), END) for t in texts]
+    size = np.array([len(f) for f in found])
+    token, first = np.concatenate(found), np.cumsum(size) - size
+    history = np.roll(token, 1)
+    history[first] = START
+    return Tokens(token, pair_keys(history, token), np.repeat(np.arange(len(texts)), size), first, size)
 
-def _counted(texts: DataFrame, kind: str) -> DataFrame:
-    """(h, w, target, background) counts of all bigrams of the texts, summed per CHUNK tokens of a task."""
 
-    def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        h, w = map(np.concatenate, zip(*pairs))
-        _, first, counts = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
-        zero = np.zeros_like(counts)
-        both = (counts, zero) if kind == "target" else (zero, counts)
-        return pa.RecordBatch.from_arrays([*map(pa.array, (h[first], w[first], *both))], ["h", "w", *KINDS])
+def _chunks(rows: DataFrame) -> DataFrame:
+    """The rows (doc_id, text, taught) with a chunk of at most CHUNK bytes of text, or of one text; written."""
+    limit = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, size = [], 0
+        chunk, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                pairs.append(text_pairs(text))
-                size += len(pairs[-1][0])
-                if size >= CHUNK:
-                    yield out(pairs)
-                    pairs, size = [], 0
-        if pairs:
-            yield out(pairs)
-
-    return texts.select("text").mapInArrow(run, "h long, w long, target long, background long")
+            chunks = []
+            for n in pc.binary_length(batch.column(1)).to_pylist():
+                if size and size + (n or 0) > limit:
+                    chunk, size = chunk + 1, 0
+                size += (n or 0) + 1
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), *batch.columns], ["chunk", *batch.schema.names])
+
+    return cut(rows.mapInArrow(run, "chunk long, doc_id long, text string, taught boolean"))
+
+
+def _counted(chunks: DataFrame) -> DataFrame:
+    """(chunk, key, token, target, background): every word and bigram of a chunk once, counted in taught rows and in all."""
+
+    def out(chunk: int, texts: list, taught: list) -> Iterator[pa.RecordBatch]:
+        found = tokens_of(texts)
+        held = np.array(taught)[found.owner]
+        for is_token, keys in ((True, found.token), (False, found.pair)):
+            keys, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
+            target = np.bincount(at[held], minlength=len(keys))
+            for a in range(0, len(keys), BATCH):
+                part = slice(a, a + BATCH)
+                n = len(keys[part])
+                arrays = [np.full(n, chunk), keys[part], np.full(n, is_token), target[part], counts[part]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], ["chunk", "key", "token", *KINDS])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, taught = None, [], []
+        for batch in batches:
+            for chunk, text, flag in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != now and texts:
+                    yield from out(now, texts, taught)
+                    texts, taught = [], []
+                now = chunk
+                texts.append(text)
+                taught.append(flag)
+        if texts:
+            yield from out(now, texts, taught)
 
-def _sums(*columns: str) -> list[Column]:
-    return [F.sum(c).alias(c) for c in columns]
+    return chunks.select("chunk", "text", "taught").mapInArrow(run, "chunk long, key long, token boolean, target long, background long")
 
 
 def _freed(spark) -> None:
@@ -107,116 +152,127 @@ def _freed(spark) -> None:
 
 @dataclass(frozen=True)
 class Model:
-    """Tables in the shared folder; counts are of the target and of the background.
-
-    ``pairs`` (h, w, target, background) holds every bigram, ``words`` (word, as_h_*,
-    as_w_*) every word as history and as token.
-    """
+    """``grams`` (key, token, target, background), in the shared folder: every word and bigram of both corpora."""
 
-    pairs: DataFrame
-    words: DataFrame
+    grams: DataFrame
     size: int  # predicted tokens
     tokens: dict[str, int]
 
-    def table(self, pairs: DataFrame) -> DataFrame:
-        """(key and the counts of the pair, of h and of w in both corpora) of every bigram of ``pairs``."""
-        histories = self.words.select(F.col("word").alias("h"), *(F.col(f"as_h_{k}").alias(f"h_{k}") for k in KINDS))
-        tokens = self.words.select(F.col("word").alias("w"), *(F.col(f"as_w_{k}").alias(f"w_{k}") for k in KINDS))
-        key = F.col("h").bitwiseXOR(F.shiftleft("w", 1).bitwiseOR(F.shiftrightunsigned("w", 63))).alias("key")  # as pair_keys
-        met = pairs.join(histories, "h", "left").select(key, "w", *KINDS, *(f"h_{k}" for k in KINDS)).join(tokens, "w", "left")
-        return met.select("key", *(F.coalesce(c, F.lit(0)).alias(c) for k in KINDS for c in (k, f"h_{k}", f"w_{k}")))
-
     def drop(self) -> None:
         """Remove the model's files."""
-        drop_cut(self.pairs)
-        drop_cut(self.words)
+        drop_cut(self.grams)
+
+
+def _totals(words: DataFrame) -> tuple[int, dict[str, int]]:
+    """Predicted tokens, and the number of tokens of both corpora."""
+    found = words.agg(F.count_if(F.col("key") != END).alias("n"), *(F.sum(k).alias(k) for k in KINDS)).first()
+    return found["n"] + 2, {k: found[k] or 0 for k in KINDS}
 
 
 def fit(target: DataFrame, background: DataFrame) -> Model:
-    """Count both corpora."""
+    """Count both corpora; the target's rows need not be of the background."""
     spark = background.sparkSession
     small_batches(spark)
-    counted = _counted(target, KINDS[0]).unionByName(_counted(background, KINDS[1]))
-    pairs = cut(counted.groupBy("h", "w").agg(*_sums(*KINDS)))
-    del counted
+    sides = [_counted(_chunks(d.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("taught")))) for d in (target, background)]
+    none = F.lit(0).cast("long")
+    both = sides[0].withColumn("background", none).unionByName(sides[1].withColumn("target", none))
+    grams = cut(both.groupBy("key", "token").agg(*(F.sum(k).alias(k) for k in KINDS)))
     _freed(spark)
-    zero = [F.lit(0).cast("long").alias(f"as_{x}_{k}") for x in "hw" for k in KINDS]
-    as_h = pairs.groupBy(F.col("h").alias("word")).agg(*(F.sum(k).alias(f"as_h_{k}") for k in KINDS)).select("word", *(f"as_h_{k}" for k in KINDS), *zero[2:])
-    as_w = pairs.groupBy(F.col("w").alias("word")).agg(*(F.sum(k).alias(f"as_w_{k}") for k in KINDS)).select("word", *zero[:2], *(f"as_w_{k}" for k in KINDS))
-    names = [f"as_{x}_{k}" for x in "hw" for k in KINDS]
-    words = cut(as_h.unionByName(as_w).groupBy("word").agg(*_sums(*names)))
-    _freed(spark)
-    found = words.agg(F.count_if(~F.col("word").isin(START, END)).alias("n"), *_sums(*(f"as_w_{k}" for k in KINDS))).first()
-    return Model(pairs, words, found["n"] + 2, {k: found[f"as_w_{k}"] or 0 for k in KINDS})
+    return Model(grams, *_totals(grams.where("token")))
 
 
-SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+def _scorer(size: int, total: dict[str, int], counted: bool, alone: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores the rows of a chunk with the sums that were returned to it.
 
+    ``counted``: the background holds the rows.  ``alone``: a key without a sum is of
+    this chunk only; otherwise neither corpus holds it.
+    """
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, key, n, own_h, own_w, size): a row's bigrams with the row's own counts of both words and of all."""
-    names = ["row", "doc_id", "key", "n", "own_h", "own_w", "size"]
-    for batch in batches:
-        rows, ids = batch.column(0).to_numpy(), batch.column(1)
-        found = []
-        for text in batch.column(2).to_pylist():
-            h, w = text_pairs(text)
-            keys, first, n = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
-            many = []
-            for x in (h, w):
-                _, at, counts = np.unique(x, return_inverse=True, return_counts=True)
-                many.append(counts[at[first]])
-            found.append((keys, n, *many, np.full(len(keys), len(h))))
-        if not found:
-            continue
-        sizes = np.array([len(f[0]) for f in found])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        at = np.full(sizes.sum(), -1)
-        at[first] = np.arange(len(first))
-        doc_ids = ids.take(pa.array(at, mask=at < 0))  # only at a row's first bigram
-        keys, *counts = (np.concatenate(x) for x in zip(*found))
-        owner = np.repeat(rows, sizes)
-        for a in range(0, len(keys), CHUNK):
-            part = slice(a, a + CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[part]), doc_ids[part], pa.array(keys[part]), *(pa.array(c[part].astype(np.int32)) for c in counts)], names)
+    def sums(keys: np.ndarray, held: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Position of each key among the distinct ones, and their counts in both corpora."""
+        distinct, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        own = [np.bincount(at[held], minlength=len(distinct)), counts] if alone else [np.zeros(len(distinct), np.int64) for _ in KINDS]
+        place = np.minimum(np.searchsorted(distinct, found[0]), len(distinct) - 1)
+        met = distinct[place] == found[0]
+        for into, values in zip(own, found[1:]):
+            into[place[met]] = values[met]
+        return at, own
+
+    def of_text(owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each token's key occurs in its own text."""
+        _, place, counts = np.unique(owner * (at.max() + 1) + at, return_inverse=True, return_counts=True)
+        return counts[place]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({c: pa.array([], pa.int64() if "_id" in c or "n_" in c else pa.float64()) for c in ("doc_id", "n_tokens", "target_loss", "background_loss", "score")})
+        texts = tokens_of(left.column("text").to_pylist())
+        taught = np.array(left.column("taught").to_pylist())[texts.owner]
+        found = [right.column(c).to_numpy() for c in ("key", *KINDS)]
+        (token, words), (pair, pairs) = sums(texts.token, taught, found), sums(texts.pair, taught, found)
+        own_w, own_pair = of_text(texts.owner, token), of_text(texts.owner, pair)
+        end = token[texts.first + texts.size - 1]
+
+        def history(of_token: np.ndarray, of_end: np.ndarray) -> np.ndarray:
+            turned = np.roll(of_token, 1)
+            turned[texts.first] = of_end
+            return turned
+
+        own_h = history(own_w, np.ones(len(end), own_w.dtype))
+        losses = []
+        for k, kind in enumerate(KINDS):
+            less = (taught if kind == "target" else np.full(len(taught), counted)).astype(np.int64)
+            w, h, n = words[k][token], history(words[k][token], words[k][end]), pairs[k][pair]
+            # a row that the corpus does not hold after all may have more than the corpus
+            w, h, n, all_ = (np.maximum(x - less * own, 0) for x, own in ((w, own_w), (h, own_h), (n, own_pair), (total[kind], texts.size[texts.owner])))
+            p = (w + ALPHA) / (all_ + ALPHA * size)
+            p = np.where(h > 0, LAMBDA * n / np.maximum(h, 1) + (1 - LAMBDA) * p, p)
+            losses.append(np.bincount(texts.owner, -np.log(p)) / texts.size)
+        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": texts.size, "target_loss": losses[0], "background_loss": losses[1], "score": losses[0] - losses[1]})
+
+    return run
+
+
+def _taught(docs: DataFrame, in_target: DataFrame | None) -> DataFrame:
+    """(doc_id, text, taught); ``taught`` where the id is one of ``in_target`` (doc_id)."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    if in_target is None:
+        return rows.select("*", F.lit(False).alias("taught"))
+    ids = in_target.select(F.col("doc_id").cast("long").alias("l")).where("l is not null").distinct()
+    return rows.join(ids.hint("merge"), F.col("doc_id") == F.col("l"), "left").select("doc_id", "text", F.col("l").isNotNull().alias("taught"))
+
+
+def _scored(chunks: DataFrame, answers: DataFrame, scorer: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scorer, SCORED)
+
+
+def score_corpus(docs: DataFrame, in_target: DataFrame) -> DataFrame:
+    """Columns of ``SCORED``: the background is ``docs``, the target its rows with ids of ``in_target`` (doc_id).
+
+    Every row is scored by either corpus without itself.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    chunks = _chunks(_taught(docs, in_target))
+    _freed(spark)
+    key = Window.partitionBy("key")
+    summed = _counted(chunks).select("chunk", "key", "token", *(F.sum(k).over(key).alias(k) for k in KINDS), F.count("*").over(key).alias("n"))
+    answers = cut(summed.where("token or n > 1").drop("n"))
+    del summed
+    _freed(spark)
+    words = answers.where("token").groupBy("key").agg(*(F.first(k).alias(k) for k in KINDS))
+    size, tokens = _totals(words)
+    return _scored(chunks, answers.drop("token"), _scorer(size, tokens, True, True))
 
 
 def score(docs: DataFrame, model: Model, counted: bool = False, in_target: DataFrame | None = None) -> DataFrame:
     """Columns of ``SCORED``; losses are means over the document's tokens.
 
-    ``counted``: the model's background is ``docs``, so every row is scored without
-    itself.  ``in_target`` (doc_id): the ids of rows that the target holds too; of them
-    the target loss is that of the target without them.
+    ``counted``: the model's background holds the rows of ``docs``, so every row is
+    scored without itself.  ``in_target`` (doc_id): the ids of rows that the target
+    holds too; of them the target loss is that of the target without them.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    pairs = model.pairs
-    if not counted:
-        zero = F.lit(0).cast("long")
-        pairs = _counted(docs, KINDS[1]).select("h", "w", zero.alias("target"), zero.alias("background")).unionByName(pairs).groupBy("h", "w").agg(*_sums(*KINDS))
-    table = cut(model.table(pairs))
-    del pairs
-    _freed(spark)
-    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    rows = given.mapInArrow(_rows, "row long, doc_id long, key long, n int, own_h int, own_w int, size int")
-
-    def loss(k: str, without: bool) -> Column:
-        less = lambda name, own: F.col(name) - F.col(own) if without else F.col(name)
-        # sums of all rows of a key cannot be less than a row's own; a row that the corpus does not hold is not taken off
-        total = F.lit(model.tokens[k]) - F.col("size") if without else F.lit(model.tokens[k])
-        p = (less(f"w_{k}", "own_w") + ALPHA) / (total + ALPHA * model.size)
-        seen = less(f"h_{k}", "own_h")
-        return -F.log(F.when(seen > 0, LAMBDA * less(k, "n") / seen + (1 - LAMBDA) * p).otherwise(p))
-
-    wanted = {"background_loss": loss(KINDS[1], counted), "target_loss": loss(KINDS[0], False)}
-    if in_target is not None:
-        held = F.col("target") >= F.col("n")  # a row outside the target may have no counts to take off
-        wanted["without_loss"] = F.when(held, loss(KINDS[0], True)).otherwise(0.0)
-    sums = [F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), *((F.sum(F.col("n") * c) / F.sum("n")).alias(name) for name, c in wanted.items())]
-    scored = rows.join(table.hint("shuffle_hash"), "key").groupBy("row").agg(*sums)
-    target = F.col("target_loss")
-    if in_target is not None:
-        ids = in_target.select(F.col("doc_id").cast("long").alias("l")).where("l is not null").distinct()
-        scored = scored.join(ids, F.col("doc_id") == F.col("l"), "left")
-        target = F.when(F.col("l").isNotNull(), F.col("without_loss")).otherwise(target)
-    return scored.select("doc_id", "n_tokens", target.alias("target_loss"), "background_loss", (target - F.col("background_loss")).alias("score"))
+    small_batches(docs.sparkSession)
+    chunks = _chunks(_taught(docs, in_target))
+    answers = _counted(chunks).select("chunk", "key").join(model.grams.drop("token"), "key")
+    return _scored(chunks, answers, _scorer(model.size, model.tokens, counted, False))

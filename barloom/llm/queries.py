@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import chat, decontaminate, html_text, langid, lm_score, neardup, neighbours, packing, pii, quality
-from barloom.llm.common import crc_fold, cut, drop_cut, table
+from barloom.llm.common import crc_fold, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +46,8 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    target = cut(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id").select("text"))
-    model = lm_score.fit(target, docs)
-    drop_cut(target)
-    return lm_score.score(docs, model, counted=True, in_target=good)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score_corpus(table(spark, sf_dir, "documents"), good)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
