@@ -19,14 +19,14 @@ background loss, in nats: lower is closer to the target.
 Every word and every bigram of both corpora is counted; there is no floor and no
 share, so the model grows with the corpus.  Texts are dealt into chunks of CHUNK
 bytes.  A chunk counts its words and bigrams in numpy and sends each once, as a
-64-bit key; Spark sums a key over all chunks and returns the sums to the chunks
-that asked, which score their texts.  A key that only one chunk holds needs no
-answer: the chunk's own counts are the corpus's.  So a key has one row per chunk
-however often it occurs, a chunk's answers are no more than its own tokens, and
-nothing of the model is collected or broadcast; the driver receives totals only.
-Words are 64-bit hashes, a bigram's key is a mix of two.  A word is followed by a
-token wherever it stands, so c(h) is the word's own count, and that of the start
-mark is the end's.
+64-bit key; Spark sums a key over all chunks and returns the sums to the chunk,
+which scores its texts.  Keys travel in blocks: those of a chunk that share their
+first bits, sorted, so that the sums return in their order, without the keys.  A
+key has one row per chunk however often it occurs, a chunk's answers are no more
+than its own tokens, and nothing of the model is collected or broadcast; the
+driver receives totals only.  Words are 64-bit hashes, a bigram's key is a mix of
+two.  A word is followed by a token wherever it stands, so c(h) is the word's own
+count, and that of the start mark is the end's.
 
 ``score_corpus`` scores a corpus by itself in one such exchange; ``fit`` keeps the
 sums of two corpora as a table, with which ``score`` scores any documents.
@@ -46,15 +46,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, drop_cut, small_batches
 from barloom.llm.hashing import run_hashes, split_words
 
 LAMBDA, ALPHA = 0.7, 0.5
-#: Bytes of text that are counted and scored together, and rows of one batch sent to Spark.
+#: Bytes of text that are counted and scored together, and keys of one batch sent to Spark.
 CHUNK, BATCH = 1 << 24, 1 << 18
+#: Fewest and most first bits of a key that name its block.
+LEAST_BITS, MOST_BITS = 10, 16
 #: Stand for the start of a text and its end; the end follows every text once.
 START, END = 1, 2
 KINDS = ("target", "background")
@@ -94,52 +96,105 @@ def tokens_of(texts: list[str | None]) -> Tokens:
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
-    """The rows (doc_id, text, taught) with a chunk of at most CHUNK bytes of text, or of one text; written."""
+    """The rows (doc_id, text, taught), numbered within chunks of at most CHUNK bytes of text, or of one text; written."""
     limit = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size = TaskContext.get().partitionId() << 32, 0
+        chunk, at, size = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            chunks = []
+            places = []
             for n in pc.binary_length(batch.column(1)).to_pylist():
-                if size and size + (n or 0) > limit:
-                    chunk, size = chunk + 1, 0
-                size += (n or 0) + 1
-                chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), *batch.columns], ["chunk", *batch.schema.names])
+                if at and size + (n or 0) > limit:
+                    chunk, at, size = chunk + 1, 0, 0
+                places.append((chunk, at))
+                at, size = at + 1, size + (n or 0)
+            chunks = np.array(places, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, chunks.T.copy()), *batch.columns], ["chunk", "at", *batch.schema.names])
 
-    return cut(rows.mapInArrow(run, "chunk long, doc_id long, text string, taught boolean"))
+    return cut(rows.mapInArrow(run, "chunk long, at long, doc_id long, text string, taught boolean"))
 
 
-def _counted(chunks: DataFrame) -> DataFrame:
-    """(chunk, key, token, target, background): every word and bigram of a chunk once, counted in taught rows and in all."""
+def _bits(*tables: DataFrame) -> int:
+    """First bits of a key that name its block: four blocks or more per chunk of the tables."""
+    chunks = sum(t.agg(F.countDistinct("chunk")).first()[0] for t in tables)
+    return min(max(LEAST_BITS, (4 * chunks).bit_length()), MOST_BITS)
 
-    def out(chunk: int, texts: list, taught: list) -> Iterator[pa.RecordBatch]:
+
+@dataclass(frozen=True)
+class Keys:
+    """The distinct words, then bigrams, of some tokens, and the order that sorts all keys."""
+
+    keys: np.ndarray
+    n_words: int
+    at: tuple[np.ndarray, np.ndarray]  # place in ``keys`` of each token and bigram
+    order: np.ndarray
+
+
+def _keys_of(tokens: Tokens) -> Keys:
+    (words, of_word), (pairs, of_pair) = (np.unique(x, return_inverse=True) for x in (tokens.token, tokens.pair))
+    keys = np.concatenate([words, pairs])
+    return Keys(keys, len(words), (of_word, of_pair + len(words)), np.argsort(keys, kind="stable"))
+
+
+BLOCKS = "bucket int, chunk long, start long, low array<int>, mid array<smallint>, top array<tinyint>, token array<boolean>, target array<int>, background array<int>"
+
+
+def _blocks(chunks: DataFrame, bits: int) -> DataFrame:
+    """Every word and bigram of a chunk once, in blocks of keys with the same first bits; see ``BLOCKS``.
+
+    A chunk that is read in parts sends each from its first row, ``start``.  Counts
+    are those in taught rows and in all.
+    """
+
+    def out(chunk: int, start: int, texts: list, taught: list) -> Iterator[pa.RecordBatch]:
         found = tokens_of(texts)
-        held = np.array(taught)[found.owner]
-        for is_token, keys in ((True, found.token), (False, found.pair)):
-            keys, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
-            target = np.bincount(at[held], minlength=len(keys))
-            for a in range(0, len(keys), BATCH):
-                part = slice(a, a + BATCH)
-                n = len(keys[part])
-                arrays = [np.full(n, chunk), keys[part], np.full(n, is_token), target[part], counts[part]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], ["chunk", "key", "token", *KINDS])
+        keys, held = _keys_of(found), np.array(taught)[found.owner]
+        counts = [sum(np.bincount(at[w], minlength=len(keys.keys)) for at in keys.at)[keys.order].astype(np.int32) for w in (held, slice(None))]
+        of_key = keys.keys[keys.order]
+        bucket = of_key >> (64 - bits)
+        rest = of_key & ((1 << (64 - bits)) - 1)
+        values = [rest.astype(np.int32), (rest >> 32).astype(np.int16), (rest >> 48).astype(np.int8), keys.order < keys.n_words, *counts]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        ends = np.append(first[1:], len(bucket))
+        batch = first // BATCH
+        for k in np.unique(batch):
+            mine = batch == k
+            a, z = first[mine][0], ends[mine][-1]
+            offsets = pa.array(np.append(first[mine], z) - a, pa.int32())
+            n = int(mine.sum())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v[a:z])) for v in values]
+            heads = [pa.array(bucket[first[mine]].astype(np.int32)), pa.array(np.full(n, chunk)), pa.array(np.full(n, start))]
+            yield pa.RecordBatch.from_arrays([*heads, *lists], [f.split()[0] for f in BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, texts, taught = None, [], []
+        now, start, texts, taught = None, 0, [], []
         for batch in batches:
-            for chunk, text, flag in zip(*(c.to_pylist() for c in batch.columns)):
-                if chunk != now and texts:
-                    yield from out(now, texts, taught)
-                    texts, taught = [], []
-                now = chunk
+            for chunk, at, text, flag in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != now or at != start + len(texts):
+                    if texts:
+                        yield from out(now, start, texts, taught)
+                    now, start, texts, taught = chunk, at, [], []
                 texts.append(text)
                 taught.append(flag)
         if texts:
-            yield from out(now, texts, taught)
+            yield from out(now, start, texts, taught)
 
-    return chunks.select("chunk", "text", "taught").mapInArrow(run, "chunk long, key long, token boolean, target long, background long")
+    return chunks.select("chunk", "at", "text", "taught").mapInArrow(run, BLOCKS)
+
+
+def _keys(blocks: DataFrame) -> DataFrame:
+    """(bucket, chunk, start, place, key, token, target, background): one row per key of a block."""
+    rows = blocks.select("bucket", "chunk", "start", F.posexplode(F.arrays_zip("low", "mid", "top", "token", *KINDS)).alias("place", "x"))
+    wide = lambda name, mask: F.col(f"x.{name}").cast("long").bitwiseAND(F.lit(mask))
+    key = wide("low", 0xFFFFFFFF) + F.shiftleft(wide("mid", 0xFFFF), 32) + F.shiftleft(wide("top", 0xFF), 48)
+    return rows.select("bucket", "chunk", "start", "place", key.alias("key"), "x.token", *(F.col(f"x.{k}").cast("long").alias(k) for k in KINDS))
+
+
+def _answers(keys: DataFrame, *more: Column) -> DataFrame:
+    """The sums of a block's keys in the order in which it sent them."""
+    many = F.sort_array(F.collect_list(F.struct("place", *KINDS)))
+    found = keys.groupBy("bucket", "chunk", "start").agg(many.alias("x"), *more)
+    return found.select("chunk", "start", "bucket", *(F.col(f"x.{k}").alias(k) for k in KINDS), *found.columns[4:])
 
 
 def _freed(spark) -> None:
@@ -152,9 +207,10 @@ def _freed(spark) -> None:
 
 @dataclass(frozen=True)
 class Model:
-    """``grams`` (key, token, target, background), in the shared folder: every word and bigram of both corpora."""
+    """``grams`` (bucket, key, target, background), in the shared folder: every word and bigram of both corpora."""
 
     grams: DataFrame
+    bits: int  # of a bucket
     size: int  # predicted tokens
     tokens: dict[str, int]
 
@@ -163,55 +219,35 @@ class Model:
         drop_cut(self.grams)
 
 
-def _totals(words: DataFrame) -> tuple[int, dict[str, int]]:
-    """Predicted tokens, and the number of tokens of both corpora."""
-    found = words.agg(F.count_if(F.col("key") != END).alias("n"), *(F.sum(k).alias(k) for k in KINDS)).first()
-    return found["n"] + 2, {k: found[k] or 0 for k in KINDS}
-
-
 def fit(target: DataFrame, background: DataFrame) -> Model:
     """Count both corpora; the target's rows need not be of the background."""
     spark = background.sparkSession
     small_batches(spark)
-    sides = [_counted(_chunks(d.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("taught")))) for d in (target, background)]
-    none = F.lit(0).cast("long")
-    both = sides[0].withColumn("background", none).unionByName(sides[1].withColumn("target", none))
-    grams = cut(both.groupBy("key", "token").agg(*(F.sum(k).alias(k) for k in KINDS)))
+    sides = [_chunks(d.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("taught"))) for d in (target, background)]
+    bits, none = _bits(*sides), F.lit(0).cast("long")
+    counted = [_keys(_blocks(c, bits)).withColumn(k, none) for c, k in zip(sides, reversed(KINDS))]
+    grams = cut(counted[0].unionByName(counted[1]).groupBy("bucket", "key", "token").agg(*(F.sum(k).alias(k) for k in KINDS)))
+    for c in sides:
+        drop_cut(c)
     _freed(spark)
-    return Model(grams, *_totals(grams.where("token")))
+    found = grams.where("token").agg(F.count("*").alias("words"), *(F.sum(k).alias(k) for k in KINDS)).first()
+    return Model(grams, bits, max(found["words"] - 1, 0) + 2, {k: found[k] or 0 for k in KINDS})
 
 
-def _scorer(size: int, total: dict[str, int], counted: bool, alone: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Scores the rows of a chunk with the sums that were returned to it.
-
-    ``counted``: the background holds the rows.  ``alone``: a key without a sum is of
-    this chunk only; otherwise neither corpus holds it.
-    """
-
-    def sums(keys: np.ndarray, held: np.ndarray, found: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Position of each key among the distinct ones, and their counts in both corpora."""
-        distinct, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        own = [np.bincount(at[held], minlength=len(distinct)), counts] if alone else [np.zeros(len(distinct), np.int64) for _ in KINDS]
-        place = np.minimum(np.searchsorted(distinct, found[0]), len(distinct) - 1)
-        met = distinct[place] == found[0]
-        for into, values in zip(own, found[1:]):
-            into[place[met]] = values[met]
-        return at, own
+def _scorer(size: int, total: dict[str, int], counted: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores the rows of a chunk with the sums that were returned to it; ``counted``: the background holds the rows."""
 
     def of_text(owner: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each token's key occurs in its own text."""
         _, place, counts = np.unique(owner * (at.max() + 1) + at, return_inverse=True, return_counts=True)
         return counts[place]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({c: pa.array([], pa.int64() if "_id" in c or "n_" in c else pa.float64()) for c in ("doc_id", "n_tokens", "target_loss", "background_loss", "score")})
-        texts = tokens_of(left.column("text").to_pylist())
-        taught = np.array(left.column("taught").to_pylist())[texts.owner]
-        found = [right.column(c).to_numpy() for c in ("key", *KINDS)]
-        (token, words), (pair, pairs) = sums(texts.token, taught, found), sums(texts.pair, taught, found)
-        own_w, own_pair = of_text(texts.owner, token), of_text(texts.owner, pair)
-        end = token[texts.first + texts.size - 1]
+    def part(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = tokens_of(rows.column("text").to_pylist())
+        keys, taught = _keys_of(texts), np.array(rows.column("taught").to_pylist())[texts.owner]
+        (word, pair), answers = keys.at, answers.sort_by("bucket")
+        own_w, own_pair = of_text(texts.owner, word), of_text(texts.owner, pair)
+        end = word[texts.first + texts.size - 1]
 
         def history(of_token: np.ndarray, of_end: np.ndarray) -> np.ndarray:
             turned = np.roll(of_token, 1)
@@ -220,15 +256,22 @@ def _scorer(size: int, total: dict[str, int], counted: bool, alone: bool) -> Cal
 
         own_h = history(own_w, np.ones(len(end), own_w.dtype))
         losses = []
-        for k, kind in enumerate(KINDS):
+        for kind in KINDS:
+            sums = np.empty(len(keys.keys), np.int64)
+            sums[keys.order] = pc.list_flatten(answers.column(kind)).to_numpy()
             less = (taught if kind == "target" else np.full(len(taught), counted)).astype(np.int64)
-            w, h, n = words[k][token], history(words[k][token], words[k][end]), pairs[k][pair]
             # a row that the corpus does not hold after all may have more than the corpus
-            w, h, n, all_ = (np.maximum(x - less * own, 0) for x, own in ((w, own_w), (h, own_h), (n, own_pair), (total[kind], texts.size[texts.owner])))
+            own = ((sums[word], own_w), (history(sums[word], sums[end]), own_h), (sums[pair], own_pair), (total[kind], texts.size[texts.owner]))
+            w, h, n, all_ = (np.maximum(x - less * y, 0) for x, y in own)
             p = (w + ALPHA) / (all_ + ALPHA * size)
             p = np.where(h > 0, LAMBDA * n / np.maximum(h, 1) + (1 - LAMBDA) * p, p)
             losses.append(np.bincount(texts.owner, -np.log(p)) / texts.size)
-        return pa.table({"doc_id": left.column("doc_id"), "n_tokens": texts.size, "target_loss": losses[0], "background_loss": losses[1], "score": losses[0] - losses[1]})
+        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": texts.size, "target_loss": losses[0], "background_loss": losses[1], "score": losses[0] - losses[1]})
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        starts = np.unique(right.column("start").to_numpy())
+        parts = np.searchsorted(starts, left.column("at").to_numpy(), "right") - 1
+        return pa.concat_tables(part(left.filter(pa.array(parts == k)), right.filter(pc.equal(right.column("start"), int(x)))) for k, x in enumerate(starts))
 
     return run
 
@@ -255,14 +298,18 @@ def score_corpus(docs: DataFrame, in_target: DataFrame) -> DataFrame:
     small_batches(spark)
     chunks = _chunks(_taught(docs, in_target))
     _freed(spark)
-    key = Window.partitionBy("key")
-    summed = _counted(chunks).select("chunk", "key", "token", *(F.sum(k).over(key).alias(k) for k in KINDS), F.count("*").over(key).alias("n"))
-    answers = cut(summed.where("token or n > 1").drop("n"))
-    del summed
+    key = Window.partitionBy("key", "bucket")
+    own = [F.col(k).alias(f"own_{k}") for k in KINDS]
+    # blocks are shuffled whole; sums by key and answers by block both stay within a bucket
+    keys = _keys(_blocks(chunks, _bits(chunks)).repartition("bucket"))
+    summed = keys.select("bucket", "chunk", "start", "place", "token", *own, *(F.sum(k).over(key).alias(k) for k in KINDS), F.count("*").over(key).alias("n"))
+    # a word of n chunks counts as one word
+    totals = [F.sum(F.when(F.col("token"), c)).alias(n) for n, c in (("words", 1 / F.col("n")), *((f"own_{k}", F.col(f"own_{k}")) for k in KINDS))]
+    answers = cut(_answers(summed, *totals))
     _freed(spark)
-    words = answers.where("token").groupBy("key").agg(*(F.first(k).alias(k) for k in KINDS))
-    size, tokens = _totals(words)
-    return _scored(chunks, answers.drop("token"), _scorer(size, tokens, True, True))
+    found = answers.agg(*(F.sum(c).alias(c) for c in ("words", "own_target", "own_background"))).first()
+    size, tokens = max(round(found["words"] or 0) - 1, 0) + 2, {k: found[f"own_{k}"] or 0 for k in KINDS}
+    return _scored(chunks, answers.select("chunk", "start", "bucket", *KINDS), _scorer(size, tokens, True))
 
 
 def score(docs: DataFrame, model: Model, counted: bool = False, in_target: DataFrame | None = None) -> DataFrame:
@@ -274,5 +321,6 @@ def score(docs: DataFrame, model: Model, counted: bool = False, in_target: DataF
     """
     small_batches(docs.sparkSession)
     chunks = _chunks(_taught(docs, in_target))
-    answers = _counted(chunks).select("chunk", "key").join(model.grams.drop("token"), "key")
-    return _scored(chunks, answers, _scorer(model.size, model.tokens, counted, False))
+    keys = _keys(_blocks(chunks, model.bits)).select("bucket", "chunk", "start", "place", "key", "token")
+    met = keys.join(model.grams, ["bucket", "key", "token"], "left").fillna(0, list(KINDS))
+    return _scored(chunks, _answers(met), _scorer(model.size, model.tokens, counted))
