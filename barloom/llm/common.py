@@ -46,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     return kept
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Compared with ``checkpoint()`` the files are columnar and compressed.  They
@@ -54,7 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _written.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table.__dict__["cut_path"] = path

@@ -111,13 +111,13 @@ def _chunks(rows: DataFrame) -> DataFrame:
             chunks = np.array(places, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*map(pa.array, chunks.T.copy()), *batch.columns], ["chunk", "at", *batch.schema.names])
 
-    return cut(rows.mapInArrow(run, "chunk long, at long, doc_id long, text string, taught boolean"))
+    return cut(rows.mapInArrow(run, "chunk long, at long, doc_id long, text string, taught boolean"), "zstd")
 
 
-def _bits(*tables: DataFrame) -> int:
-    """First bits of a key that name its block: four blocks or more per chunk of the tables."""
+def _layout(*tables: DataFrame) -> tuple[int, int]:
+    """First bits of a key that name its block, four blocks or more per chunk, and partitions of about half a chunk's keys."""
     chunks = sum(t.agg(F.countDistinct("chunk")).first()[0] for t in tables)
-    return min(max(LEAST_BITS, (4 * chunks).bit_length()), MOST_BITS)
+    return min(max(LEAST_BITS, (4 * chunks).bit_length()), MOST_BITS), min(max(2 * chunks, 1), 1 << MOST_BITS)
 
 
 @dataclass(frozen=True)
@@ -224,7 +224,7 @@ def fit(target: DataFrame, background: DataFrame) -> Model:
     spark = background.sparkSession
     small_batches(spark)
     sides = [_chunks(d.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("taught"))) for d in (target, background)]
-    bits, none = _bits(*sides), F.lit(0).cast("long")
+    (bits, _), none = _layout(*sides), F.lit(0).cast("long")
     counted = [_keys(_blocks(c, bits)).withColumn(k, none) for c, k in zip(sides, reversed(KINDS))]
     grams = cut(counted[0].unionByName(counted[1]).groupBy("bucket", "key", "token").agg(*(F.sum(k).alias(k) for k in KINDS)))
     for c in sides:
@@ -301,7 +301,8 @@ def score_corpus(docs: DataFrame, in_target: DataFrame) -> DataFrame:
     key = Window.partitionBy("key", "bucket")
     own = [F.col(k).alias(f"own_{k}") for k in KINDS]
     # blocks are shuffled whole; sums by key and answers by block both stay within a bucket
-    keys = _keys(_blocks(chunks, _bits(chunks)).repartition("bucket"))
+    bits, partitions = _layout(chunks)
+    keys = _keys(_blocks(chunks, bits).repartition(partitions, "bucket"))
     summed = keys.select("bucket", "chunk", "start", "place", "token", *own, *(F.sum(k).over(key).alias(k) for k in KINDS), F.count("*").over(key).alias("n"))
     # a word of n chunks counts as one word
     totals = [F.sum(F.when(F.col("token"), c)).alias(n) for n, c in (("words", 1 / F.col("n")), *((f"own_{k}", F.col(f"own_{k}")) for k in KINDS))]
