@@ -54,7 +54,7 @@ from barloom.llm.hashing import run_hashes, split_words
 
 LAMBDA, ALPHA = 0.7, 0.5
 #: Bytes of text that are counted and scored together, and keys of one batch sent to Spark.
-CHUNK, BATCH = 1 << 24, 1 << 18
+CHUNK, BATCH = 1 << 22, 1 << 18
 #: Fewest and most first bits of a key that name its block.
 LEAST_BITS, MOST_BITS = 10, 16
 #: Stand for the start of a text and its end; the end follows every text once.
@@ -115,9 +115,9 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
 
 def _layout(*tables: DataFrame) -> tuple[int, int]:
-    """First bits of a key that name its block, four blocks or more per chunk, and partitions of about half a chunk's keys."""
+    """First bits of a key that name its block, four blocks or more per chunk, and partitions of about a chunk's keys."""
     chunks = sum(t.agg(F.countDistinct("chunk")).first()[0] for t in tables)
-    return min(max(LEAST_BITS, (4 * chunks).bit_length()), MOST_BITS), min(max(2 * chunks, 1), 1 << MOST_BITS)
+    return min(max(LEAST_BITS, (4 * chunks).bit_length()), MOST_BITS), min(max(chunks, 1), 1 << MOST_BITS)
 
 
 @dataclass(frozen=True)
