@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 #: A key with more than this part of all rows is joined by broadcast; so few keys can have as many.
 HOT = 1000
@@ -50,11 +51,17 @@ def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Compared with ``checkpoint()`` the files are columnar and compressed.  They
-    survive lost executors and are removed when the driver process ends.
+    survive lost executors and are removed when the driver process ends.  The
+    shuffle files of the write go with it: nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     _written.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table.__dict__["cut_path"] = path

@@ -197,14 +197,6 @@ def _answers(keys: DataFrame, *more: Column) -> DataFrame:
     return found.select("chunk", "start", "bucket", *(F.col(f"x.{k}").alias(k) for k in KINDS), *found.columns[4:])
 
 
-def _freed(spark) -> None:
-    """Lets Spark remove the shuffle files of the tables that were written and forgotten."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @dataclass(frozen=True)
 class Model:
     """``grams`` (bucket, key, target, background), in the shared folder: every word and bigram of both corpora."""
@@ -229,7 +221,6 @@ def fit(target: DataFrame, background: DataFrame) -> Model:
     grams = cut(counted[0].unionByName(counted[1]).groupBy("bucket", "key", "token").agg(*(F.sum(k).alias(k) for k in KINDS)))
     for c in sides:
         drop_cut(c)
-    _freed(spark)
     found = grams.where("token").agg(F.count("*").alias("words"), *(F.sum(k).alias(k) for k in KINDS)).first()
     return Model(grams, bits, max(found["words"] - 1, 0) + 2, {k: found[k] or 0 for k in KINDS})
 
@@ -297,7 +288,6 @@ def score_corpus(docs: DataFrame, in_target: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     chunks = _chunks(_taught(docs, in_target))
-    _freed(spark)
     key = Window.partitionBy("key", "bucket")
     own = [F.col(k).alias(f"own_{k}") for k in KINDS]
     # blocks are shuffled whole; sums by key and answers by block both stay within a bucket
@@ -307,7 +297,6 @@ def score_corpus(docs: DataFrame, in_target: DataFrame) -> DataFrame:
     # a word of n chunks counts as one word
     totals = [F.sum(F.when(F.col("token"), c)).alias(n) for n, c in (("words", 1 / F.col("n")), *((f"own_{k}", F.col(f"own_{k}")) for k in KINDS))]
     answers = cut(_answers(summed, *totals))
-    _freed(spark)
     found = answers.agg(*(F.sum(c).alias(c) for c in ("words", "own_target", "own_background"))).first()
     size, tokens = max(round(found["words"] or 0) - 1, 0) + 2, {k: found[f"own_{k}"] or 0 for k in KINDS}
     return _scored(chunks, answers.select("chunk", "start", "bucket", *KINDS), _scorer(size, tokens, True))
