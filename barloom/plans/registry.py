@@ -5,7 +5,7 @@ The plan modules register into one table as they are imported.
 
 from __future__ import annotations
 
-from barloom.plans import analysis, extras, series, trading  # noqa: F401
+from barloom.plans import analysis, extras, lifecycle, series, trading  # noqa: F401
 
 QUERIES = series.QUERIES
 ORACLES = series.ORACLES
