@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.operators import domains as dm
 from barloom.operators import lifecycle as lc
 from barloom.plans import sql
 from barloom.plans.series import query, shown
@@ -106,3 +107,39 @@ def _(spark, d):
     observed = F.when(F.col("run_id") == "O", "obs-O").otherwise(F.col("run_id"))
     days, trades = (x.withColumn("run_id", observed) for x in (_days(spark, d), order_trades(spark, d)))
     return lc.lanes(days, trades).select("lane", "run_id", "symbol", "days", "trades", "net_yen")
+
+
+# -- conditions made of order keys: some sound, some not ------------------------------------------------
+
+_KINDS = [*dm.RULES, "odd"]
+_NUMBERS = [(k, i, p) for k in _KINDS for i, p in enumerate([*dm.WHOLE.get(k, {}), *dm.POSITIVE.get(k, {})])]
+_WORDS = [(k, i, p, a) for k in _KINDS for i, (p, a) in enumerate(dm.WORDS.get(k, {}).items())]
+_WHOLE = ", ".join(f"('{k}', '{p}', {a}, {'NULL' if z is None else z})" for k, x in dm.WHOLE.items() for p, (a, z) in x.items())
+_POSITIVE = ", ".join(f"('{k}', '{p}', {'NULL' if z is None else z})" for k, x in dm.POSITIVE.items() for p, z in x.items())
+_RISING = ", ".join(f"('{k}', '{a}', '{b}')" for k, x in dm.RISING.items() for a, b in x)
+
+
+def _conditions(spark, d):
+    no = F.floor(F.col("o_orderkey") / len(_KINDS))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("o_orderkey") % len(_KINDS) + 1).cast("int"))
+    half = F.when(no % 4 == 0, 2.0).otherwise(1.0) * F.when(kind == "parabolicSar", 25.0).otherwise(1.0)
+    numbers, words = F.when(F.lit(False), F.create_map(F.lit(""), F.lit(0.0))), F.when(F.lit(False), F.create_map(F.lit(""), F.lit("")))
+    for k in _KINDS:
+        values = [x for _, i, p in (n for n in _NUMBERS if n[0] == k) for x in (F.lit(p), (no * (i + 3) % 23 - 2) / half)]
+        names = [x for _, i, p, a in (w for w in _WORDS if w[0] == k) for x in (F.lit(p), F.element_at(F.array(*map(F.lit, (*a, "none"))), ((no + i) % (len(a) + 1) + 1).cast("int")))]
+        numbers = numbers.when(kind == k, F.create_map(*values)) if values else numbers
+        words = words.when(kind == k, F.create_map(*names)) if names else words
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("id"), kind.alias("kind"), numbers.alias("numbers"), words.alias("words"))
+
+
+@query("rule_problems", f"""WITH kd(i, kind) AS (VALUES {', '.join(f"({i}, '{k}')" for i, k in enumerate(_KINDS))}), np(kind, i, p) AS (VALUES {', '.join(map(str, _NUMBERS))}), wp(kind, i, p, n) AS (VALUES {', '.join(f"('{k}', {i}, '{p}', {len(a)})" for k, i, p, a in _WORDS)}),
+    c AS (SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderkey // {len(_KINDS)} AS no, kind FROM orders JOIN kd ON kd.i = o_orderkey % {len(_KINDS)}),
+    v AS (SELECT id, kind, p, (no * (i + 3) % 23 - 2) / (CASE WHEN no % 4 = 0 THEN 2.0 ELSE 1.0 END * CASE WHEN kind = 'parabolicSar' THEN 25.0 ELSE 1.0 END) AS x FROM c JOIN np USING (kind)), w AS (SELECT id, kind, p, (no + i) % (n + 1) AS pick, n FROM c JOIN wp USING (kind)),
+    wh(kind, p, a, z) AS (VALUES {_WHOLE}), po(kind, p, z) AS (VALUES {_POSITIVE}), ri(kind, a, b) AS (VALUES {_RISING})
+    SELECT id, p AS parameter, 'domain' AS problem FROM v JOIN wh USING (kind, p) WHERE floor(x) <> x OR x < a OR x > z UNION ALL SELECT id, p, 'domain' FROM v JOIN po USING (kind, p) WHERE x <= 0 OR x >= z
+    UNION ALL SELECT id, p, 'domain' FROM w WHERE pick = n UNION ALL SELECT id, 'kind', 'kind' FROM c WHERE kind = 'odd'
+    UNION ALL SELECT l.id, l.p, 'order' FROM ri JOIN v l ON l.kind = ri.kind AND l.p = ri.a JOIN v r ON r.id = l.id AND r.p = ri.b WHERE l.x >= r.x
+    UNION ALL SELECT id, p, 'order' FROM v WHERE kind = 'parabolicSar' AND p = 'step' AND x < {dm.SAR_LEAST_STEP} UNION ALL SELECT l.id, 'maximum', 'order' FROM v l JOIN v r USING (id) WHERE l.kind = 'parabolicSar' AND l.p = 'maximum' AND r.p = 'step' AND l.x < r.x
+    UNION ALL SELECT l.id, 'shift', 'order' FROM v l JOIN v r USING (id) JOIN w USING (id) WHERE l.kind = 'ichimokuCross' AND l.p = 'shift' AND r.p = 'base' AND w.p = 'cloud' AND pick = 0 AND l.x <> r.x""")
+def _(spark, d):
+    return dm.rule_problems(_conditions(spark, d))
