@@ -35,6 +35,55 @@ def insert_only(path: str, keys: list[str]):
     return write
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _tails(spark: SparkSession, path: str) -> list[int]:
+    """Finished batches of a ``frozen_tail`` table, ascending."""
+    fs, where = _folder(spark, f"{path}/tail")
+    names = [x.getPath() for x in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(x.getName().split("=")[1]) for x in names if fs.exists(_folder(spark, f"{x.toString()}/_SUCCESS")[1]))
+
+
+def frozen_tail(path: str, version: str, keys: tuple[str, ...] = ("symbol", "tf"), time: str = "t"):
+    """A ``foreachBatch`` function for bars that are sent again while they form.
+
+    The newest bar of every series is its tail: a later version of it, or the highest
+    ``version`` within a batch, replaces it.  Once a newer bar comes it is frozen, and
+    bars older than the tail are ignored, also ones that were missing.  A batch reads
+    the tails only, never the frozen bars.  Both go into folders of the batch, so that
+    a batch that is tried again overwrites what it wrote.  Read with ``read_frozen``.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        before = [e for e in _tails(spark, path) if e < epoch]
+        row = F.struct(*batch.columns)
+        rows = batch.groupBy(*keys, time).agg(F.max_by(row, version).alias("x")).select("x.*")
+        if before:
+            tail = spark.read.schema(batch.schema).parquet(f"{path}/tail/epoch={before[-1]}")
+            since = tail.select(*keys, F.col(time).alias("__since"))
+            rows = rows.join(since, list(keys), "left").where(F.col("__since").isNull() | (F.col(time) >= F.col("__since"))).drop("__since")
+            rows = rows.unionByName(tail.join(rows.select(*keys, time), [*keys, time], "left_anti"))
+        newest = rows.groupBy(*keys).agg(F.max(time).alias(time))
+        rows.join(newest, [*keys, time], "left_anti").select(batch.columns).write.mode("overwrite").parquet(f"{path}/frozen/epoch={epoch}")
+        rows.join(newest, [*keys, time], "left_semi").select(batch.columns).write.mode("overwrite").parquet(f"{path}/tail/epoch={epoch}")
+        for old in before[:-1]:
+            fs, where = _folder(spark, f"{path}/tail/epoch={old}")
+            fs.delete(where, True)
+
+    return write
+
+
+def read_frozen(spark: SparkSession, path: str) -> DataFrame:
+    """Frozen bars and tails as of the last finished batch."""
+    last = _tails(spark, path)[-1]
+    tail = spark.read.parquet(f"{path}/tail/epoch={last}")
+    return spark.read.parquet(f"{path}/frozen").where(F.col("epoch") <= last).drop("epoch").unionByName(tail)
+
+
 def event_ticks(spark: SparkSession, path: str) -> DataFrame:
     """Stream of the ``events`` table's files as ticks."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"

@@ -32,3 +32,24 @@ def test_first_confirmed(spark, tmp_path):
     query = stream.first_confirmed(live, ["k"]).writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("firsts").count() == 2
+
+
+def test_frozen_tail_replaces_the_forming_bar_only(spark, tmp_path):
+    """Tails are replaced, frozen bars stay, bars before a tail are ignored, a batch may be tried again."""
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    schema = "symbol string, tf string, t long, c double, version long"
+    sent = [
+        [("A", "h1", 0, 1.0, 1), ("A", "h1", 3600, 2.0, 2), ("A", "h1", 3600, 2.5, 3), ("B", "h1", 0, 9.0, 1)],
+        [("A", "h1", 3600, 3.0, 4), ("A", "h1", 0, 7.0, 5)],
+        [("A", "h1", 7200, 4.0, 6), ("A", "h1", 1800, 8.0, 7), ("B", "h1", 3600, 9.5, 2)],
+        [("A", "h1", 3600, 5.0, 8), ("A", "h1", 7200, 4.5, 9)],
+    ]
+    for rows in sent:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        query = spark.readStream.schema(schema).parquet(str(source)).writeStream.foreachBatch(stream.frozen_tail(out, "version")).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+    want = [("A", 0, 1.0), ("A", 3600, 3.0), ("A", 7200, 4.5), ("B", 0, 9.0), ("B", 3600, 9.5)]
+    shown = lambda: sorted((r.symbol, r.t, r.c) for r in stream.read_frozen(spark, out).collect())
+    assert shown() == want
+    stream.frozen_tail(out, "version")(spark.createDataFrame(sent[-1], schema), 3)
+    assert shown() == want
