@@ -14,7 +14,7 @@ from barloom.sources import bars as src
 #: Seconds of registration: long before the data, and noon of two days within it.
 LONG_AGO, MIDDLE, LATE = 600000000, 788961600, 852120000
 
-_REG = f"""{TRADES}, {sql.ORDER_BARS}, rg AS (SELECT DISTINCT run_id, symbol, CASE run_id WHEN 'F' THEN {LONG_AGO} WHEN 'O' THEN {MIDDLE} ELSE {LATE} END AS registered_at FROM tr),
+_REG = f"""{TRADES}, {sql.ORDER_BARS}, rg AS (SELECT DISTINCT run_id, symbol, CAST(CASE run_id WHEN 'F' THEN {LONG_AGO} WHEN 'O' THEN {MIDDLE} ELSE {LATE} END AS BIGINT) AS registered_at FROM tr),
     fw AS (SELECT run_id, symbol, registered_at // 86400 AS rd, t // 86400 AS day, count(*) AS bars, min(t) AS first_bar, max(t) AS last_bar FROM rg JOIN bars USING (symbol) WHERE t >= registered_at GROUP BY ALL),
     en AS (SELECT run_id, symbol, rd, min(day) AS a, max(day) AS z FROM fw GROUP BY ALL), sp AS (SELECT run_id, symbol, unnest(range(CAST(CASE WHEN a - rd > 7 THEN a + 1 ELSE rd END AS BIGINT), CAST(z AS BIGINT))) AS day FROM en),
     td AS (SELECT run_id, symbol, exit_time // 86400 AS day, count(*) AS trades, sum(net_pips) AS net_pips, sum(net_yen) AS net_yen FROM tr GROUP BY ALL),
