@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +88,36 @@ def read_frozen(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/frozen").where(F.col("epoch") <= last).drop("epoch").unionByName(tail)
 
 
+OUTCOMES = "symbol string, tf string, id long, t long, horizon long, target_t long, change double"
+
+
+def outcomes(rows: DataFrame) -> DataFrame:
+    """Outcomes of forecasts as their bars arrive; columns of ``OUTCOMES``.
+
+    ``rows`` is a stream of bars (symbol, tf, t, c), with null in ``id`` and
+    ``horizon``, and of forecasts with the time and close of their bar.  A forecast
+    is settled by the ``horizon``-th bar after its own; ``change`` is that bar's close
+    less its own.  Pending forecasts are the state of a series, so it is bounded by
+    them.  Bars of a series come in order over batches, a forecast no later than the bar after its own.
+    """
+
+    def settle(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        pending = json.loads(state.get[0]) if state.exists else []
+        found = []
+        for r in pd.concat(frames).sort_values(["t", "id"], na_position="last").itertuples(index=False):
+            if not pd.isna(r.id):
+                pending.append([int(r.id), int(r.t), int(r.horizon), int(r.horizon), float(r.c)])
+                continue
+            for p in pending:
+                p[3] -= p[1] < r.t
+            found += [(*key, *p[:3], int(r.t), r.c - p[4]) for p in pending if p[3] == 0]
+            pending = [p for p in pending if p[3] > 0]
+        state.update((json.dumps(pending),))
+        yield pd.DataFrame(found, columns=[c.split()[0] for c in OUTCOMES.split(", ")])
+
+    return rows.groupBy("symbol", "tf").applyInPandasWithState(settle, OUTCOMES, "pending string", "append", "NoTimeout")
+
+
 def event_ticks(spark: SparkSession, path: str) -> DataFrame:
     """Stream of the ``events`` table's files as ticks."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"

@@ -53,3 +53,16 @@ def test_frozen_tail_replaces_the_forming_bar_only(spark, tmp_path):
     assert shown() == want
     stream.frozen_tail(out, "version")(spark.createDataFrame(sent[-1], schema), 3)
     assert shown() == want
+
+
+def test_outcomes_are_settled_by_later_batches(spark, tmp_path):
+    source, state = tmp_path / "in", str(tmp_path / "state")
+    schema = "symbol string, tf string, t long, c double, id long, horizon long"
+    bars = [("A", "h1", k * 3600, float(k * k), None, None) for k in range(6)]
+    sent = [[*bars[:2], ("A", "h1", 3600, 1.0, 1, 1), ("A", "h1", 3600, 1.0, 2, 3), ("B", "h1", 0, 5.0, 3, 1)], [bars[2], ("A", "h1", 7200, 4.0, 4, 9)], bars[3:], [("B", "h1", 60, 4.0, None, None)]]
+    got = []
+    for rows in sent:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        live = stream.outcomes(spark.readStream.schema(schema).parquet(str(source)))
+        live.writeStream.foreachBatch(lambda batch, _: got.extend(map(tuple, batch.collect()))).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == [("A", "h1", 1, 3600, 1, 7200, 3.0), ("A", "h1", 2, 3600, 3, 14400, 15.0), ("B", "h1", 3, 0, 1, 60, -1.0)]
