@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, html_text, langid, lm_score, neardup, neighbours, packing, pii, quality
+from barloom.llm import bpe, chat, decontaminate, html_text, langid, lm_score, neardup, neighbours, packing, pii, quality
 from barloom.llm.common import crc_fold, table
 
 
@@ -65,7 +65,11 @@ def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_embedding_near_dedup, op4_spaced_seed_decontamination, op5_html_extraction, op6_minhash_near_dedup, op7_cross_entropy_difference, op8_best_fit_packing, op9_pii, op10_line_crf_quality)}
+def op11_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_embedding_near_dedup, op4_spaced_seed_decontamination, op5_html_extraction, op6_minhash_near_dedup, op7_cross_entropy_difference, op8_best_fit_packing, op9_pii, op10_line_crf_quality, op11_streaming_bpe)}
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": r"""
         WITH rows AS (
