@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, decontaminate, html_text, langid, lm_score, neardup, neighbours, packing, pii, quality
+from barloom.llm import bpe, chat, decontaminate, html_text, langid, lm_score, neardup, negatives, neighbours, packing, pii, quality
 from barloom.llm.common import crc_fold, table
 
 
@@ -69,7 +69,13 @@ def op11_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_embedding_near_dedup, op4_spaced_seed_decontamination, op5_html_extraction, op6_minhash_near_dedup, op7_cross_entropy_difference, op8_best_fit_packing, op9_pii, op10_line_crf_quality, op11_streaming_bpe)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return negatives.mine(rows.select("vec_id", moved.alias("label"), "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_embedding_near_dedup, op4_spaced_seed_decontamination, op5_html_extraction, op6_minhash_near_dedup, op7_cross_entropy_difference, op8_best_fit_packing, op9_pii, op10_line_crf_quality, op11_streaming_bpe, op12_hard_negatives)}
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": r"""
         WITH rows AS (
@@ -110,4 +116,20 @@ ORACLES: dict[str, str] = {
         FROM best
         WHERE matches >= least(n, 13) - CASE WHEN n >= 13 THEN 3 WHEN n >= 10 THEN 2 WHEN n >= 7 THEN 1 ELSE 0 END
         GROUP BY doc_id, item_id""",
+    "op12_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), met AS (
+            SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score
+            FROM e AS a JOIN e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id
+        ), positive AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM met WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positive JOIN met USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5""",
 }
