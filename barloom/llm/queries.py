@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, decontaminate, html_text, langid, lm_score, neardup, negatives, neighbours, packing, pii, quality
+from barloom.llm import bpe, chat, decontaminate, html_text, langid, lm_score, neardup, negatives, neighbours, packing, pii, quality, spelling
 from barloom.llm.common import crc_fold, table
 
 
@@ -75,7 +75,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.select("vec_id", moved.alias("label"), "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_embedding_near_dedup, op4_spaced_seed_decontamination, op5_html_extraction, op6_minhash_near_dedup, op7_cross_entropy_difference, op8_best_fit_packing, op9_pii, op10_line_crf_quality, op11_streaming_bpe, op12_hard_negatives)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_embedding_near_dedup, op4_spaced_seed_decontamination, op5_html_extraction, op6_minhash_near_dedup, op7_cross_entropy_difference, op8_best_fit_packing, op9_pii, op10_line_crf_quality, op11_streaming_bpe, op12_hard_negatives, op13_spelling_variants)}
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": r"""
         WITH rows AS (
