@@ -55,16 +55,19 @@ def _move_probability(move: Column, volatility: Column, horizon: int) -> Column:
     return clamp(normal_cdf(move / F.greatest(volatility * horizon**0.5, F.lit(1e-6))), 0.02, 0.98)
 
 
+def chances(horizon: int) -> dict[str, Column]:
+    """p_signal, p_drift and p_regime of one horizon, from the columns of ``model_stats``."""
+    k = min(horizon, 5)
+    return {
+        "p_signal": clamp(0.5 + F.col("bias") * 0.24 / horizon**0.5, 0.05, 0.95), "p_drift": _move_probability(F.col("drift_move") * horizon, F.col("volatility"), horizon),
+        "p_regime": _move_probability(F.col("regime_move") * k, F.col("volatility"), k),
+    }
+
+
 def probabilities(stats: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """One row per bar and horizon: p_signal, p_drift, p_regime (chance of a rise) and the outcome where known."""
     w = series()
-    items = []
-    for h in horizons:
-        k = min(h, 5)
-        items.append(F.struct(
-            F.lit(h).alias("horizon"), clamp(0.5 + F.col("bias") * 0.24 / h**0.5, 0.05, 0.95).alias("p_signal"), _move_probability(F.col("drift_move") * h, F.col("volatility"), h).alias("p_drift"),
-            _move_probability(F.col("regime_move") * k, F.col("volatility"), k).alias("p_regime"), (F.lead("c", h).over(w) > F.col("c")).alias("up"),
-        ))
+    items = [F.struct(F.lit(h).alias("horizon"), *(x.alias(n) for n, x in chances(h).items()), (F.lead("c", h).over(w) > F.col("c")).alias("up")) for h in horizons]
     return stats.withColumn("__x", F.array(*items)).select(*KEY, "t", "i", "c", "score", F.explode("__x").alias("x")).select(*KEY, "t", "i", "c", "score", "x.*")
 
 

@@ -30,7 +30,8 @@ def scan(df: DataFrame, kernel: Callable[[], object], inputs: list[str], outputs
         for batch in batches:
             rows = []
             keyed = zip(*(batch.column(k).to_pylist() for k in at), strict=True)
-            for key, values in zip(keyed, zip(*(batch.column(k).to_pylist() for k in of), strict=True), strict=True):
+            read = {k: batch.column(k).to_pylist() for k in set(of)}
+            for key, values in zip(keyed, zip(*(read[k] for k in of), strict=True), strict=True):
                 if key != now:
                     now, state = key, kernel()
                 rows.append(state.step(*(None if x != x else x for x in values)))
@@ -250,6 +251,14 @@ def keltner(bars: DataFrame, n: int = 20, atr_n: int = 10, k: float = 2.0) -> Da
     return both.withColumn("kelt_upper", F.col("kelt_mid") + k * F.col("atr")).withColumn("kelt_lower", F.col("kelt_mid") - k * F.col("atr"))
 
 
+def fused(df: DataFrame, kernels: list[tuple[Callable[[], object], list[str], dict[str, str]]], keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Add the outputs of several kernels (factory, inputs, outputs) in one pass over the sorted series."""
+    inputs = [x for _, names, _ in kernels for x in names]
+    outputs = {n: t for _, _, out in kernels for n, t in out.items()}
+    make = [(factory, len(names)) for factory, names, _ in kernels]
+    return scan(df, lambda: Many([(factory(), width) for factory, width in make]), inputs, outputs, keys)
+
+
 class Many:
     """Several kernels in one pass: inputs and outputs are concatenated."""
 

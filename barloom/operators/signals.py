@@ -49,11 +49,12 @@ def score(bars: DataFrame, flat_rsi: bool = False) -> DataFrame:
     """Bars with the seven votes, ``score`` (their sum) and ``ratio`` (score over possible votes, at least 4).
 
     ``flat_rsi`` chooses the index that calls a flat series 50 (the display variant);
-    the model variant calls it 100.
+    the model variant calls it 100.  ``score_flat`` and ``ratio_flat`` are those of the
+    display variant in either case, so one pass serves both.
     """
     name = "rsi" if flat_rsi else "rsi_noflat"
-    kernel = lambda: rec.Many([(rec.Rsi(14, flat_rsi), 1), (rec.Macd(12, 26, 9), 1)])
-    base = rec.scan(bars.withColumn("__c", F.col("c")), kernel, ["c", "__c"], {name: "double", "macd": "double", "macd_signal": "double", "macd_hist": "double"}).drop("__c")
+    lines = {"macd": "double", "macd_signal": "double", "macd_hist": "double"}
+    base = rec.fused(bars, [(lambda: rec.Rsi(14, True), ["c"], {"rsi": "double"}), (lambda: rec.Rsi(14, False), ["c"], {"rsi_noflat": "double"}), (lambda: rec.Macd(12, 26, 9), ["c"], lines)])
     full = swing_levels(ind.ichimoku(ind.bollinger(ind.sma(ind.sma(base, 20), 50))))
     sign = lambda up, down, weight=1: F.when(F.coalesce(up, F.lit(False)), weight).when(F.coalesce(down, F.lit(False)), -weight).otherwise(0)
     top, bottom = F.when(F.col("span_a").isNotNull() & F.col("span_b").isNotNull(), F.greatest("span_a", "span_b")), F.when(F.col("span_a").isNotNull() & F.col("span_b").isNotNull(), F.least("span_a", "span_b"))
@@ -62,6 +63,7 @@ def score(bars: DataFrame, flat_rsi: bool = False) -> DataFrame:
     votes = {
         "vote_sma": sign(crossed("sma20", "sma50", True), crossed("sma20", "sma50", False), 2),
         "vote_rsi": sign(F.col(name) <= 30, F.col(name) >= 70),
+        "__vote_flat": sign(F.col("rsi") <= 30, F.col("rsi") >= 70),
         "vote_macd": sign(crossed("macd", "macd_signal", True), crossed("macd", "macd_signal", False)),
         "vote_band": sign(F.col("c") > F.col("bb_upper"), F.col("c") < F.col("bb_lower")),
         "vote_cloud": sign(F.col("c") > top, F.col("c") < bottom),
@@ -71,7 +73,10 @@ def score(bars: DataFrame, flat_rsi: bool = False) -> DataFrame:
     for vote, value in votes.items():
         full = full.withColumn(vote, F.when(i > 1, value).otherwise(0))
     total, most = sum((F.col(v) for v in VOTES), F.lit(0)), sum((F.abs(v) for v in VOTES), F.lit(0))
-    return full.withColumn("score", total).withColumn("ratio", clamp(F.col("score") / F.greatest(F.lit(4), most), -1, 1))
+    flat, most_flat = total - F.col("vote_rsi") + F.col("__vote_flat"), most - F.abs("vote_rsi") + F.abs("__vote_flat")
+    ratio = lambda x, y: clamp(x / F.greatest(F.lit(4), y), -1, 1)
+    full = full.withColumn("score", total).withColumn("ratio", ratio(total, most)).withColumn("score_flat", flat).withColumn("ratio_flat", ratio(flat, most_flat))
+    return full.drop("__vote_flat", "rsi_noflat" if flat_rsi else "rsi")
 
 
 def rating(score: Column) -> Column:

@@ -3,6 +3,13 @@
 from __future__ import annotations
 
 
+def swapped(text: str, old: str, new: str) -> str:
+    """``text`` with every ``old`` replaced; it must occur, so that a fragment that has changed is noticed."""
+    if old not in text:
+        raise ValueError(f"not in the SQL: {old[:60]}")
+    return text.replace(old, new)
+
+
 def bars(seconds: int = 3600, name: str = "bars") -> str:
     return f"""{name} AS (
         SELECT event_type AS symbol, (epoch_us(ts) // 1000000 // {seconds}) * {seconds} AS t, first(value ORDER BY ts, event_id) AS o, max(value) AS h,
@@ -17,6 +24,16 @@ def walk(seconds: int = 1800, name: str = "bars") -> str:
             FROM (SELECT *, round(nc - round(c - o, 2), 2) AS no FROM (SELECT *, round(10000 + sum(round(c - o, 2)) OVER (PARTITION BY symbol ORDER BY t), 2) AS nc FROM (WITH {bars(1800, 'raw')} SELECT * FROM raw)))) GROUP BY 1, (t // {seconds}) * {seconds})"""
 
 
+def deal(seconds: int = 1800, name: str = "bars") -> str:
+    """Half-hourly bars of single orders, four a day, or coarser bars of them."""
+    w = "OVER (PARTITION BY symbol ORDER BY o_orderdate, o_orderkey"
+    return f"""{name} AS (SELECT symbol, (t // {seconds}) * {seconds} AS t, first(o ORDER BY t) AS o, max(h) AS h, min(l) AS l, last(c ORDER BY t) AS c, sum(v) AS v
+        FROM (SELECT symbol, CAST((19000 + k // 4) * 86400 + 28800 + k % 4 * 1800 AS BIGINT) AS t, o / 100.0::DOUBLE AS o, (greatest(o, c) + 25 + 3 * (x % 7)) / 100.0::DOUBLE AS h, (least(o, c) - 25 - 3 * (x % 5)) / 100.0::DOUBLE AS l, c / 100.0::DOUBLE AS c, CAST(1 AS DOUBLE) AS v
+            FROM (SELECT symbol, k, x, c, c - step AS o FROM (SELECT *, 1000000 + CAST(sum(step) {w}) AS BIGINT) AS c
+                FROM (SELECT *, row_number() {w}) - 1 AS k, CAST(2 * sum(u) {w} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) + 5 * u AS BIGINT) AS step
+                    FROM (SELECT *, x % 201 - 100 AS u FROM (SELECT o_orderkey, o_orderdate, substr(o_orderpriority, 1, 1) || o_orderstatus AS symbol, CAST(floor(o_totalprice) AS BIGINT) AS x FROM orders)))))) GROUP BY 1, (t // {seconds}) * {seconds})"""
+
+
 ORDER_BARS = """bars AS (
         SELECT o_orderpriority AS symbol, (epoch_us(o_orderdate) // 1000000 // 86400) * 86400 AS t, first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS o, max(o_totalprice) AS h,
             min(o_totalprice) AS l, last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS c, CAST(count(*) AS DOUBLE) AS v

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import backtest as bt
-from barloom.operators import conditions, grid, ledger, scanner
+from barloom.operators import conditions, grid, ledger, rolling, scanner
 from barloom.operators import forecast as fc
 from barloom.operators import signals as sg
 from barloom.plans import analysis as an
@@ -142,30 +143,55 @@ query(
 # -- recommendations --------------------------------------------------------------------------
 
 
+def _retrained(horizon: int, decisions: str = "d1") -> str:
+    """Table cal: weights, mixed and calibrated probability and accuracy of every decision (symbol, i), each fitted on the outcomes known by then."""
+    mix = lambda p: f"greatest(0.02, least(0.98, {p}p_signal * w_signal + {p}p_drift * w_drift + {p}p_regime * w_regime))"
+    few = "n < 30"
+    return f"""sm AS (SELECT d.symbol, d.i AS di, p.i AS j, p_signal, p_drift, p_regime, up, pow(0.5, (d.i - {horizon} - p.i) / 100.0) AS d FROM {decisions} d JOIN pb p ON p.symbol = d.symbol AND p.horizon = {horizon} AND p.i > 80 AND p.i + {horizon} <= d.i),
+    ac AS (SELECT symbol, di, count(*) AS n, {', '.join(f"sum(CASE WHEN (p_{m} >= 0.5) = up THEN d ELSE 0 END) / sum(d) AS a_{m}" for m in fc.MODELS)} FROM sm GROUP BY 1, 2),
+    ad AS (SELECT d.symbol, d.i AS di, coalesce(n, 0) AS n, {', '.join(f'a_{m}, ln({p}) + (a_{m} - 0.5) / 0.08 AS l_{m}' for m, p in fc.PRIOR.items())} FROM {decisions} d LEFT JOIN ac ON ac.symbol = d.symbol AND ac.di = d.i),
+    ae AS (SELECT *, {', '.join(f'exp(l_{m} - greatest(l_signal, l_drift, l_regime)) AS e_{m}' for m in fc.MODELS)} FROM ad),
+    aw AS (SELECT symbol, di, n, a_signal, a_drift, a_regime, {', '.join(f"CASE WHEN {few} THEN {p} ELSE e_{m} / (e_signal + e_drift + e_regime) END AS w_{m}" for m, p in fc.PRIOR.items())} FROM ae),
+    kb AS (SELECT symbol, di, {mix('')} AS p_up, up FROM sm JOIN aw USING (symbol, di)),
+    ct AS (SELECT symbol, di, CAST(least(9, floor(p_up * 10)) AS INT) AS bin, count(*) AS n, count(*) FILTER (up) AS positives, avg(p_up) AS a FROM kb GROUP BY 1, 2, 3),
+    dm AS (SELECT symbol, di, CAST(unnest(range(10)) AS INT) AS bin FROM aw),
+    cu AS (SELECT symbol, di, bin, coalesce(a, (bin + 0.5) / 10) AS x, CASE WHEN n > 0 THEN (positives + 1) / (n + 2.0) ELSE (bin + 0.5) / 10 END AS v, greatest(CAST(coalesce(n, 0) AS DOUBLE), 0.001) AS w FROM dm LEFT JOIN ct USING (symbol, di, bin)),
+    mn AS (SELECT l.symbol, l.di, l.bin AS i, r.bin AS j, sum(m.v * m.w) / sum(m.w) AS y FROM cu l JOIN cu r ON r.symbol = l.symbol AND r.di = l.di AND r.bin >= l.bin JOIN cu m ON m.symbol = l.symbol AND m.di = l.di AND m.bin BETWEEN l.bin AND r.bin GROUP BY ALL),
+    lw AS (SELECT c.symbol, c.di, c.bin, mn.i, min(mn.y) AS y FROM cu c JOIN mn ON mn.symbol = c.symbol AND mn.di = c.di AND mn.i <= c.bin AND mn.j >= c.bin GROUP BY ALL),
+    iso AS (SELECT lw.symbol, lw.di, lw.bin, any_value(cu.x) AS x, greatest(0.01, least(0.99, max(lw.y))) AS y FROM lw JOIN cu USING (symbol, di, bin) GROUP BY ALL),
+    pt AS (SELECT symbol, di, list({{'x': x, 'y': y}} ORDER BY x, y) AS pts FROM iso GROUP BY 1, 2),
+    cm AS (SELECT aw.*, p.t, {mix('p.')} AS p_up FROM aw JOIN pb p ON p.symbol = aw.symbol AND p.i = aw.di AND p.horizon = {horizon}),
+    ca AS (SELECT cm.*, list_filter(pts, lambda q: q.x <= p_up)[-1] AS lo, list_filter(pts, lambda q: q.x >= p_up)[1] AS hi FROM cm JOIN pt USING (symbol, di)),
+    cal AS (SELECT *, CASE WHEN lo IS NULL THEN hi.y WHEN hi IS NULL THEN lo.y ELSE greatest(0.01, least(0.99, lo.y + (hi.y - lo.y) * (p_up - lo.x) / greatest(hi.x - lo.x, 1e-6))) END AS p_calibrated,
+        CASE WHEN n > 0 THEN greatest(0, least(1, (a_signal * w_signal + a_drift * w_drift + a_regime * w_regime) / (w_signal + w_drift + w_regime))) END AS accuracy FROM ca)"""
+
+
 def _style_sql(style: str) -> str:
     """Table r_<style>: the recommendations of a style; the fragments of single operators, over slices of bars."""
     s = scanner.STYLES[style]
     seconds, wide = src.SECONDS[s.main], src.SECONDS[s.wide]
-    sliced = lambda text, source: text.replace(sql.bars(), f"bars AS (SELECT symbol, t, o, h, l, c FROM {source})")
-    env = f"WITH RECURSIVE {sql.walk(wide)}, {sql.numbered()}, {an.votes(an.NOFLAT)} SELECT symbol, i, t + {wide} AS closed, score FROM z"
+    tape = lambda text, seconds: sql.swapped(text, sql.bars(), sql.deal(seconds))
+    sliced = lambda text, source: sql.swapped(text, sql.bars(), f"bars AS (SELECT symbol, t, o, h, l, c FROM {source})")
+    env = f"WITH RECURSIVE {sql.deal(wide)}, {sql.numbered()}, {an.votes(an.NOFLAT)} SELECT symbol, i, t + {wide} AS closed, score FROM z"
     piece = lambda n: f"SELECT d.symbol || '/' || d.t AS symbol, b.t, b.o, b.h, b.l, b.c FROM d1 d JOIN b ON b.symbol = d.symbol AND b.i BETWEEN d.i - {n - 1} AND d.i"
     swings = f"WITH bars AS (SELECT * FROM s160), {an.PIVOTS.format('bars')} SELECT symbol, t, pivot_high, pivot_low FROM piv WHERE pivot_high IS NOT NULL OR pivot_low IS NOT NULL"
     levels = sliced(an._LV, "s240") + " SELECT symbol, price FROM levels WHERE place <= 12"
-    full = an.FULL.replace(sql.bars(), sql.walk(seconds))
-    return f"""r_{style} AS ({full}, {an.CALIBRATED}, {an.ACCURACY}, env AS ({env}),
-    d0 AS (SELECT symbol, t, i, c, score, greatest(-1, least(1, score / CAST(greatest(4, most) AS DOUBLE))) AS ratio, s20, atr_latest AS atr FROM z WHERE (t + {seconds}) % 14400 = 0),
+    full = tape(f"{an.HEAD}{an.votes(an.NOFLAT)}, {an.STATS}, {an.PROB}", seconds)
+    return f"""r_{style} AS ({full}, env AS ({env}),
+    d0 AS (SELECT symbol, t, i, c, score, greatest(-1, least(1, score / CAST(greatest(4, most) AS DOUBLE))) AS ratio, s20, atr_latest AS atr FROM z QUALIFY row_number() OVER (PARTITION BY symbol, t // 86400 ORDER BY t DESC) = 1),
     d1 AS (SELECT d0.*, sign(d0.score) AS sg, CASE WHEN e.score = 0 THEN 'neutral' WHEN sign(e.score) = sign(d0.score) THEN 'aligned' ELSE 'diverged' END AS status FROM d0 ASOF JOIN env e ON e.symbol = d0.symbol AND d0.t >= e.closed WHERE d0.i >= 50 AND e.i >= 2 AND d0.score <> 0 AND atr > 0),
+    {_retrained(s.horizon)},
     d2 AS (SELECT *, symbol || '/' || t AS id, CASE WHEN abs(score) >= 3 AND status <> 'diverged' AND abs(c - s20) <= 1.1 * atr THEN 'market' ELSE 'pullback' END AS entry_type FROM d1),
     d3 AS (SELECT *, CASE WHEN entry_type = 'market' THEN c WHEN sg > 0 THEN least(c, coalesce(s20, c)) ELSE greatest(c, coalesce(s20, c)) END AS entry FROM d2),
     s120 AS ({piece(120)}), s160 AS ({piece(160)}), s240 AS ({piece(240)}),
-    ch AS ({sliced(an.ORACLES['chart_patterns'], 's120')}), cp AS ({an.ORACLES['candle_patterns'].replace(sql.bars(), sql.walk(seconds))}), fs AS ({swings}), le AS ({levels}),
+    ch AS ({sliced(an.ORACLES['chart_patterns'], 's120')}), cp AS ({tape(an.ORACLES['candle_patterns'], seconds)}), fs AS ({swings}), le AS ({levels}),
     pa AS (SELECT d.id, b.i, ch.direction, ch.strength FROM d1 JOIN d3 d USING (symbol, t) JOIN ch ON ch.symbol = d.id JOIN b ON b.symbol = d.symbol AND b.t = ch.t WHERE b.i >= d.i - 5
         UNION ALL SELECT d.id, b.i, cp.direction, cp.strength FROM d3 d JOIN b ON b.symbol = d.symbol AND b.i BETWEEN d.i - 5 AND d.i JOIN cp ON cp.symbol = b.symbol AND cp.t = b.t WHERE cp.direction <> 'neutral'),
     pb2 AS (SELECT id, direction, arg_max(strength, i * 10 + strength) AS strength FROM pa GROUP BY 1, 2), pc AS (SELECT id, max(strength) FILTER (direction = 'bullish') AS bull, max(strength) FILTER (direction = 'bearish') AS bear FROM pb2 GROUP BY 1),
     lv2 AS (SELECT d.id, max(price) FILTER (price < entry) AS below, min(price) FILTER (price > entry) AS above FROM d3 d JOIN le ON le.symbol = d.id GROUP BY 1),
     fb AS (SELECT d.id, arg_max(pivot_low, fs.t) FILTER (pivot_low < entry) AS below, arg_max(pivot_high, fs.t) FILTER (pivot_high > entry) AS above FROM d3 d JOIN fs ON fs.symbol = d.id GROUP BY 1),
-    d4 AS (SELECT d.*, coalesce(lv2.below, fb.below) AS below, coalesce(lv2.above, fb.above) AS above, CASE WHEN sg > 0 THEN bull ELSE bear END AS own, CASE WHEN sg > 0 THEN bear ELSE bull END AS contrary, CASE WHEN sg > 0 THEN cal.p_calibrated ELSE 1 - cal.p_calibrated END AS p, wa.accuracy
-        FROM d3 d LEFT JOIN pc ON pc.id = d.id LEFT JOIN lv2 ON lv2.id = d.id LEFT JOIN fb ON fb.id = d.id LEFT JOIN cal ON cal.symbol = d.symbol AND cal.t = d.t AND cal.horizon = {s.horizon} LEFT JOIN wa ON wa.symbol = d.symbol AND wa.horizon = {s.horizon}),
+    d4 AS (SELECT d.*, coalesce(lv2.below, fb.below) AS below, coalesce(lv2.above, fb.above) AS above, CASE WHEN sg > 0 THEN bull ELSE bear END AS own, CASE WHEN sg > 0 THEN bear ELSE bull END AS contrary, CASE WHEN sg > 0 THEN cal.p_calibrated ELSE 1 - cal.p_calibrated END AS p, cal.accuracy
+        FROM d3 d LEFT JOIN pc ON pc.id = d.id LEFT JOIN lv2 ON lv2.id = d.id LEFT JOIN fb ON fb.id = d.id LEFT JOIN cal ON cal.symbol = d.symbol AND cal.di = d.i),
     d5 AS (SELECT *, round(greatest(0, least(100, 56.0 * abs(ratio) + CASE status WHEN 'aligned' THEN 22.0 WHEN 'neutral' THEN 6.0 ELSE -18.0 END + CASE WHEN own IS NOT NULL THEN 5.0 * own WHEN contrary IS NOT NULL THEN -8.0 ELSE 0 END
         + coalesce(16.0 * greatest(-1, least(1, 2 * (p - 0.5))), 0))), 1) AS total FROM d4),
     d6 AS (SELECT *, coalesce(total >= 58, false) AS a1, coalesce(p >= 0.54, false) AS a2, status = 'aligned' AS a3, coalesce(accuracy >= 0.51, false) AS a4, CASE WHEN sg > 0 THEN below ELSE above END AS guard, CASE WHEN sg > 0 THEN above ELSE below END AS goal FROM d5 WHERE total >= 48),
@@ -177,7 +203,7 @@ def _style_sql(style: str) -> str:
 
 
 _REC = f"WITH RECURSIVE {_style_sql('daytrade')}, {_style_sql('swing')}, recs AS (SELECT * FROM r_daytrade UNION ALL SELECT * FROM r_swing)"
-_LATER = f"""{', '.join(sql.walk(src.SECONDS[x.main], f'b_{k}') for k, x in scanner.STYLES.items())}, later AS (SELECT *, 'daytrade' AS style FROM b_daytrade UNION ALL SELECT *, 'swing' FROM b_swing), newest AS (SELECT symbol, style, max(t) AS newest FROM later GROUP BY 1, 2),
+_LATER = f"""{', '.join(sql.deal(src.SECONDS[x.main], f'b_{k}') for k, x in scanner.STYLES.items())}, later AS (SELECT *, 'daytrade' AS style FROM b_daytrade UNION ALL SELECT *, 'swing' FROM b_swing), newest AS (SELECT symbol, style, max(t) AS newest FROM later GROUP BY 1, 2),
     pr0 AS (SELECT r.*, n.newest, b.t AS bt, b.o, b.h, b.l, b.c, CASE WHEN direction = 'buy' THEN 1.0 ELSE -1.0 END AS sg FROM recs r JOIN newest n USING (symbol, style) JOIN later b ON b.symbol = r.symbol AND b.style = r.style AND b.t > r.t AND b.t <= r.deadline),
     pr1 AS (SELECT *, min(CASE WHEN entry_type = 'market' OR (l <= zone_high AND h >= zone_low) THEN bt END) OVER (PARTITION BY symbol, style, t) AS fill_t FROM pr0),
     pr2 AS (SELECT *, max(CASE WHEN bt = fill_t THEN CASE WHEN entry_type = 'market' THEN o ELSE greatest(l, least(h, entry)) END + sg * 0.5 END) OVER (PARTITION BY symbol, style, t) AS price FROM pr1),
@@ -190,9 +216,9 @@ _LATER = f"""{', '.join(sql.walk(src.SECONDS[x.main], f'b_{k}') for k, x in scan
 _CELLS = """cx AS (SELECT *, 'symbol_style' AS cell, symbol || '/' || style AS name FROM outcomes WHERE exit_reason <> 'unfilled' UNION ALL SELECT *, 'style_tier', style || '/' || tier FROM outcomes WHERE exit_reason <> 'unfilled'),
     cd AS (SELECT *, pow(0.5, (row_number() OVER (PARTITION BY cell, name ORDER BY fill_t DESC, exit_t DESC, symbol DESC, t DESC) - 1) / 30.0) AS d FROM cx),
     ce AS (SELECT cell, name, count(*) AS n, count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'loss') AS losses, count(*) FILTER (outcome = 'draw') AS draws, avg(r) AS mean_r, sum(d) AS decayed_n, sum(CASE WHEN outcome = 'win' THEN d ELSE 0 END) / sum(d) AS ewa_win_rate, sum(r * d) / sum(d) AS ewa_mean_r FROM cd GROUP BY 1, 2),
-    cf AS (SELECT cell, name FROM ce UNION SELECT 'style_tier', s || '/' || t FROM (SELECT unnest(['daytrade', 'swing']) AS s), (SELECT unnest(['high', 'medium', 'low']) AS t)),
+    cf AS (SELECT cell, name FROM ce UNION SELECT 'symbol_style', symbol || '/' || s FROM (SELECT DISTINCT symbol FROM later), (SELECT unnest(['daytrade', 'swing']) AS s) UNION SELECT 'style_tier', s || '/' || t FROM (SELECT unnest(['daytrade', 'swing']) AS s), (SELECT unnest(['high', 'medium', 'low']) AS t)),
     stats AS (SELECT cf.cell, cf.name, coalesce(n, 0) AS n, coalesce(wins, 0) AS wins, coalesce(losses, 0) AS losses, coalesce(draws, 0) AS draws, mean_r, decayed_n, ewa_win_rate, ewa_mean_r, CASE WHEN n > 0 THEN wins / CAST(n AS DOUBLE) END AS win_rate FROM cf LEFT JOIN ce ON ce.cell = cf.cell AND ce.name = cf.name)"""
-_MONTHS = """mo AS (SELECT *, date_trunc('month', make_timestamp(CAST(exit_t * 1000000 AS BIGINT))) AS m FROM outcomes WHERE exit_reason <> 'unfilled'), ms AS (SELECT min(m) AS a, max(m) AS z FROM mo),
+_MONTHS = """mo AS (SELECT *, date_trunc('month', make_timestamp(CAST(exit_t * 1000000 AS BIGINT))) AS m FROM outcomes WHERE exit_reason <> 'unfilled'), ms AS (SELECT date_trunc('month', make_timestamp(CAST(min(t) * 1000000 AS BIGINT))) AS a, date_trunc('month', make_timestamp(CAST(max(t) * 1000000 AS BIGINT))) AS z FROM later),
     mp AS (SELECT unnest(generate_series(CAST(greatest(a, z - INTERVAL 11 MONTH) AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM ms WHERE z IS NOT NULL),
     mg AS (SELECT m, count(*) AS trades, count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'loss') AS losses, count(*) FILTER (outcome = 'draw') AS draws, sum(ln(greatest(1 + 0.01 * r, 1e-9))) AS growth FROM mo WHERE tier IN ('high', 'medium') GROUP BY 1),
     mb AS (SELECT mp.m, coalesce(trades, 0) AS trades, coalesce(wins, 0) AS wins, coalesce(losses, 0) AS losses, coalesce(draws, 0) AS draws, 1000000 * exp(sum(coalesce(growth, 0)) OVER (ORDER BY mp.m)) AS e FROM mp LEFT JOIN mg ON mg.m = mp.m),
@@ -200,19 +226,30 @@ _MONTHS = """mo AS (SELECT *, date_trunc('month', make_timestamp(CAST(exit_t * 1
 
 
 def _recommended(spark, d) -> DataFrame:
+    """Both styles over the tape of single orders; the last bar of every UTC day decides, statistics are fitted anew each time."""
     out = None
     for name, s in scanner.STYLES.items():
-        bars = src.walk_bars(spark, d, s.main)
-        probability = scratch.settled(fc.probabilities(fc.model_stats(sg.score(bars))))
-        perf = fc.performance(probability)
-        weight = scratch.settled(fc.weights(perf))
-        mixed = scratch.settled(fc.weighted(probability, weight))
-        table = fc.calibrated(mixed, fc.calibration(mixed))
-        found = scanner.scan(bars, src.walk_bars(spark, d, s.wide), name, table, fc.accuracy_of_weights(perf, weight), decisions=bars.where((F.col("t") + src.SECONDS[s.main]) % 14400 == 0))  # the last bar of every four hours
+        bars = src.deal_bars(spark, d, s.main)
+        found = scanner.scan(bars, src.deal_bars(spark, d, s.wide), name, decisions=scanner.last_bars_of_days(bars), retrain=True)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+_RS = ("w_signal", "w_drift", "w_regime", "p_up", "p_calibrated", "accuracy")
+
+
+@query(
+    "rolling_adaptive_stats",
+    f"""{sql.swapped(f"{an.HEAD}{an.votes(an.NOFLAT)}, {an.STATS}, {an.PROB}", sql.bars(), sql.deal())}, dd AS (SELECT symbol, t, i FROM b QUALIFY row_number() OVER (PARTITION BY symbol, t // 86400 ORDER BY t DESC) = 1),
+    {_retrained(5, "dd")} SELECT symbol, t, n AS samples, {", ".join(sql.r6(x, x) for x in _RS)} FROM cal""",
+)
+def _(spark, d):
+    """Weights, calibrated forecast and accuracy at the last bar of every day, each from what was known then."""
+    bars = src.deal_bars(spark, d)
+    found = rolling.retrained(bars, 5, scanner.last_bars_of_days(bars))
+    return shown(found.withColumn("samples", F.col("samples").cast("long")), *_RS, keys=("symbol", "t", "samples"))
+
+
 _RC = ", ".join(sql.r6(x, x) for x in ("total", "entry", "zone_low", "zone_high", "stop", "target", "reward"))
 query("recommendations", f"{_REC} SELECT symbol, style, t, direction, tier, status, entry_type, deadline, {_RC} FROM recs")(
     lambda spark, d: shown(_recommended(spark, d), "total", "entry", "zone_low", "zone_high", "stop", "target", "reward", keys=("symbol", "style", "t", "direction", "tier", "status", "entry_type", "deadline"))
@@ -222,28 +259,28 @@ query("best_recommendations", f"{_REC} SELECT t, CAST(row_number() OVER (PARTITI
 )
 
 
+def _traded(spark, d) -> DataFrame:
+    """Bars that decide and settle: those of every style's main timeframe."""
+    return reduce(DataFrame.unionByName, (src.deal_bars(spark, d, s.main) for s in scanner.STYLES.values()))
+
+
 def _outcomes(spark, d) -> DataFrame:
-    recommended = scratch.settled(_recommended(spark, d))
-    bars = None
-    for name, s in scanner.STYLES.items():
-        own = scanner.outcomes(recommended.where(F.col("style") == name), src.walk_bars(spark, d, s.main), 0.5)
-        bars = own if bars is None else bars.unionByName(own)
-    return bars
+    return scanner.outcomes(_recommended(spark, d), _traded(spark, d), 0.5)
 
 
-query("recommendation_outcomes", f"{_REC}, {_LATER} SELECT symbol, style, t, direction, tier, outcome, exit_reason, fill_t, exit_t, {sql.r6('price', 'price')}, {sql.r6('r', 'r')} FROM outcomes")(
-    lambda spark, d: shown(_outcomes(spark, d), "price", "r", keys=("symbol", "style", "t", "direction", "tier", "outcome", "exit_reason", "fill_t", "exit_t"))
+query("recommendation_outcomes", f"{_REC}, {_LATER} SELECT symbol, style, t, direction, tier, outcome, exit_reason, CAST(fill_t AS DOUBLE) AS fill_t, CAST(exit_t AS DOUBLE) AS exit_t, {sql.r6('price', 'price')}, {sql.r6('r', 'r')} FROM outcomes")(
+    lambda spark, d: shown(_outcomes(spark, d).withColumns({x: F.col(x).cast("double") for x in ("fill_t", "exit_t")}), "price", "r", keys=("symbol", "style", "t", "direction", "tier", "outcome", "exit_reason", "fill_t", "exit_t"))
 )
 _SC = ("mean_r", "decayed_n", "ewa_win_rate", "ewa_mean_r", "win_rate")
 query("scanner_statistics", f"{_REC}, {_LATER}, {_CELLS} SELECT cell, name, n, wins, losses, draws, {', '.join(sql.r6(x, x) for x in _SC)} FROM stats")(
-    lambda spark, d: shown(scanner.statistics(_outcomes(spark, d)), *_SC, keys=("cell", "name", "n", "wins", "losses", "draws"))
+    lambda spark, d: shown(scanner.statistics(_outcomes(spark, d), _traded(spark, d)), *_SC, keys=("cell", "name", "n", "wins", "losses", "draws"))
 )
-query("scanner_monthly", f"{_REC}, {_LATER}, {_MONTHS} SELECT * FROM months")(lambda spark, d: scanner.monthly(_outcomes(spark, d)))
+query("scanner_monthly", f"{_REC}, {_LATER}, {_MONTHS} SELECT * FROM months")(lambda spark, d: scanner.monthly(_outcomes(spark, d), bars=_traded(spark, d)))
 query(
     "scanner_monthly_summary",
     f"""{_REC}, {_LATER}, {_MONTHS} SELECT min(month) AS first_month, max(month) AS last_month, count(*) FILTER (trades > 0) AS active_months, CASE WHEN count(*) FILTER (trades > 0) > 0 THEN round(count(*) FILTER (trades > 0 AND pnl > 0) / CAST(count(*) FILTER (trades > 0) AS DOUBLE), 4) END AS plus_share,
     max(pnl) FILTER (trades > 0) AS best_pnl, min(pnl) FILTER (trades > 0) AS worst_pnl, CAST(CASE WHEN count(*) FILTER (trades > 0) > 0 THEN floor(sum(pnl) / count(*) FILTER (trades > 0) + 0.5) ELSE 0 END AS BIGINT) AS mean_pnl, CAST(sum(pnl) AS BIGINT) AS total_pnl FROM months""",
-)(lambda spark, d: scanner.monthly_summary(scanner.monthly(_outcomes(spark, d))))
+)(lambda spark, d: scanner.monthly_summary(scanner.monthly(_outcomes(spark, d), bars=_traded(spark, d))))
 query("last_bars_of_days", f"WITH {sql.bars()}, x AS (SELECT symbol, t, c FROM bars QUALIFY row_number() OVER (PARTITION BY symbol, t // 86400 ORDER BY t DESC) = 1) SELECT symbol, t, {sql.r6('c', 'c')} FROM x QUALIFY (row_number() {sql.S} - 1) % 3 = 0")(
     lambda spark, d: shown(scanner.last_bars_of_days(src.event_bars(spark, d), 3), "c")
 )

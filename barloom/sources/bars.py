@@ -59,6 +59,30 @@ def walk_bars(spark: SparkSession, sf_dir: str, tf: str = "m30") -> DataFrame:
     return out if tf == "m30" else resample(out, tf)
 
 
+#: Tape of single orders: bars of a day's session, first bar of the day, first day, price in cents, bars whose drift is averaged.
+SESSION, OPENS, FIRST_DAY, CENTS, DRIFT = 4, 28_800, 19_000, 1_000_000, 8
+
+
+def deal_bars(spark: SparkSession, sf_dir: str, tf: str = "m30") -> DataFrame:
+    """A tape of many short days: every order is one half-hourly bar of its priority and status, ``SESSION`` of them a day.
+
+    Closes move by an order's own step and the drift of the last ``DRIFT`` orders, all in
+    whole cents, so running sums have no order; coarser bars are made of these.
+    """
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate", F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), F.floor("o_totalprice").cast("long").alias("x"))
+    w = Window.partitionBy("symbol").orderBy("o_orderdate", "o_orderkey")
+    rows = orders.select("o_orderkey", "o_orderdate", F.concat(F.substring("p", 1, 1), "s").alias("symbol"), "x", (F.pmod("x", F.lit(201)) - 100).alias("u"))
+    rows = rows.withColumn("k", F.row_number().over(w) - 1).withColumn("step", 2 * F.sum("u").over(w.rowsBetween(1 - DRIFT, 0)) + 5 * F.col("u"))
+    rows = rows.withColumn("c", CENTS + F.sum("step").over(w)).withColumn("o", F.col("c") - F.col("step"))
+    cents = lambda x: x / F.lit(100.0)
+    at = (FIRST_DAY + F.floor(F.col("k") / SESSION)) * 86400 + OPENS + F.col("k") % SESSION * 1800
+    out = rows.select(
+        "symbol", F.lit("m30").alias("tf"), at.cast("long").alias("t"), cents(F.col("o")).alias("o"), cents(F.greatest("o", "c") + 25 + 3 * F.pmod("x", F.lit(7))).alias("h"),
+        cents(F.least("o", "c") - 25 - 3 * F.pmod("x", F.lit(5))).alias("l"), cents(F.col("c")).alias("c"), F.lit(1.0).alias("v"),
+    )
+    return out if tf == "m30" else resample(out, tf)
+
+
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily tape of ``orders``: one symbol per priority, price = total price."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
