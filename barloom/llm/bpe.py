@@ -20,7 +20,7 @@ Strings of added tokens are split off first.
 their end (at most 3 bytes); invalid sequences become U+FFFD as soon as they are known.
 
 A stream holds at most a chunk, ``LONG`` characters, a window, and a table of recent
-short words of at most ``WORDS`` entries, however long its text is.
+short words in two halves of at most ``WORDS`` entries, however long its text is.
 
 Edge cases of ``round_trip``: null text is an empty text (no ids, empty decoded text);
 a text that is not valid UTF-8 is read with U+FFFD for the invalid bytes; repeated rows
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
-CHUNK, LONG, WINDOW, WORDS, SHORT = 1 << 16, 1024, 4096, 1 << 17, 32
+CHUNK, LONG, WINDOW, WORDS, SHORT = 1 << 16, 1024, 4096, 1 << 18, 32
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Letters and numbers assigned after Unicode 16, which the tokenizers' patterns do not know as such.
 LATER = (
@@ -144,16 +144,17 @@ class Vocabulary:
 
 
 class _Words(dict):
-    """Packed ids of recent short words."""
+    """Packed ids of recent short words: those asked for since this half filled up, and the half before."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.before = vocabulary, {}
 
     def __missing__(self, word: str) -> bytes:
-        packed = _packed(self.vocabulary.merge(word.encode()))
+        packed = self.before.get(word) or _packed(self.vocabulary.merge(word.encode()))
         if len(word) <= SHORT:
             if len(self) >= WORDS:
+                self.before = dict(self)
                 self.clear()
             self[word] = packed
         return packed
