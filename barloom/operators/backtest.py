@@ -1,9 +1,8 @@
 """Bar-by-bar trade simulation and its metrics.
 
 Signals are computed once as columns; runs (strategy x parameters) are rows of a
-small table joined to the bars of their series before the scan, so thousands of
-parameter sets run in parallel while each run streams its bars in time order
-through a constant-size state.  Rules, in the order they are applied on a bar:
+table.  A chunk of runs streams the bars of a series in time order, its states as
+vectors.  Rules, in the order they are applied on a bar:
 
 1. a position whose opposite signal fired on the previous bar closes at the open;
 2. a pending entry opens at the open if the session allows that bar, else lapses;
@@ -27,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.fleet import Fleet
 from barloom.sources.bars import KEY
 
-MOST_BROADCAST = 50_000
+#: Runs that are stepped together, and rows that are held before they are passed on.
+CHUNK, FLUSH = 256, 50_000
 #: One run: stops in pips; mode is fixedLot, compound or fixedRisk; directions in order of preference.
 RUN = (
     "run_id string, stop_pips double, target_pips double, trailing_pips double, close_on_opposite boolean, directions string, "
@@ -47,160 +48,63 @@ def half_up(x: float, digits: int = 0) -> float:
     return math.floor(x * k + 0.5) / k
 
 
-def _or(x: float | None, default: float) -> float:
-    return x if x is not None and math.isfinite(x) and x > 0 else default
-
-
-class Simulation:
-    """State of one run; ``bar`` returns the rows that a bar causes."""
-
-    def __init__(self, run: dict, pip: float):
-        self.run, self.pip = run, pip
-        self.balance = _or(run["balance"], 1_000_000.0)
-        self.spread = run["spread_pips"] or 0.0
-        self.position: dict | None = None
-        self.pending: str | None = None
-        self.close_next = False
-        self.pips = self.money = self.peak_pips = 0.0
-        self.peak = self.balance
-        self.trades = 0
-        self.last: dict | None = None
-
-    def _lot(self, pip_value: float) -> float:
-        run = self.run
-        cap = lambda x: min(max(0.01, _or(run["max_lot"], 100.0)), max(0.01, half_up(x, 2)))
-        fixed = _or(run["fixed_lot"], 0.1)
-        now = self.balance + self.money
-        if run["mode"] == "compound":
-            return cap(fixed * max(0.0, now / self.balance))
-        if run["mode"] == "fixedRisk":
-            risk = max(0.0, now) * _or(run["risk_pct"], 1.0) / 100
-            loss = (_or(run["stop_pips"], 1.0) + max(0.0, self.spread)) * pip_value
-            return cap(risk / loss if risk > 0 and loss > 0 else fixed)
-        return cap(fixed)
-
-    def _move(self, price: float) -> float:
-        p = self.position
-        return (price - p["entry_price"] if p["direction"] == "long" else p["entry_price"] - price) / self.pip
-
-    def _close(self, bar: dict, price: float, reason: str) -> dict:
-        p, gross = self.position, self._move(price)
-        unit = p["pip_value"] * p["lot"]
-        self.trades += 1
-        net = gross * unit - self.spread * unit
-        row = {
-            "kind": "trade", "id": self.trades, "direction": p["direction"], "entry_time": p["entry_time"], "exit_time": bar["t"], "entry_price": p["entry_price"], "exit_price": price,
-            "gross_pips": half_up(gross, 1), "spread_pips": self.spread, "net_pips": half_up(gross - self.spread, 1), "lot": p["lot"], "pip_value": half_up(p["pip_value"]),
-            "gross_yen": half_up(gross * unit), "spread_yen": half_up(self.spread * unit), "net_yen": half_up(net), "balance_after": half_up(self.balance + self.money + net), "exit_reason": reason,
-        }
-        self.pips += row["net_pips"]
-        self.money += row["net_yen"]
-        self.position = None
-        return row
-
-    def _exit(self, bar: dict) -> tuple[float, str] | None:
-        p = self.position
-        if p["direction"] == "long":
-            if bar["l"] <= p["stop"]:
-                return min(p["stop"], bar["o"]), p["source"]
-            return (p["target"], "take_profit") if bar["h"] >= p["target"] else None
-        if bar["h"] >= p["stop"]:
-            return max(p["stop"], bar["o"]), p["source"]
-        return (p["target"], "take_profit") if bar["l"] <= p["target"] else None
-
-    def _trail(self, bar: dict) -> None:
-        distance, p = self.run["trailing_pips"], self.position
-        if not distance or distance <= 0:
-            return
-        stop = bar["h"] - distance * self.pip if p["direction"] == "long" else bar["l"] + distance * self.pip
-        if stop > p["stop"] if p["direction"] == "long" else stop < p["stop"]:
-            p["stop"], p["source"] = stop, "trailing_stop"
-
-    def _mark(self, bar: dict) -> dict:
-        pips = money = 0.0
-        if self.position:
-            pips = self._move(bar["l"] if self.position["direction"] == "long" else bar["h"]) - self.spread
-            money = pips * self.position["pip_value"] * self.position["lot"]
-        pips, money = self.pips + pips, self.balance + self.money + money
-        self.peak_pips, self.peak = max(self.peak_pips, pips), max(self.peak, money)
-        down = max(0.0, self.peak - money)
-        return {
-            "kind": "equity", "exit_time": bar["t"], "equity_pips": half_up(pips, 1), "drawdown_pips": half_up(max(0.0, self.peak_pips - pips), 1), "equity_yen": half_up(money),
-            "drawdown_yen": half_up(down), "drawdown_pct": 0.0 if self.peak <= 0 else down / self.peak * 100, "realised_yen": half_up(self.money),
-        }
-
-    def bar(self, bar: dict) -> list[dict]:
-        first, self.last = self.last is None, bar
-        if first:
-            return [self._mark(bar)]
-        out = []
-        if self.position and self.close_next:
-            out.append(self._close(bar, bar["o"], "opposite_signal"))
-            self.close_next = False
-        if self.pending and not self.position and bar["open_session"]:
-            sign = 1 if self.pending == "long" else -1
-            self.position = {
-                "direction": self.pending, "entry_time": bar["t"], "entry_price": bar["o"], "stop": bar["o"] - sign * self.run["stop_pips"] * self.pip, "target": bar["o"] + sign * self.run["target_pips"] * self.pip,
-                "source": "stop_loss", "lot": self._lot(bar["pip_value"]), "pip_value": bar["pip_value"],
-            }
-        self.pending = None
-        if self.position:
-            found = self._exit(bar)
-            if found:
-                out.append(self._close(bar, *found))
-            else:
-                self._trail(bar)
-        out.append(self._mark(bar))
-        if bar["last"]:
-            if self.position:
-                out.append(self._close(bar, bar["c"], "end"))
-                out[-2] = self._mark(bar)
-            return out
-        if self.position:
-            other = "short" if self.position["direction"] == "long" else "long"
-            self.close_next = bool(self.run["close_on_opposite"] and bar[other])
-        else:
-            self.pending = next((d for d in self.run["directions"].split(",") if bar[d]), None)
-        return out
-
-
 def simulate(signals: DataFrame, runs: DataFrame, pip: float | None = None, equity: bool = True) -> DataFrame:
     """Trades and equity marks (``TRADE``) of every run over every series of ``signals``.
 
     ``signals`` has bars with long, short and optionally pip_value and run_key;
     ``runs`` has the columns of ``RUN`` (and run_key where signals have it, which then
-    ties runs to signal sets).  Runs are joined to bars, so work is split by run.
+    ties runs to signal sets).  Without ``equity`` a run has one row of kind "worst" in
+    place of its marks, with its largest drawdowns.
+
+    Runs of a key are dealt into chunks of at most about ``CHUNK``.  A chunk's runs and the
+    bars of one series meet in one sorted stream, runs first, and are stepped as vectors
+    (``fleet``): bars are shuffled once per series and chunk, not once per run.
     """
     newest = Window.partitionBy(*KEY, *(["run_key"] if "run_key" in signals.columns else [])).orderBy("t")
     bars = signals.withColumn("last", F.lead("t").over(newest).isNull())
     if "pip_value" not in bars.columns:
         bars = bars.withColumn("pip_value", F.lit(1000.0))
     bars = bars.withColumn("pip", F.lit(pip) if pip else F.when(F.col("symbol").endswith("JPY"), 0.01).otherwise(0.0001))
-    kept = [*KEY, "t", "o", "h", "l", "c", "long", "short", "last", "pip_value", "pip"]
-    if "run_key" in signals.columns:
-        rows = bars.select("run_key", *kept).join(runs, "run_key").drop("run_key")
-    else:
-        few = runs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-        rows = bars.select(*kept).crossJoin(F.broadcast(runs) if few else runs)  # a grid is the product of bars and runs by definition
-    a, b = (F.when(F.col(n).rlike("^([01][0-9]|2[0-3]):[0-5][0-9]$"), F.substring(n, 1, 2).cast("int") * 60 + F.substring(n, 4, 2).cast("int")) for n in ("session_start", "session_end"))
-    now = F.pmod(F.floor(F.col("t") / 60) + F.coalesce("session_offset", F.lit(0)), F.lit(1440))
-    inside = F.when(a < b, (now >= a) & (now < b)).otherwise((now >= a) | (now < b))
-    rows = rows.withColumn("open_session", F.when(a.isNull() | b.isNull() | (a == b), True).otherwise(inside)).drop("session_start", "session_end", "session_offset")
+    if "run_key" not in signals.columns:
+        bars, runs = bars.withColumn("run_key", F.lit("")), runs.withColumn("run_key", F.lit(""))
+    sizes = runs.groupBy("run_key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    names = [x.strip().split(" ")[0] for x in RUN.split(",")]
+    chunk = F.pmod(F.xxhash64("run_id"), F.col("chunks")).cast("int").alias("chunk")
+    dealt = runs.join(sizes, "run_key").select("run_key", chunk, F.struct(*names).alias("run"))
+    series_of = bars.select("run_key", *KEY).distinct()
+    keys = ["run_key", "chunk", *KEY]
+    fields = ["o", "h", "l", "c", "long", "short", "last", "pip_value", "pip"]
+    each = bars.select("run_key", *KEY, "t", *fields).join(dealt.select("run_key", "chunk").distinct(), "run_key")
+    heads = dealt.join(series_of, "run_key")
+    none = lambda df, name: F.lit(None).cast(df.schema[name].dataType).alias(name)
+    heads = heads.select(*keys, F.lit(0).alias("kind"), F.lit(None).cast("long").alias("t"), *(none(bars, x) for x in fields), "run")
+    rows = heads.unionByName(each.select(*keys, F.lit(1).alias("kind"), "t", *fields, none(heads, "run")))
     kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
     schema = pa.schema([(n, kinds[k]) for n, k in (x.strip().split(" ") for x in TRADE.split(","))])
+    order = [*keys, "kind", "t", *fields, "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
+        now, given, state = None, [], None
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if (row["run_id"], row["symbol"], row["tf"]) != key:
-                    key, state = (row["run_id"], row["symbol"], row["tf"]), Simulation(row, row["pip"])
-                out += [{"run_id": key[0], "symbol": key[1], "tf": key[2]} | x for x in state.bar(row) if equity or x["kind"] == "trade"]
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    keys = ["run_id", *KEY]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "t").mapInArrow(run, TRADE)
+            columns = [batch.column(k).to_pylist() for k in range(len(order) - 1)]
+            packed = batch.column(len(order) - 1)
+            for k, row in enumerate(zip(*columns, strict=True)):
+                if row[:4] != now:
+                    if state:
+                        yield from state.rows(schema)
+                    now, given, state = row[:4], [], None
+                if row[4] == 0:
+                    given.append(packed[k].as_py())
+                    continue
+                if state is None:
+                    state = Fleet(given, *now[2:], row[14], equity)
+                state.bar(*row[5:14])
+                if state.pending_rows > FLUSH:
+                    yield from state.rows(schema)
+        if state:
+            yield from state.rows(schema)
+
+    return rows.select(*order).repartition(*keys).sortWithinPartitions(*keys, "kind", "t").mapInArrow(run, TRADE)
 
 
 def trades_of(simulated: DataFrame) -> DataFrame:

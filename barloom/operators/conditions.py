@@ -10,6 +10,7 @@ named by their parameters, so conditions that share one compute it once.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,10 +177,11 @@ def _(bars, p):
 @rule("keltnerBreak")
 def _(bars, p):
     key = f"{p['ema']}_{p['atr']}_{p['multiplier']}".replace(".", "d")
-    names = {"kelt_upper": f"keltu{key}", "kelt_lower": f"keltl{key}", "atr": f"kelta{key}"}
-    bars = _named(bars, names, lambda b: rec.keltner(b, period(p["ema"]), period(p["atr"]), p["multiplier"]))
-    moving = F.col(names["atr"]) > 0
-    return bars, moving & (F.col("c") >= F.col(names["kelt_upper"])), moving & (F.col("c") <= F.col(names["kelt_lower"]))
+    bars, mid = _mean(bars, "ema", p["ema"])
+    width = f"kelta{key}"
+    bars = _named(bars, {"atr": width}, lambda b: ind.atr(b, period(p["atr"])))
+    moving, reach = F.col(width) > 0, p["multiplier"] * F.col(width)
+    return bars, moving & (F.col("c") >= F.col(mid) + reach), moving & (F.col("c") <= F.col(mid) - reach)
 
 
 @rule("cciBreak")
@@ -266,6 +268,48 @@ def _(bars, p):
     return bars, crossed(lips, teeth, True) & (F.col(teeth) > F.col(jaw)), crossed(lips, teeth, False) & (F.col(teeth) < F.col(jaw))
 
 
+def _recurrences(kind: str, p: dict) -> list[tuple[Callable[[], object], list[str], dict[str, str]]]:
+    """(kernel, inputs, outputs) of the recurrences that a rule reads, under the names its compiler looks for."""
+    if kind == "maCross":
+        sides = [period(p[side]) for side in ("fast", "slow") if p[f"{side}_type"] == "ema"]
+        return [(partial(rec.Ema, n), ["c"], {f"ema{n}": "double"}) for n in sides]
+    if kind == "rsi":
+        return [(partial(rec.Rsi, n), ["c"], {f"rsi{n}": "double"}) for n in [period(p["period"])]]
+    if kind == "macdCross":
+        a, b, s = period(p["fast"]), period(p["slow"]), period(p["signal"])
+        return [(partial(rec.Macd, a, b, s), ["c"], {f"macd{a}_{b}": "double", f"macds{a}_{b}_{s}": "double", f"__macdh{a}_{b}_{s}": "double"})] if a < b else []
+    if kind == "keltnerBreak":
+        return [(partial(rec.Ema, n), ["c"], {f"ema{n}": "double"}) for n in [period(p["ema"])]]
+    if kind == "adxTrend":
+        n = period(p["period"])
+        return [(partial(rec.Adx, n), ["h", "l", "c"], {f"pdi{n}": "double", f"mdi{n}": "double", f"adx{n}": "double"})] if n >= 2 else []
+    if kind == "parabolicSar" and 0 < p["step"] <= p["maximum"]:
+        key = f"{p['step']}_{p['maximum']}".replace(".", "d")
+        return [(partial(rec.Sar, p["step"], p["maximum"]), ["h", "l"], {f"sar{key}": "double", f"sarl{key}": "boolean"})]
+    if kind == "alligator":
+        (a, b, c), (x, y, z) = p["periods"], p["shifts"]
+        key = "_".join(map(str, (*p["periods"], *p["shifts"])))
+        return [(partial(rec.Alligator, p["periods"], p["shifts"]), ["h", "l"], {f"{n}{key}": "double" for n in ("jaw", "teeth", "lips")})] if a > b > c >= 1 and 500 >= x > y > z >= 0 else []
+    return []
+
+
+def with_recurrences(bars: DataFrame, conditions: list[dict]) -> DataFrame:
+    """Bars with the recurrent features of all conditions, computed in one scan; the compilers find them by name."""
+    found: dict[tuple, tuple] = {}
+    for condition in conditions:
+        kind = condition["type"]
+        for kernel, inputs, outputs in _recurrences(kind, DEFAULTS.get(kind, {}) | {k: v for k, v in condition.items() if k != "type"}):
+            if not set(outputs) <= set(bars.columns):
+                found[tuple(outputs)] = (kernel, inputs, outputs)
+    kernels, seen = [], set(bars.columns)
+    for kernel, inputs, outputs in found.values():
+        fresh = {n if n not in seen else f"__again{len(seen)}_{n}": t for n, t in outputs.items()}
+        seen |= set(fresh)
+        kernels.append((kernel, inputs, fresh))
+    out = rec.fused(bars, kernels) if kernels else bars
+    return out.drop(*(n for _, _, outputs in kernels for n in outputs if n.startswith("__")))
+
+
 def compile_condition(bars: DataFrame, condition: dict) -> Compiled:
     kind = condition["type"]
     if kind not in RULES:
@@ -281,7 +325,7 @@ def compile_condition(bars: DataFrame, condition: dict) -> Compiled:
 def signals(bars: DataFrame, conditions: list[dict], long: str = "long", short: str = "short") -> DataFrame:
     """Bars with the columns ``long`` and ``short``: all conditions hold (no conditions: never)."""
     up = down = F.lit(bool(conditions))
-    out = bars
+    out = with_recurrences(bars, conditions)
     for condition in conditions:
         out, a, b = compile_condition(out, condition)
         up, down = up & a, down & b

@@ -71,7 +71,7 @@ def by_segment(bars: DataFrame, segment: str) -> DataFrame:
 
 def search(bars: DataFrame, rules: list[dict], run_rows: DataFrame, pip: float | None = None) -> DataFrame:
     """Metrics of every run and series, ranked within the series by net result, then smaller drawdown."""
-    simulated = backtest.simulate(conditions.signals(bars, rules), run_rows, pip)
+    simulated = backtest.simulate(conditions.signals(bars, rules), run_rows, pip, equity=False)
     return ranked(backtest.metrics(simulated))
 
 

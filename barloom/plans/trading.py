@@ -31,8 +31,8 @@ RULES = {
 RUNS = [grid.run("base", 15, 30), grid.run("trail", 15, 60, 10, close_on_opposite=True), grid.run("risk", 15, 30, mode="fixedRisk"), grid.run("night", 15, 30, None, "22:00", "06:00", mode="compound")]
 
 
-def _simulated(spark, d, rules: str = "donchian") -> DataFrame:
-    return bt.simulate(conditions.signals(src.event_bars(spark, d), RULES[rules]), grid.runs(spark, RUNS), PIP)
+def _simulated(spark, d, rules: str = "donchian", equity: bool = True) -> DataFrame:
+    return bt.simulate(conditions.signals(src.event_bars(spark, d), RULES[rules]), grid.runs(spark, RUNS), PIP, equity)
 
 
 _SIM = f"WITH RECURSIVE {sql.bars()}, {st.donchian('bars')}, {st.runs(RUNS)}, {st.simulated('sg')}"
@@ -95,14 +95,15 @@ GRID = grid.combinations(grid.values(10, 20, 5), grid.values(20, 40, 10), [None,
 #: The tapes jump by tens of units, so only wide stops of long positions survive: some runs pass the gates, most do not.
 WIDE_GRID = [r | {"directions": "long" if r["stop_pips"] > 100 else "long,short"} for r in grid.combinations([20.0, 300.0, 500.0], [20.0, 40.0], [None, 8.0])]
 _SEARCH = f"WITH RECURSIVE {sql.bars()}, {st.donchian('bars')}, {st.runs(GRID)}, {st.simulated('sg')}, {st.METRICS}"
-# segments are part of the series key, so nothing looks across them
-_SEGMENTS = f"""WITH RECURSIVE {sql.bars()}, hs AS (SELECT * REPLACE (symbol || '/' || CASE WHEN row_number() {sql.S} <= floor(count(*) OVER (PARTITION BY symbol) * CAST(0.7 AS DOUBLE)) THEN 'opt' ELSE 'val' END AS symbol) FROM bars), {st.crosses('hs')}, {st.runs(WIDE_GRID)}, {st.simulated('sg')}, {st.METRICS},
-    sm AS (SELECT * REPLACE (split_part(symbol, '/', 1) AS symbol), split_part(symbol, '/', 2) AS segment FROM m), op AS (SELECT * FROM sm WHERE segment = 'opt'), va AS (SELECT * FROM sm WHERE segment = 'val'),
+#: Table gd: results of both segments of the tables m, with the reasons to reject them.
+GATES = """sm AS (SELECT * REPLACE (split_part(symbol, '/', 1) AS symbol), split_part(symbol, '/', 2) AS segment FROM m), op AS (SELECT * FROM sm WHERE segment = 'opt'), va AS (SELECT * FROM sm WHERE segment = 'val'),
     ga AS (SELECT run_id, symbol, coalesce(op.net_yen, 0.0) AS opt_net_yen, coalesce(va.net_yen, 0.0) AS val_net_yen, coalesce(op.profit_factor, 0) AS opt_profit_factor, coalesce(op.max_drawdown_yen, 0) AS opt_max_drawdown_yen, coalesce(va.trades, 0) AS val_trades, coalesce(op.max_drawdown_pct, 0) AS od, coalesce(va.max_drawdown_pct, 0) AS vd FROM op FULL JOIN va USING (run_id, symbol)),
     gb AS (SELECT *, CASE WHEN opt_net_yen > 0 THEN val_net_yen / opt_net_yen WHEN val_net_yen >= opt_net_yen THEN 1.0 ELSE 0.0 END AS ratio FROM ga),
     gc AS (SELECT *, CASE WHEN opt_net_yen <= 0 THEN false ELSE ratio < 0.35 OR vd > 2 * od + 5 END AS overfit FROM gb),
-    gd AS (SELECT *, list_filter([CASE WHEN opt_net_yen <= 0 THEN 'opt_net' END, CASE WHEN val_net_yen <= 0 THEN 'val_net' END, CASE WHEN val_trades < 10 THEN 'val_trades' END, CASE WHEN overfit THEN 'overfit' END, CASE WHEN ratio < 0.35 THEN 'ratio' END], lambda x: x IS NOT NULL) AS reasons FROM gc),
-    gates AS (SELECT *, len(reasons) = 0 AS eligible FROM gd)"""
+    gd AS (SELECT *, list_filter([CASE WHEN opt_net_yen <= 0 THEN 'opt_net' END, CASE WHEN val_net_yen <= 0 THEN 'val_net' END, CASE WHEN val_trades < 10 THEN 'val_trades' END, CASE WHEN overfit THEN 'overfit' END, CASE WHEN ratio < 0.35 THEN 'ratio' END], lambda x: x IS NOT NULL) AS reasons FROM gc)"""
+# segments are part of the series key, so nothing looks across them
+_SEGMENTS = f"""WITH RECURSIVE {sql.bars()}, hs AS (SELECT * REPLACE (symbol || '/' || CASE WHEN row_number() {sql.S} <= floor(count(*) OVER (PARTITION BY symbol) * CAST(0.7 AS DOUBLE)) THEN 'opt' ELSE 'val' END AS symbol) FROM bars), {st.crosses('hs')}, {st.runs(WIDE_GRID)}, {st.simulated('sg')}, {st.METRICS},
+    {GATES}, gates AS (SELECT *, len(reasons) = 0 AS eligible FROM gd)"""
 _QUARTERS = f"""WITH RECURSIVE {sql.bars()}, sp AS (SELECT *, min(t) OVER (PARTITION BY symbol) AS a, max(t) OVER (PARTITION BY symbol) AS z FROM bars), hs AS (SELECT symbol || '/' || CAST(CASE WHEN z > a THEN least(3, floor(4.0 * (t - a) / (z - a))) ELSE 0 END AS INT) AS symbol, t, o, h, l, c FROM sp), {st.crosses('hs')}, {st.runs(WIDE_GRID)}, {st.simulated('sg')}, {st.METRICS}"""
 
 
@@ -117,7 +118,7 @@ def _(spark, d):
 
 def _gates(spark, d) -> DataFrame:
     bars = grid.by_segment(grid.hold_out(src.event_bars(spark, d)), "segment")
-    return grid.gated(bt.metrics(bt.simulate(conditions.signals(bars, RULES["ma"]), grid.runs(spark, WIDE_GRID), PIP)))
+    return grid.gated(bt.metrics(bt.simulate(conditions.signals(bars, RULES["ma"]), grid.runs(spark, WIDE_GRID), PIP, equity=False)))
 
 
 query("holdout_gates", f"{_SEGMENTS} SELECT run_id, symbol, opt_net_yen, val_net_yen, round(ratio, 6) AS ratio, overfit, array_to_string(reasons, ',') AS reasons, eligible FROM gates")(lambda spark, d: _gates(spark, d).select("run_id", "symbol", "opt_net_yen", "val_net_yen", F.round("ratio", 6).alias("ratio"), "overfit", F.concat_ws(",", "reasons").alias("reasons"), "eligible"))
@@ -129,7 +130,7 @@ query("tuning_report", f"{_SEGMENTS} SELECT symbol, count(*) AS combinations, co
 @query("quarterly_stability", f"{_QUARTERS} SELECT run_id, split_part(symbol, '/', 1) AS symbol, count(*) FILTER (net_yen > 0) AS positive_quarters, count(*) FILTER (net_yen > 0) >= 3 AS stable FROM m GROUP BY 1, 2")
 def _(spark, d):
     bars = grid.by_segment(grid.quarters(src.event_bars(spark, d)), "quarter")
-    return grid.stable(bt.metrics(bt.simulate(conditions.signals(bars, RULES["ma"]), grid.runs(spark, WIDE_GRID), PIP))).drop("tf")
+    return grid.stable(bt.metrics(bt.simulate(conditions.signals(bars, RULES["ma"]), grid.runs(spark, WIDE_GRID), PIP, equity=False))).drop("tf")
 
 
 query("holdout_split", f"WITH {sql.bars()}, x AS (SELECT symbol, t, CASE WHEN row_number() {sql.S} <= floor(count(*) OVER (PARTITION BY symbol) * CAST(0.7 AS DOUBLE)) THEN 'opt' ELSE 'val' END AS segment FROM bars) SELECT symbol, segment, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM x GROUP BY 1, 2")(
