@@ -25,6 +25,11 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], at: str, right_at:
     back = backward(left, right, by, at, right_at, [column], "_before")
     turned = right.withColumn("__neg", -F.col(right_at))
     both = backward(back.withColumn("__neg_at", -F.col(at)), turned, by, "__neg_at", "__neg", [column, right_at], "_after").drop("__neg_at", "__neg_after")
+    return nearer(both, at, right_at, column)
+
+
+def nearer(both: DataFrame, at: str, right_at: str, column: str) -> DataFrame:
+    """Of a row's neighbours before and after it the nearer one, the earlier on a tie."""
     before, after = F.col(at) - F.col(f"{right_at}_before"), F.col(f"{right_at}_after") - F.col(at)
     use_before = before.isNotNull() & (after.isNull() | (before <= after))
     out = both.withColumn(f"{column}_nearest", F.when(use_before, F.col(f"{column}_before")).otherwise(F.col(f"{column}_after")))
