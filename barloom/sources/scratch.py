@@ -38,6 +38,20 @@ def _clean() -> None:
             return
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Data files of a folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().toString() for x in fs.listStatus(where) if x.getPath().getName().startswith("part-")] if fs.exists(where) else []
+
+
+def copied(spark: SparkSession, source: str, target: str) -> None:
+    """Copy one file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once and read back, for results that several later steps read."""
     path = folder(df.sparkSession)
