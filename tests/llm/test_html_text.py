@@ -68,10 +68,73 @@ def test_subjects_in_class_names_of_an_article():
     long = "<p>A long paragraph of text that says what there is to say here.</p>"
     for name in ("share-price", "related-work", "notice-of-motion", "comment-on-law", "menuCard-recipe"):
         assert "The part itself" in main_text(f"<article>{long}<div class='{name}'><p>The part itself, at some length.</p></div>{long}</article>"), name
-    for name in ("share-buttons", "related-posts", "ad-slot", "ad ad-728", "commentList", "post__comments", "newsletter-signup", "cookie-notice"):
+    for name in ("share-buttons", "related-posts", "ad-slot", "ad ad-728", "commentList", "post__comments", "newsletter-signup", "cookie-notice", "comment-thread", "ad-slot-inline", "google-ad", "newsletter-signup-inline", "related-stories", "subscribe-cta"):
         assert "The part itself" not in main_text(f"<article>{long}<div class='{name}'><p>The part itself, at some length.</p></div>{long}</article>"), name
 
 
+def test_names_on_headings_and_paragraphs_of_an_article():
+    long = "<p>A long paragraph of text that says what there is to say here.</p>"
+    got = main_text(f"<article><h2 class=notice>A heading of it</h2>{long}<p class=related>A paragraph of it.</p></article>")
+    assert got.startswith("A heading of it") and got.endswith("A paragraph of it.")
+    assert main_text(f"<body>{long * 3}<p class=copyright>All rights reserved</p></body>").endswith("here.")
+
+
+OPEN_NAMES = "<article>{0}<div class='promo-week'><p>{1}</p></div>{0}<div class='promo-week'><ul>{2}</ul></div>{0}</article>".format(
+    "<p>A long paragraph of text that says what there is to say here, and a little more of it.</p>" * 3, "A section about the promotion week, told at the length of any other paragraph here.", "<li><a href=x>Buy</a></li><li><i><b>x</b></i></li><li><i><b>y</b></i></li>" * 4
+)
+NOISY_PAGE = "<body><div><div><p>{0}</p></div><div><i><b>Tiny</b></i></div><div><i><b>bits</b></i></div><div><i><b>here</b></i></div><div><i><b>too</b></i></div></div></body>".format("A long paragraph of text that says what there is to say here. " * 4)
+
+
+def test_clusters_decide_what_names_leave_open(monkeypatch):
+    got = main_text(OPEN_NAMES)
+    assert "promotion week" in got and "Buy" not in got and " x " not in got
+    assert "too" not in main_text(NOISY_PAGE)
+    monkeypatch.setattr(html_text, "THRESHOLD", -1e9)
+    assert " x " in main_text(OPEN_NAMES) and main_text(OPEN_NAMES) != got and "too" in main_text(NOISY_PAGE)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    say = "<p>Some words of a paragraph here.</p>"
+    for page in ("<div>" * 100_000 + say, "<font>" * 100_000 + say * 1000, "<b>" * 100_000 + say * 1000, "<article>" * 100_000 + say, "<div class=ad>" * 100_000 + say, "<p>" + "</i>" * 100_000 + say, ("<font>" + say) * 30_000, "<table><tr><td>" * 30_000 + say, ("<div>" + say) * 30_000):
+        began = time.process_time()
+        assert "paragraph" in main_text(page)
+        assert time.process_time() - began < 5, page[:20]
+
+
+def test_inline_end_tags_close_no_block():
+    assert main_text("<b><article><p>One.</b></p><p>Two, which is still in it.</p></article><p>Not in it.</p>") == "One. Two, which is still in it."
+
+
+def malformed(html, rng):
+    """The page with end tags of paragraphs, list items and inline elements lost, and others that nothing opens."""
+    import re
+
+    lost = re.sub(r"</(?:p|li|b)>", lambda m: "" if rng.random() < 0.5 else m[0], html)
+    return re.sub(r"(?<=</article>)", "</i></em></font>", lost)
+
+
+def plain_unmarked(html):
+    """Brute force for pages whose text is one div of paragraphs and headings between named noise: ``plain_extraction`` of that div."""
+    return plain_extraction(html.replace("<div id='text'>", "<article>").replace("</div><!--text-->", "</article>"))
+
+
+def test_malformed_and_unmarked_pages_against_a_tree_walk():
+    import random
+
+    rng = random.Random(11)
+    words = "lake stone tower of the a river green small house ran over".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    for _ in range(80):
+        parts = [rng.choice([lambda: f"<p>{say(12)} <b>{say(2)}</b> {say(9)}.</p>", lambda: f"<h2>{say(3)}</h2>", lambda: f"<ul><li>{say(8)}</li><li>{say(7)}</li></ul>", lambda: f"<aside>{say(12)}</aside>"])() for _ in range(rng.randrange(3, 12))]
+        body = f"<h1>{say(4)}</h1><p>{say(20)}.</p>{''.join(parts)}<p>{say(20)}.</p>"
+        page = f"<html><body><header><p>{say(4)}</p></header><nav><ul><li><a href='y'>{say(2)}</a></li></ul></nav><article>{body}</article><footer>{say(3)}</footer></body></html>"
+        assert main_text(malformed(page, rng)) == plain_extraction(page)
+        free = page.replace("<article>", "<div id='text'>").replace("</article>", "</div><!--text-->")
+        assert main_text(free) == plain_unmarked(free)
+
+
 def plain_extraction(html):
     """Brute force for well-formed pages: ElementTree, elements left out by name, one line per block."""
     from xml.etree import ElementTree
