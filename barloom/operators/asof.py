@@ -20,6 +20,13 @@ def backward(left: DataFrame, right: DataFrame, by: list[str], at: str, right_at
     return found.select("__left.*", *(F.col(f"__right.{c}").alias(c + suffix) for c in columns), F.col("__right.__at").alias(right_at + suffix))
 
 
+def markers(events: DataFrame, bars: DataFrame, by: list[str], time: str, seconds: int) -> DataFrame:
+    """Events with ``bar_t``, the last bar at or before them; null outside a series' first bar to the end of its last one."""
+    spans = bars.groupBy(*by).agg((F.max("t") + seconds).alias("__until"))
+    at = backward(events, bars.select(*by, F.col("t").alias("bar_t")), by, time, "bar_t", [], "").join(spans, by, "left")
+    return at.withColumn("bar_t", F.when(F.col(time) < F.col("__until"), F.col("bar_t"))).drop("__until")
+
+
 def nearest(left: DataFrame, right: DataFrame, by: list[str], at: str, right_at: str, column: str) -> DataFrame:
     """Every left row with the nearest right row in time, the earlier on a tie; it may lie in the future."""
     back = backward(left, right, by, at, right_at, [column], "_before")

@@ -332,6 +332,43 @@ def signals(bars: DataFrame, conditions: list[dict], long: str = "long", short:
     return out.withColumn(long, up).withColumn(short, down)
 
 
+# How a rule is shown.
+LABELS = {
+    "maCross": "{fast_type}{fast} x {slow_type}{slow}",
+    "rsi": "RSI{period} {comparison} {threshold}",
+    "demarker": "DeMarker{period} {comparison} {threshold}",
+    "bollinger": "BB{period}/{multiplier} {band} {mode}",
+    "envelope": "Envelope{period}/{deviation}% ブレイク",
+    "macdCross": "MACD {fast}/{slow}/{signal} クロス",
+    "ichimokuCross": "一目{conversion}/{base}/{span} クロス{cloud}",
+    "donchianBreak": "Donchian{period} ブレイク",
+    "keltnerBreak": "Keltner{ema}/{atr} x{multiplier} ブレイク",
+    "stochastic": "Stoch{k}/{d}/{smooth} {comparison} {threshold}",
+    "stochCross": "Stoch{k}/{d}/{smooth} %K/%D クロス",
+    "cciBreak": "CCI{period} ±{level} ブレイク",
+    "adxTrend": "ADX{period}/{threshold} DIクロス",
+    "parabolicSar": "SAR{step}/{maximum} フリップ",
+    "momentum": "Momentum{period} 100クロス",
+    "ao": "AO{fast}/{slow} ゼロラインクロス",
+    "rvi": "RVI{period} シグナルクロス",
+    "alligator": "Alligator {periods} ({shifts}) クロス",
+}
+
+
+def label(condition: dict) -> str:
+    """A rule as shown in lists."""
+    kind = condition["type"]
+    p = DEFAULTS[kind] | {k: v for k, v in condition.items() if k != "type"}
+    shown = {k: int(v) if isinstance(v, float) and v == int(v) else v for k, v in p.items()}
+    if kind == "maCross":
+        shown |= {k: p[k].upper() for k in ("fast_type", "slow_type")}
+    if kind == "ichimokuCross":
+        shown["cloud"] = "(雲フィルタ)" if p["cloud"] else ""
+    if kind == "alligator":
+        shown |= {k: "/".join(map(str, p[k])) for k in ("periods", "shifts")}
+    return LABELS[kind].format(**shown)
+
+
 def minutes_of(text: str) -> int | None:
     h, _, m = text.partition(":")
     ok = h.isdigit() and m.isdigit() and len(h) == 2 and len(m) == 2 and int(h) < 24 and int(m) < 60

@@ -166,6 +166,21 @@ def patterns(bars: DataFrame) -> DataFrame:
     return candle_patterns(bars).unionByName(chart_patterns(bars))
 
 
+def newest_patterns(bars: DataFrame, lookback: int = 120) -> DataFrame:
+    """Patterns that end within the last ``lookback`` bars of every series, chart patterns of these bars alone.
+
+    A pattern that is found again at the same bar counts once, at its greatest strength;
+    ``place`` orders a series' patterns from the newest, then from the strongest.
+    """
+    newest = Window.partitionBy(*KEY).orderBy(F.desc("t"))
+    late = bars.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= lookback).drop("__n")
+    since = late.groupBy(*KEY).agg(F.min("t").alias("__since"))
+    candles = candle_patterns(bars).join(since, list(KEY)).where(F.col("t") >= F.col("__since")).drop("__since")
+    found = candles.unionByName(chart_patterns(late)).groupBy(*KEY, "t", "pattern", "direction").agg(F.max("strength").alias("strength"))
+    order = Window.partitionBy(*KEY).orderBy(F.desc("t"), F.desc("strength"), "pattern")
+    return found.withColumn("place", F.row_number().over(order))
+
+
 LEVEL = "symbol string, tf string, price double, direction string, touches int, strength double, distance double, last_touch long"
 
 

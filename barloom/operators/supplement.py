@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.numeric import half_up, pip_size
@@ -63,6 +63,12 @@ def calendar_for(events: DataFrame, symbol: str) -> DataFrame:
     return events.where(F.array_contains(pair_currencies(F.lit(symbol)), F.col("currency")) & F.col("impact").isin("high", "medium"))
 
 
+def upcoming_for(events: DataFrame, symbol: str, now: int, seconds: int) -> DataFrame:
+    """Events of a pair's currencies in the next ``seconds``, in order of time."""
+    mine = F.array_contains(pair_currencies(F.lit(symbol)), F.col("currency"))
+    return events.where(mine & (F.col("time") > now) & (F.col("time") <= now + seconds)).orderBy("time")
+
+
 def calendar_sides(events: DataFrame, now: int) -> DataFrame:
     """``side`` upcoming (nearest first) or past (newest first) and the ``distance`` in seconds, sorted by them."""
     side = F.when(F.col("time") > now, "upcoming").otherwise("past")
@@ -163,13 +169,12 @@ def magic_number(symbol_no: Column, kind_no: Column, tf_no: Column) -> Column:
     return F.when(valid, number.cast("long"))
 
 
-def candidates(spark: SparkSession, symbols: list[str], kinds: list[str] | None = None, timeframes: list[str] = ("h1", "h4")) -> DataFrame:
-    """(symbol, kind, tf, magic): the cross product of symbols, entry rules and timeframes, with a number of its own each."""
-    kinds = list(conditions.DEFAULTS) if kinds is None else kinds
-    rows = spark.range(1)
-    for name, values in (("symbol", symbols), ("kind", kinds), ("tf", timeframes)):
-        rows = rows.select("*", F.posexplode(F.array(*map(F.lit, values))).alias(f"{name}_no", name))
-    return rows.select("symbol", "kind", "tf", magic_number(F.col("symbol_no"), F.col("kind_no"), F.col("tf_no")).alias("magic"))
+def candidates(symbols: DataFrame, kinds: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(symbol, kind, tf, magic): every symbol of ``symbols`` with every rule and its timeframes, each with a number of its own."""
+    order = Window.orderBy("symbol")  # a row per symbol
+    rows = symbols.select("symbol").distinct().withColumn("symbol_no", F.row_number().over(order) - 1)
+    numbered = [F.struct(F.lit(k).alias("kind"), F.lit(i).alias("kind_no"), F.lit(tf).alias("tf"), F.lit(j).alias("tf_no")) for i, (k, tfs) in enumerate(kinds.items()) for j, tf in enumerate(tfs)]
+    return rows.select("symbol", "symbol_no", F.inline(F.array(*numbered))).select("symbol", "kind", "tf", magic_number(F.col("symbol_no"), F.col("kind_no"), F.col("tf_no")).alias("magic"))
 
 
 def strategy_problems(strategies: DataFrame) -> DataFrame:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import conditions
+from barloom.operators import asof, conditions, history
+from barloom.operators import backtest as bt
 from barloom.operators import forecast as fc
 from barloom.operators import indicators as ind
 from barloom.operators import ledger
 from barloom.operators import signals as sg
 from barloom.operators import supplement as sp
+from barloom.operators.tuning import PROFILES
 from barloom.plans import sql
 from barloom.plans.analysis import _LV, EXPECTED, HEAD, NOFLAT, STATS, votes
-from barloom.plans.series import query, shown
-from barloom.plans.trading import TRADES, order_trades
+from barloom.plans.series import ORACLES, query, shown
+from barloom.plans.trading import _SIM, TRADES, _simulated, order_trades
 from barloom.sources import bars as src
+from barloom.sources import scratch
 
 REGISTERED = 1705276800
 
@@ -52,9 +55,21 @@ def _(spark, d):
 _LIST = lambda values: "(SELECT unnest(range(" + str(len(values)) + ")) AS no, unnest([" + ", ".join(f"'{v}'" for v in values) + "]) AS x)"
 
 
-@query("candidate_matrix", f"SELECT s.x AS symbol, k.x AS kind, t.x AS tf, 1783100000 + k.no // 10 * 100000 + s.no * 100 + k.no % 10 * 10 + t.no AS magic FROM {_LIST(list(sp.SPREADS))} s, {_LIST(list(conditions.DEFAULTS))} k, {_LIST(['h1', 'h4'])} t")
+_KINDS = [(k, i, tf, j) for i, (k, p) in enumerate(PROFILES.items()) for j, tf in enumerate(p.timeframes)]
+_KIND_ROWS = ", ".join(f"('{k}', {i}, '{tf}', {j}, '{conditions.label(PROFILES[k].condition)}')" for k, i, tf, j in _KINDS)
+
+
+@query(
+    "candidate_matrix",
+    f"""WITH s AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS no FROM (SELECT DISTINCT event_type AS symbol FROM events)) SELECT symbol, kind, tf, 1783100000 + kind_no // 10 * 100000 + no * 100 + kind_no % 10 * 10 + tf_no AS magic, label
+    FROM s, (VALUES {_KIND_ROWS}) v(kind, kind_no, tf, tf_no, label)""",
+)
 def _(spark, d):
-    return sp.candidates(spark, list(sp.SPREADS))
+    """Every traded symbol of the tape with every entry profile, its label and number."""
+    symbols = _events(spark, d).select(F.col("event_type").alias("symbol"))
+    found = sp.candidates(symbols, {k: p.timeframes for k, p in PROFILES.items()})
+    labels = F.create_map(*(F.lit(x) for k, p in PROFILES.items() for x in (k, conditions.label(p.condition))))
+    return found.withColumn("label", labels[F.col("kind")])
 
 
 @query(
@@ -166,11 +181,11 @@ def _(spark, d):
     return _events(spark, d).select(F.col("event_type").alias("source"), src.from_fallback(F.concat(F.upper("event_type"), F.lit(" ")), "view").alias("fallback")).groupBy("source", "fallback").agg(F.count("*").alias("n"))
 
 
-@query("journal_append", f"WITH x AS (SELECT event_id AS k, {_SEC} AS t, CASE WHEN event_id % 3 = 0 THEN 'old' ELSE 'new' END AS origin FROM events WHERE event_id % 3 = 0 OR event_id % 2 = 0) SELECT * FROM x ORDER BY t DESC, k LIMIT 1000")
+@query("journal_append", f"WITH x AS (SELECT event_id AS k, {_SEC} AS t, CASE WHEN event_id % 3 = 0 THEN 'old' ELSE 'new' END AS origin FROM events) SELECT * FROM x ORDER BY t DESC, k LIMIT 1000")
 def _(spark, d):
     """A journal that meets entries it partly knows; its cap of 1000 rows is a feature of it."""
     e = _events(spark, d).select(F.col("event_id").alias("k"), F.col("at").alias("t"))
-    return sp.journal_append(e.where("k % 3 = 0").withColumn("origin", F.lit("old")), e.where("k % 2 = 0").withColumn("origin", F.lit("new")), ["k"])
+    return sp.journal_append(e.where("k % 3 = 0").withColumn("origin", F.lit("old")), e.withColumn("origin", F.lit("new")), ["k"])
 
 
 def _entries(spark, d):
@@ -186,11 +201,11 @@ def _(spark, d):
     return ledger.latest_entry(_entries(spark, d))
 
 
-@query("retired_conflicts", f"WITH {_ENTRIES} SELECT strategy_id, registered_at, retired_at FROM en WHERE state = 'O' AND (strategy_id, registered_at // 2592000) IN (SELECT (strategy_id, registered_at // 2592000) FROM en WHERE state = 'F')")
+@query("retired_conflicts", f"WITH {_ENTRIES} SELECT strategy_id, registered_at, retired_at FROM en WHERE state = 'O' AND (strategy_id, registered_at // 2592000) IN (SELECT (strategy_id, registered_at // 2592000) FROM en WHERE state <> 'O')")
 def _(spark, d):
-    """Open entries of a customer and month that also has finished ones."""
+    """Open entries of a customer and month that also has other ones."""
     entries = _entries(spark, d).withColumn("generation", F.floor(F.col("registered_at") / 2592000))
-    return ledger.conflicts(entries.where("state = 'O'"), entries.where("state = 'F'"), ["strategy_id", "generation"]).select("strategy_id", "registered_at", "retired_at")
+    return ledger.conflicts(entries.where("state = 'O'"), entries.where("state <> 'O'"), ["strategy_id", "generation"]).select("strategy_id", "registered_at", "retired_at")
 
 
 @query("retired_profit_factors", f"WITH {TRADES} SELECT run_id, symbol, {sql.r6('CASE WHEN count(*) = 0 OR (coalesce(sum(net_yen) FILTER (net_yen < 0), 0) = 0 AND coalesce(sum(net_yen) FILTER (net_yen > 0), 0) > 0) THEN NULL ELSE sum(net_yen) FILTER (net_yen > 0) / abs(sum(net_yen) FILTER (net_yen < 0)) END', 'profit_factor')} FROM tr GROUP BY 1, 2")
@@ -215,10 +230,92 @@ def _(spark, d):
 
 
 _QUOTES = [k[3:] for k in sp.SPREADS]
-_TABLE = ", ".join(f"('{k}', {v}, {3 if k.endswith('JPY') else 5}, {12.3 if k.endswith('JPY') else 1230.0}, '{k[:3] if k[:3] in _QUOTES else k[3:]}')" for k, v in sp.SPREADS.items())
+_PAIRS = [*sp.SPREADS, "XAUUSD"]
+
+
+@query(
+    "reference_tables",
+    f"""WITH p AS (SELECT event_id, value, ({_PAIRS!r})[user_id % {len(_PAIRS)} + 1] AS symbol FROM events), v AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {x})" for k, x in sp.SPREADS.items())}) t(symbol, spread))
+    SELECT event_id, p.symbol, coalesce(CAST(spread AS DOUBLE), 0.0) AS spread, CASE WHEN p.symbol LIKE '%JPY' THEN 3 ELSE 5 END AS digits, floor(value / CASE WHEN p.symbol LIKE '%JPY' THEN 0.01::DOUBLE ELSE 0.0001::DOUBLE END * 10 + 0.5) / 10 AS pips,
+        CASE WHEN substr(p.symbol, 1, 3) IN ({', '.join(f"'{x}'" for x in _QUOTES)}) THEN substr(p.symbol, 1, 3) WHEN substr(p.symbol, 4, 3) IN ({', '.join(f"'{x}'" for x in _QUOTES)}) THEN substr(p.symbol, 4, 3) ELSE 'JPY' END AS currency FROM p LEFT JOIN v ON v.symbol = p.symbol""",
+)
+def _(spark, d):
+    """Every event as a move of a pair: its spread, digits, pips and report currency."""
+    symbol = F.element_at(F.array(*map(F.lit, _PAIRS)), (F.col("user_id") % len(_PAIRS) + 1).cast("int"))
+    rows = _events(spark, d).withColumn("symbol", symbol)
+    return rows.select("event_id", "symbol", sp.spread_pips(F.col("symbol")).alias("spread"), sp.price_digits(F.col("symbol")).alias("digits"), sp.to_pips(F.col("symbol"), F.col("value")).alias("pips"), sp.default_currency(F.col("symbol"), _QUOTES).alias("currency"))
+
+
+_CAL = f"""ev AS (SELECT event_id, upper(substr(event_type, 1, 3)) AS currency, {_SEC} AS time, CASE user_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'holiday' END AS impact FROM events)"""
+
+
+def _calendar(spark, d):
+    impact = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "holiday"))), (F.col("user_id") % 4 + 1).cast("int"))
+    return _events(spark, d).select("event_id", F.upper(F.substring("event_type", 1, 3)).alias("currency"), F.col("at").alias("time"), impact.alias("impact"))
+
 
+query("calendar_for_pair", f"WITH {_CAL} SELECT * FROM ev WHERE currency IN ('CLI', 'VIE') AND impact IN ('high', 'medium')")(lambda spark, d: sp.calendar_for(_calendar(spark, d), "CLIVIE"))
+query("calendar_upcoming", f"WITH {_CAL} SELECT * FROM ev WHERE currency IN ('CLI', 'VIE') AND time > {REGISTERED} AND time <= {REGISTERED} + 259200")(lambda spark, d: sp.upcoming_for(_calendar(spark, d), "CLIVIE", REGISTERED, 259200))
+query(
+    "event_markers",
+    f"""WITH {sql.bars(14400)}, w AS (SELECT * FROM bars WHERE t % 86400 <> 0), l AS (SELECT symbol, max(t) + 14400 AS until FROM w GROUP BY 1), e AS (SELECT event_id, event_type AS symbol, {_SEC} AS time FROM events)
+    SELECT event_id, CAST(CASE WHEN time < until THEN w.t END AS DOUBLE) AS bar_t FROM e ASOF LEFT JOIN w ON w.symbol = e.symbol AND e.time >= w.t LEFT JOIN l ON l.symbol = e.symbol""",
+)(lambda spark, d: asof.markers(_events(spark, d).select("event_id", F.col("event_type").alias("symbol"), F.col("at").alias("time")), src.event_bars(spark, d, "h4").where("t % 86400 <> 0"), ["symbol"], "time", 14400).select("event_id", F.col("bar_t").cast("double").alias("bar_t")))
+_LATE = f"bars AS (SELECT * EXCLUDE (n) FROM (WITH {sql.bars(name='whole')} SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS n FROM whole) WHERE n <= 120)"
+query(
+    "newest_patterns",
+    f"""WITH cp AS ({ORACLES['candle_patterns']}), ch AS ({sql.swapped(ORACLES['chart_patterns'], sql.bars(), _LATE)}), lt AS (WITH {_LATE} SELECT symbol, min(t) AS since FROM bars GROUP BY 1),
+    al AS (SELECT cp.symbol, cp.t, pattern, direction, strength FROM cp JOIN lt ON lt.symbol = cp.symbol AND cp.t >= since UNION ALL SELECT symbol, t, pattern, direction, strength FROM ch), un AS (SELECT symbol, t, pattern, direction, max(strength) AS strength FROM al GROUP BY ALL)
+    SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY t DESC, strength DESC, pattern) AS INT) AS place FROM un""",
+)(lambda spark, d: sg.newest_patterns(src.event_bars(spark, d)).drop("tf"))
 
-@query("reference_tables", f"SELECT * FROM (VALUES {_TABLE}) v(symbol, spread, digits, pips, currency)")
+# -- confirmed history ---------------------------------------------------------------------------
+
+_SPINE = "dy AS (SELECT DISTINCT symbol, t // 86400 AS day FROM bars), sp AS (SELECT symbol, day FROM dy QUALIFY day < max(day) OVER (PARTITION BY symbol)), ids AS (SELECT DISTINCT run_id, symbol FROM trades), dd AS (SELECT run_id, symbol, day FROM ids JOIN sp USING (symbol))"
+_EQUITY = f"""{_SPINE}, cl AS (SELECT dd.*, s.t AS as_of, eq_pips, eq_yen, floor(money + 0.5) AS realised FROM dd ASOF LEFT JOIN sim s ON s.run_id = dd.run_id AND s.symbol = dd.symbol AND (dd.day + 1) * 86400 - 1 >= s.t),
+    rp AS (SELECT cl.run_id, cl.symbol, cl.day, coalesce(sum(t.net_pips), 0) AS pips FROM cl LEFT JOIN trades t ON t.run_id = cl.run_id AND t.symbol = cl.symbol AND t.exit_reason <> 'end' AND t.exit_time <= cl.as_of GROUP BY ALL),
+    mx AS (SELECT run_id, symbol, t // 86400 AS day, max(dd_pips) AS mp, max(dd_yen) AS my, max(dd_pct) AS mc FROM sim GROUP BY ALL),
+    de AS (SELECT cl.run_id, cl.symbol, cl.day, as_of, floor((eq_pips - pips) * 10 + 0.5) / 10 AS unrealised_pips, floor(eq_yen - 1000000 - realised + 0.5) AS unrealised_yen, coalesce(mp, 0) AS max_drawdown_pips, coalesce(my, 0) AS max_drawdown_yen, coalesce(mc, 0) AS max_drawdown_pct
+        FROM cl JOIN rp USING (run_id, symbol, day) LEFT JOIN mx USING (run_id, symbol, day))"""
+
+
+def _persisted(spark, d):
+    simulated = scratch.settled(_simulated(spark, d))
+    trades = bt.trades_of(simulated)
+    return trades, history.day_equity(ledger.confirmed_days(trades, src.event_bars(spark, d)), bt.equity_of(simulated), trades)
+
+
+@query("confirmed_day_equity", f"{_SIM}, {_EQUITY} SELECT run_id, symbol, day, as_of, {', '.join(sql.r6(x, x) for x in ('unrealised_pips', 'unrealised_yen', 'max_drawdown_pips', 'max_drawdown_yen', 'max_drawdown_pct'))} FROM de")
+def _(spark, d):
+    return shown(_persisted(spark, d)[1], "unrealised_pips", "unrealised_yen", "max_drawdown_pips", "max_drawdown_yen", "max_drawdown_pct", keys=("run_id", "symbol", "day", "as_of"))
+
+
+_ROLL = "OVER (PARTITION BY run_id, symbol ORDER BY exit_time, id)"
+@query(
+    "persisted_summary",
+    f"""{_SIM}, {_EQUITY}, dn AS (SELECT * FROM trades WHERE exit_reason <> 'end'), r1 AS (SELECT *, sum(net_yen) {_ROLL} AS y, sum(net_pips) {_ROLL} AS p FROM dn), r2 AS (SELECT *, greatest(0, max(y) {_ROLL}) AS ty, greatest(0, max(p) {_ROLL}) AS tp FROM r1),
+    su AS (SELECT run_id, symbol, count(*) AS trades, count(*) FILTER (net_yen > 0) AS wins, count(*) FILTER (net_yen < 0) AS losses, coalesce(sum(net_yen) FILTER (net_yen > 0), 0) AS g, coalesce(sum(net_yen) FILTER (net_yen < 0), 0) AS l, sum(net_pips) AS np, sum(net_yen) AS ny, max(ty - y) AS dy2, max(tp - p) AS dp2, max((ty - y) / (1000000 + ty) * 100) AS dc2 FROM r2 GROUP BY 1, 2),
+    sq AS (SELECT run_id, symbol, max(max_drawdown_pips) AS mp, max(max_drawdown_yen) AS my, max(max_drawdown_pct) AS mc FROM de GROUP BY 1, 2)
+    SELECT run_id, symbol, su.trades, wins, losses, round(CASE WHEN l <> 0 THEN g / abs(l) END, 6) AS profit_factor, floor(np * 10 + 0.5) / 10 AS net_pips, floor(ny + 0.5) AS net_yen, floor(greatest(dp2, coalesce(mp, 0)) * 10 + 0.5) / 10 AS max_drawdown_pips, floor(greatest(dy2, coalesce(my, 0)) + 0.5) AS max_drawdown_yen,
+        round(greatest(dc2, coalesce(mc, 0)), 6) AS max_drawdown_pct FROM su LEFT JOIN sq USING (run_id, symbol)""",
+)
+def _(spark, d):
+    found = history.persisted_summary(*_persisted(spark, d))
+    factor = F.when(F.col("profit_factor") < float("inf"), F.round("profit_factor", 6)).alias("profit_factor")
+    return found.select("run_id", "symbol", "trades", "wins", "losses", factor, "net_pips", "net_yen", "max_drawdown_pips", "max_drawdown_yen", F.round("max_drawdown_pct", 6).alias("max_drawdown_pct"))
+
+
+@query(
+    "history_problems",
+    f"""WITH {TRADES}, d AS (SELECT DISTINCT run_id || '-' || symbol AS strategy_id, exit_time // 86400 AS day FROM tr), t AS (SELECT strategy_id, day, CASE WHEN day % 13 = 0 THEN 'day ' || day ELSE strftime(make_timestamp(CAST(day * 86400000000 AS BIGINT)), '%Y-%m-%d') END AS date FROM d)
+    SELECT strategy_id, date, 'date' AS problem FROM t WHERE day % 13 = 0 UNION ALL SELECT strategy_id, date, 'sum' FROM t WHERE day % 7 = 0 UNION ALL SELECT strategy_id, date, 'trade_day' FROM t WHERE day % 11 = 0 OR day % 13 = 0 UNION ALL SELECT strategy_id, date, 'fingerprint' FROM t WHERE day % 17 = 0""",
+)
 def _(spark, d):
-    rows = spark.createDataFrame([(s,) for s in sp.SPREADS], "symbol string")
-    return rows.select("symbol", sp.spread_pips(F.col("symbol")).alias("spread"), sp.price_digits(F.col("symbol")).alias("digits"), sp.to_pips(F.col("symbol"), F.lit(0.123)).alias("pips"), sp.default_currency(F.col("symbol"), _QUOTES).alias("currency"))
+    """A history of all orders with planted faults: wrong sums, moved trades, bad dates and fingerprints."""
+    day = F.col("day")
+    trades = order_trades(spark, d).withColumn("day", F.floor(F.col("exit_time") / 86400))
+    one = F.struct((F.col("exit_time") + F.when(day % 11 == 0, 86400).otherwise(0)).alias("exit_time"), "exit_reason", "net_pips", "net_yen")
+    days = trades.groupBy(F.concat_ws("-", "run_id", "symbol").alias("strategy_id"), "day").agg(F.collect_list(one).alias("trades"), F.sum("net_pips").alias("net_pips"), F.sum("net_yen").alias("net_yen"))
+    date = F.when(day % 13 == 0, F.concat(F.lit("day "), day.cast("string"))).otherwise(F.date_format(F.timestamp_seconds(day * 86400), "yyyy-MM-dd"))
+    rows = days.select("strategy_id", date.alias("date"), "net_pips", (F.col("net_yen") + F.when(day % 7 == 0, 3.0).otherwise(0.0)).alias("net_yen"), F.lit(1).alias("bars"), F.lit(1e6).alias("initial_balance"), F.lit(0.5).alias("spread_pips"), F.when(day % 17 == 0, "x").otherwise(F.sha2("strategy_id", 256)).alias("fingerprint"), "trades")
+    return history.problems(rows)
