@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.plans import sql
 from barloom.plans.series import query, shown
 from barloom.sources import bars as src
-from barloom.sources import feeds, scratch
+from barloom.sources import feeds, loaders, scratch
 from barloom.streaming import bars as stream
 from barloom.streaming import pending
 
@@ -91,3 +91,43 @@ def _(spark, d):
     for epoch, k in enumerate(range(0, len(days), 6)):
         write(rows.where(F.col("day").isin(days[k : k + 6])).drop("day"), epoch)
     return stream.read_frozen(spark, path).select("symbol", "t", "version", "c") if days else rows.select("symbol", "t", "version", "c")
+
+
+# -- stored results -------------------------------------------------------------------------
+
+
+def _ledger_file(spark, d) -> str:
+    """A ledger of all orders: customers as strategies, months as generations, some keyed only, some without a reason, some lines broken."""
+    path = scratch.folder(spark)
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    at = F.floor(src.unix_seconds("o_orderdate") / 2592000) * 2592000
+    key = F.concat_ws("@", F.concat(F.lit("c"), F.col("o_custkey").cast("string")), at.cast("string"))
+    rows = o.select(
+        key.alias("ledger_key"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("strategy_id"), F.when(F.col("o_orderkey") % 4 != 0, at).alias("registered_at"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("retired_at"),
+        F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).alias("reason"), F.col("o_orderkey").alias("trades"), F.col("o_totalprice").alias("net_yen"),
+    )
+    text = F.to_json(F.struct(*rows.columns))
+    rows.select(F.when(F.col("trades") % 23 == 0, F.substring(text, 1, 30)).otherwise(text).alias("value")).write.text(path)
+    return path
+
+
+_LEDGER = """le AS (SELECT 'c' || o_custkey AS strategy_id, (epoch_us(o_orderdate) // 1000000) // 2592000 * 2592000 AS registered_at, strftime(o_orderdate, '%Y-%m-%d') AS retired_at, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderpriority END AS reason, o_orderkey AS trades FROM orders)"""
+query(
+    "retired_generations",
+    f"""WITH {_LEDGER}, ok AS (SELECT * FROM le WHERE reason IS NOT NULL AND trades % 23 <> 0) SELECT strategy_id, registered_at, min(retired_at) AS retired_at FROM ok GROUP BY 1, 2""",
+)(lambda spark, d: loaders.retired(loaders.load(spark, _ledger_file(spark, d), "retired"), spark).select("strategy_id", "registered_at", "retired_at"))
+query("ledger_misfits", f"WITH {_LEDGER} SELECT count(*) FILTER (reason IS NULL OR trades % 23 = 0) AS misfits, count(*) AS records FROM le")(lambda spark, d: loaders.load(spark, _ledger_file(spark, d), "retired").misfits)
+
+
+@query(
+    "observed_strategies",
+    """WITH r AS (SELECT 's' || c_custkey AS strategy_id, c_custkey % 7 AS own FROM customer), h AS (SELECT 's' || o_custkey AS strategy_id, count(DISTINCT CAST(o_orderdate AS DATE)) AS days FROM orders GROUP BY 1)
+    SELECT r.strategy_id, coalesce(days, own) AS history_days, true AS history_available FROM r LEFT JOIN h USING (strategy_id)""",
+)
+def _(spark, d):
+    """Customers as observed strategies, days with orders as their history."""
+    path = scratch.folder(spark)
+    c = F.col("c_custkey")
+    spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("s"), c.cast("string")).alias("strategy_id"), F.lit(1).alias("registered_at"), F.lit(0).alias("trades"), (c % 7).alias("confirmed_days")).write.json(path)
+    days = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("s"), F.col("o_custkey").cast("string")).alias("strategy_id"), F.to_date("o_orderdate").alias("day"))
+    return loaders.observations(loaders.load(spark, path, "forward"), days).select("strategy_id", "history_days", "history_available")
