@@ -45,7 +45,8 @@ def from_scratch(rows, horizon):
 
 
 @pytest.mark.parametrize("horizon", [1, 5, 20])
-def test_as_if_fitted_from_scratch(horizon):
+def test_as_if_fitted_from_scratch(horizon, monkeypatch):
+    monkeypatch.setattr(rolling, "FIRST", 256)
     rows = walk(2300, horizon)
     state = rolling.Refit(horizon)
     for d, row in enumerate(rows):
@@ -81,9 +82,10 @@ def test_isotonic():
     assert rolling.isotonic([0.9, 0.1], [3, 1]) == pytest.approx([0.7, 0.7])
 
 
-def test_tree_sizes_double():
+def test_tree_sizes_double(monkeypatch):
+    monkeypatch.setattr(rolling, "FIRST", 256)
     samples = rolling.Samples()
     for k in range(7 * rolling.FIRST + 5):
         samples.add((0.5, 0.5, 0.5), k % 2 == 0)
-    assert [t.size for t in samples.trees] == [4 * rolling.FIRST, 2 * rolling.FIRST, rolling.FIRST] and len(samples.late) == 5
+    assert [t.size for t in samples.trees] == [4 * rolling.FIRST, 2 * rolling.FIRST, rolling.FIRST] and samples.n == 5
     assert samples.bins((1.0, 0.0, 0.0))[0].sum() == 7 * rolling.FIRST + 5
