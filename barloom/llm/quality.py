@@ -21,6 +21,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha1
 from operator import eq
 
 import numpy as np
@@ -189,9 +190,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("l"), F.col("quality").cast("int").alias("quality"))
     sample = known.distinct().orderBy(F.xxhash64("l"), "l", "quality").limit(TRAIN_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l")).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "quality").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
-    taken = rows.select("text", "quality", "doc_id").mapInArrow(run, "f array<double>, quality int, doc_id long").toArrow().to_pylist()
-    taken.sort(key=lambda r: (r["doc_id"], r["quality"], r["f"]))
-    return train([(np.array(r["f"]).reshape(-1, WIDTH), r["quality"]) for r in taken])
+    taken = rows.select("text", "quality", "doc_id").mapInArrow(run, "f array<double>, quality int, doc_id long").toArrow().combine_chunks()
+    return train(_in_order(taken))
+
+
+def _in_order(taken: pa.Table) -> list[tuple[np.ndarray, int]]:
+    """(features, label) in order of id and label; the features are views of the table's one array."""
+    if not len(taken):
+        return []
+    lists = taken.column("f").chunk(0)
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    parts = [flat[a:b].reshape(-1, WIDTH) for a, b in zip(ends, ends[1:])]
+    keys = list(zip(taken.column("doc_id").to_pylist(), taken.column("quality").to_pylist(), strict=True))
+    # digests put the parts of one text in a fixed order
+    several = {k for k, n in Counter(keys).items() if n > 1}
+    order = sorted(range(len(parts)), key=lambda k: (keys[k], sha1(parts[k]).digest() if keys[k] in several else b""))
+    return [(parts[k], keys[k][1]) for k in order]
 
 
 def scores(texts: list[str | None], model: tuple[np.ndarray, np.ndarray]) -> list[float]:

@@ -109,3 +109,22 @@ def test_repeated_ids_teach_once_and_always_the_same(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
     one, two = quality.fit(docs, labels), quality.fit(docs.repartition(7), labels)
     assert np.allclose(one[0], two[0]) and np.allclose(one[1], two[1])
+
+
+def test_training_sample_is_not_copied_into_lists():
+    """Features reach the driver as one array of numbers; a full sample of long texts takes no more than that and one copy."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    n, lines = 400, quality.TRAIN_LINES // quality.STRETCHES
+    parts = [rng.random(lines * quality.WIDTH) for _ in range(n * 4)]
+    table = pa.table({"f": pa.array(parts, pa.list_(pa.float64())), "quality": pa.array([k // 4 % 2 for k in range(4 * n)], pa.int32()), "doc_id": pa.array([n - k // 4 for k in range(4 * n)], pa.int64())}).combine_chunks()
+    tracemalloc.start()
+    rows = quality._in_order(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(p.nbytes for p in parts) / 4
+    assert [label for _, label in rows[:8]] == [1] * 4 + [0] * 4 and all(np.shares_memory(f, table.column("f").chunk(0).values.to_numpy()) for f, _ in rows[:5])
+    assert quality._in_order(table.slice(0, 0).combine_chunks()) == []
