@@ -227,13 +227,18 @@ _MONTHS = """mo AS (SELECT *, date_trunc('month', make_timestamp(CAST(exit_t * 1
 
 
 def _recommended(spark, d) -> DataFrame:
-    """Both styles over the tape of single orders; the last bar of every UTC day decides, statistics are fitted anew each time."""
-    out = None
+    """Both styles over the tape of single orders; the last bar of every UTC day decides, statistics are fitted anew each time.
+
+    Bars of all timeframes are scored once for both styles.
+    """
+    frames = sorted({tf for s in scanner.STYLES.values() for tf in (s.main, s.wide)})
+    bars = {tf: src.deal_bars(spark, d, tf) for tf in frames}
+    scored = scratch.settled(scanner.scores(reduce(DataFrame.unionByName, bars.values())))
+    found = []
     for name, s in scanner.STYLES.items():
-        bars = src.deal_bars(spark, d, s.main)
-        found = scanner.scan(bars, src.deal_bars(spark, d, s.wide), name, decisions=scanner.last_bars_of_days(bars), retrain=True)
-        out = found if out is None else out.unionByName(found)
-    return out
+        last = scanner.last_bars_of_days(scored.where(F.col("tf") == s.main))
+        found.append(scanner.scan(bars[s.main], bars[s.wide], name, decisions=last, retrain=True, scored=scored))
+    return reduce(DataFrame.unionByName, found)
 
 
 _RS = ("w_signal", "w_drift", "w_regime", "p_up", "p_calibrated", "accuracy")
