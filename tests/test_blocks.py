@@ -10,7 +10,7 @@ from barloom.operators import recurrent as rec
 from barloom.sources import bars as src
 
 
-def tape(spark, gaps=False, n=140):
+def tape(spark, gaps=False, n=90):
     rnd, rows = random.Random(4), []
     for symbol in ("A", "B"):
         close, t = 50.0, 1_000_000 if symbol == "A" else 1_003_600
@@ -18,7 +18,7 @@ def tape(spark, gaps=False, n=140):
             close += rnd.choice([-1.5, 0.0, 0.0, 1.0, 2.0])
             t += 3600 * rnd.choice([1, 1, 1, 2, 60])
             c = None if gaps and k % 23 == 5 else close
-            rows.append((symbol, "h1", t, close - 0.5, None if gaps and symbol == "A" and k == 70 else close + 1.0, close - 1.25, c, 1.0))
+            rows.append((symbol, "h1", t, close - 0.5, None if gaps and symbol == "A" and k == 60 else close + 1.0, close - 1.25, c, 1.0))
     rnd.shuffle(rows)
     return spark.createDataFrame(rows, src.SCHEMA).cache()
 
@@ -27,18 +27,17 @@ def rows(df, *names):
     return [tuple(None if x is None else round(x, 7) if isinstance(x, float) else x for x in r) for r in df.select("symbol", "t", *names).orderBy("symbol", "t").collect()]
 
 
-@pytest.mark.parametrize(("seconds", "gaps"), [(3600, True), (7 * 3600, False)])
-def test_recurrences(spark, seconds, gaps):
-    bars = tape(spark, gaps)
+@pytest.mark.parametrize("gaps", [True, False])
+def test_recurrences(spark, gaps):
+    bars, seconds = tape(spark, gaps), 7 * 3600
     assert rows(blocks.ema(bars, 12, seconds=seconds), "ema12") == rows(rec.ema(bars, 12), "ema12")
     assert rows(blocks.rsi(bars, 5, seconds=seconds), "rsi") == rows(rec.rsi(bars, 5), "rsi")
     assert rows(blocks.macd(bars, 3, 7, 4, seconds=seconds), "macd", "macd_signal", "macd_hist") == rows(rec.macd(bars, 3, 7, 4), "macd", "macd_signal", "macd_hist")
     assert rows(blocks.alligator(bars, seconds=seconds), "jaw", "teeth", "lips") == rows(rec.alligator(bars), "jaw", "teeth", "lips")
 
 
-@pytest.mark.parametrize("seconds", [3600, 40 * 86400])
-def test_frames(spark, seconds):
-    bars = tape(spark)
+def test_frames(spark):
+    bars, seconds = tape(spark), 3600
     assert rows(blocks.windowed(bars, ind.bollinger, 19, seconds), "bb_upper") == rows(ind.bollinger(bars), "bb_upper")
     assert rows(blocks.windowed(bars, ind.donchian, 20, seconds), "don_upper", "don_lower") == rows(ind.donchian(bars), "don_upper", "don_lower")
     assert rows(blocks.windowed(bars, ind.momentum, 14, seconds), "momentum") == rows(ind.momentum(bars), "momentum")
